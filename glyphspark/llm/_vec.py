@@ -75,10 +75,14 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         row = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs without ASCII white space) of all texts: hash, first byte, end byte, and n + 1 offsets of texts in words."""
+#: Separators for words of letters and digits only: every other ASCII character.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, apart: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs without a byte of ``apart``, ASCII white space by default) of all texts: hash, first byte, end byte, and n + 1 offsets of texts in words."""
     n = data.size
-    ink = ~_WHITE[data]
+    ink = ~apart[data]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     begins = offsets[:-1][offsets[:-1] < offsets[1:]]
