@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphspark.llm import _vec as V
+from glyphspark.llm._repeats import repeats
 from glyphspark.llm._spark import checkpointed, connected_components, join_counted
 
 #: Similar: PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 75
-#: Tokens packed by a task before it passes them on, tokens of one task afterwards (about), classes joined in one tree.
-BLOCK_TOKENS, TASK_TOKENS, MAX_GROUP = 1_500_000, 4_000_000, 4000
+#: Tokens of one task after dealing (about), classes joined in one tree.
+TASK_TOKENS, MAX_GROUP = 4_000_000, 4000
 
 
 def class_sets(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -54,68 +55,13 @@ def summaries(docs: DataFrame, width: int = V.WORDS_PER_SHINGLE) -> DataFrame:
 
 
 def _repeated(reps: DataFrame, buckets: int, width: int) -> DataFrame:
-    """(cls, repeated): how many tokens of a class another class has too (at least so many: 32 bits and the bucket are compared)."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            cls, tok = np.concatenate([c for c, _ in held]), np.concatenate([t for _, t in held])
-            order = np.argsort(tok, kind="stable")
-            cls, tok = cls[order], tok[order]
-            new = np.concatenate([[True], tok[1:] != tok[:-1]])
-            run = np.cumsum(new) - 1
-            more = np.bincount(run)[run] > 1
-            key, n = np.unique(cls[more], return_counts=True)
-            rows = [(int(cls[0] & 0x7FFFFFFF) % buckets, True, key.tobytes(), n.astype(np.int32).tobytes(), b"")]
-            # a token met here more than once is passed on without an owner
-            cls, tok = np.where(more, 0, cls)[new], tok[new]
-            bucket = ((tok >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            low = tok.astype(np.uint32)
-            for b in range(buckets):
-                x = slice(cuts[b], cuts[b + 1])
-                if cuts[b] < cuts[b + 1]:
-                    owners, place = np.unique(cls[x], return_inverse=True)
-                    by = np.argsort(place, kind="stable")
-                    rows.append((b, False, owners.tobytes(), np.bincount(place).astype(np.int32).tobytes(), low[x][by].tobytes()))
-            held.clear()
-            kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "told", "own", "n", "tok"])
-
-        size = 0
-        for b in batches:
-            for cls, tok, at in class_sets(b.column(0), width):
-                held.append((np.repeat(cls, np.diff(at)), tok))
-                size += tok.size
-                if size >= BLOCK_TOKENS:
-                    yield flush()
-                    size = 0
-        if size:
-            yield flush()
-
-    def meet(table: pa.Table) -> pa.Table:
-        keys, counts, owners, tokens = [], [], [], []
-        for told, own, n, tok in zip(*[table[c].to_pylist() for c in ("told", "own", "n", "tok")], strict=True):
-            own, n = np.frombuffer(own, np.int64), np.frombuffer(n, np.int32)
-            if told:  # counts from within a block
-                keys.append(own)
-                counts.append(n.astype(np.int64))
-            else:
-                owners.append(np.repeat(own, n))
-                tokens.append(np.frombuffer(tok, np.uint32))
-        if tokens:
-            cls, tok = np.concatenate(owners), np.concatenate(tokens)
-            order = np.argsort(tok, kind="stable")
-            cls, tok = cls[order], tok[order]
-            run = np.cumsum(np.concatenate([[False], tok[1:] != tok[:-1]]))
-            key, n = np.unique(cls[(np.bincount(run)[run] > 1) & (cls != 0)], return_counts=True)
-            keys.append(key)
-            counts.append(n.astype(np.int64))
-        return pa.table({"cls": pa.array(np.concatenate(keys), pa.int64()), "n": pa.array(np.concatenate(counts), pa.int64())})
-
-    packed = reps.select("text").mapInArrow(pack, "bucket int, told boolean, own binary, n binary, tok binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("repeated"))
+    """(cls, repeated): how many tokens of a class another class has too (or rarely a few more)."""
+
+    def pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for cls, tok, at in class_sets(batch.column(0), width):
+            yield np.repeat(cls, np.diff(at)), tok
+
+    return repeats(reps.select("text"), pairs, buckets).groupBy(F.col("owner").alias("cls")).agg(F.sum("n").alias("repeated"))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
