@@ -4,11 +4,13 @@ Copies of whole texts are set aside first. Every window of ``width`` bytes has a
 ``KGRAM``-byte strings in it, so that equal windows have equal anchors. Anchors that occur in several documents are
 found by packed blocks (``_repeats``); the runs of windows with such an anchor are short segments of text, dealt by anchor.
 
-In each bucket the distinct segments are the collection of a column-wise (BCR) construction: each round inserts one symbol
-of every segment, from its last to its first, at the place that the transform so far gives by counting symbols, and
-updates the array of longest common prefixes by range minima. Arrays are read and written in order once a round, and
-a bucket has a bounded size, so they stay in memory instead of in files. Suffixes whose common prefixes are ``width``
-or longer are equal windows; the smallest document of each decides. Segments carry one smallest and one largest
+In each bucket the distinct segments are the collections of a column-wise (BCR) construction: each round inserts one symbol
+of every string, from its last to its first, at the place that the transform so far gives by counting symbols, and
+updates the array of longest common prefixes by range minima. A symbol is a block of bytes (ten for a width of 50), and
+each of the ten ways to cut a segment into blocks is a string of its own, so all byte positions are covered in a
+tenth of the rounds. Arrays are read and written in order once a round, and a collection has a bounded size, so they
+stay in memory instead of in files. Suffixes whose common prefixes are ``width`` or longer are equal windows; the
+smallest document of each decides. Segments carry one smallest and one largest
 document for each block of rows, so a passage that very many documents share is a few entries; the answer returns to all
 its places by a join on the segment, where adaptive execution splits hot keys.
 """
@@ -30,7 +32,9 @@ from glyphspark.llm._spark import checkpointed, join_counted, text_hash
 WIDTH, KGRAM = 50, 20
 #: Text bytes for each bucket (about); segments that a task packs before it passes them on.
 BUCKET_BYTES, BLOCK_SEGMENTS = 6 << 20, 400_000
-_END = 255  # in no UTF-8 text
+#: Symbols of one collection at most (but for one anchor's segments), and of a block's bytes.
+COLLECTION, MAX_BLOCK = 60_000, 10
+_END = 0xFFFF
 
 
 def _sliding_min(x: np.ndarray, span: int) -> np.ndarray:
@@ -56,6 +60,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
     return least[at], at, text
 
 
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """Anchors are minima and so small numbers; dealt by hash they need all bits again."""
+    return V.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D))
+
+
 class RangeMin:
     """Minima over ranges of a byte array: inside blocks by running minima, across blocks by a table of powers of two."""
 
@@ -127,10 +136,10 @@ def collection_bwt(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray
         down[has_after] = np.minimum(least(at[has_after] + 1, after[has_after]), 253) + 1
         # a new suffix goes where its symbol's count puts it, behind the empty ones
         place = m + rank
-        fresh = np.where(lengths[live] > j, symbols[live, columns - 1 - np.minimum(j, columns - 1)], _END).astype(np.uint8)
+        fresh = np.where(lengths[live] > j, symbols[live, columns - 1 - np.minimum(j, columns - 1)], _END).astype(np.uint16)
         stay = np.ones(bwt.size + rank.size, bool)
         stay[place] = False
-        wider = np.empty(stay.size, np.uint8)
+        wider = np.empty(stay.size, np.uint16)
         wider[stay], wider[place] = bwt, fresh
         bwt, wider = wider, np.empty(stay.size, np.uint8)
         wider[stay] = lcp
@@ -167,11 +176,41 @@ def equal_windows(symbols: np.ndarray, lengths: np.ndarray, low: np.ndarray, hig
     return string, first, np.minimum.reduceat(low[string[by]], cuts)[which], np.maximum.reduceat(high[string[by]], cuts)[which]
 
 
-def _aligned(data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Strings of a buffer as right-aligned rows."""
+def aligned(codes: np.ndarray, start: np.ndarray, lengths: np.ndarray, step: int = 1) -> np.ndarray:
+    """Strings as right-aligned rows: ``lengths`` symbols each, every ``step``-th of ``codes`` from ``start``."""
     columns = int(lengths.max())
-    at = (start + lengths)[:, None] - np.arange(columns, 0, -1)[None, :]
-    return np.where(at >= start[:, None], data[np.maximum(at, 0)], _END).astype(np.uint8)
+    at = (start + step * lengths)[:, None] - step * np.arange(columns, 0, -1)[None, :]
+    return np.where(at >= start[:, None], codes[np.maximum(at, 0)], _END).astype(np.uint16)
+
+
+def segment_windows(body: np.ndarray, start: np.ndarray, length: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``equal_windows`` of segments of bytes: segment, first byte, smallest ``low``, largest ``high``."""
+    for block in (b for b in range(min(MAX_BLOCK, width), 0, -1) if width % b == 0):
+        blocks = V.starts(body, block)
+        phase = np.tile(np.arange(block), start.size)
+        segment = np.repeat(np.arange(start.size), block)
+        count = (length[segment] - phase) // block
+        begin = start[segment] + phase
+        used = np.zeros(blocks.size, bool)
+        used[np.repeat(begin - block * (np.cumsum(count) - count), count) + block * np.arange(int(count.sum()))] = True
+        _, code = np.unique(blocks[used], return_inverse=True)
+        if code.max() < _END:
+            break  # else shorter blocks, of which there are fewer; single bytes always fit
+    codes = np.zeros(blocks.size, np.uint16)
+    codes[used] = code
+    string, first, least, most = equal_windows(aligned(codes, begin, count, block), count, low[segment], high[segment], width // block)
+    return segment[string], phase[string] + block * first, least, most
+
+
+def collections(anchor: np.ndarray, length: np.ndarray) -> Iterator[slice]:
+    """Ranges of segments, whole anchors each, of ``COLLECTION`` symbols at most where anchors allow it."""
+    edge = np.append(np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])), anchor.size)
+    total = np.concatenate([[0], np.cumsum(length)])
+    at = 0
+    while at < edge.size - 1:
+        to = max(at + 1, int(np.searchsorted(total[edge], total[edge[at]] + COLLECTION, "right")) - 1)
+        yield slice(int(edge[at]), int(edge[to]))
+        at = to
 
 
 def _segments(batch: pa.RecordBatch, buckets: int, width: int) -> Iterator[tuple]:
@@ -188,7 +227,7 @@ def _segments(batch: pa.RecordBatch, buckets: int, width: int) -> Iterator[tuple
         wanted = np.frombuffer(b"".join(packed), np.uint64)
         owner = np.repeat(np.arange(len(packed)), [len(x) // 8 for x in packed]).astype(np.uint64)
         runs = np.flatnonzero(new)
-        tied = V.mix(narrowed(hashes[runs], buckets) ^ V.mix(text[runs].astype(np.uint64)))
+        tied = V.mix(narrowed(spread(hashes[runs]), buckets) ^ V.mix(text[runs].astype(np.uint64)))
         hit = np.isin(tied, V.mix(wanted ^ V.mix(owner)))
         ends = np.append(runs[1:], hashes.size)[hit]
         runs = runs[hit]
@@ -200,7 +239,7 @@ def _segments(batch: pa.RecordBatch, buckets: int, width: int) -> Iterator[tuple
         up, down = V._powers(data.size)
         total = np.concatenate([[np.uint64(0)], np.cumsum(V._BYTES[data] * up[: data.size], dtype=np.uint64)])
         key = V.mix((total[start + length] - total[start]) * down[start] + length.astype(np.uint64) * np.uint64(V._P))
-        yield part, data, start, length, key, hashes[first], text[first], start - offsets[text[first]]
+        yield part, data, start, length, key, spread(hashes[first]), text[first], start - offsets[text[first]]
 
 
 def _verdicts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
@@ -262,7 +301,14 @@ def _verdicts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
         key, anchor, length, start, low, high = (x[several] for x in (key, anchor, length, start, low, high))
         if not key.size:
             return pa.table({"key": pa.array([], pa.int64()), "anchor": pa.array([], pa.int64()), "w0": pa.array([], pa.int32()), "w1": pa.array([], pa.int32()), "low": pa.array([], pa.int64())})
-        string, first, least, most = equal_windows(_aligned(body, start, length), length, low, high, width)
+        take = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        body, start = body[take], np.cumsum(length) - length
+        found = []
+        for x in collections(anchor, length):
+            own = body[start[x.start] : start[x.stop - 1] + length[x.stop - 1]]
+            string, first, least, most = segment_windows(own, start[x] - start[x.start], length[x], low[x], high[x], width) if x.stop - x.start > 1 else (np.zeros(0, np.int64),) * 4
+            found.append((string + x.start, first, least, most))
+        string, first, least, most = (np.concatenate([f[k] for f in found]) for k in range(4))
         shared = least != most
         string, first, least = string[shared], first[shared], least[shared]
         order = np.lexsort((first, string))
@@ -327,7 +373,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             hashes, _, text = anchors(*V.text_bytes(part.column(1)), width)
             new = np.ones(hashes.size, bool)
             new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-            hashes, text = hashes[new], text[new]
+            hashes, text = spread(hashes[new]), text[new]
             value, at = V.per_text_unique(hashes, np.searchsorted(text, np.arange(part.num_rows + 1)))
             yield np.repeat(part.column(0).to_numpy(zero_copy_only=False), np.diff(at)), value
 
