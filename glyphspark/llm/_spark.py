@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut: written to the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where no folder is named (tests on one machine) a temporary one is set.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or only where none is set (tests on one machine) a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphspark-checkpoint-"))
+    return named or spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut: written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
