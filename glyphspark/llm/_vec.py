@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one pass of a kernel takes (a longer single text is one slice).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 WORDS_PER_SHINGLE = 5
 
 _U = np.uint64

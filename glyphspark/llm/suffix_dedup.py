@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -267,7 +268,7 @@ def _verdicts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
                 if cuts[b] < cuts[b + 1]:
                     n = length[x]
                     take = np.repeat(start[x] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    rows.append((b, key[x].tobytes(), anchor[x].tobytes(), n.astype(np.int32).tobytes(), low[x].tobytes(), high[x].tobytes(), body[take].tobytes()))
+                    rows.append((b, key[x].tobytes(), anchor[x].tobytes(), n.astype(np.int32).tobytes(), low[x].tobytes(), high[x].tobytes(), zstandard.compress(body[take].tobytes(), 1)))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], ["bucket", "key", "anchor", "n", "low", "high", "body"])
 
         size = 0
@@ -288,7 +289,7 @@ def _verdicts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
         key, anchor = (np.frombuffer(b"".join(cols[c]), np.uint64) for c in ("key", "anchor"))
         length = np.frombuffer(b"".join(cols["n"]), np.int32).astype(np.int64)
         low, high = (np.frombuffer(b"".join(cols[c]), np.int64) for c in ("low", "high"))
-        body = np.frombuffer(b"".join(cols["body"]), np.uint8)
+        body = np.frombuffer(b"".join(zstandard.decompress(x) for x in cols["body"]), np.uint8)
         start = np.cumsum(length) - length
         order = np.lexsort((key, anchor))
         head = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])]))
