@@ -1,0 +1,23 @@
+"""Running totals in order without one task for all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Ids of one block; blocks are summed first, and only block totals are ordered together.
+BLOCK = 1024
+
+
+def running_total(df: DataFrame, key: str, order: tuple[str, str], value: str, name: str, block: int = BLOCK) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows of the same ``key`` that come before in ``order`` (an integer id, then a second column).
+
+    Rows are ordered inside blocks of ids; the totals of the blocks (rows / BLOCK or fewer) are ordered by key.
+    """
+    first, second = order
+    df = df.withColumn("_block", F.floor(F.col(first) / block))
+    totals = df.groupBy(key, "_block").agg(F.sum(value).alias("_total"))
+    before = totals.withColumn("_base", F.coalesce(F.sum("_total").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_total")
+    inside = Window.partitionBy(key, "_block").orderBy(first, second).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return out.join(before, [key, "_block"]).withColumn(name, F.col(name) + F.col("_base")).drop("_block", "_base")

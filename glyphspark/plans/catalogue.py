@@ -1,4 +1,554 @@
-"""All queries of the engine and the SQL that gives the same rows."""
+"""All queries of the engine over the driver's tables, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glyphspark.functions import charset, readers
+from glyphspark.operators import evaluate, gsm, lm, ngrams, transcript
+from glyphspark.sources import corpus
+
+ORDER, KEEP, DIGITS = 3, 0.8, 8
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query, and its SQL, under the function's name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return _table(spark, d, "documents").select("doc_id", "text", "lang")
+
+
+def _lines(spark, d):
+    return ngrams.lines_of(_docs(spark, d))
+
+
+def _tok(spark, d, order=ORDER):
+    """N-gram counts; kept, as the smoothing stages read them several times (lost blocks are counted anew)."""
+    return ngrams.token_counts(_lines(spark, d), order).persist()
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, DIGITS) for c in cols})
+
+
+# Shared SQL parts.
+_L = "lines AS (SELECT doc_id, lang, line_no, line FROM (SELECT doc_id, lang, generate_subscripts(x, 1) - 1 AS line_no, unnest(x) AS line FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS x FROM documents)) WHERE line <> '')"
+_C = f"{_L}, ch AS (SELECT doc_id, lang, line_no, generate_subscripts(c, 1) AS pos, unnest(c) AS c FROM (SELECT *, string_split(line, '') AS c FROM lines))"
+_T = f"""{_C}, w AS (SELECT *, lag(c, 1) OVER v AS c1, lag(c, 2) OVER v AS c2 FROM ch WINDOW v AS (PARTITION BY doc_id, line_no ORDER BY pos)),
+tok AS MATERIALIZED (SELECT lang, g, length(g) AS n, count(*) AS t FROM (SELECT lang, c AS g FROM w UNION ALL SELECT lang, c1 || c FROM w WHERE c1 IS NOT NULL UNION ALL SELECT lang, c2 || c1 || c FROM w WHERE c2 IS NOT NULL) GROUP BY ALL),
+hist AS MATERIALIZED (SELECT lang, substr(g, 1, n - 1) AS h, count(*) AS hist FROM tok WHERE n > 1 GROUP BY ALL),
+low AS MATERIALIZED (SELECT lang, substr(g, 2, n - 1) AS g, count(*) AS low FROM tok WHERE n > 1 GROUP BY ALL),
+nrm AS MATERIALIZED (SELECT lang, substr(g, 2, n - 2) AS m, count(*) AS norm FROM tok WHERE n > 1 GROUP BY ALL),
+tot AS MATERIALIZED (SELECT lang, sum(t) AS t_h FROM tok WHERE n = 1 GROUP BY lang)"""
+_OWN = """, own AS MATERIALIZED (SELECT tok.lang, g, n, t::DOUBLE AS t, t_h::DOUBLE AS t_h FROM tok JOIN tot USING (lang) WHERE n = 1
+UNION ALL SELECT a.lang, a.g, a.n, a.t::DOUBLE, b.t::DOUBLE FROM tok a JOIN tok b ON a.lang = b.lang AND b.g = substr(a.g, 1, a.n - 1) WHERE a.n > 1)"""
+
+
+def _discounted(own: str, lower: str) -> str:
+    return f"SELECT o.lang, o.g, o.n, greatest(0, o.t - 0.75e0) / o.t_h + h.hist * 0.75e0 / o.t_h * k.p AS p FROM ({own}) o JOIN hist h ON h.lang = o.lang AND h.h = substr(o.g, 1, o.n - 1) JOIN {lower} k ON k.lang = o.lang AND k.g = substr(o.g, 2, o.n - 1)"
+
+
+_KN = f"""{_T}{_OWN}, k1 AS MATERIALIZED (SELECT low.lang, low.g, 1 AS n, low.low::DOUBLE / nrm.norm AS p FROM low JOIN nrm ON nrm.lang = low.lang AND nrm.m = '' WHERE length(low.g) = 1),
+k2 AS MATERIALIZED ({_discounted("SELECT low.lang, low.g, 2 AS n, low.low::DOUBLE AS t, nrm.norm::DOUBLE AS t_h FROM low JOIN nrm ON nrm.lang = low.lang AND nrm.m = substr(low.g, 1, 1) WHERE length(low.g) = 2", "k1")}),
+kn AS MATERIALIZED (SELECT lang, g, n, t / t_h AS p FROM own WHERE n = 1 UNION ALL {_discounted("SELECT * FROM own WHERE n = 2", "k1")} UNION ALL {_discounted("SELECT * FROM own WHERE n = 3", "k2")})"""
+_A = f"{_C}, cc AS (SELECT lang, c AS char, count(*) AS n FROM ch GROUP BY ALL), act AS (SELECT lang, char FROM cc WHERE n >= 10 UNION SELECT DISTINCT lang, unnest([' ', '&', '.', ',', '[', ']', '-', '*', '§', '¶']) FROM cc)"
+_P = f"{_C}, pri AS (SELECT lang, w / sum(w) OVER () AS prior FROM (SELECT lang, count(*) + 1e0 AS w FROM ch GROUP BY lang))"
+_FROM, _TO = "".join(charset.DECOMPOSED), "".join(p[0] for p in charset.DECOMPOSED.values())
+_D = f"""{_L}, body AS (SELECT doc_id, line_no, lang, generate_subscripts(c, 1) AS pos, unnest(c) AS c FROM (SELECT *, string_split(line, '') AS c FROM lines)),
+decode AS MATERIALIZED (SELECT doc_id, line_no, pos, 'TMPL' AS type, CASE WHEN (pos // 50) % 3 = 1 THEN 'la' ELSE lang END AS lang, c AS lm_char, CASE WHEN c = 's' AND pos % 7 = 0 THEN 'ſ' ELSE c END AS glyph,
+CASE WHEN c IN ('a','e','i','o','u') AND pos % 11 = 0 THEN 'ELISION_TILDE' WHEN c BETWEEN 'a' AND 'z' AND length(c) = strlen(c) AND pos % 13 = 0 THEN 'FIRST_ELIDED' WHEN c BETWEEN 'a' AND 'z' AND length(c) = strlen(c) AND pos % 17 = 0 THEN 'DOUBLED' ELSE 'NORMAL_CHAR' END AS glyph_type, unicode(c) % 7 + 3 AS char_w, pos % 3 AS pad_w FROM body
+UNION ALL SELECT doc_id, line_no, 0, 'LMRGN', NULL, ' ', ' ', 'NORMAL_CHAR', 5, 1 FROM lines WHERE line_no % 2 = 0
+UNION ALL SELECT doc_id, line_no, length(line) + 1, 'RMRGN', NULL, ' ', ' ', 'NORMAL_CHAR', 5, 1 FROM lines WHERE line_no % 3 = 0
+UNION ALL SELECT doc_id, line_no, length(line) + 1, 'RMRGN_HPHN_INIT', lang, '-', CASE WHEN line_no % 2 = 0 THEN '-' ELSE ' ' END, 'NORMAL_CHAR', 5, 1 FROM lines WHERE line_no % 3 = 1)"""
+_EL = "('TILDE_ELIDED', 'FIRST_ELIDED', 'ELIDED')"
+_SUB = f"CASE WHEN lm_char = glyph AND glyph_type = 'NORMAL_CHAR' THEN glyph ELSE '[' || lm_char || '/' || CASE WHEN glyph_type = 'DOUBLED' THEN '2x' || glyph WHEN glyph_type IN {_EL} THEN '' ELSE glyph END || ']' END"
+_PAIRS = f"{_L}, pairs AS (SELECT doc_id, line_no, trim(regexp_replace(gold, '\\s+', ' ', 'g')) AS gold, trim(regexp_replace(guess, '\\s+', ' ', 'g')) AS guess FROM (SELECT doc_id, line_no, a AS gold, translate(a, 'uvs', 'vuf') AS guess FROM (SELECT doc_id, line_no, regexp_replace(translate(line, '{_FROM}', '{_TO}'), '[^ -~]', '', 'g') AS a FROM lines)))"
+
+
+# Characters and readers
+
+
+@query(f"WITH {_C} SELECT lang, c AS char, count(*) AS n FROM ch GROUP BY ALL")
+def char_unigrams(spark, d):
+    return ngrams.char_counts(_lines(spark, d))
+
+
+@query(f"WITH {_A} SELECT * FROM act")
+def active_chars(spark, d):
+    return ngrams.active_chars(ngrams.char_counts(_lines(spark, d)))
+
+
+@query(f"WITH {_A} SELECT char, n, row_number() OVER (ORDER BY n DESC, char) AS rank FROM (SELECT char, sum(n)::BIGINT AS n FROM cc GROUP BY char)")
+def chars_by_count(spark, d):
+    counts = ngrams.char_counts(_lines(spark, d)).groupBy("char").agg(F.sum("n").alias("n"))
+    return counts.select("char", "n", F.row_number().over(Window.partitionBy().orderBy(F.desc("n"), "char")).cast("long").alias("rank"))  # distinct characters
+
+
+@query(f"WITH {_L} SELECT doc_id, line_no, replace(replace(replace(replace(line, '\\', '\\\\'), '``', '\"'), '''''', '\"'), chr(9), '    ') AS line FROM lines")
+def basic_reader(spark, d):
+    return _lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), readers.basic(F.col("line")).alias("line"))
+
+
+@query(f"WITH {_L} SELECT doc_id, line_no, translate(line, '@$%', '') AS line FROM lines")
+def blacklist_filter(spark, d):
+    return _lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), readers.without(F.col("line")).alias("line"))
+
+
+@query(f"WITH {_L} SELECT doc_id, line_no, regexp_replace(line, '[^a-zéèêàáíóúñç ]', '', 'g') AS line FROM lines")
+def whitelist_filter(spark, d):
+    return _lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), readers.only(F.col("line"), charset.LETTERS + "éèêàáíóúñç").alias("line"))
+
+
+@query(f"WITH {_L} SELECT doc_id, line_no, translate(line, '{_FROM}', '{_TO}') AS line FROM lines")
+def strip_diacritics(spark, d):
+    return _lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), charset.strip_diacritics(F.col("line")).alias("line"))
+
+
+@query(f"WITH {_L} SELECT doc_id, line_no, regexp_replace(regexp_replace(regexp_replace(line, 's(\\p{{L}})', 'ſ\\1', 'g'), 's(\\p{{L}})', 'ſ\\1', 'g'), 'ſſ([iìíîïĩīĭ])', 'ſs\\1', 'g') AS line FROM lines")
+def long_s(spark, d):
+    return _lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), readers.long_s(F.col("line")).alias("line"))
+
+
+@query("SELECT page_id, trim(regexp_replace(html, '\\s+', ' ', 'g')) AS text FROM pages")
+def normalize_text(spark, d):
+    return _table(spark, d, "pages").select("page_id", charset.normalize_space(F.col("html")).alias("text"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\s\\p{L}\\p{N}]+', '', 'g'), '\\s+', ' ', 'g')) AS text FROM documents")
+def remove_punct(spark, d):
+    return _docs(spark, d).select("doc_id", charset.remove_punctuation(F.col("text")).alias("text"))
+
+
+@query(f"""WITH {_L}, p AS (SELECT *, string_split(line, 'th') AS x FROM lines), q AS (SELECT *, coalesce(sum(len(x) - 1) OVER (PARTITION BY lang ORDER BY doc_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p),
+u AS (SELECT doc_id, line_no, b, generate_subscripts(x, 1) AS i, unnest(x) AS part FROM q)
+SELECT doc_id, line_no, string_agg(CASE WHEN i = 1 THEN part WHEN (b + i - 2) % 3 = 2 THEN 'þ' || part ELSE 'th' || part END, '' ORDER BY i) AS line FROM u GROUP BY ALL""")
+def replace_every_n(spark, d):
+    return readers.replace_some(_lines(spark, d), [readers.Rule("th", "þ", 3)]).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query()
+def reader_pipeline(spark, d):
+    """All stages: banned characters, diacritics, long s, then two rules."""
+    reader = readers.Reader(remove_diacritics=True, long_s=True)
+    lines = _lines(spark, d).withColumn("line", readers.read(F.col("line"), reader))
+    return readers.replace_some(lines, [readers.Rule("an", "ã", 4), readers.Rule("u", "v", 4)])
+
+
+@query()
+def char_split(spark, d):
+    """Characters of every line by the full parser, with a count."""
+    return _lines(spark, d).select("doc_id", "line_no", F.size(charset.read_chars("line")).alias("n_chars"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '>', '&gt;'), '<', '&lt;'), '''', '&apos;'), '\"', '&quot;') AS xml FROM pages")
+def xml_escape(spark, d):
+    return _table(spark, d, "pages").select("page_id", charset.xml_escape(F.col("html")).alias("xml"))
+
+
+@query("SELECT doc_id, nullif(regexp_extract(p, '(pl_[a-z]+_[0-9]+_[0-9]+)', 1), '') AS page, regexp_extract(p, '[.]([^./]+)$', 1) AS ext FROM (SELECT doc_id, 'x/pl_' || lang || '_' || doc_id || '_' || n_chars || '-800.jpg' AS p FROM documents)")
+def page_ids(spark, d):
+    path = F.concat(F.lit("x/pl_"), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit("_"), F.col("n_chars").cast("string"), F.lit("-800.jpg"))
+    return _table(spark, d, "documents").select("doc_id", charset.page_id(path).alias("page"), F.regexp_extract(path, r"\.([^./]+)$", 1).alias("ext"))
+
+
+# N-grams and language models
+
+
+@query(f"WITH {_T} SELECT lang, g, n, t FROM tok")
+def ngram_tokens(spark, d):
+    return _tok(spark, d).select("lang", "g", F.col("n").cast("long").alias("n"), "t")
+
+
+@query(f"WITH {_T} SELECT * FROM hist")
+def history_types(spark, d):
+    return ngrams.history_types(_tok(spark, d))
+
+
+@query(f"WITH {_T} SELECT * FROM low")
+def lower_types(spark, d):
+    return ngrams.lower_types(_tok(spark, d))
+
+
+@query(f"WITH {_T} SELECT * FROM nrm")
+def lower_normalizer(spark, d):
+    return ngrams.lower_normalizers(_tok(spark, d))
+
+
+@query(f"WITH {_T}{_OWN} SELECT lang, g, round(t / t_h, {DIGITS}) AS p FROM own")
+def mle_prob(spark, d):
+    return _rounded(lm.mle(_tok(spark, d)).select("lang", "g", "p"), "p")
+
+
+@query(f"""WITH {_T}{_OWN}, a1 AS (SELECT lang, g, n, t / t_h AS p FROM own WHERE n = 1), a2 AS ({_discounted("SELECT * FROM own WHERE n = 2", "a1")}), a3 AS ({_discounted("SELECT * FROM own WHERE n = 3", "a2")})
+SELECT lang, g, round(p, {DIGITS}) AS p FROM (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3)""")
+def absdisc_prob(spark, d):
+    return _rounded(lm.absolute_discount(_tok(spark, d), ORDER).select("lang", "g", "p"), "p")
+
+
+@query(f"WITH {_KN} SELECT lang, g, round(p, {DIGITS}) AS p FROM kn")
+def kn_prob(spark, d):
+    return _rounded(lm.kneser_ney(_tok(spark, d), ORDER).select("lang", "g", "p"), "p")
+
+
+@query(f"WITH {_KN} SELECT lang, g, round(power(p, 4), {DIGITS}) AS p FROM kn")
+def kn_power(spark, d):
+    return _rounded(lm.powered(lm.kneser_ney(_tok(spark, d), ORDER)).select("lang", "g", "p"), "p")
+
+
+@query(f"WITH {_KN} SELECT a.lang, a.g, round(0.7e0 * a.p + 0.3e0 * b.p, {DIGITS}) AS p FROM kn a JOIN kn b ON a.lang = b.lang AND b.g = right(a.g, 2)")
+def interpolated_prob(spark, d):
+    tok = _tok(spark, d)
+    return _rounded(lm.interpolated(lm.kneser_ney(tok, ORDER), lm.kneser_ney(tok, ORDER).where("n <= 2"), 0.7, 2).select("lang", "g", "p"), "p")
+
+
+@query(f"WITH {_A} SELECT lang, char, round(1e0 / count(*) OVER (PARTITION BY lang), {DIGITS}) AS p FROM act")
+def uniform_prob(spark, d):
+    return _rounded(lm.uniform(ngrams.active_chars(ngrams.char_counts(_lines(spark, d)))), "p")
+
+
+def _priors(spark, d):
+    return lm.priors(_lines(spark, d).groupBy("lang").agg((F.sum(F.length("line")) + 1.0).alias("w")))
+
+
+@query(f"WITH {_P} SELECT lang, round(prior, {DIGITS}) AS prior FROM pri")
+def lang_priors(spark, d):
+    return _rounded(_priors(spark, d), "prior")
+
+
+@query(f"""WITH {_P}, x AS (SELECT a.lang AS from_lang, b.lang AS to_lang, CASE WHEN count(*) OVER (PARTITION BY a.lang) = 1 THEN 1 WHEN a.lang = b.lang THEN 0.8e0 * b.prior ELSE 0.2e0 / (count(*) OVER (PARTITION BY a.lang) - 1) * b.prior END AS x FROM pri a CROSS JOIN pri b)
+SELECT from_lang, to_lang, round(x / sum(x) OVER (PARTITION BY from_lang), {DIGITS}) AS p FROM x""")
+def lang_transitions(spark, d):
+    return _rounded(lm.transitions(_priors(spark, d), KEEP), "p")
+
+
+@query(f"""WITH {_P}, m AS (SELECT lang, c AS g, count(*)::DOUBLE AS t FROM ch GROUP BY ALL), q AS (SELECT lang, g, t / sum(t) OVER (PARTITION BY lang) AS p FROM m)
+SELECT g, round(sum(coalesce(q.p, exp(-10)) * prior), {DIGITS}) AS p FROM (SELECT DISTINCT g FROM m) x CROSS JOIN pri LEFT JOIN q USING (lang, g) GROUP BY g""")
+def marginal_prob(spark, d):
+    return _rounded(lm.marginal(lm.mle(_tok(spark, d, 1)), _priors(spark, d)), "p")
+
+
+@query(f"""WITH {_T}, x AS (SELECT DISTINCT 'fr' AS lang, c1 || c2 AS context FROM (SELECT unnest(c) AS c1, unnest(list_slice(c, 2, len(c))) AS c2 FROM (SELECT string_split(text, '') AS c FROM benchmark)) WHERE c2 IS NOT NULL)
+SELECT x.lang, context, coalesce(a.h, b.h, '') AS shrunk FROM x LEFT JOIN (SELECT * FROM hist WHERE length(h) = 2) a ON a.lang = x.lang AND a.h = context LEFT JOIN (SELECT * FROM hist WHERE length(h) = 1) b ON b.lang = x.lang AND b.h = right(context, 1)""")
+def context_shrink(spark, d):
+    chars = F.split("text", "")
+    pairs = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b))
+    contexts = _table(spark, d, "benchmark").select(F.lit("fr").alias("lang"), F.explode(pairs).alias("context"))
+    return lm.shrink(contexts, ngrams.history_types(_tok(spark, d)), 2)
+
+
+@query(f"""WITH {_KN}, s AS (SELECT doc_id, lang, CASE WHEN c2 IS NOT NULL THEN c2 || c1 || c WHEN c1 IS NOT NULL THEN c1 || c ELSE c END AS g FROM w)
+SELECT doc_id, count(*) AS n_chars, round(exp(-sum(ln(coalesce(p, exp(-10)))) / count(*)), 6) AS perplexity FROM s LEFT JOIN kn USING (lang, g) GROUP BY doc_id""")
+def doc_perplexity(spark, d):
+    out = lm.perplexity(_lines(spark, d), lm.kneser_ney(_tok(spark, d), ORDER), ORDER)
+    return out.select("doc_id", "n_chars", F.round("perplexity", 6).alias("perplexity"))
+
+
+@query(f"""WITH {_P}, x AS (SELECT a.lang AS from_lang, b.lang AS to_lang, CASE WHEN a.lang = b.lang THEN 0.8e0 * b.prior ELSE 0.2e0 / (count(*) OVER (PARTITION BY a.lang) - 1) * b.prior END AS x FROM pri a CROSS JOIN pri b),
+tr AS (SELECT from_lang, to_lang, x / sum(x) OVER (PARTITION BY from_lang) AS p FROM x), m AS (SELECT lang, c AS g, count(*)::DOUBLE AS t FROM ch GROUP BY ALL), q AS (SELECT lang, g, t / sum(t) OVER (PARTITION BY lang) AS p FROM m),
+cv AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'en' ELSE 'fr' END AS lang, text FROM conversations WHERE text <> ''), tn AS (SELECT *, lag(lang) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM cv),
+sw AS (SELECT conv_id, sum(ln(coalesce(tr.p, pri.prior))) AS s FROM tn JOIN pri USING (lang) LEFT JOIN tr ON tr.from_lang = prev AND tr.to_lang = tn.lang GROUP BY conv_id),
+cs AS (SELECT conv_id, lang, unnest(string_split(text, '')) AS g FROM cv), sc AS (SELECT conv_id, count(*) AS n, sum(ln(coalesce(q.p, exp(-10)))) AS s FROM cs LEFT JOIN q USING (lang, g) GROUP BY conv_id)
+SELECT conv_id, n AS n_chars, round(exp(-(sc.s + sw.s) / n), 6) AS perplexity FROM sc JOIN sw USING (conv_id)""")
+def conversation_perplexity(spark, d):
+    """Turns of a conversation in the language of their role, switched by the transition matrix, characters by their shares."""
+    prior = _priors(spark, d)
+    move, prob = lm.transitions(prior, KEEP), lm.mle(_tok(spark, d, 1))
+    lang = F.when(F.col("role") == "user", "en").otherwise("fr")
+    turns = _table(spark, d, "conversations").where("text <> ''").select("conv_id", "turn", lang.alias("lang"), "text")
+    turns = turns.withColumn("prev", F.lag("lang").over(Window.partitionBy("conv_id").orderBy("turn")))
+    switch = turns.join(F.broadcast(prior), "lang").join(F.broadcast(move.select(F.col("from_lang").alias("prev"), F.col("to_lang").alias("lang"), "p")), ["prev", "lang"], "left")  # languages, and their pairs
+    switch = switch.groupBy("conv_id").agg(F.sum(F.log(F.coalesce("p", "prior"))).alias("s"))
+    chars = turns.select("conv_id", "lang", F.explode(F.split("text", "")).alias("g")).groupBy("conv_id", "lang", "g").agg(F.count(F.lit(1)).alias("k"))
+    logs = chars.join(prob.select("lang", "g", "p"), ["lang", "g"], "left")
+    logs = logs.groupBy("conv_id").agg(F.sum("k").alias("n_chars"), F.sum(F.col("k") * F.log(F.coalesce("p", F.lit(lm.UNSEEN)))).alias("c"))
+    return logs.join(switch, "conv_id").select("conv_id", "n_chars", F.round(F.exp(-(F.col("c") + F.col("s")) / F.col("n_chars")), 6).alias("perplexity"))
+
+
+# Glyph substitution
+
+
+def _decode(spark, d):
+    return transcript.decode_fixture(_lines(spark, d))
+
+
+_GC = f"{_D}, gc AS (SELECT lang, CASE WHEN type = 'RMRGN_HPHN_INIT' THEN '-' ELSE lm_char END AS lm_char, CASE WHEN glyph_type = 'NORMAL_CHAR' THEN glyph ELSE glyph_type END AS glyph, count(*) AS n FROM decode WHERE lang IS NOT NULL AND (type = 'TMPL' OR (type = 'RMRGN_HPHN_INIT' AND glyph = ' ')) GROUP BY ALL)"
+_ACC = {c: charset.accent_dropped(c) for c in charset.DECOMPOSED if charset.accent_dropped(c)}
+_AC, _AB = "".join(_ACC), "".join(_ACC.values())
+_GRID = f"""chr0 AS (SELECT DISTINCT char FROM act UNION SELECT unnest(['ſ', '-', ' '])), gl AS (SELECT char AS glyph FROM chr0 UNION ALL SELECT unnest(['ELISION_TILDE', 'TILDE_ELIDED', 'FIRST_ELIDED', 'DOUBLED', 'ELIDED'])),
+lmc AS (SELECT lang, char AS lm_char FROM act UNION SELECT DISTINCT lang, '-' FROM act), gr AS (SELECT l.lang, l.lm_char, g.glyph, a.char IS NOT NULL AS own, l.lm_char BETWEEN 'a' AND 'z' AND strlen(l.lm_char) = 1 AS letter, strpos('{_AC}', l.lm_char) > 0 AS accented FROM lmc l CROSS JOIN gl g LEFT JOIN act a ON a.lang = l.lang AND a.char = g.glyph),
+grid AS (SELECT * FROM (SELECT lang, lm_char, glyph, CASE WHEN glyph = 'ELISION_TILDE' THEN CASE WHEN letter OR accented THEN 100e0 END WHEN glyph IN ('TILDE_ELIDED', 'FIRST_ELIDED') THEN CASE WHEN letter THEN 100e0 END WHEN glyph IN ('DOUBLED', 'ELIDED') THEN CASE WHEN letter THEN 1e0 END
+WHEN accented AND glyph = translate(lm_char, '{_AC}', '{_AB}') THEN 100e0 WHEN lm_char = 's' AND glyph = 'ſ' THEN 1e0 WHEN lm_char = 's' AND glyph IN ('f', 'l') THEN NULL WHEN lm_char = '-' AND glyph = ' ' THEN 1e0
+WHEN (letter OR lm_char = 'ç') AND glyph BETWEEN 'a' AND 'z' AND strlen(glyph) = 1 AND own THEN 1e0 WHEN lm_char = glyph THEN 1e0 END AS k FROM gr) WHERE k > 0)"""
+
+
+@query(f"WITH {_GC} SELECT * FROM gc")
+def gsm_counts(spark, d):
+    return gsm.glyph_counts(_decode(spark, d))
+
+
+@query(f"WITH {_A}, {_GRID} SELECT * FROM grid")
+def gsm_smoothing_grid(spark, d):
+    return gsm.smoothing_grid(ngrams.active_chars(ngrams.char_counts(_lines(spark, d))))
+
+
+@query(f"WITH {_A}, {_GC.replace(_L + ', ', '')}, {_GRID}, s AS (SELECT lang, lm_char, glyph, sum(c) AS c FROM (SELECT lang, lm_char, glyph, n::DOUBLE AS c FROM gc UNION ALL SELECT * FROM grid) GROUP BY ALL) SELECT lang, lm_char, glyph, round(c / sum(c) OVER (PARTITION BY lang, lm_char), {DIGITS}) AS p FROM s")
+def gsm_probs(spark, d):
+    grid = gsm.smoothing_grid(ngrams.active_chars(ngrams.char_counts(_lines(spark, d))))
+    return _rounded(gsm.probabilities(gsm.smoothed(gsm.glyph_counts(_decode(spark, d)), grid)), "p")
+
+
+@query(f"WITH {_GC} SELECT lang, lm_char, glyph, round(n::DOUBLE / sum(n) OVER (PARTITION BY lang, lm_char), {DIGITS}) AS p FROM gc WHERE n >= 2")
+def gsm_eval_probs(spark, d):
+    grid = gsm.smoothing_grid(ngrams.active_chars(ngrams.char_counts(_lines(spark, d))))
+    return _rounded(gsm.evaluation_probabilities(gsm.glyph_counts(_decode(spark, d)), grid, 2), "p")
+
+
+# Transcriptions
+
+
+def _long(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in cols})
+
+
+@query(f"WITH {_D}, s AS (SELECT *, lag(glyph) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS b FROM decode WHERE glyph_type NOT IN {_EL}) SELECT doc_id, line_no, string_agg(glyph, '' ORDER BY pos) AS text FROM s WHERE NOT (glyph = '-' AND coalesce(b, '') = '-') GROUP BY ALL")
+def diplomatic_lines(spark, d):
+    return _long(transcript.diplomatic_lines(_decode(spark, d)), "line_no")
+
+
+@query(f"WITH {_D} SELECT doc_id, line_no, string_agg(lm_char, '' ORDER BY pos) AS text FROM decode WHERE glyph_type <> 'DOUBLED' GROUP BY ALL")
+def normalized_lines(spark, d):
+    return _long(transcript.normalized_lines(_decode(spark, d)), "line_no")
+
+
+@query(f"WITH {_D} SELECT doc_id, trim(regexp_replace(string_agg(CASE WHEN type IN ('LMRGN', 'RMRGN') THEN ' ' ELSE lm_char END, '' ORDER BY line_no, pos), ' +', ' ', 'g')) AS text FROM decode WHERE type <> 'RMRGN_HPHN_INIT' AND glyph_type <> 'DOUBLED' GROUP BY doc_id")
+def normalized_running(spark, d):
+    return transcript.normalized_running(_decode(spark, d))
+
+
+@query(f"""WITH {_D}, s AS (SELECT *, CASE WHEN lag(lang) OVER (PARTITION BY doc_id ORDER BY line_no, pos) = lang THEN 0 ELSE 1 END AS new FROM decode WHERE type = 'TMPL' AND lang IS NOT NULL AND glyph_type <> 'DOUBLED'), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no, pos) AS run FROM s)
+SELECT doc_id, run::BIGINT AS run, any_value(lang) AS lang, string_agg(lm_char, '' ORDER BY line_no, pos) AS text FROM r GROUP BY doc_id, run""")
+def language_runs(spark, d):
+    return _long(transcript.language_runs(_decode(spark, d)), "run")
+
+
+_SPANS = rf"""{_D}, s1 AS (SELECT *, lm_char = ' ' AND glyph = ' ' AS is_space, lm_char <> '-' AND regexp_full_match(lm_char, '[^\s\p{{L}}\p{{N}}]+') AS punct FROM decode),
+s2 AS (SELECT *, CASE WHEN coalesce(lag(is_space) OVER v <> is_space, true) OR punct THEN 1 ELSE 0 END AS new FROM s1 WINDOW v AS (PARTITION BY doc_id, line_no ORDER BY pos)),
+s3 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS span FROM s2),
+ws AS (SELECT doc_id, line_no, span::BIGINT AS span, any_value(is_space) AS is_space, coalesce(arg_min(lang, pos) FILTER (WHERE new = 1), 'None') AS lang, sum(char_w + pad_w)::BIGINT AS width,
+trim(string_agg(CASE WHEN glyph_type IN {_EL} THEN '' ELSE glyph END, '' ORDER BY pos)) AS diplomatic,
+trim(string_agg(CASE WHEN glyph_type = 'DOUBLED' THEN '' WHEN type = 'RMRGN_HPHN_INIT' THEN '-' WHEN type IN ('LMRGN', 'RMRGN') THEN ' ' ELSE lm_char END, '' ORDER BY pos)) AS normalized FROM s3 GROUP BY doc_id, line_no, span)"""
+
+
+@query(f"WITH {_SPANS} SELECT * FROM ws")
+def word_spans(spark, d):
+    return _long(transcript.word_spans(_decode(spark, d)), "line_no", "span")
+
+
+_X = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '>', '&gt;'), '<', '&lt;'), '''', '&apos;'), '\"', '&quot;')"
+
+
+@query(f"""WITH {_SPANS}, a AS (SELECT *, NOT is_space AND diplomatic <> '' AS word FROM ws), b AS (SELECT *, coalesce(max(word::INT) OVER (PARTITION BY doc_id, line_no ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a),
+c AS (SELECT * FROM b WHERE word OR (is_space AND before = 1 AND width > 0)), e AS (SELECT *, CASE WHEN word THEN coalesce(sum(word::INT) OVER (PARTITION BY doc_id ORDER BY line_no, span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END::BIGINT AS word_index FROM c)
+SELECT doc_id, line_no, span, word_index, CASE WHEN word THEN '<String ID="word_' || word_index || '" WIDTH="' || width || '" CONTENT="' || {_X("diplomatic")} || '" LANG="' || lang || '"' || CASE WHEN diplomatic <> normalized THEN '><ALTERNATIVE PURPOSE="Normalization">' || {_X("normalized")} || '</ALTERNATIVE></String>' ELSE '/>' END ELSE '<SP WIDTH="' || width || '"/>' END AS xml FROM e""")
+def alto_words(spark, d):
+    return _long(transcript.alto_items(_decode(spark, d)), "line_no", "span", "word_index")
+
+
+@query()
+def alto_pages(spark, d):
+    return transcript.alto_pages(_decode(spark, d), normalized=True)
+
+
+@query(f"WITH {_D} SELECT doc_id, line_no, string_agg({_SUB}, '' ORDER BY pos) AS text FROM decode GROUP BY ALL")
+def substitution_lines(spark, d):
+    return _long(transcript.substitution_lines(_decode(spark, d)), "line_no")
+
+
+@query(f"""WITH {_D}, t AS (SELECT *, coalesce(lag(coalesce(lang, '')) OVER (PARTITION BY doc_id ORDER BY line_no, pos), '') AS before FROM decode)
+SELECT doc_id, line_no, string_agg(CASE WHEN before <> coalesce(lang, '') THEN '<font color="' || CASE lang WHEN 'de' THEN 'Red' WHEN 'en' THEN 'Blue' WHEN 'es' THEN 'Olive' WHEN 'fr' THEN 'Orange' WHEN 'la' THEN 'Magenta' ELSE 'Black' END || '">' ELSE '' END || {_SUB}, '' ORDER BY pos) || '</br>' AS html FROM t GROUP BY ALL""")
+def html_lines(spark, d):
+    return _long(transcript.html_lines(_decode(spark, d), ["de", "en", "es", "fr", "la"]), "line_no")
+
+
+@query(f"""WITH {_D}, r AS (SELECT *, glyph <> ' ' AS solid, coalesce(sum((glyph <> ' ')::INT) OVER (PARTITION BY doc_id, line_no ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM decode),
+g AS (SELECT doc_id, line_no, run, sum(CASE WHEN solid THEN 0 ELSE char_w + pad_w END) AS sp, max(CASE WHEN solid THEN glyph END) AS gl, max(CASE WHEN solid THEN pad_w END) AS pad FROM r GROUP BY ALL),
+h AS (SELECT *, sp + coalesce(lag(pad) OVER v, 0) AS width, lead(run) OVER v IS NULL AND gl IS NOT NULL AND pad > 0 AS last FROM g WINDOW v AS (PARTITION BY doc_id, line_no ORDER BY run))
+SELECT doc_id, line_no, string_agg(CASE WHEN width > 0 THEN '{{' || width || '}}' ELSE '' END || coalesce(gl, '') || CASE WHEN last THEN '{{' || pad || '}}' ELSE '' END, '' ORDER BY run) AS text FROM h GROUP BY ALL""")
+def whitespace_layout(spark, d):
+    return _long(transcript.whitespace_layout(_decode(spark, d)), "line_no")
+
+
+@query()
+def comparison_report(spark, d):
+    gold = _lines(spark, d).select("doc_id", "line_no", F.col("line").alias("text"))
+    return transcript.comparison(transcript.pair_lines(transcript.diplomatic_lines(_decode(spark, d)), gold))
+
+
+# Evaluation
+
+
+def _pairs(spark, d):
+    text = F.regexp_replace(charset.strip_diacritics(F.col("line")), "[^ -~]", "")
+    return _lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), text.alias("gold"), F.translate(text, "uvs", "vuf").alias("guess"))
+
+
+_KEYS = ["doc_id", "line_no"]
+_CER = lambda g, h: f"SELECT doc_id, line_no, levenshtein({g}, {h}) AS cost, length(gold) AS gold_len, round(levenshtein({g}, {h}) / nullif(length(gold), 0)::DOUBLE, {DIGITS}) AS score FROM pairs"
+
+
+@query(f"WITH {_PAIRS} {_CER('guess', 'gold')}")
+def cer_line(spark, d):
+    return _rounded(evaluate.char_costs(_pairs(spark, d), _KEYS), "score")
+
+
+@query(f"WITH {_PAIRS} {_CER(*(f'''translate({c}, 'f', 's')''' for c in ('guess', 'gold')))}")
+def cer_fs(spark, d):
+    return _rounded(evaluate.char_costs(_pairs(spark, d), _KEYS, f_for_s=True), "score")
+
+
+@query(f"WITH {_PAIRS}, s AS ({_CER('guess', 'gold')}) SELECT 'CER' AS metric, round(avg(score), 6) AS score, count(score) AS docs FROM s")
+def eval_macro_avg(spark, d):
+    scored = _rounded(evaluate.char_costs(_pairs(spark, d), _KEYS), "score").withColumn("metric", F.lit("CER"))
+    return evaluate.macro_average(scored, ["metric"]).select("metric", F.round("score", 6).alias("score"), "docs")
+
+
+@query()
+def wer_line(spark, d):
+    """All eight metrics of the pages' titles against themselves with letters exchanged."""
+    pages = _table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("gold"))
+    return evaluate.scores(pages.withColumn("guess", F.translate("gold", "uvs", "vuf")), ["page_id"])
+
+
+def _aligned(spark, d, words):
+    pairs = _table(spark, d, "benchmark").select("item_id", F.col("text").alias("gold"), F.regexp_replace(F.translate("text", "uvs", "vuf"), "the ", "").alias("guess"))
+    return evaluate.alignment(pairs, ["item_id"], words)
+
+
+@query()
+def error_confusions(spark, d):
+    return evaluate.confusions(_aligned(spark, d, False), ["item_id"])
+
+
+@query()
+def alignment_ops(spark, d):
+    return evaluate.ops_text(_aligned(spark, d, False), ["item_id"])
+
+
+@query()
+def errors_by_length(spark, d):
+    return evaluate.errors_by_length(_aligned(spark, d, True))
+
+
+@query()
+def confusion_distances(spark, d):
+    return evaluate.confusion_distances(_aligned(spark, d, True))
+
+
+@query()
+def top_missed_words(spark, d):
+    return evaluate.top_missed_words(_aligned(spark, d, True))
+
+
+@query()
+def error_sample(spark, d):
+    return evaluate.error_sample(_aligned(spark, d, True), ["item_id"])
+
+
+# Documents, sets and lists
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50 OFFSET 20")
+def docs_skip_take(spark, d):
+    return corpus.skip_take(_docs(spark, d).select("doc_id"), "doc_id", 20, 50)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def docs_not_transcribed(spark, d):
+    return corpus.not_done(_docs(spark, d).select("doc_id"), _table(spark, d, "labels"))
+
+
+@query("SELECT documents.doc_id, quality::BIGINT AS quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id")
+def gold_pairing(spark, d):
+    return _long(corpus.pair_gold(_docs(spark, d), _table(spark, d, "labels")).select("doc_id", "quality"), "quality")
+
+
+@query("SELECT doc_id, least(ceil((doc_id + 1) / 7e0), greatest(1, floor((SELECT count(*) FROM documents) / 7e0)))::BIGINT AS batch FROM documents")
+def batch_boundaries(spark, d):
+    docs = _docs(spark, d)
+    total = docs.agg(F.count(F.lit(1)).alias("total"))
+    return docs.crossJoin(F.broadcast(total)).select("doc_id", corpus.batch_of(F.col("doc_id") + 1, F.col("total"), 7).cast("long").alias("batch"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(replace(text, chr(10), ' ') || ' ', ' +', ' ', 'g')) AS text FROM documents WHERE replace(text, chr(10), '') <> ''")
+def gold_running(spark, d):
+    return corpus.gold_running(_lines(spark, d).select("doc_id", "line_no", F.col("line").alias("text")))
+
+
+@query(f"WITH {_L} SELECT doc_id, string_agg(line || ' ', '' ORDER BY line_no) AS text FROM lines GROUP BY doc_id")
+def corpus_streams(spark, d):
+    return _docs(spark, d).where(F.replace("text", F.lit("\n"), F.lit("")) != "").select("doc_id", corpus.as_stream(F.col("text")).alias("text"))
+
+
+@query("WITH a AS (SELECT lang, list_sort(list_distinct(flatten(list(string_split(text, ''))))) AS x FROM documents WHERE lang IN ('de', 'fr') GROUP BY lang), d AS (SELECT x FROM a WHERE lang = 'de'), f AS (SELECT x FROM a WHERE lang = 'fr') SELECT 'union' AS op, unnest(list_distinct(d.x || f.x)) AS char FROM d, f UNION ALL SELECT 'intersection', unnest(list_intersect(d.x, f.x)) FROM d, f UNION ALL SELECT 'difference', unnest(list_filter(d.x, lambda c: NOT list_contains(f.x, c))) FROM d, f")
+def char_set_operations(spark, d):
+    chars = _docs(spark, d).select("lang", F.explode(F.split("text", "")).alias("char")).distinct()
+    de, fr = chars.where("lang = 'de'").select("char"), chars.where("lang = 'fr'").select("char")
+    ops = {"union": de.union(fr).distinct(), "intersection": de.intersect(fr), "difference": de.exceptAll(fr)}
+    out = [df.select(F.lit(name).alias("op"), "char") for name, df in ops.items()]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("WITH w AS (SELECT item_id, string_split(text, ' ') AS x FROM benchmark) SELECT item_id, i AS at, array_to_string(x[i:i + 2], ' ') AS words FROM (SELECT item_id, x, unnest(range(1, len(x) - 1)) AS i FROM w)")
+def sliding_windows(spark, d):
+    words = F.split("text", " ")
+    wins = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, F.lit(3)), " "))
+    return _table(spark, d, "benchmark").where(F.size(words) >= 3).select("item_id", F.posexplode(wins).alias("at", "words")).select("item_id", (F.col("at") + 1).cast("long").alias("at"), "words")
+
+
+@query("SELECT vec_id, round(list_sum(e), 4) AS total, round(list_avg(e), 6) AS mean, list_min(e) AS low, list_max(e) AS high FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def array_statistics(spark, d):
+    e = F.col("embedding").cast("array<double>")
+    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    return _table(spark, d, "embeddings").select("vec_id", F.round(total, 4).alias("total"), F.round(F.when(F.size(e) > 0, total / F.size(e)).otherwise(0.0), 6).alias("mean"), F.array_min(e).alias("low"), F.array_max(e).alias("high"))
+
+
+# Pixels
+
+
+_PX = f"{_L}, px AS (SELECT doc_id, line_no AS y, generate_subscripts(c, 1) AS x, (unicode(unnest(c)) * 37) % 256 AS level FROM (SELECT *, string_split(line, '') AS c FROM lines))"
+
+
+def _pixels(spark, d):
+    px = _lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("y"), F.posexplode(F.split("line", "")).alias("x", "c"))
+    return px.select("doc_id", "y", "x", F.expr("pmod(ascii(c) * 37, 256)").alias("level"))
+
+
+@query(f"WITH {_PX}, h AS (SELECT doc_id, level, count(*) AS n FROM px GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY level) AS cum, ceil(sum(n) OVER (PARTITION BY doc_id) * 0.12e0) AS rank FROM h) SELECT doc_id, min(level)::BIGINT AS threshold FROM c WHERE cum >= rank GROUP BY doc_id")
+def pixel_histogram_threshold(spark, d):
+    hist = _pixels(spark, d).groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("doc_id")
+    cum = hist.withColumn("cum", F.sum("n").over(by.orderBy("level"))).withColumn("rank", F.ceil(F.sum("n").over(by) * F.lit(0.12)))
+    return cum.where("cum >= rank").groupBy("doc_id").agg(F.min("level").cast("long").alias("threshold"))
+
+
+@query(f"WITH {_PX} SELECT doc_id, y, count(*) FILTER (WHERE level <= 127.5) AS black FROM px GROUP BY ALL")
+def vertical_profile(spark, d):
+    return _pixels(spark, d).groupBy("doc_id", "y").agg(F.count_if(F.col("level") <= 127.5).alias("black"))
