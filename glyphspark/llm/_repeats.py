@@ -11,8 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from glyphspark.llm import _vec as V
+
 #: Pairs that a task packs before it passes them on.
 BLOCK_VALUES = 1_500_000
 NOBODY = np.int64(-(1 << 63))
@@ -23,20 +26,32 @@ def narrowed(value: np.ndarray, buckets: int) -> np.ndarray:
     return ((value >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32) << np.uint64(32)) | (value & np.uint64(0xFFFFFFFF))
 
 
+def _cuts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values of a sorted array begin, and its end."""
+    return np.append(np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), x.size) if x.size else np.zeros(1, np.int64)
+
+
 def repeats(df: DataFrame, pairs: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], buckets: int, with_values: bool = False) -> DataFrame:
     """(owner, n, values): owners with the number of their values that occur elsewhere, and packed if asked for those (narrowed).
 
-    ``pairs`` yields owners (int64) and values (uint64) of a batch of ``df``; an owner holds a value once. An owner has
-    several rows, for the caller to add up.
+    ``pairs`` yields owners (int64) and values (uint64) of a batch of ``df``; an owner holds a value once. Answers go back
+    packed as well, by hash of the owner, so the rows between the stages grow with blocks and buckets, not with pairs.
     """
-
-    def told(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """``value`` comes sorted, and a stable sort by owner keeps that."""
-        order = np.argsort(owner, kind="stable")
-        owner, value = owner[order], value[order]
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if owner.size else np.zeros(0, np.int64)
-        ends = np.append(first[1:], owner.size)[: first.size]
-        return owner[first], ends - first, [value[a:b].tobytes() for a, b in zip(first, ends, strict=True)] if with_values else [b""] * first.size
+    kinds = [("to", pa.int32()), ("told", pa.bool_()), ("own", pa.binary()), ("n", pa.binary()), ("val", pa.binary())]
+
+    def table(rows: list[tuple], of: type) -> pa.Table | pa.RecordBatch:
+        return of.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [name for name, _ in kinds])
+
+    def packed(to: np.ndarray, owner: np.ndarray, value: np.ndarray | None, told: bool, of: type) -> list[tuple]:
+        """A row for each target: its owners, how many values each has, and the values."""
+        order = np.lexsort((owner, to))
+        to, owner = to[order], owner[order]
+        value = None if value is None else value[order]
+        cuts, rows = _cuts(to), []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = _cuts(owner[a:b])
+            rows.append((int(to[a]), told, owner[a:b][own[:-1]].tobytes(), np.diff(own).astype(np.int32).tobytes(), b"" if value is None else value[a:b].astype(of).tobytes()))
+        return rows
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -49,18 +64,9 @@ def repeats(df: DataFrame, pairs: Callable[[pa.RecordBatch], Iterator[tuple[np.n
             new = np.concatenate([[True], value[1:] != value[:-1]])
             run = np.cumsum(new) - 1
             more = np.bincount(run)[run] > 1
-            own, n, values = told(owner[more], value[more])
-            rows = [(int(value[0] & np.uint64(0x7FFFFFFF)) % buckets, own.tobytes(), n.astype(np.int32).tobytes(), b"".join(values), True)]
+            rows = packed(np.full(int(more.sum()), value[0] % np.uint64(buckets), np.int64), owner[more], value[more] if with_values else None, True, np.uint64)
             owner, value = np.where(more, NOBODY, owner)[new], value[new]
-            cuts = np.searchsorted(value >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-            for b in range(buckets):
-                x = slice(cuts[b], cuts[b + 1])
-                if cuts[b] < cuts[b + 1]:
-                    owners, place = np.unique(owner[x], return_inverse=True)
-                    by = np.argsort(place, kind="stable")
-                    rows.append((b, owners.tobytes(), np.bincount(place).astype(np.int32).tobytes(), value[x][by].astype(np.uint32).tobytes(), False))
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "own", "n", "val", "told"])
+            return table(rows + packed((value >> np.uint64(32)).astype(np.int64), owner, value, False, np.uint32), pa.RecordBatch)
 
         size = 0
         for b in batches:
@@ -74,25 +80,34 @@ def repeats(df: DataFrame, pairs: Callable[[pa.RecordBatch], Iterator[tuple[np.n
         if size:
             yield flush()
 
-    def meet(table: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
-        owners, values, bucket = [], [], np.uint64(table["bucket"][0].as_py())
-        for own, n, val, known in zip(*[table[c].to_pylist() for c in ("own", "n", "val", "told")], strict=True):
-            own, n = np.frombuffer(own, np.int64), np.frombuffer(n, np.int32)
-            if known:
-                cuts = 8 * np.concatenate([[0], np.cumsum(n)])
-                out.append((own, n, [val[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)] if with_values else [b""] * own.size))
-            else:
-                owners.append(np.repeat(own, n))
-                values.append(np.frombuffer(val, np.uint32))
-        if values:
-            owner, value = np.concatenate(owners), np.concatenate(values)
+    def opened(rows: pa.Table, told: bool, of: type) -> tuple[np.ndarray, np.ndarray | None]:
+        rows = rows.filter(rows["told"] if told else pc.invert(rows["told"]))
+        own, n = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("own", np.int64), ("n", np.int32)))
+        values = np.frombuffer(b"".join(rows["val"].to_pylist()), of)
+        return np.repeat(own, n), values if values.size else None
+
+    def meet(rows: pa.Table) -> pa.Table:
+        bucket = np.uint64(rows["to"][0].as_py())
+        owner, value = opened(rows, False, np.uint32)
+        known, known_value = opened(rows, True, np.uint64)
+        if owner.size:
             order = np.argsort(value, kind="stable")
             owner, value = owner[order], value[order]
             run = np.cumsum(np.concatenate([[False], value[1:] != value[:-1]]))
             again = (np.bincount(run)[run] > 1) & (owner != NOBODY)
-            out.append(told(owner[again], value[again].astype(np.uint64) | (bucket << np.uint64(32))))
-        return pa.table({"owner": pa.array(np.concatenate([o for o, _, _ in out]), pa.int64()), "n": pa.array(np.concatenate([n for _, n, _ in out]).astype(np.int64), pa.int64()), "values": pa.array([x for _, _, v in out for x in v], pa.binary())})
+            known = np.concatenate([known, owner[again]])
+            if with_values:
+                value = value[again].astype(np.uint64) | (bucket << np.uint64(32))
+                known_value = value if known_value is None else np.concatenate([known_value, value])
+        to = (V.mix(known.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        return table(packed(to, known, known_value if with_values else None, True, np.uint64), pa.Table)
+
+    def gather(rows: pa.Table) -> pa.Table:
+        owner, value = opened(rows, True, np.uint64)
+        order = np.argsort(owner, kind="stable")
+        cuts = _cuts(owner[order])
+        values = [value[order][a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] if value is not None else [b""] * (cuts.size - 1)
+        return pa.table({"owner": pa.array(owner[order][cuts[:-1]], pa.int64()), "n": pa.array(np.diff(cuts), pa.int64()), "values": pa.array(values, pa.binary())})
 
-    packed = df.mapInArrow(pack, "bucket int, own binary, n binary, val binary, told boolean")
-    return packed.groupBy("bucket").applyInArrow(meet, "owner long, n long, values binary")
+    schema = "to int, told boolean, own binary, n binary, val binary"
+    return df.mapInArrow(pack, schema).groupBy("to").applyInArrow(meet, schema).groupBy("to").applyInArrow(gather, "owner long, n long, values binary")

@@ -61,7 +61,7 @@ def _repeated(reps: DataFrame, buckets: int, width: int) -> DataFrame:
         for cls, tok, at in class_sets(batch.column(0), width):
             yield np.repeat(cls, np.diff(at)), tok
 
-    return repeats(reps.select("text"), pairs, buckets).groupBy(F.col("owner").alias("cls")).agg(F.sum("n").alias("repeated"))
+    return repeats(reps.select("text"), pairs, buckets).select(F.col("owner").alias("cls"), F.col("n").alias("repeated"))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:

@@ -224,7 +224,7 @@ def _segments(batch: pa.RecordBatch, buckets: int, width: int) -> Iterator[tuple
             continue
         new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])])
         lists = part.column(3)
-        packed = [b"".join(x or ()) for x in lists.to_pylist()]
+        packed = [x or b"" for x in lists.to_pylist()]
         wanted = np.frombuffer(b"".join(packed), np.uint64)
         owner = np.repeat(np.arange(len(packed)), [len(x) // 8 for x in packed]).astype(np.uint64)
         runs = np.flatnonzero(new)
@@ -378,7 +378,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             value, at = V.per_text_unique(hashes, np.searchsorted(text, np.arange(part.num_rows + 1)))
             yield np.repeat(part.column(0).to_numpy(zero_copy_only=False), np.diff(at)), value
 
-    wanted = repeats(own.select("doc", "text"), pairs, buckets, with_values=True).groupBy(F.col("owner").alias("doc")).agg(F.collect_list("values").alias("values"))
+    wanted = repeats(own.select("doc", "text"), pairs, buckets, with_values=True).select(F.col("owner").alias("doc"), "values")
     texts = own.join(wanted.hint("shuffle_merge"), "doc").select("doc", "tag", "text", "values")
     verdicts, places = _verdicts(texts, buckets, width), _places(texts, buckets, width)
     cuts = places.join(verdicts, ["key", "anchor"]).where("doc > low").select("doc", "tag", (F.col("pos") + F.col("w0")).alias("a"), (F.col("pos") + F.col("w1") + width).alias("b"))
