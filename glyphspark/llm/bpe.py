@@ -14,13 +14,16 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphspark.llm import _vec as V
+
 #: Pieces that one worker remembers at most; beyond, it starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 _SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
@@ -140,28 +143,36 @@ def bpe(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = Fa
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = load(path).piece
-        for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for text in batch.column(1):
-                got = [piece(x) for x in cut(text.as_py())]
-                got = [x for x in got if x[0]]
-                ids, decoded = " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
-                for k, x in enumerate((sum(x[0] for x in got), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())):
-                    rows[k].append(x)
-                if with_ids:
-                    rows[3].append([int(x) for x in ids.split()])
-                if with_text:
-                    rows[4].append(decoded)
-            out = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    def encoded(batch: pa.RecordBatch, piece) -> pa.RecordBatch:
+        rows: list[list] = [[], [], [], [], []]
+        for text in batch.column(1):
+            got = [x for x in [piece(x) for x in cut(text.as_py())] if x[0]]
+            ids, decoded = " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
+            for to, x in zip(rows, (sum(x[0] for x in got), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()), strict=False):
+                to.append(x)
             if with_ids:
-                out.append(pa.array(rows[3], pa.list_(pa.int32())))
-                names.append("ids")
+                rows[3].append(np.fromstring(ids, np.int32, sep=" "))
             if with_text:
-                out.append(pa.array(rows[4], pa.string()))
-                names.append("decoded")
-            yield pa.RecordBatch.from_arrays(out, names)
+                rows[4].append(decoded)
+        out = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            offsets = np.concatenate([[0], np.cumsum([x.size for x in rows[3]])])
+            out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*rows[3], np.zeros(0, np.int32)]), pa.int32())))
+            names.append("ids")
+        if with_text:
+            out.append(pa.array(rows[4], pa.large_string()).cast(pa.string()))
+            names.append("decoded")
+        return pa.RecordBatch.from_arrays(out, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = load(path)
+        try:
+            for batch in batches:
+                for part in V.slices(batch):  # what is made of a slice is passed on before the next
+                    yield encoded(part, coder.piece)
+        finally:  # a worker lives on for other work
+            coder.pieces.clear()
+            coder.words.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphspark.llm import _vec as V
 from glyphspark.llm.bpe import CACHE_PIECES, cut
 
 _loaded: dict[str, object] = {}
@@ -64,7 +65,7 @@ class Counts:
         return [sum(n * now[p] for p, n in f.items()) for f in freqs]
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 2048, texts_at_once: int = 256) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """Tokens of every text of ``docs`` (doc_id, text; other columns are ignored) by the tokenizer file at ``path``.
 
     Rows: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``). A null or empty text counts 0. Special
@@ -78,11 +79,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, texts_at_once: i
         if path not in _loaded:
             _loaded[path] = Counts(path)
         counts: Counts = _loaded[path]  # type: ignore[assignment]
-        for whole in batches:
-            for at in range(0, whole.num_rows, texts_at_once):
-                batch = whole.slice(at, texts_at_once)
-                n = counts.texts([x or "" for x in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        try:
+            for whole in batches:
+                for batch in V.slices(whole):
+                    n = counts.texts([x or "" for x in batch.column(1).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        finally:  # a worker lives on for other work
+            counts.known.clear()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
