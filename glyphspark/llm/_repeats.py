@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from glyphspark.llm import _vec as V
 
 #: Pairs that a task packs before it passes them on.
-BLOCK_VALUES = 1_500_000
+BLOCK_VALUES = 700_000
 NOBODY = np.int64(-(1 << 63))
 
 
@@ -110,4 +110,4 @@ def repeats(df: DataFrame, pairs: Callable[[pa.RecordBatch], Iterator[tuple[np.n
         return pa.table({"owner": pa.array(owner[order][cuts[:-1]], pa.int64()), "n": pa.array(np.diff(cuts), pa.int64()), "values": pa.array(values, pa.binary())})
 
     schema = "to int, told boolean, own binary, n binary, val binary"
-    return df.mapInArrow(pack, schema).groupBy("to").applyInArrow(meet, schema).groupBy("to").applyInArrow(gather, "owner long, n long, values binary")
+    return df.mapInArrow(V.releasing(pack), schema).groupBy("to").applyInArrow(meet, schema).groupBy("to").applyInArrow(gather, "owner long, n long, values binary")

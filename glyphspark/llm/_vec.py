@@ -6,13 +6,16 @@ the slice and the longest single text, not the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one pass of a kernel takes (a longer single text is one slice).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 WORDS_PER_SHINGLE = 5
 
 _U = np.uint64
@@ -22,6 +25,26 @@ _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _P_INV = pow(_P, -1, 1 << 64)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(run: Callable) -> Callable:
+    """A kernel over batches that releases memory when it ends."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit (xor-shift and multiply rounds)."""
     x = x ^ (x >> _U(30))

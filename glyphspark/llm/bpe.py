@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from glyphspark.llm import _vec as V
 
 #: Pieces that one worker remembers at most; beyond, it starts afresh.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 120_000
 _SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
@@ -172,7 +172,7 @@ def bpe(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = Fa
                 for part in V.slices(batch):  # what is made of a slice is passed on before the next
                     yield encoded(part, coder.piece)
         finally:  # a worker lives on for other work
-            coder.pieces.clear()
-            coder.words.clear()
+            del coder
+            _loaded.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(V.releasing(run), schema)

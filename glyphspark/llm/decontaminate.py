@@ -127,7 +127,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
                     cols = [ids.take(pa.array([k for k, _ in keys], pa.int64())), pa.array([seeds.items[i][0] for _, i in keys], pa.int64()), pa.array([hits[x][0] for x in keys], pa.int64()), pa.array([hits[x][1] for x in keys], pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "n_equal", "n_window"])
 
-        return texts.mapInArrow(run, schema)
+        return texts.mapInArrow(V.releasing(run), schema)
 
     pairs = reduce(DataFrame.union, [found(b) for b in range(blocks)])
     best = F.max(F.struct("n_equal", "n_window")).alias("best")

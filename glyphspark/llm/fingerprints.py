@@ -138,4 +138,4 @@ def with_edited_neighbour(docs: DataFrame, k: int = K) -> DataFrame:
                     held, ended = row, False
                 yield flush(pairs)
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(V.releasing(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphspark.llm import _vec as V
+
 UNKNOWN = "und"
 #: Texts a language is drawn from at most (about), characters kept of each, bytes of a dictionary, languages at most.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICT_BYTES, MAX_LANGUAGES = 800, 4000, 400_000, 500
@@ -88,4 +90,4 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
             made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + made, batch.schema.names[:-1] + ["lang_pred", "score", "rejected"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(V.releasing(run), schema)

@@ -29,7 +29,7 @@ from glyphspark.llm._spark import checkpointed, connected_components, join_count
 #: Similar: PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 75
 #: Tokens of one task after dealing (about), classes joined in one tree.
-TASK_TOKENS, MAX_GROUP = 4_000_000, 4000
+TASK_TOKENS, MAX_GROUP = 2_000_000, 4000
 
 
 def class_sets(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -51,7 +51,7 @@ def summaries(docs: DataFrame, width: int = V.WORDS_PER_SHINGLE) -> DataFrame:
             cls, n = (np.concatenate(x) if got else np.zeros(0, np.int64) for x in ([c for c, _, _ in got], [np.diff(a) for _, _, a in got]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n_shingles", "cls"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(V.releasing(run), "doc_id long, n_shingles long, cls long")
 
 
 def _repeated(reps: DataFrame, buckets: int, width: int) -> DataFrame:
@@ -73,7 +73,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tok.view(np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(np.diff(at), pa.int64()), lists], ["cls", "n", "tok"])
 
-    return docs.select("text").mapInArrow(run, "cls long, n long, tok array<long>").where("n > 0")
+    return docs.select("text").mapInArrow(V.releasing(run), "cls long, n long, tok array<long>").where("n > 0")
 
 
 class _Node:

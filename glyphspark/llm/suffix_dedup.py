@@ -320,7 +320,7 @@ def _verdicts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
         b = np.append(a[1:], string.size) - 1
         return pa.table({"key": pa.array(key[string[a]].view(np.int64)), "anchor": pa.array(anchor[string[a]].view(np.int64)), "w0": pa.array(first[a], pa.int32()), "w1": pa.array(first[b] if b.size else first[a], pa.int32()), "low": pa.array(least[a], pa.int64())})
 
-    packed = texts.mapInArrow(pack, "bucket int, key binary, anchor binary, n binary, low binary, high binary, body binary")
+    packed = texts.mapInArrow(V.releasing(pack), "bucket int, key binary, anchor binary, n binary, low binary, high binary, body binary")
     return packed.groupBy("bucket").applyInArrow(meet, "key long, anchor long, w0 int, w1 int, low long")
 
 
@@ -333,7 +333,7 @@ def _places(texts: DataFrame, buckets: int, width: int) -> DataFrame:
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(anchor.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(pos, pa.int64())], ["key", "anchor", "doc", "tag", "pos"])
 
-    return texts.mapInArrow(run, "key long, anchor long, doc long, tag int, pos long")
+    return texts.mapInArrow(V.releasing(run), "key long, anchor long, doc long, tag int, pos long")
 
 
 def _merged(spans: DataFrame) -> DataFrame:

@@ -85,7 +85,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                     n = counts.texts([x or "" for x in batch.column(1).to_pylist()])
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
         finally:  # a worker lives on for other work
-            counts.known.clear()
+            del counts
+            _loaded.clear()
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(V.releasing(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
