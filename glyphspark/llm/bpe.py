@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from glyphspark.llm import _vec as V
 
 #: Pieces that one worker remembers at most; beyond, it starts afresh.
-CACHE_PIECES = 120_000
+CACHE_PIECES = 200_000
 _SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
@@ -50,7 +50,7 @@ class WordBpe:
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces: dict[str, tuple[int, str, str]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, str, str]] = {}
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
@@ -85,6 +85,15 @@ class WordBpe:
             k = after[k]
         return out
 
+    @staticmethod
+    def normal(text: str) -> str:
+        """Composed and in lower case, letter by letter as the library does it (Python lowers a final sigma differently)."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if "Σ" in text:
+                return "".join(c.lower() for c in text)
+        return text.lower()
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text. Strings of special tokens become their ids, as the library does by default."""
         out: list[int] = []
@@ -92,30 +101,41 @@ class WordBpe:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            # letter by letter, as the library does; ASCII is its own normal form
-            part = part.lower() if part.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-            for word in self.word.findall(part):
-                if (ids := self.words.get(word)) is None:
-                    ids = self.encode_word(word)
-                    if len(word) < 200:
-                        if len(self.words) >= CACHE_PIECES:
-                            self.words.clear()
-                        self.words[word] = ids
-                out += ids
+            for word in self.word.findall(self.normal(part)):
+                out += self.encode_word(word)
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The library's text of ids for a file without a decoder: vocabulary strings, one space between."""
         return " ".join(self.strings[i] for i in ids)
 
+    def _made(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+
+    def _word(self, word: str) -> tuple[int, str, str]:
+        """Of a pre-token in normal form; remembered."""
+        if (got := self.words.get(word)) is None:
+            got = self._made(self.encode_word(word))
+            if len(word) < 200:
+                if len(self.words) >= CACHE_PIECES:
+                    self.words.clear()
+                self.words[word] = got
+        return got
+
     def piece(self, piece: str) -> tuple[int, str, str]:
         """Count of ids, ids as text and decoded text of a piece without white space; remembered."""
         if (got := self.pieces.get(piece)) is None:
-            if len(self.pieces) >= CACHE_PIECES:
-                self.pieces.clear()
-            ids = self.encode(piece)
-            got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            form = self.normal(piece)
+            if form.isalpha():
+                got = self._word(form)
+            elif form[-1] in ",." and form[:-1].isalpha():  # letters and marks are pre-tokens of their own
+                a, b = self._word(form[:-1]), self._word(form[-1])
+                got = (a[0] + b[0], f"{a[1]} {b[1]}", f"{a[2]} {b[2]}")
+            else:
+                got = self._made(self.encode(piece))
             if len(piece) < 200:
+                if len(self.pieces) >= CACHE_PIECES:
+                    self.pieces.clear()
                 self.pieces[piece] = got
         return got
 
