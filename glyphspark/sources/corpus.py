@@ -14,10 +14,10 @@ FORMATS = ["DIPL", "NORM", "NORMLINES", "COMP", "HTML", "ALTO", "WHITESPACE"]  #
 
 def read_texts(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
     """(path, text) of all files below a folder, hidden ones left out, one row a file."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if extension:
         reader = reader.option("pathGlobFilter", f"*.{extension}")
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def as_stream(text: F.Column) -> F.Column:
