@@ -125,6 +125,6 @@ def shrink(contexts: DataFrame, hist: DataFrame, order: int) -> DataFrame:
 
 def perplexity(lines: DataFrame, prob: DataFrame, order: int, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(doc_id, n_chars, perplexity): the characters of lines, each after the ``order`` - 1 before it in its line."""
-    seen = lines.select(*by, "lang", F.explode(N.contexts(F.col("line"), order)).alias("g")).groupBy(*by, "lang", "g").agg(F.count(F.lit(1)).alias("k"))
+    seen = N.contexts(lines, order, (*by, "lang")).withColumnRenamed("t", "k")
     logs = seen.join(prob.select("lang", "g", "p"), ["lang", "g"], "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
     return logs.groupBy(*by).agg(F.sum("k").alias("n_chars"), F.exp(-F.sum(F.col("k") * F.log("p")) / F.sum("k")).alias("perplexity"))

@@ -11,30 +11,27 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("line <> ''")
 
 
-def _by_order(line: Column, order: int) -> list[Column]:
-    chars = F.split(line, "")
-    out = [chars]
-    for n in range(2, order + 1):
-        tail = F.slice(chars, F.lit(n), F.greatest(F.size(chars) - n + 1, F.lit(0)))
-        out.append(F.zip_with(F.slice(out[-1], F.lit(1), F.size(tail)), tail, lambda a, b: F.concat(a, b)))
-    return out
-
-
-def ngrams(line: Column, order: int) -> Column:
-    """All n-grams of a line up to ``order``, as strings. Each order is zipped from the one below, in time linear in the line."""
-    return F.concat(*_by_order(line, order))
+def contexts(lines: DataFrame, order: int, keys: tuple[str, ...]) -> DataFrame:
+    """(*keys, g, t): how often each n-gram of full length (shorter at a line's start) ends at a character.
 
-
-def contexts(line: Column, order: int) -> Column:
-    """For every character of a line the longest n-gram up to ``order`` that ends with it."""
-    grams = _by_order(line, order)
-    return F.concat(*[F.slice(g, F.lit(1), F.lit(1)) for g in grams[:-1]], grams[-1])
+    Each length is zipped from the one below, in a column of its own, so that nothing is evaluated twice.
+    """
+    df = lines.select(*keys, F.split("line", "").alias("_1"))
+    for n in range(2, order + 1):
+        tail = F.slice("_1", F.lit(n), F.greatest(F.size("_1") - n + 1, F.lit(0)))
+        df = df.withColumn("_tail", tail).withColumn(f"_{n}", F.zip_with(F.slice(f"_{n - 1}", F.lit(1), F.size("_tail")), F.col("_tail"), lambda a, b: F.concat(a, b)))
+    ends = F.concat(*[F.slice(f"_{n}", F.lit(1), F.lit(1)) for n in range(1, order)], F.col(f"_{order}"))
+    return df.select(*keys, F.explode(ends).alias("g")).groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("t"))
 
 
 def token_counts(lines: DataFrame, order: int = 3, keys: tuple[str, ...] = ("lang",)) -> DataFrame:
-    """(lang, g, n, t): occurrences of every n-gram up to ``order``; n-grams don't cross lines."""
-    grams = lines.select(*keys, F.explode(ngrams(F.col("line"), order)).alias("g"))
-    return grams.groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("t")).withColumn("n", F.length("g"))
+    """(lang, g, n, t): occurrences of every n-gram up to ``order``; n-grams don't cross lines.
+
+    One n-gram for each character is counted; the shorter ones are ends of those, added up from the distinct ones.
+    """
+    longest = contexts(lines, order, keys)
+    ends = F.transform(F.sequence(F.lit(1), F.length("g")), lambda n: F.right("g", n))
+    return longest.select(*keys, F.explode(ends).alias("g"), "t").groupBy(*keys, "g").agg(F.sum("t").alias("t")).withColumn("n", F.length("g"))
 
 
 def history_types(tok: DataFrame) -> DataFrame:
