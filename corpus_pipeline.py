@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphspark.llm import bpe, decontaminate, language_id, line_dedup, ngram_join
-from glyphspark.llm._spark import documents, join_counted
+from glyphspark.llm._spark import bounded_batches, documents, join_counted
 from glyphspark.llm.queries import held_out, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,6 +23,7 @@ COMMON_LINE_DOCS = 10
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is told with a margin; ``lang`` stays as it came."""
+    bounded_batches(spark)
     model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
     return language_id.predict(docs.select(*COLUMNS), model, keep=COLUMNS).where(~F.col("rejected")).select(*COLUMNS)
 
@@ -35,6 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of every component of similar documents."""
+    bounded_batches(spark)
     found = ngram_join.ngram_components(docs.select("doc_id", "text"))
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return join_counted(docs.select(*COLUMNS), gone, F.col("doc_id") == F.col("_gone"), "left_anti")
@@ -42,11 +44,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that share a passage with the benchmark."""
+    bounded_batches(spark)
     return decontaminate.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of what they decode to."""
+    bounded_batches(spark)
     return bpe.bpe(docs.select("doc_id", "text"), tokenizer_path(), with_ids=True)
 
 

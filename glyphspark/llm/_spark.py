@@ -32,7 +32,13 @@ def join_counted(df: DataFrame, side: DataFrame, on: list[str] | str | Column, h
     return df.join(F.broadcast(side) if small else side, on, how)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts in hundreds or thousands, not tens of thousands: they are held by the JVM and the worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
