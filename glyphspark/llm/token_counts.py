@@ -1,9 +1,10 @@
 """Op 7: token counts by a library tokenizer, each distinct pre-token counted once.
 
-A text's pre-tokens (pieces between ASCII white space for vocabularies that drop it) are counted, the pieces' token
-counts are looked up in a bounded table that the library fills in batches for pieces not seen before, and
-frequency times count is summed: no ids are kept, nothing is shuffled. For vocabularies that keep white
-space (sentencepiece models, byte-level files) the whole text goes to the library.
+For vocabularies that drop white space a text is cut there into pieces, whose frequencies are counted; an ASCII piece
+is cut on into the pre-tokens of the file's own pattern. A bounded table holds the pre-tokens' token counts, which the
+library fills in batches for those not seen before; it is joined to each document's frequencies, and frequency times
+count is summed: no ids are kept, nothing is shuffled. For vocabularies that keep white space (sentencepiece models,
+byte-level files) the whole text goes to the library.
 """
 
 from __future__ import annotations
@@ -13,56 +14,94 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphspark.llm import _vec as V
-from glyphspark.llm.bpe import CACHE_PIECES, cut
+from glyphspark.llm.bpe import cut
+
+#: Pieces, and pre-tokens, that one worker remembers at most when a slice of texts begins.
+CACHE_PIECES = 400_000
+#: Pieces from this length on are neither cut nor remembered.
+LONG_PIECE = 200
+#: Text bytes that are counted at once.
+SLICE_BYTES = 1 << 21
 
 _loaded: dict[str, object] = {}
 
 
-def drops_space(path: str) -> bool:
+def drops_space(spec: dict) -> bool:
     """True if the file's normaliser and splitter leave no white space in any pre-token, so that texts may be cut there."""
-    if not path.endswith(".json"):
-        return False
-    spec = json.load(open(path, encoding="utf-8"))
     first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
     return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"])
 
 
+class Splitter:
+    """Cuts a piece without white space into parts whose tokens add up to its own.
+
+    ASCII pieces without a special string give their pre-tokens, if the normaliser does no more to them than to lower
+    them and the pattern looks neither ahead nor behind; all other pieces stay whole, as only the library knows how
+    it normalises and splits them.
+    """
+
+    def __init__(self, spec: dict):
+        steps = (spec.get("normalizer") or {}).get("normalizers") or []
+        kinds = {x["type"] for x in steps if not (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"})}
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", "(?")
+        self.lower = "Lowercase" in kinds
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.find = regex.compile(pattern).findall if kinds <= {"NFC", "Lowercase"} and "(?" not in pattern else None
+
+    def parts(self, piece: str) -> tuple[str, ...] | list[str]:
+        if self.find is None or not piece.isascii() or len(piece) >= LONG_PIECE or any(x in piece for x in self.special):
+            return (piece,)
+        form = piece.lower() if self.lower else piece
+        return self.find(form)
+
+
 class Counts:
     """Counts of tokens by a library tokenizer."""
 
     def __init__(self, path: str):
-        self.apart = drops_space(path)
+        self.splitter = None
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            self.batch = lambda texts: [len(x.ids) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+            self.batch = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            spec = json.load(open(path, encoding="utf-8"))
+            if drops_space(spec):
+                self.splitter = Splitter(spec)
         else:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.batch = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-        self.known: dict[str, int] = {}
+        self.pieces: dict[str, int] = {}
+        self.pretokens: dict[str, int] = {}
 
     def texts(self, texts: list[str]) -> list[int]:
-        if not self.apart:
+        if self.splitter is None:
             return self.batch(texts)
         freqs = [Counter(cut(x)) for x in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        new = list({p for f in freqs for p in f if p not in self.known})
-        now = self.known
-        if new:
-            fresh = dict(zip(new, self.batch(new), strict=True))
-            self.known.update((p, n) for p, n in fresh.items() if len(p) < 200)
-            now = self.known | fresh if any(len(p) >= 200 for p in fresh) else self.known
-        return [sum(n * now[p] for p, n in f.items()) for f in freqs]
+        for table in (self.pieces, self.pretokens):
+            if len(table) > CACHE_PIECES:
+                table.clear()
+        new = list(set().union(*freqs) - self.pieces.keys())
+        parts = [self.splitter.parts(p) for p in new]
+        unseen = list({x for xs in parts for x in xs} - self.pretokens.keys())
+        if unseen:
+            self.pretokens.update(zip(unseen, self.batch(unseen), strict=True))
+        pieces, pretokens = self.pieces, self.pretokens
+        pieces.update((p, pretokens[xs[0]] if len(xs) == 1 else sum([pretokens[x] for x in xs])) for p, xs in zip(new, parts, strict=True))
+        out = [sum([n * pieces[p] for p, n in f.items()]) for f in freqs]
+        for p in new:  # long ones are not worth their memory
+            if len(p) >= LONG_PIECE:
+                del pieces[p], pretokens[p]
+        return out
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
@@ -81,7 +120,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         counts: Counts = _loaded[path]  # type: ignore[assignment]
         try:
             for whole in batches:
-                for batch in V.slices(whole):
+                for batch in V.slices(whole, limit=SLICE_BYTES):
                     n = counts.texts([x or "" for x in batch.column(1).to_pylist()])
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
         finally:  # a worker lives on for other work

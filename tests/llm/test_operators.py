@@ -174,6 +174,16 @@ def test_bpe_pieces(text):
     assert ids == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_counts_of_pieces(name):
+    library, own = Tokenizer.from_file(public_tokenizers.path(name)), token_counts.Counts(public_tokenizers.path(name))
+    alphabet = "aB'sStTlL.,!-_/@#12 \n\tÉéΣİ̸①漢😀K\x1c\x85\u00a0"
+    texts = ["", "ΟΔΟΣ, Σίσυφος", "don't I'LL 'S ''s !'S x's.", "<|endoftext|>., <|EndOfText|> a<|startoftext|>b", "J̌a ǰ İX", "K" * 500 + " k", LONG]
+    texts += ["".join(_rng.choice(alphabet) for _ in range(_rng.randrange(60))) for _ in range(400)]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert own.texts(texts) == want and own.texts(texts) == want  # the second time from its tables
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
