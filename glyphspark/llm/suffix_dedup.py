@@ -307,7 +307,7 @@ def _verdicts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
         found = []
         for x in collections(anchor, length):
             own = body[start[x.start] : start[x.stop - 1] + length[x.stop - 1]]
-            string, first, least, most = segment_windows(own, start[x] - start[x.start], length[x], low[x], high[x], width) if x.stop - x.start > 1 else (np.zeros(0, np.int64),) * 4
+            string, first, least, most = segment_windows(own, start[x] - start[x.start], length[x], low[x], high[x], width)
             found.append((string + x.start, first, least, most))
         string, first, least, most = (np.concatenate([f[k] for f in found]) for k in range(4))
         shared = least != most
@@ -317,8 +317,8 @@ def _verdicts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
         new = np.ones(string.size, bool)
         new[1:] = (string[1:] != string[:-1]) | (first[1:] != first[:-1] + 1) | (least[1:] != least[:-1])
         a = np.flatnonzero(new)
-        b = np.append(a[1:], string.size) - 1
-        return pa.table({"key": pa.array(key[string[a]].view(np.int64)), "anchor": pa.array(anchor[string[a]].view(np.int64)), "w0": pa.array(first[a], pa.int32()), "w1": pa.array(first[b] if b.size else first[a], pa.int32()), "low": pa.array(least[a], pa.int64())})
+        b = np.append(a[1:], string.size)[: a.size] - 1
+        return pa.table({"key": pa.array(key[string[a]].view(np.int64)), "anchor": pa.array(anchor[string[a]].view(np.int64)), "w0": pa.array(first[a], pa.int32()), "w1": pa.array(first[b], pa.int32()), "low": pa.array(least[a], pa.int64())})
 
     packed = texts.mapInArrow(V.releasing(pack), "bucket int, key binary, anchor binary, n binary, low binary, high binary, body binary")
     return packed.groupBy("bucket").applyInArrow(meet, "key long, anchor long, w0 int, w1 int, low long")

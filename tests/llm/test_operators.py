@@ -86,6 +86,20 @@ def test_op1(odd, docs, empty):
     assert suffix_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_op1_lone_shared_passage(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    shared = text(300)
+    frame = spark.createDataFrame([(1, text(400) + "A" + shared + "B" + text(400)), (2, text(500) + "C" + shared + "D" + text(300))], "doc_id long, text string")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.dedup_substrings(frame).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == {1: (0, 0), 2: (300, 1)}
+
+
 def test_bwt():
     for _ in range(30):
         strings = [bytes(_rng.choice(b"ab") for _ in range(_rng.randint(1, 12))) for _ in range(_rng.randint(1, 20))]
