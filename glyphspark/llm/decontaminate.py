@@ -2,7 +2,8 @@
 
 Fixed masks over ``SPAN`` words ignore some word positions, so a seed still hits where those words were substituted.
 Seeds of benchmark items and of documents are hashed and joined; around every hit, document and item are laid on the
-same diagonal and a window of ``window`` words (the whole item if shorter) must agree in ``share`` of its words.
+same diagonal and a window of ``window`` words (the whole item if shorter) must agree in ``share`` of its words; an
+overlap cut short by an edge must have as many equal words.
 The benchmark is sent to the tasks in blocks of bounded size, one pass over the documents for each block; nothing
 is shuffled and a task holds one slice of texts at a time.
 """
@@ -73,14 +74,19 @@ class Block:
 
 
 def agreement(doc: np.ndarray, item: np.ndarray, start: int, window: int, share: float) -> tuple[int, int] | None:
-    """Of a window of the diagonal that starts at ``start``: its best count of equal words and its length, if the count suffices."""
+    """Of a window of the diagonal that starts at ``start``: its best count of equal words and its length, if the count suffices.
+
+    Where document and item overlap in fewer words than a window, but in ``SPAN`` at least, the overlap is the window.
+    """
     window = min(window, item.size)
+    needed = math.ceil(share * window)
     a, b = max(0, start), min(doc.size, start + item.size)
-    if b - a < window:
+    if b - a < min(window, SPAN):
         return None
+    window = min(window, b - a)  # a passage cut off by an edge needs as many equal words as a whole window
     equal = np.concatenate([[0], np.cumsum(doc[a:b] == item[a - start : b - start])])
     best = int((equal[window:] - equal[:-window]).max())
-    return (best, window) if best >= math.ceil(share * window) else None
+    return (best, window) if best >= needed else None
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -295,6 +295,21 @@ def test_op9(spark, odd, docs, empty):
     assert decontaminate.contaminated(empty, items).count() == decontaminate.contaminated(odd, items.where("false")).count() == 0
 
 
+def found_pairs(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): (r["n_equal"], r["n_window"]) for r in decontaminate.contaminated(docs, bench).collect()}
+
+
+def test_op9_cut_off_passages(spark):
+    item, around = [f"w{k}" for k in range(40)], [f"x{k}" for k in range(30)]
+    texts = [item[10:25], item[-13:] + around, around + item[:12], item[-11:] + around, around + item[:11]]
+    texts.append(item[10:13] + ["y"] + item[14:25])
+    texts.append(item[-13:-7] + ["y"] * 2 + item[-5:] + around)
+    got = found_pairs(spark, [" ".join(t) for t in texts], [" ".join(item)])
+    assert got == {(0, 0): (15, 15), (1, 0): (13, 13), (2, 0): (12, 12), (5, 0): (14, 15)}
+
+
 def test_op10(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
     pages = [(1, "http://Good.Example.net/en/1?x", link("friend.org")), (2, "https://bad.net/a#b", None), (3, "http://spam.com/a", link("bad.net", "bad.net")), (4, "http://friend.org/de/", ""), (5, None, None), (6, "nothing", ""), (7, "http://x.example.com/de/y", ""), (8, "http://net", ""), (9, "ftp://a.b.org/fr/?q", None), (9, "ftp://a.b.org/fr/?q", None)]
