@@ -1,6 +1,7 @@
 """Operators against brute force, on odd cases (nulls, empty and long texts, ties, repeats, extra columns) and on the small tables."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -310,6 +311,17 @@ def test_op9_cut_off_passages(spark):
     assert got == {(0, 0): (15, 15), (1, 0): (13, 13), (2, 0): (12, 12), (5, 0): (14, 15)}
 
 
+def test_op9_every_substitution():
+    for size, differ in ((12, 3), (13, 3), (14, 3), (15, 3), (16, 4)):
+        item = np.arange(1, size + 1, dtype=np.uint64)
+        block = decontaminate.Block([(1, item)])
+        for at in itertools.combinations(range(size), differ):
+            doc = item.copy()
+            doc[list(at)] += np.uint64(1000)
+            assert (0, 0) in block.diagonals(doc), at
+            assert decontaminate.agreement(doc, item, 0, 16, 0.75) == (size - differ, size)
+
+
 def test_op10(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
     pages = [(1, "http://Good.Example.net/en/1?x", link("friend.org")), (2, "https://bad.net/a#b", None), (3, "http://spam.com/a", link("bad.net", "bad.net")), (4, "http://friend.org/de/", ""), (5, None, None), (6, "nothing", ""), (7, "http://x.example.com/de/y", ""), (8, "http://net", ""), (9, "ftp://a.b.org/fr/?q", None), (9, "ftp://a.b.org/fr/?q", None)]
