@@ -8,14 +8,15 @@
    classes into candidate groups (connected components).
 4. Each group is joined on a prefix tree of its sets (tokens most frequent first, so that sets share their beginnings):
    a query walks the tree once for all sets below a node, carries the overlap so far, and leaves subtrees that
-   can't reach the needed overlap with what remains, or that are all in its own component already. Groups beyond
-   ``MAX_GROUP`` classes are joined in blocks, every pair of blocks once.
+   can't reach the needed overlap with what remains, or, where components alone are asked for, that are all in its own
+   component already. Groups beyond ``MAX_GROUP`` classes are joined in blocks, every pair of blocks once. Links are
+   counted between classes and weighted by their copies.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +88,9 @@ class _Node:
 class PrefixTree:
     """Sets as ascending token lists in a path-compressed tree, with a union-find over the sets that were found similar."""
 
-    def __init__(self, percent: int = PERCENT):
+    def __init__(self, percent: int = PERCENT, on_pair: Callable[[int, int], None] | None = None):
         self.root, self.percent, self.up, self.size = _Node([]), percent, [], []
+        self.on_pair = on_pair  # called for every similar pair; without it pairs inside a component are skipped
 
     def find(self, x: int) -> int:
         up = self.up
@@ -112,7 +114,7 @@ class PrefixTree:
         stack += [(self.root, 0, 0)] if self.root.ends else []
         while stack:
             node, overlap, depth = stack.pop()
-            if not node.mixed and find(node.rep) == find(own):
+            if not self.on_pair and not node.mixed and find(node.rep) == find(own):
                 continue
             if node.edge:
                 overlap += len(node.ink & ink)
@@ -127,6 +129,8 @@ class PrefixTree:
                 if (100 + percent) * overlap >= percent * (n + self.size[other]):
                     a, b = find(own), find(other)
                     self.up[max(a, b)] = min(a, b)
+                    if self.on_pair:
+                        self.on_pair(own, other)
             if node is not self.root:
                 stack += [(k, overlap, depth) for k in node.kids.values()]
 
@@ -161,8 +165,11 @@ class PrefixTree:
         node.ends.append(own)
 
 
-def join_group(cls: list[int], n: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
-    """For each set of a group the smallest class of its component."""
+def join_group(cls: list[int], n: list[int], sets: list[np.ndarray], percent: int = PERCENT, copies: list[int] | None = None, part: list[int] | None = None) -> tuple[list[int], list[int]]:
+    """For each set of a group the smallest class of its component, and with ``copies`` the copies of all similar sets, else 0.
+
+    With ``part``, only pairs of different parts are counted.
+    """
     owner = np.repeat(np.arange(len(sets)), [s.size for s in sets])
     token, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(token.size, np.int64)
@@ -171,8 +178,16 @@ def join_group(cls: list[int], n: list[int], sets: list[np.ndarray], percent: in
     place, owner = rank[place[shared]], owner[shared]
     order = np.lexsort((place, owner))
     place, cuts = place[order], np.searchsorted(owner[order], np.arange(len(sets) + 1))
-    tree = PrefixTree(percent)
     turn = sorted(range(len(sets)), key=lambda k: (n[k], cls[k]))
+    linked = [0] * len(sets)
+
+    def count(a: int, b: int) -> None:
+        a, b = turn[a], turn[b]
+        if part is None or part[a] != part[b]:
+            linked[a] += copies[b]
+            linked[b] += copies[a]
+
+    tree = PrefixTree(percent, count if copies else None)
     for k in turn:
         tree.add(place[cuts[k] : cuts[k + 1]].tolist(), n[k])
     least: dict[int, int] = {}
@@ -182,21 +197,22 @@ def join_group(cls: list[int], n: list[int], sets: list[np.ndarray], percent: in
     out = [0] * len(sets)
     for own, k in enumerate(turn):
         out[k] = least[tree.find(own)]
-    return out
+    return out, linked
 
 
-def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = V.WORDS_PER_SHINGLE, max_group: int = MAX_GROUP) -> DataFrame:
+def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = V.WORDS_PER_SHINGLE, max_group: int = MAX_GROUP, links: bool = False) -> DataFrame:
     """Components of ``docs`` (doc_id, text) under links between similar shingle sets.
 
     Rows, one for each row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself
     included). A null, empty or wordless text has no shingles, links with nothing and is its own component; a text of fewer
     words than ``width`` has one shingle, the whole sequence. Rows with the same doc_id are one node. A row with a
-    null doc_id links nothing and has a null component_id.
+    null doc_id links nothing and has a null component_id. With ``links`` also n_links: how many other rows with a doc_id have
+    an equal or similar set; every similar pair of different sets is then tested.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = checkpointed(summaries(docs, width))
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"))
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     classes = checkpointed(classes)
     firsts = classes.select(F.col("first").alias("doc_id")).distinct()
     others = rows.where("doc_id is not null").select("doc_id").distinct().join(firsts, "doc_id", "left_anti")
@@ -225,31 +241,42 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = V.WOR
     dealt = groups.join(sizes, "component").join(sets.withColumnRenamed("cls", "node"), "node")
     dealt = dealt.withColumn("blocks", F.when(F.col("size") > max_group, blocks).otherwise(1)).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.col("node").alias("cls"), "n", "tok", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    if links:
+        dealt = dealt.join(classes.select(F.col("cls").alias("node"), "copies"), "node")
+    dealt = dealt.select(F.col("node").alias("cls"), "n", "tok", "component", *(["own", "copies"] if links else []), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     bins = int(max(parts, -(-total // TASK_TOKENS)))
     dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("component", "i", "j"), F.lit(bins)))
 
     def joined(table: pa.Table) -> pa.Table:
         frame = table.to_pandas()
-        u, v = [], []
-        for _, own in frame.groupby(["component", "i", "j"], sort=False):
+        u, v, linked = [], [], []
+        for (_, i, j), own in frame.groupby(["component", "i", "j"], sort=False):
             cls = own["cls"].tolist()
             if len(cls) > 1:
+                more = (own["copies"].tolist(), own["own"].tolist() if i != j else None) if links else ()
+                root, count = join_group(cls, own["n"].tolist(), [np.asarray(x, np.int64) for x in own["tok"]], percent, *more)
                 u += cls
-                v += join_group(cls, own["n"].tolist(), [np.asarray(x, np.int64) for x in own["tok"]], percent)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    links = dealt.groupBy("bin").applyInArrow(joined, "u long, v long")
-    roots = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("root")) if large else links.select(F.col("u").alias("cls"), F.col("v").alias("root"))
+                v += root
+                linked += count
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "linked": pa.array(linked, pa.int64())})
+
+    found = dealt.groupBy("bin").applyInArrow(joined, "u long, v long, linked long")
+    extra = ["n_links"] if links else []
+    if links:
+        found = checkpointed(found)
+        counted = found.groupBy(F.col("u").alias("cls")).agg(F.sum("linked").alias("linked"))
+        counted = classes.join(counted, "cls", "left").select("cls", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        rows = checkpointed(rows.join(counted, (rows["cls"] == counted["cls"]) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left").select("doc_id", "n_shingles", rows["cls"], F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    roots = connected_components(found.select("u", "v")).select(F.col("node").alias("cls"), F.col("component").alias("root")) if large else found.select(F.col("u").alias("cls"), F.col("v").alias("root"))
     roots = checkpointed(roots.where("cls <> root"))
-    rooted = rows.where("n_shingles > 0 and doc_id is not null").join(roots, "cls", "left").select("doc_id", "n_shingles", F.coalesce("root", "cls").alias("root"))
+    rooted = rows.where("n_shingles > 0 and doc_id is not null").join(roots, "cls", "left").select("doc_id", "n_shingles", *extra, F.coalesce("root", "cls").alias("root"))
     node = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
     # ids that occur more than once tie the components of their rows together
     twice = rooted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("a"), F.max("root").alias("b")).where("k > 1 and a <> b")
     if twice.limit(1).count():
         ties = connected_components(rooted.join(twice.select("doc_id", "a"), "doc_id").select(F.col("root").alias("u"), F.col("a").alias("v")))
-        rooted = rooted.join(ties.select(F.col("node").alias("root"), "component"), "root", "left").select("doc_id", "n_shingles", F.coalesce("component", "root").alias("root"))
+        rooted = rooted.join(ties.select(F.col("node").alias("root"), "component"), "root", "left").select("doc_id", "n_shingles", *extra, F.coalesce("component", "root").alias("root"))
         node = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    linked = rooted.join(node.where("members > 1").select("root", "component_id"), "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    rest = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = rooted.join(node.where("members > 1").select("root", "component_id"), "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *extra)
+    rest = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *extra)
     return linked.unionByName(rest)

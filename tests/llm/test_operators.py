@@ -160,6 +160,21 @@ def test_op3(odd, docs, empty):
     assert ngram_join.ngram_components(empty).count() == 0
 
 
+def test_op3_links(spark):
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join("x" if k in (3 * i, 5 * i + 1) else w for k, w in enumerate(base)) for i in range(24)]
+    rows = [(k, texts[k % 24]) for k in range(30)] + [(40, "nothing alike here at all now"), (41, None), (None, texts[0])]
+    sets = shingle_sets({k: t for k, (_, t) in enumerate(rows)})
+    similar = lambda a, b: bool(a) and 100 * len(a & b) >= 75 * len(a | b)
+    want = sorted((d, sum(similar(sets[k], sets[m]) for m in range(len(rows) - 1) if m != k)) for k, (d, _) in enumerate(rows[:-1]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (4000, 8):
+        got = ngram_join.ngram_components(frame, max_group=limit, links=True).collect()
+        assert sorted((r["doc_id"], r["n_links"]) for r in got if r["doc_id"] is not None) == want
+        assert [r["n_links"] for r in got if r["doc_id"] is None] == [0]
+    assert max(n for _, n in want) > 20
+
+
 def test_prefix_tree_many_near_copies():
     base = list(range(100))
     tree = ngram_join.PrefixTree()
