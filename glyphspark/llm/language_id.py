@@ -39,10 +39,12 @@ def reduced(text: str) -> str:
 def fit(train: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionaries by language from ``train`` (doc_id, text, lang). Rows with a null or letterless text or a null language are left out.
 
-    Empty training rows give no dictionary; then every prediction is ``und``.
+    Empty training rows give no dictionary; then every prediction is ``und``. More than ``MAX_LANGUAGES`` languages are an error.
     """
     train = train.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang")).where(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}"))
-    sizes = train.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()
+    sizes = train.groupBy("_lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return {}
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["_lang"]), F.lit(sample_texts / r["count"]))])

@@ -125,6 +125,13 @@ def test_op2(spark, odd, docs, empty):
     assert out.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"] and out.count() == docs.count()
 
 
+def test_op2_too_many_languages(spark):
+    rows = spark.range(501).selectExpr("id AS doc_id", "'some words' AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError, match="500 languages"):
+        language_id.fit(rows)
+    assert len(language_id.fit(rows.where("doc_id > 0"))) == 500
+
+
 def shingle_sets(texts):
     out = {}
     for i, t in texts.items():
