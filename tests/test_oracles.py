@@ -44,3 +44,9 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_wer_line_has_whole_lines(spark):
+    lines = {(r["doc_id"], r["line_no"]) for r in QUERIES["cer_line"](spark, DATA).collect()}
+    rows = [tuple(r)[:3] for r in QUERIES["wer_line"](spark, DATA).select("doc_id", "line_no", "metric").collect()]
+    assert len(rows) == len(set(rows)) == 8 * len(lines) and {r[:2] for r in rows} == lines
