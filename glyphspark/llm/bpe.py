@@ -1,18 +1,19 @@
-"""Op 4: BPE encoding and decoding, and the pre-token splitting that encoding starts with.
+"""Op 4: BPE encoding and decoding.
 
 Encoding keeps a doubly linked list of symbols and a priority queue of merges by rank and place; an entry whose
 symbols have changed since it was queued is stale and skipped. Decoding concatenates vocabulary strings.
-Every distinct piece of text between white space is encoded once for each worker and kept in a bounded table, so
-memory doesn't follow the corpus; no shuffle, no state between rows, so a lost task is simply run again.
+A slice of texts is cut into pre-tokens on its bytes; each distinct one is looked up or encoded once, in a table that each
+worker keeps up to a bound, and the texts' ids are gathered from the entries by index. Memory doesn't follow the
+corpus; no shuffle, no state between rows, so a lost task is simply run again.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphspark.llm import _vec as V
+from glyphspark.llm._pretokens import LONG_PIECE, cuts_words, distinct, pretokens
 
 #: Pieces that one worker remembers at most; beyond, it starts afresh.
-CACHE_PIECES = 200_000
-_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
+CACHE_PIECES = 400_000
+#: Text bytes that are encoded at once.
+SLICE_BYTES = 1 << 21
+#: Bits of a queue entry that hold a place.
+_PLACE = 40
+_PLACES = (1 << _PLACE) - 1
 
 
 def byte_letters() -> list[str]:
@@ -44,41 +50,46 @@ class WordBpe:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.left, self.right, self.made = ([self.vocab[x] for x in xs] for xs in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
+        self.ranks = {(a, b): rank << _PLACE for rank, (a, b) in enumerate(zip(self.left, self.right, strict=True))}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
-        self.letters = byte_letters()
+        self.spaced = {i: " " + s for i, s in self.strings.items()}
+        self.decimal = {i: f" {i}" for i in self.strings}
+        letters = byte_letters()
+        self.inner, self.last = ([self.vocab.get(x + end) for x in letters] for end in ("", self.suffix))
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.pieces: dict[str, tuple[int, str, str]] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.cuts = cuts_words(spec)
+        self.table: dict[int, tuple[int, str, str]] = {}
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
-        letters = [self.letters[b] for b in word.encode("utf-8")]
-        if not letters:
-            return []
-        letters[-1] += self.suffix
-        ids = [self.vocab[x] for x in letters if x in self.vocab]
-        n = len(ids)
+        body = word.encode("utf-8")
+        ids = [self.inner[b] for b in body[:-1]] + [self.last[b] for b in body[-1:]]
+        if None in ids:
+            ids = [i for i in ids if i is not None]
+        n, ranks = len(ids), self.ranks
+        # an entry is a merge's rank and the place of its left symbol in one number, so the queue compares numbers
+        queue = [ranks[pair] + k for k, pair in enumerate(zip(ids, ids[1:], strict=False)) if pair in ranks]
+        if not queue:
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges, queue = self.merges, []
-        for k in range(n - 1):
-            if found := merges.get((ids[k], ids[k + 1])):
-                queue.append((found[0], k, ids[k], ids[k + 1], found[1]))
-        heapq.heapify(queue)
+        heapify(queue)
         while queue:
-            _, k, left, right, made = heapq.heappop(queue)
+            entry = heappop(queue)
+            rank, k = entry >> _PLACE, entry & _PLACES
             to = after[k]
-            if ids[k] != left or to >= n or ids[to] != right:
+            if to >= n or ids[k] != self.left[rank] or ids[to] != self.right[rank]:
                 continue  # stale: one of its symbols has been merged already
+            made = self.made[rank]
             ids[k], ids[to] = made, -1
             after[k] = far = after[to]
             if far < n:
                 before[far] = k
-                if found := merges.get((made, ids[far])):
-                    heapq.heappush(queue, (found[0], k, made, ids[far], found[1]))
-            if (near := before[k]) >= 0 and (found := merges.get((ids[near], made))):
-                heapq.heappush(queue, (found[0], near, ids[near], made, found[1]))
+                if (found := ranks.get((made, ids[far]))) is not None:
+                    heappush(queue, found + k)
+            if (near := before[k]) >= 0 and (found := ranks.get((ids[near], made))) is not None:
+                heappush(queue, found + near)
         out, k = [], 0
         while k < n:
             out.append(ids[k])
@@ -109,35 +120,26 @@ class WordBpe:
         """The library's text of ids for a file without a decoder: vocabulary strings, one space between."""
         return " ".join(self.strings[i] for i in ids)
 
-    def _made(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
-
-    def _word(self, word: str) -> tuple[int, str, str]:
-        """Of a pre-token in normal form; remembered."""
-        if (got := self.words.get(word)) is None:
-            got = self._made(self.encode_word(word))
-            if len(word) < 200:
-                if len(self.words) >= CACHE_PIECES:
-                    self.words.clear()
-                self.words[word] = got
-        return got
-
-    def piece(self, piece: str) -> tuple[int, str, str]:
-        """Count of ids, ids as text and decoded text of a piece without white space; remembered."""
-        if (got := self.pieces.get(piece)) is None:
-            form = self.normal(piece)
-            if form.isalpha():
-                got = self._word(form)
-            elif form[-1] in ",." and form[:-1].isalpha():  # letters and marks are pre-tokens of their own
-                a, b = self._word(form[:-1]), self._word(form[-1])
-                got = (a[0] + b[0], f"{a[1]} {b[1]}", f"{a[2]} {b[2]}")
-            else:
-                got = self._made(self.encode(piece))
-            if len(piece) < 200:
-                if len(self.pieces) >= CACHE_PIECES:
-                    self.pieces.clear()
-                self.pieces[piece] = got
-        return got
+    def entry(self, piece: str) -> tuple[int, str, str]:
+        """Of a pre-token or a piece without white space: count of ids, ids as text and decoded text, each id after a space."""
+        ids = self.encode_word(piece.lower()) if self.cuts and piece.isascii() and piece.isalpha() else self.encode(piece)
+        return len(ids), "".join([self.decimal[i] for i in ids]), "".join([self.spaced[i] for i in ids])
+
+    def entries(self, texts: pa.Array) -> tuple[list[tuple[int, str, str]], np.ndarray, np.ndarray]:
+        """Entries of the distinct pre-tokens of some texts, for every pre-token the index of its entry, and n + 1 offsets of texts."""
+        data, offsets = V.text_bytes(texts)
+        value, start, end, at = pretokens(data, offsets, self.cuts)
+        value, first, which = distinct(value)
+        if len(self.table) >= CACHE_PIECES:
+            self.table.clear()
+        table, raw, found = self.table, data.tobytes(), []
+        for key, a, b in zip(value.tolist(), start[first].tolist(), end[first].tolist(), strict=True):
+            if (got := table.get(key)) is None:
+                got = self.entry(raw[a:b].decode())
+                if b - a < LONG_PIECE:
+                    table[key] = got
+            found.append(got)
+        return found, which, at
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -149,9 +151,19 @@ def load(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def cut(text: str | None) -> list[str]:
-    """Pieces between ASCII white space. Pre-tokens hold no white space and no rule looks across it, so pieces encode apart."""
-    return [x for x in (text or "").translate(_SPACE).split(" ") if x]
+def _joined(strings: list[str], which: np.ndarray, at: np.ndarray) -> list[memoryview]:
+    """For every text its strings end to end, without the first space."""
+    taken = pa.array(strings, pa.large_string()).take(pa.array(which))
+    if not len(taken):
+        return [memoryview(b"")] * (at.size - 1)
+    _, ends, body = taken.buffers()
+    ends, body = np.frombuffer(ends, np.int64, len(taken) + 1, taken.offset * 8)[at].tolist(), memoryview(body) if body is not None else memoryview(b"")
+    return [body[a + 1 : b] if b > a else body[:0] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _per_text(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sum of the pre-tokens' counts by text."""
+    return np.diff(np.concatenate([[0], np.cumsum(counts)])[at])
 
 
 def bpe(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
@@ -159,29 +171,25 @@ def bpe(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = Fa
 
     Rows: doc_id, n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256, and if asked for
     ``ids`` (array of int) and ``decoded``. A null or empty text has no ids and an empty decoded text. Rows repeat as
-    the input's do; a null doc_id stays null.
+    the input's do; a null doc_id stays null; an empty table gives an empty one. A text is encoded whole, however long.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
-    def encoded(batch: pa.RecordBatch, piece) -> pa.RecordBatch:
-        rows: list[list] = [[], [], [], [], []]
-        for text in batch.column(1):
-            got = [x for x in [piece(x) for x in cut(text.as_py())] if x[0]]
-            ids, decoded = " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
-            for to, x in zip(rows, (sum(x[0] for x in got), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()), strict=False):
-                to.append(x)
-            if with_ids:
-                rows[3].append(np.fromstring(ids, np.int32, sep=" "))
-            if with_text:
-                rows[4].append(decoded)
-        out = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
+    def encoded(batch: pa.RecordBatch, coder: WordBpe) -> pa.RecordBatch:
+        found, which, at = coder.entries(batch.column(1))
+        counts = np.array([x[0] for x in found], np.int64)[which]
+        sha = lambda parts: pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
+        decoded = _joined([x[2] for x in found], which, at)
+        out = [batch.column(0), pa.array(_per_text(counts, at), pa.int64()), sha(_joined([x[1] for x in found], which, at)), sha(decoded)]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
-            offsets = np.concatenate([[0], np.cumsum([x.size for x in rows[3]])])
-            out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*rows[3], np.zeros(0, np.int32)]), pa.int32())))
+            offsets = np.concatenate([[0], np.cumsum([x[0] for x in found], dtype=np.int64)])
+            ids = np.fromstring("".join([x[1] for x in found]), np.int32, sep=" ")
+            flat = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(ids)).take(pa.array(which)).flatten()
+            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)])[at], pa.int32()), flat))
             names.append("ids")
         if with_text:
-            out.append(pa.array(rows[4], pa.large_string()).cast(pa.string()))
+            out.append(pa.array([str(x, "utf-8") for x in decoded], pa.string()))
             names.append("decoded")
         return pa.RecordBatch.from_arrays(out, names)
 
@@ -189,8 +197,8 @@ def bpe(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = Fa
         coder = load(path)
         try:
             for batch in batches:
-                for part in V.slices(batch):  # what is made of a slice is passed on before the next
-                    yield encoded(part, coder.piece)
+                for part in V.slices(batch, limit=SLICE_BYTES):  # what is made of a slice is passed on before the next
+                    yield encoded(part, coder)
         finally:  # a worker lives on for other work
             del coder
             _loaded.clear()
