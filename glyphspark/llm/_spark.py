@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only after its rows were counted and are no more than this (ids of 8 to 24 bytes).
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only after its bytes were counted (strings, arrays and all) and are no more than this.
+BROADCAST_BYTES = 24 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or only where none is set (tests on one machine) a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphspark-checkpoint-"))
-    return named or spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir, or the session's checkpoint folder.
+
+    Where neither is set, a session on one machine gets a temporary one; a cluster must name its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="glyphspark-checkpoint-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -25,16 +34,44 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _bytes(of: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, with 16 for what surrounds it."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        size = F.octet_length(of).cast("long")
+    elif isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+            size = F.aggregate(of, F.lit(0).cast("long"), lambda n, x: n + _bytes(x, kind.elementType))
+        else:
+            size = 8 * F.size(of).cast("long")
+    elif isinstance(kind, T.StructType):
+        size = reduce(lambda a, b: a + b, [_bytes(of[f.name], f.dataType) for f in kind.fields])
+    else:
+        size = F.lit(8).cast("long")
+    return F.coalesce(size, F.lit(0).cast("long")) + 16
+
+
 def join_counted(df: DataFrame, side: DataFrame, on: list[str] | str | Column, how: str) -> DataFrame:
-    """Join with ``side``, broadcast if a count proves it small, else by a shuffle (adaptive execution splits hot keys)."""
+    """Join with ``side``, broadcast if a count of its bytes proves it small, else by a shuffle (adaptive execution splits hot keys)."""
     side = checkpointed(side)
-    small = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(side) if small else side, on, how)
+    size = reduce(lambda a, b: a + b, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in side.schema.fields])
+    small = (side.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+    return df.join(F.broadcast(side) if small else side.hint("shuffle_merge"), on, how)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts in hundreds or thousands, not tens of thousands: they are held by the JVM and the worker at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: What an Arrow batch of whole texts holds at most: rows, and bytes (but for a longer single text).
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Arrow batches of whole texts are held by the JVM and the worker at once: fewer rows than by default, and bounded bytes.
+
+    A setting that the session has already made smaller stays.
+    """
+    for name, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        old = spark.conf.get(name).lower().rstrip("b")
+        if old.isdigit() or old.startswith("-"):  # a value with a unit is the caller's own
+            if int(old) <= 0 or int(old) > value:
+                spark.conf.set(name, str(value))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
