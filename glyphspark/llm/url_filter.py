@@ -1,13 +1,17 @@
 """Op 10: URL filters by rules, and for what no rule fits by trust that spreads over the host graph.
 
-Host edges come from the absolute links of all pages and from every host to its parent domain, weighted by their
-number. Trust is a personalised PageRank from trusted seeds along the edges, distrust one from blocked seeds against
-them; both run in the same rounds. A host is blocked whose distrust exceeds its trust by a threshold, in units of
-the mean over hosts. Ranks are kept by host, a round is one join and one aggregate with partial sums.
+Host edges are the absolute links of all pages (a relative one leads to its own host) and, both ways, the step from a host to
+its parent domain down to two labels, so that the hosts of one site or registrable domain hang together. Trust is a
+personalised PageRank from trusted seeds along the edges, distrust one from blocked seeds against them; both run in the
+same rounds. A seed weighs as much as the share of its pages that rules allow (block). A host is blocked whose
+distrust exceeds its trust by a threshold, in units of the mean over hosts. Ranks are kept by host, a round is one
+join and one aggregate with partial sums.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +19,10 @@ from glyphspark.llm._spark import checkpointed
 
 #: (action, rule): a rule is a host and the start of a path.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-MAX_RULES, DAMPING, ROUNDS, THRESHOLD = 1000, 0.85, 12, 1.0
+MAX_RULES, DAMPING, THRESHOLD = 1000, 0.85, 1.0
+#: What of the rank's sum may be misplaced when the rounds end: 2 * DAMPING ** rounds at most, on any graph.
+RESIDUAL = 0.005
+ROUNDS = math.ceil(math.log(RESIDUAL / 2) / math.log(DAMPING))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)href\s*+=\s*+["']?(?:[a-z][a-z0-9+.-]*+:)?//([^/?#"'\s>]++)"""
 
@@ -47,22 +54,23 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str]]) -> tup
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n) between different hosts: absolute links in ``html``, and each host to its parent domain (two labels at least)."""
+    """(src, dst, n) between different hosts: absolute links in ``html``, and both ways from each host to its parent domain (two labels at least)."""
     own = pages.select(host_of(F.col("url")).alias("src"), F.col("html")).where("src <> ''")
     links = own.select("src", F.explode(F.regexp_extract_all("html", F.lit(_LINK), 1)).alias("dst")).select("src", F.translate("dst", UPPER, LOWER).alias("dst"))
     links = links.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    hosts = own.select("src").distinct()
     labels = F.split("src", r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    step = hosts.where(F.size(labels) > 2).select(F.explode(F.arrays_zip(F.slice(above, 1, F.size(above) - 1).alias("src"), F.slice(above, 2, F.size(above)).alias("dst"))).alias("e")).select("e.*")
-    parents = step.where("src <> dst").distinct().withColumn("n", F.lit(1).cast("long"))
-    return links.union(parents).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    above = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    chain = own.select("src").distinct().where(F.size(labels) > 2).select(above.alias("above"))
+    step = chain.select(F.explode(F.arrays_zip(F.slice("above", 1, F.size("above") - 1).alias("src"), F.slice("above", 2, F.size("above")).alias("dst"))).alias("e")).select("e.*").distinct()
+    both = step.union(step.select("dst", "src")).withColumn("n", F.lit(1).cast("long"))
+    return links.union(both).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """Personalised PageRank of several kinds at once: ``edges`` (kind, src, dst, n), ``seeds`` (kind, host, w) to (kind, host, rank).
 
-    Seeds are scaled to a sum of 1 by kind. What a host without edges holds doesn't travel on.
+    Seeds are scaled to a sum of 1 by kind. What a host without edges holds doesn't travel on. Without seeds or edges
+    nothing is reached but the seeds themselves.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     steps = checkpointed(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.lit(damping) * F.col("n") / F.col("all")).alias("p")))
@@ -82,8 +90,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, th
 
     Rows: page_id, host, path, rule (the longest fitting one or null), verdict (the rule's, else the graph's), score
     (distrust less trust of the host in units of the mean, rounded to 9 digits; 0 where nothing reaches it). Trusted seeds are
-    hosts with a page that an allow rule fits, blocked seeds hosts all of whose pages a block rule fits. A null url or one
-    without ``://`` has empty host and path and no rule, and is allowed. Rows repeat as the input's do.
+    hosts with pages that an allow rule fits, blocked seeds hosts with pages that a block rule fits, each weighted by the
+    share of such pages. A score must exceed the threshold; one equal to it is allowed. A null url or one without ``://`` has empty
+    host and path and no rule, and is allowed; a null html has no links. Rows repeat as the input's do, other columns are
+    ignored, and an empty table gives an empty one.
     """
     rules = RULES if rules is None else rules
     base = pages.select("page_id", F.col("url").alias("_gs_url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -91,7 +101,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, th
     judged = base.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), rule.alias("rule"), action.alias("action"))
     by_host = judged.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("action") == "allow").alias("good"), F.count_if(F.col("action") == "block").alias("bad"))
     by_host = checkpointed(by_host)
-    seeds = by_host.where("good > 0").select(F.lit("trust").alias("kind"), "host", F.lit(1.0).alias("w")).union(by_host.where("bad = n").select(F.lit("distrust"), "host", F.lit(1.0)))
+    share = lambda kind, pages: by_host.where(F.col(pages) > 0).select(F.lit(kind).alias("kind"), "host", (F.col(pages) / F.col("n")).alias("w"))
+    seeds = share("trust", "good").union(share("distrust", "bad"))
     edges = checkpointed(host_edges(pages))
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     rank = propagate(both, seeds, rounds=rounds)
