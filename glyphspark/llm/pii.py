@@ -1,11 +1,11 @@
 """Op 5: personal data by weak supervision. DataFrame functions only; nothing is shuffled but counts of vote patterns.
 
-Base patterns give the sure spans. They, and candidates of looser patterns, get votes by three labelers: a format
-labeler (regex), a gazetteer labeler (top-level domains, calling codes, issuer prefixes, address ranges) and a context
-labeler (words before the span). The number of candidates by kind, votes and length class is a table of bounded
-size; from it, expectation-maximisation on the driver estimates each labeler's reliability for each kind, and a span
-classifier (naive Bayes on votes and length class, from the estimated labels) is trained. Its decisions for all
-possible patterns go back as a literal map. Candidates that it accepts and no base span of the kind overlaps are added.
+Base patterns give the sure spans. Looser patterns give candidates, on the text with the sure spans of the kind blanked out. All get
+votes by three labelers: a format labeler (regex), a gazetteer labeler (top-level domains, calling codes, issuer prefixes,
+address ranges) and a context labeler (words before the span). The number of candidates by kind, votes and length class
+is a table of bounded size; from it, expectation-maximisation on the driver estimates each labeler's reliability for
+each kind, and a span classifier (naive Bayes on votes and length class, from the estimated labels) is trained. Its decisions
+for all possible patterns go back as a literal set. Candidates that it accepts are added; sure spans stay whatever it says.
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PARTS = rf"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{{1,2}})(?:\.|$)){{4}}$"
-# Looser candidates.
+# Looser candidates: disguised mail addresses, addresses with marked dots or in hexadecimal groups, numbers of a card's or a
+# phone's length in other groupings.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "card": r"(?<![0-9])(?:[0-9]{4}[\x20-]){3}[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{15,16}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:[\[(](?i:at)[\])]|@)\x20?[A-Za-z0-9-]++(?:(?:\x20?[\[(](?i:dot)[\])]\x20?|\.)[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9A-Za-z.:])(?:[0-9]{1,3}(?:\x20?[\[(](?:\.|dot)[\])]\x20?[0-9]{1,3}){3}(?![0-9])|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}(?![0-9A-Za-z:]))",
+    "card": r"(?<![0-9])(?:[0-9]{4}[\x20-]){3}[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{15,16}(?![0-9])|(?<![0-9])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 # Gazetteers.
 DOMAINS = ["com", "org", "net", "edu", "gov", "info", "io", "eu", "uk", "de", "fr", "es", "it", "nl", "at", "ch", "be", "us", "ca", "mx", "ar", "br"]
@@ -40,25 +42,50 @@ CONTEXT = {
     "card": (r"(?i)\b(?:card|visa|credit|debit|payment|carte|karte|tarjeta)\b", r"(?i)\b(?:isbn|order|invoice|serial|id|ref|tracking)\b"),
     "phone": (r"(?i)\b(?:phone|tel|call|fax|mobile|cell|telefon|tel[eé]fono)\b", r"(?i)\b(?:isbn|order|invoice|serial|id|ref|version)\b"),
 }
-CONTEXT_CHARS, ACCEPT, EM_ROUNDS = 48, 0.9, 60
+CONTEXT_CHARS, ACCEPT, EM_ROUNDS, TRUST = 48, 0.9, 60, 4.0
 _SPAN = "array<struct<a:int,b:int,m:string,before:string>>"
 
 
-def spans_of(text: Column, pattern: str, when: Column) -> Column:
-    """Matches of a pattern, leftmost and apart, as (start, end, match, characters before), in code points.
+def _placed(both: Column) -> Column:
+    """Matches (gap before, characters before, match) with their places (start, end, match, characters before).
 
-    What lies between matches gives their places: the pieces and the matches are walked once, side by side.
+    Places are running sums, taken in blocks of about the root of their number and then over the blocks, so that a text with very many
+    matches doesn't copy them again for every match.
     """
-    matches, pieces = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(CONTEXT_CHARS)).alias("before"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    side = F.greatest(F.ceil(F.sqrt(F.size(both))).cast("int"), F.lit(1))
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + x["gap"]
         b = a + F.length(x["m"])
         return F.struct(b.alias("at"), F.array_append(acc["out"], F.struct(a.alias("a"), b.alias("b"), x["m"].alias("m"), x["before"].alias("before"))).alias("out"))
 
-    return F.when(when, F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    def join(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda s: F.struct((s["a"] + acc["at"]).alias("a"), (s["b"] + acc["at"]).alias("b"), s["m"].alias("m"), s["before"].alias("before")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.array_append(acc["out"], moved).alias("out"))
+
+    none = F.array().cast(_SPAN)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(both) / side).cast("int") - 1, F.lit(0))), lambda i: F.slice(both, i * side + 1, side))
+    sums = F.transform(blocks, lambda b: F.aggregate(b, F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+    return F.flatten(F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")), join, lambda acc: acc["out"]))
+
+
+def _between(text: Column, pattern: str) -> tuple[Column, Column]:
+    """What lies between the matches of a pattern (one more than there are), and the matches."""
+    return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+
+
+def spans_of(text: Column, pattern: str, when: Column) -> Column:
+    """Matches of a pattern, leftmost and apart, as (start, end, match, characters before), in code points."""
+    pieces, matches = _between(text, pattern)
+    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(CONTEXT_CHARS)).alias("before"), m.alias("m")))
+    return F.when(when, _placed(both)).otherwise(F.array().cast(_SPAN))
+
+
+def blanked(text: Column, kind: str, pattern: str, when: Column) -> Column:
+    """The text with a mark that no pattern takes in place of every code point of the kind's sure spans."""
+    pieces, matches = _between(text, pattern)
+    hidden = F.transform(matches, lambda m: F.when(_valid(kind, m), F.repeat(F.lit("\x01"), F.length(m))).otherwise(m))
+    return F.when(when, F.array_join(F.flatten(F.zip_with(pieces, F.concat(hidden, F.array(F.lit(""))), lambda p, m: F.array(p, m))), "")).otherwise(text)
 
 
 def _digits(m: Column) -> Column:
@@ -80,13 +107,14 @@ def _votes(kind: str, m: Column, before: Column) -> list[Column]:
     n = F.length(digits)
     one, none, against = F.lit(1), F.lit(0), F.lit(-1)
     if kind == "email":
-        form = F.when(m.contains("@"), one).otherwise(none)
-        known = F.when(F.regexp_extract(m, r"\.([A-Za-z0-9-]+)$", 1).isin(DOMAINS), one).otherwise(none)
+        form = F.when(m.rlike(r"^[^@]++@[^@\x20]++$"), one).otherwise(none)
+        known = F.when(F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)).isin(DOMAINS), one).otherwise(against)
         size = F.when(F.length(m) < 8, 0).when(F.length(m) < 40, 1).otherwise(2)
     elif kind == "ip":
-        form = F.when(m.rlike(IP_PARTS), one).otherwise(against)
-        known = F.when(m.rlike(r"^0*(?:[1-9][0-9]?|1[0-9][0-9]|2[01][0-9]|22[0-3])\."), one).otherwise(against)
-        size = F.when(F.length(m) < 9, 0).otherwise(1)
+        dots = F.regexp_replace(m, r"\x20?[\[(](?:\.|dot)[\])]\x20?", ".")
+        form = F.when(dots.rlike(IP_PARTS) | m.contains(":"), one).otherwise(against)
+        known = F.when(dots.rlike(r"^0*(?:[1-9][0-9]?|1[0-9][0-9]|2[01][0-9]|22[0-3])\.") | m.rlike("^(?i:2[0-9a-f]{3}|3[0-9a-f]{3}|f[cde][0-9a-f]{2}):"), one).otherwise(against)
+        size = F.when(m.contains(":"), 2).when(F.length(dots) < 9, 0).otherwise(1)
     elif kind == "card":
         form = F.when(F.call_function("luhn_check", digits), one).otherwise(against)
         known = F.when(digits.rlike(ISSUERS), one).otherwise(against)
@@ -104,12 +132,16 @@ def candidates(text: Column) -> Column:
     """All base spans and loose candidates of a text: (a, b, kind, base, key); ``key`` names kind, votes and length class."""
     digit = text.rlike("[0-9]")
     base = {"email": (EMAIL, text.contains("@")), "ip": (IP, text.rlike(r"[0-9]\.[0-9]")), "card": (CARD, digit), "phone": (PHONE, text.contains("+"))}
-    loose = {"email": F.contains(F.lower(text), F.lit("at)")) | F.contains(F.lower(text), F.lit("at]")), "card": text.rlike("[0-9]{4}"), "phone": text.rlike("[0-9]{3}[ .-][0-9]{4}")}
+    loose = {
+        "email": text.rlike(r"(?i)[\[(]at[\])]|@\x20|\x20@|[\[(]dot[\])]"),
+        "ip": text.rlike(r"[0-9]\x20?[\[(](?:\.|dot)[\])]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]"),
+        "card": text.rlike("[0-9]{4}"),
+        "phone": text.rlike("[0-9]{3}[ .-][0-9]{4}"),
+    }
     parts = []
     for kind in KINDS:
         parts.append(_rows(text, kind, True, *base[kind]))
-        if kind in LOOSE:
-            parts.append(_rows(text, kind, False, LOOSE[kind], loose[kind]))
+        parts.append(_rows(F.when(loose[kind], blanked(text, kind, *base[kind])).otherwise(F.lit("")), kind, False, LOOSE[kind], loose[kind]))
     return F.concat(*parts)
 
 
@@ -134,7 +166,8 @@ def estimate(counts: dict[tuple[str, int, int, int, int], int], rounds: int = EM
 
     ``counts`` are candidates by (kind, three votes, length class). For each kind: expectation-maximisation over the votes
     (a labeler's votes depend on the truth alone), from the majority vote on; then naive Bayes on votes and length
-    class with the estimated truth as labels. A kind without candidates accepts what the votes' majority says.
+    class with the estimated truth as labels. A labeler starts out as one that agrees with the truth ``TRUST`` times for every time
+    that it doesn't, which tells the two classes apart and decides alone where a kind has no candidates.
     """
     out = {}
     for kind in KINDS:
@@ -143,7 +176,8 @@ def estimate(counts: dict[tuple[str, int, int, int, int], int], rounds: int = EM
         truth = {k: min(0.95, max(0.05, 0.5 + 0.3 * sum(k[:3]))) for k in own}
 
         def shares(column: int, values: tuple[int, ...], truth: dict, own: dict) -> list[dict[int, float]]:
-            sums = [{v: 1.0 for v in values} for _ in range(2)]  # one of each is added to all counts
+            agree = [lambda v: TRUST if v < 0 else 1.0, lambda v: TRUST if v > 0 else 1.0] if column < 3 else [lambda v: 1.0] * 2
+            sums = [{v: agree[y](v) for v in values} for y in range(2)]
             for k, n in own.items():
                 sums[1][k[column]] += n * truth[k]
                 sums[0][k[column]] += n * (1 - truth[k])
@@ -163,8 +197,7 @@ def estimate(counts: dict[tuple[str, int, int, int, int], int], rounds: int = EM
         tables = [(c, shares(c, (-1, 0, 1), truth, own)) for c in range(3)] + [(3, shares(3, (0, 1, 2, 3), truth, own))]
         prior = prior_of(truth, own, total)
         for k in itertools.product((-1, 0, 1), (-1, 0, 1), (-1, 0, 1), (0, 1, 2, 3)):
-            # a span that its labelers vote down on balance, or don't know, is never added
-            out["|".join(map(str, (kind, *k)))] = posterior(k, tables, prior) if own and sum(k[:3]) > 0 else 0.0
+            out["|".join(map(str, (kind, *k)))] = posterior(k, tables, prior)
     return out
 
 
@@ -184,13 +217,13 @@ def find(docs: DataFrame, model: dict[str, float], accept: float = ACCEPT) -> Da
 
     Rows: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 (of ``kind:start:end`` by start, then kind,
     comma-joined), spans (the base spans and those added, joined likewise). Places are in code points, end exclusive.
-    A null or empty text has no spans. Rows repeat as the input's do.
+    A null or empty text has no spans. Rows repeat as the input's do; a null doc_id stays null, other columns are ignored, and
+    an empty table gives an empty one. Of the added spans none overlaps a base span of its kind.
     """
     added = sorted(k for k, p in model.items() if p >= accept)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), candidates(F.coalesce(F.col("text"), F.lit(""))).alias("c"))
-    found = found.select("doc_id", F.filter("c", lambda c: c["base"]).alias("base"), F.filter("c", lambda c: ~c["base"] & c["key"].isin(added)).alias("more"))
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["kind"] == m["kind"]) & (b["a"] < m["b"]) & (m["a"] < b["b"])))
+    found = found.select("doc_id", F.filter("c", lambda c: c["base"]).alias("base"), F.filter("c", lambda c: c["base"] | c["key"].isin(added)).alias("every"))
     names = F.array(*[F.lit(k) for k in KINDS])
     plain = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["a"], s["kind"], s["b"]))), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["a"].cast("string"), s["b"].cast("string")))
     counts = [F.size(_of_kind("base", k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(plain("base"), ","), 256).alias("base_sha256"), F.array_join(plain(F.concat("base", apart)), ",").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.array_join(plain("base"), ","), 256).alias("base_sha256"), F.array_join(plain("every"), ",").alias("spans"))
