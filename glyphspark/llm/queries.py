@@ -100,4 +100,33 @@ e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc
 e2 AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e2.b FROM r JOIN e2 ON r.b = e2.a)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL""",
+    "op9_decontamination": r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+d AS (SELECT doc_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM dw),
+i AS (SELECT item_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM iw),
+m AS (SELECT doc_id, item_id, d.p - i.p AS start, d.p, d.n AS dn, i.n AS n FROM d JOIN i ON d.w = i.w),
+c AS (SELECT *, least(16, n) AS w, least(dn, start + n) - greatest(0, start) AS overlap, count(*) OVER (PARTITION BY doc_id, item_id, start ORDER BY p RANGE BETWEEN 15 PRECEDING AND CURRENT ROW) AS k FROM m),
+best AS (SELECT doc_id, item_id, max({'k': k, 'w': least(w, overlap)}) AS b FROM c WHERE overlap >= least(w, 12) AND k >= CASE WHEN n < 12 THEN n ELSE ceil(0.75 * w) END GROUP BY ALL)
+SELECT doc_id, item_id, b.k::BIGINT AS n_equal, b.w::BIGINT AS n_window FROM best""",
+    "op10_url_filter": rf"""
+WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+j AS (SELECT page_id, host, path, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h),
+a AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS action FROM j),
+b AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE action = 'allow') AS good, count(*) FILTER (WHERE action = 'block') AS bad FROM a WHERE host <> '' GROUP BY host),
+s AS (SELECT 'trust' AS kind, host, good / n AS w FROM b WHERE good > 0 UNION ALL SELECT 'distrust', host, bad / n FROM b WHERE bad > 0),
+s1 AS (SELECT kind, host, w / sum(w) OVER (PARTITION BY kind) AS w FROM s),
+l AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, 'href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1, 'i')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM h WHERE host <> ''),
+p AS (SELECT string_split(host, '.') AS x FROM b),
+q AS (SELECT DISTINCT array_to_string(x[i:], '.') AS src, array_to_string(x[i + 1:], '.') AS dst FROM (SELECT x, unnest(range(1, len(x) - 1)) AS i FROM p)),
+e AS (SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, 1 AS n FROM l WHERE src <> dst UNION ALL SELECT src, dst, 1 FROM q UNION ALL SELECT dst, src, 1 FROM q) GROUP BY ALL),
+t AS (SELECT 'trust' AS kind, src, dst, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY src) AS f FROM e UNION ALL SELECT 'distrust', dst, src, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY dst) FROM e),
+y AS (SELECT 0 AS k, kind, host, w FROM s1 UNION ALL SELECT y.k + 1, y.kind, t.dst, sum(y.w * t.f) FROM y JOIN t ON t.kind = y.kind AND t.src = y.host WHERE y.k < {url_filter.ROUNDS} GROUP BY ALL),
+r AS (SELECT host, round(sum(CASE WHEN kind = 'distrust' THEN 1 ELSE -1 END * CASE WHEN k < {url_filter.ROUNDS} THEN 0.15 ELSE 1 END * w) * (SELECT count(*) FROM b), 9) AS score FROM y GROUP BY host)
+SELECT page_id, a.host, path, rule, coalesce(action, CASE WHEN coalesce(score, 0) > 1 THEN 'block' ELSE 'allow' END) AS verdict, coalesce(score, 0)::DOUBLE AS score
+FROM a LEFT JOIN r ON a.host = r.host""",
 }

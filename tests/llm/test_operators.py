@@ -2,18 +2,21 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from glyphspark.llm import bpe, decontaminate, fingerprints, language_id, line_dedup, ngram_join, pii, queries, suffix_dedup, token_counts, url_filter
+from glyphspark.llm import _spark, bpe, decontaminate, fingerprints, language_id, line_dedup, ngram_join, pii, queries, suffix_dedup, token_counts, url_filter
 
 DATA = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -125,6 +128,40 @@ def test_op2(spark, odd, docs, empty):
     assert out.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"] and out.count() == docs.count()
 
 
+def test_op2_against_brute_force(spark, odd, docs):
+    """Every dictionary's compressed size, language by language, of the letters' runs."""
+    model = language_id.fit(docs.where(~queries.held_out(F.col("doc_id"))))
+    assert all(len(d) <= language_id.DICT_BYTES for d in model.values())
+    tricky = ["½ ²", "Ⅷ ①", "1²", "a½b", "x" * 50, "Le été", "DER Die das", "漢字", "_", "é", "e\u0301\u0301"]
+    frame = spark.createDataFrame([(1000 + k, t) for k, t in enumerate(tricky)], "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+    frame = frame.where("doc_id is not null").dropDuplicates(["doc_id"])
+    texts = {r["doc_id"]: r["text"] for r in frame.collect()}
+    got = by_id(language_id.predict(frame.withColumn("score", F.lit("old")), model, keep=["doc_id", "score"]))
+    for i, t in texts.items():
+        runs = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        seen = []
+        for w in runs:
+            if w not in seen:
+                seen.append(w)
+        body = " ".join(seen).encode()
+        assert (got[i]["lang_pred"] == "und") == (not any(c.isalpha() for c in t or "")), t
+        if body:
+            sizes = {}
+            for lang, raw in model.items():
+                own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                own.precompute_compress(level=language_id.LEVEL)
+                sizes[lang] = len(zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=own, write_content_size=False).compress(body))
+            a, b = sorted(sizes.values())[:2]
+            assert got[i]["lang_pred"] == min(sizes, key=lambda x: (sizes[x], x)) and got[i]["rejected"] == ((b - a) / b < language_id.MIN_MARGIN)
+
+
+def test_op2_sample_is_whole_texts(spark):
+    rows = [(1, "aa bb", "x"), (2, "cc " * 300_000, "x"), (3, "dd ee ff", "x")] + [(4, "gg hh", "x")] * 50
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(language_id.fit(frame)["x"].split(b"\n")) == [b"aa bb", b"dd ee ff", b"gg hh"]
+    assert set(language_id.fit(frame, dict_bytes=7)["x"].split(b"\n")) <= {b"aa bb", b"gg hh"}
+
+
 def test_op2_too_many_languages(spark):
     rows = spark.range(501).selectExpr("id AS doc_id", "'some words' AS text", "concat('l', id) AS lang")
     with pytest.raises(ValueError, match="500 languages"):
@@ -204,21 +241,41 @@ def test_op4_and_op7(odd, docs, empty):
     assert bpe.bpe(empty, PATH).count() == token_counts.token_counts(empty, PATH).count() == 0
 
 
-@pytest.mark.parametrize("text", ["ΟΔΟΣ, Σίσυφος", "don't I'LL 'S", "<|endoftext|>.,", "12 ①² ª ß. İ,", "été é. ̸x", "😀漢字,カ", "a\x00b\x1cc\x85d"])
-def test_bpe_pieces(text):
+TRICKY = ["ΟΔΟΣ, Σίσυφος", "don't I'LL 'S ''s !'S x's.", "<|endoftext|>., <|EndOfText|> a<|startoftext|>b", "12 ①² ª ß. İ,X İ́ ", "été é. ̸x ×÷ Éa9é_É", "😀漢字,カ", "a\x00b\x1cc\x85d\x7f", "J̌a ǰ İX", "K" * 500 + " k" + "é" * 150, "", "A" * 199 + " " + "a" * 199 + "." * 300]
+_alphabet = "aB'sStTlL.,!-_/@#12 \n\tÉéΣİſŉ×÷̸①漢😀K<|\x1c\x85\u00a0"
+TRICKY += ["".join(_rng.choice(_alphabet) for _ in range(_rng.randrange(60))) for _ in range(600)]
+
+
+def test_bpe_tricky_texts():
     library, own = Tokenizer.from_file(PATH), bpe.WordBpe(PATH)
-    ids = [i for p in bpe.cut(text) for i in map(int, own.piece(p)[1].split())]
-    assert ids == library.encode(text, add_special_tokens=False).ids
+    want = [library.encode(t, add_special_tokens=False).ids for t in TRICKY]
+    for _ in range(2):  # the second time from its table
+        found, which, at = own.entries(pa.array(TRICKY))
+        texts = [str(x, "utf-8") for x in bpe._joined([x[1] for x in found], which, at)]
+        assert [list(map(int, x.split())) for x in texts] == want
+        assert bpe._per_text(np.array([x[0] for x in found])[which], at).tolist() == [len(x) for x in want]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_token_counts_of_tricky_texts(spark, name):
+    path = public_tokenizers.path(name)
+    if name.endswith(".model"):
+        import sentencepiece
+
+        encode = sentencepiece.SentencePieceProcessor(model_file=path).encode
+    else:
+        encode = lambda t, tokenizer=Tokenizer.from_file(path): tokenizer.encode(t, add_special_tokens=False).ids
+    texts = [t.replace("\x00", "") for t in TRICKY] + [LONG]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = by_id(token_counts.token_counts(frame, path))
+    assert [got[i]["n_tokens"] for i in range(len(texts))] == [len(encode(t)) for t in texts]
 
 
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_token_counts_of_pieces(name):
-    library, own = Tokenizer.from_file(public_tokenizers.path(name)), token_counts.Counts(public_tokenizers.path(name))
-    alphabet = "aB'sStTlL.,!-_/@#12 \n\tÉéΣİ̸①漢😀K\x1c\x85\u00a0"
-    texts = ["", "ΟΔΟΣ, Σίσυφος", "don't I'LL 'S ''s !'S x's.", "<|endoftext|>., <|EndOfText|> a<|startoftext|>b", "J̌a ǰ İX", "K" * 500 + " k", LONG]
-    texts += ["".join(_rng.choice(alphabet) for _ in range(_rng.randrange(60))) for _ in range(400)]
-    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
-    assert own.texts(texts) == want and own.texts(texts) == want  # the second time from its tables
+def test_token_counts_in_small_blocks(spark, docs, monkeypatch):
+    whole = {r["doc_id"]: tuple(r) for r in token_counts.token_counts(docs, PATH).collect()}
+    monkeypatch.setattr(token_counts, "BLOCK_BYTES", 1 << 14)
+    monkeypatch.setattr(token_counts, "SLICE_BYTES", 1 << 12)
+    assert {r["doc_id"]: tuple(r) for r in token_counts.token_counts(docs, PATH).collect()} == whole
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -250,7 +307,69 @@ def test_op5(spark, odd, docs, empty):
             assert set(filter(None, line.split(","))) <= set(got[i]["spans"].split(","))
     assert pii.find(empty, pii.fit(empty)).count() == 0
     again = pii.estimate({("phone", 1, 1, 0, 1): 90, ("phone", 0, 0, -1, 0): 300, ("phone", 0, 1, 0, 1): 5})
-    assert again["phone|1|1|0|1"] > 0.9 and again["phone|0|0|-1|0"] == 0.0
+    assert again["phone|1|1|0|1"] > 0.9 and again["phone|0|0|-1|0"] < 0.01
+
+
+def planted_texts():
+    """Texts with disguised personal data (kind, start, end) that no base pattern takes, and with numbers that are none."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+
+    def card(n):
+        body = "4" + digits(n - 2)
+        total = sum(int(c) if i % 2 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(body)))
+        return body + str(-total % 10)
+
+    def four(x, mark):
+        return mark.join(x[k : k + 4] for k in range(0, 16, 4))
+
+    name = lambda: rng.choice(WORDS).replace("é", "e")
+    true = {
+        "email": lambda: (rng.choice(["e-mail ", "contact ", "write to "]), rng.choice([f"{name()}.{name()} [at] {name()}.com", f"{name()}(at){name()}[dot]org", f"{name()} [at] {name()} [dot] net"])),
+        "ip": lambda: (rng.choice(["server ", "login from ", "host "]), rng.choice(["[.]".join(str(rng.randint(1, 223)) for _ in range(4)), ":".join(["2001", *(f"{rng.randrange(1, 65536):x}" for _ in range(7))])])),
+        "card": lambda: (rng.choice(["card ", "visa ", "credit "]), rng.choice([four(card(16), "."), four(card(16), "/")])),
+        "phone": lambda: (rng.choice(["phone ", "call ", "fax "]), f"({rng.randint(200, 989)}) {rng.randint(200, 989)}-{digits(4)}"),
+    }
+    false = [lambda: ("order ", f"{digits(3)}-{digits(3)}-{digits(4)}"), lambda: ("isbn ", f"{rng.randint(100, 200)}-{digits(3)}-{digits(4)}"), lambda: ("at ", f"{rng.randrange(24)}:{digits(2)}:{digits(2)}"), lambda: ("version ", "[.]".join(str(rng.randint(300, 900)) for _ in range(4))), lambda: ("invoice ", "1111.2222.3333.4446")]
+    rows = []
+    for i in range(600):
+        text, spans = _text(rng.randint(3, 20)) + " ", []
+        for _ in range(rng.randrange(4)):
+            kind = rng.choice(list(true))
+            before, what = true[kind]() if (good := rng.random() < 0.5) else rng.choice(false)()
+            if good:
+                spans.append((kind, len(text) + len(before), len(text) + len(before) + len(what)))
+            text += before + what + " " + _text(rng.randint(8, 20)) + " "
+        rows.append((i, text, spans))
+    return rows
+
+
+def test_op5_added_spans(spark):
+    """Recall and precision of what the method adds to the base spans."""
+    rows = planted_texts()
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = by_id(pii.find(frame, pii.fit(frame)))
+    base = {i: {f"{list(PATTERNS)[k]}:{a}:{b}" for a, k, b in sure_spans(t)} for i, t, _ in rows}
+    for kind in pii.KINDS:
+        want = {(i, f"{k}:{a}:{b}") for i, _, spans in rows for k, a, b in spans if k == kind}
+        found = {(i, x) for i, _, _ in rows for x in got[i]["spans"].split(",") if x.startswith(kind) and x not in base[i]}
+        assert len(want) > 50 and len(want & found) >= 0.9 * len(want) and len(want & found) >= 0.9 * len(found), (kind, len(want), len(found), len(want & found))
+
+
+def test_op5_many_matches(spark):
+    """Places by running sums over blocks, and blanked base spans, against plain loops."""
+    texts = ["".join(_rng.choice(["a@b.co", " 1.2.3.4", " 5[.]6[.]7[.]8 ", "é", " x [at] y.org "]) for _ in range(n)) for n in (0, 1, 2, 3, 10, 99, 100, 101, 5000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for kind, pattern in (("email", pii.EMAIL), ("ip", pii.IP)):
+        rows = frame.select("doc_id", pii.spans_of(F.col("text"), pattern, F.lit(True)).alias("s"), pii.blanked(F.col("text"), kind, pattern, F.lit(True)).alias("t")).collect()
+        for r in rows:
+            text = texts[r["doc_id"]]
+            want = [(a, b) for a, k, b in sure_spans(text) if pii.KINDS[k] == kind]
+            assert [(x["a"], x["b"]) for x in r["s"]] == want and all(x["m"] == text[x["a"] : x["b"]] for x in r["s"])
+            hidden = list(text)
+            for a, b in want:
+                hidden[a:b] = "\x01" * (b - a)
+            assert r["t"] == "".join(hidden)
 
 
 def test_op6(odd, docs, empty):
@@ -297,7 +416,24 @@ def test_op8(odd, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_op9(spark, odd, docs, empty):
+def test_op8_streams_sorted_ranges(docs):
+    lines = line_dedup._hashed(docs.select("doc_id", "text"))
+    plan = line_dedup.common_lines(lines, 10)._jdf.queryExecution().sparkPlan().toString() + line_dedup.common_lines(lines, 10)._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("rangepartitioning(h1")]
+    assert "Window" in top and "Sort [h1" in top.replace("#", " #").replace("  ", " ") and "Aggregate" not in top
+
+
+def test_op8_bitmaps(spark):
+    rows = [(1, "a\nb\nc\nd\ne"), (2, "x\na\nb\nb\nz\nd"), (3, "\n".join(f"r{k % 50}" for k in range(3000))), (4, "\n".join(f"r{k}" for k in range(0, 50, 2))), (5, "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept_text", F.lit("old"))
+    got = {r["doc"]: (r["bitmap"], r["n_dropped"]) for r in line_dedup.keep_bitmaps(frame, 2).collect()}
+    assert got[1] == ([0, 2, 3, 4], 3) and got[2] == ([1, 4, 5, 6], 4) and got[4] == ([0, 25], 25) and 5 not in got
+    texts = {r["doc_id"]: (r["kept_text"], r["n_dropped"]) for r in line_dedup.dedup_lines(frame, 2, keep_first=False).collect()}
+    assert texts[1] == ("c\ne", 3) and texts[2] == ("x\nz", 4) and texts[4] == ("", 25) and texts[5] == ("y", 0)
+    assert texts[3][1] == 1500 and texts[3][0] == "\n".join(f"r{k % 50}" for k in range(3000) if k % 2)
+
+
+def test_op9(spark, odd, docs, empty, monkeypatch):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     grams = {tuple(w[k : k + 13]) for r in bench.collect() for w in [words(r["text"])] for k in range(len(w) - 12)}
@@ -308,12 +444,10 @@ def test_op9(spark, odd, docs, empty):
     items = spark.createDataFrame([(1, " ".join(changed)), (2, None), (3, ""), (4, "one two three"), (5, _text(40))], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd, items).collect()}
     assert got == {(10, 1), (11, 1), (7, 4), (8, 4)}
-    old = decontaminate.BLOCK_WORDS
-    try:
-        decontaminate.BLOCK_WORDS = 20
-        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd, items).collect()} == got
-    finally:
-        decontaminate.BLOCK_WORDS = old
+    monkeypatch.setattr(_spark, "BROADCAST_BYTES", -1)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd, items).collect()} == got
+    monkeypatch.setattr(decontaminate, "MAX_BITS", 3 + 13)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd, items).collect()} == got
     assert decontaminate.decontaminate(odd, items).count() == odd.count() - 4
     assert decontaminate.contaminated(empty, items).count() == decontaminate.contaminated(odd, items.where("false")).count() == 0
 
@@ -336,14 +470,39 @@ def test_op9_cut_off_passages(spark):
 def test_op9_every_substitution():
     for size, differ in ((12, 3), (13, 3), (14, 3), (15, 3), (16, 4)):
         item = np.arange(1, size + 1, dtype=np.uint64)
-        block = decontaminate.Block([(1, item)])
+        masks = decontaminate.masks_for([])
         for at in itertools.combinations(range(size), differ):
             doc = item.copy()
             doc[list(at)] += np.uint64(1000)
-            assert (0, 0) in block.diagonals(doc), at
+            assert any((decontaminate.seeds(doc, m, k) == decontaminate.seeds(item, m, k)).any() for k, m in enumerate(masks)), at
             assert decontaminate.agreement(doc, item, 0, 16, 0.75) == (size - differ, size)
 
 
+def test_op9_random_substitutions(spark):
+    """Against brute force over all diagonals: passages of 12 to 60 words with 0 to 40 % of their words changed."""
+    rng = random.Random(4)
+    items = [[f"{rng.choice(WORDS)}{rng.randrange(9)}" for _ in range(rng.choice((3, 9, 12, 15, 40, 70)))] for _ in range(30)]
+    texts = []
+    for _ in range(250):
+        item, share = rng.choice(items), rng.choice((0, 0.1, 0.2, 0.3, 0.4))
+        a = rng.randrange(max(1, len(item) - 11))
+        own = [f"z{rng.randrange(50)}" if rng.random() < share else w for w in item[a : a + rng.randint(8, 60)]]
+        texts.append([f"y{rng.randrange(50)}" for _ in range(rng.randrange(20))] + own + [f"y{rng.randrange(50)}" for _ in range(rng.randrange(20))])
+    want = {}
+    for d, doc in enumerate(texts):
+        for i, item in enumerate(items):
+            w = min(16, len(item))
+            for start in range(-len(item), len(doc)):
+                a, b = max(0, start), min(len(doc), start + len(item))
+                if b - a >= min(w, 12):
+                    n = min(w, b - a)
+                    equal = [doc[k] == item[k - start] for k in range(a, b)]
+                    best = max(sum(equal[k : k + n]) for k in range(len(equal) - n + 1))
+                    if best >= (math.ceil(0.75 * w) if len(item) >= 12 else len(item)):
+                        want[d, i] = max(want.get((d, i), (0, 0)), (best, n))
+    assert len(want) > 50 and found_pairs(spark, [" ".join(t) for t in texts], [" ".join(x) for x in items]) == want
+
+
 def test_op10(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
     pages = [(1, "http://Good.Example.net/en/1?x", link("friend.org")), (2, "https://bad.net/a#b", None), (3, "http://spam.com/a", link("bad.net", "bad.net")), (4, "http://friend.org/de/", ""), (5, None, None), (6, "nothing", ""), (7, "http://x.example.com/de/y", ""), (8, "http://net", ""), (9, "ftp://a.b.org/fr/?q", None), (9, "ftp://a.b.org/fr/?q", None)]
