@@ -1,8 +1,9 @@
-"""Which values of an owner also occur elsewhere: values are dealt by hash in packed blocks.
+"""Which values of an owner another owner has too: values are dealt by hash in packed blocks.
 
-A task packs the (owner, value) pairs of its rows; a value that is there more than once is told at once and passed on once,
-without an owner, so a frequent value reaches the task of its bucket as one entry a block. Buckets compare 32 bits
-of a value and the bucket itself, so an answer may rarely name a value that is alone; none that repeats is missed.
+A task packs the (owner, value) pairs of its rows; a value that several owners have there is told at once and passed on once,
+without an owner, so a frequent value reaches the task of its bucket as one entry a block. Rows of one owner (copies of
+a text) count as one. Buckets compare 32 bits of a value and the bucket itself, so an answer may rarely name a value that is
+alone, and one may be told by several blocks; none that repeats is missed.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ def _cuts(x: np.ndarray) -> np.ndarray:
 def repeats(df: DataFrame, pairs: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], buckets: int, with_values: bool = False) -> DataFrame:
     """(owner, n, values): owners with the number of their values that occur elsewhere, and packed if asked for those (narrowed).
 
-    ``pairs`` yields owners (int64) and values (uint64) of a batch of ``df``; an owner holds a value once. Answers go back
-    packed as well, by hash of the owner, so the rows between the stages grow with blocks and buckets, not with pairs.
+    ``pairs`` yields owners (int64) and values (uint64) of a batch of ``df``. ``n`` may count a value once for every block that
+    tells it, if rows of the owner are in several. Answers go back packed as well, by hash of the owner, so the rows
+    between the stages grow with blocks and buckets, not with pairs.
     """
     kinds = [("to", pa.int32()), ("told", pa.bool_()), ("own", pa.binary()), ("n", pa.binary()), ("val", pa.binary())]
 
@@ -53,6 +55,18 @@ def repeats(df: DataFrame, pairs: Callable[[pa.RecordBatch], Iterator[tuple[np.n
             rows.append((int(to[a]), told, owner[a:b][own[:-1]].tobytes(), np.diff(own).astype(np.int32).tobytes(), b"" if value is None else value[a:b].astype(of).tobytes()))
         return rows
 
+    def several(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Where a sorted value has more than one owner; one that passed on a value without an owner counts too."""
+        cuts = _cuts(value)
+        return np.repeat(np.minimum.reduceat(owner, cuts[:-1]) != np.maximum.reduceat(owner, cuts[:-1]), np.diff(cuts))
+
+    def once(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((owner, value))
+        owner, value = owner[order], value[order]
+        new = np.ones(owner.size, bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
+        return owner[new], value[new]
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -61,11 +75,11 @@ def repeats(df: DataFrame, pairs: Callable[[pa.RecordBatch], Iterator[tuple[np.n
             held.clear()
             order = np.argsort(value, kind="stable")
             owner, value = owner[order], value[order]
-            new = np.concatenate([[True], value[1:] != value[:-1]])
-            run = np.cumsum(new) - 1
-            more = np.bincount(run)[run] > 1
-            rows = packed(np.full(int(more.sum()), value[0] % np.uint64(buckets), np.int64), owner[more], value[more] if with_values else None, True, np.uint64)
-            owner, value = np.where(more, NOBODY, owner)[new], value[new]
+            more = several(owner, value)
+            told, told_value = once(owner[more], value[more])
+            rows = packed(np.full(told.size, value[0] % np.uint64(buckets), np.int64), told, told_value if with_values else None, True, np.uint64)
+            first = _cuts(value)[:-1]
+            owner, value = np.where(more, NOBODY, owner)[first], value[first]
             return table(rows + packed((value >> np.uint64(32)).astype(np.int64), owner, value, False, np.uint32), pa.RecordBatch)
 
         size = 0
@@ -93,12 +107,13 @@ def repeats(df: DataFrame, pairs: Callable[[pa.RecordBatch], Iterator[tuple[np.n
         if owner.size:
             order = np.argsort(value, kind="stable")
             owner, value = owner[order], value[order]
-            run = np.cumsum(np.concatenate([[False], value[1:] != value[:-1]]))
-            again = (np.bincount(run)[run] > 1) & (owner != NOBODY)
-            known = np.concatenate([known, owner[again]])
+            again = several(owner, value)
+            again_owner, again_value = once(owner[again], value[again])
+            again_owner, again_value = again_owner[again_owner != NOBODY], again_value[again_owner != NOBODY]
+            known = np.concatenate([known, again_owner])
             if with_values:
-                value = value[again].astype(np.uint64) | (bucket << np.uint64(32))
-                known_value = value if known_value is None else np.concatenate([known_value, value])
+                again_value = again_value.astype(np.uint64) | (bucket << np.uint64(32))
+                known_value = again_value if known_value is None else np.concatenate([known_value, again_value])
         to = (V.mix(known.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         return table(packed(to, known, known_value if with_values else None, True, np.uint64), pa.Table)
 

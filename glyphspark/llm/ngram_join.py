@@ -3,7 +3,7 @@
 1. Every text's shingle set is hashed and summarised; equal sets become one class, so copies are joined only once.
 2. Tokens of the classes are dealt by hash in packed blocks; a class stays a candidate if at least the threshold's
    share of its tokens occurs in another class. A token that repeats within a block is told there, so a frequent
-   token reaches the task of its hash once for each block.
+   token reaches the task of its hash once for each block. Texts aren't moved: the sets of candidates are made from a second scan.
 3. Candidates' tokens get their frequency; rarest first, the prefix that any partner must share a token of links
    classes into candidate groups (connected components).
 4. Each group is joined on a prefix tree of its sets (tokens most frequent first, so that sets share their beginnings):
@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
@@ -25,12 +26,12 @@ from pyspark.sql import functions as F
 
 from glyphspark.llm import _vec as V
 from glyphspark.llm._repeats import repeats
-from glyphspark.llm._spark import checkpointed, connected_components, join_counted
+from glyphspark.llm._spark import checkpointed, connected_components
 
 #: Similar: PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 75
-#: Tokens of one task after dealing (about), classes joined in one tree.
-TASK_TOKENS, MAX_GROUP = 2_000_000, 4000
+#: Tokens of one task after dealing (about), classes joined in one tree, bits of the candidates' bitmap as a power of two at most.
+TASK_TOKENS, MAX_GROUP, MAX_BITS = 2_000_000, 4000, 28
 
 
 def class_sets(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -65,16 +66,38 @@ def _repeated(reps: DataFrame, buckets: int, width: int) -> DataFrame:
     return repeats(reps.select("text"), pairs, buckets).select(F.col("owner").alias("cls"), F.col("n").alias("repeated"))
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(cls, n, tok array<long>), one row a text with words."""
+def _bitmap(classes: DataFrame) -> tuple[bytes, int]:
+    """A bit for every class (by the top bits of its hash), and the number of bits as a power of two: 32 MB at most."""
+    n = classes.count()
+    bits = min(MAX_BITS, max(16, math.ceil(math.log2(max(1, 16 * n)))))
+    page = 1 << 15
+    bit = F.shiftrightunsigned("cls", 64 - bits)
+    rows = classes.groupBy(F.floor(bit / page).alias("page")).agg(F.bitmap_construct_agg(bit % page).alias("map")).collect()
+    out = bytearray(1 << (bits - 3))
+    for r in rows:
+        out[r["page"] * page // 8 : (r["page"] + 1) * page // 8] = r["map"]
+    return bytes(out), bits
+
+
+def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """(cls, n, tok array<long>) of the classes ``wanted`` (cls). A bitmap spares most other sets the way to the join."""
+    bitmap, bits = _bitmap(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(bitmap, np.uint8)
         for b in batches:
             for cls, tok, at in class_sets(b.column(0), width):
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tok.view(np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(np.diff(at), pa.int64()), lists], ["cls", "n", "tok"])
+                bit = (cls.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                n = np.diff(at)
+                keep = np.flatnonzero((known[bit >> 3] >> (bit & 7) & 1).astype(bool) & (n > 0))
+                if keep.size:
+                    cls, own = cls[keep], n[keep]
+                    tok = tok[np.repeat(at[keep] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own)]), pa.int32()), pa.array(tok.view(np.int64), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(own, pa.int64()), lists], ["cls", "n", "tok"])
 
-    return docs.select("text").mapInArrow(V.releasing(run), "cls long, n long, tok array<long>").where("n > 0")
+    found = docs.select("text").mapInArrow(V.releasing(run), "cls long, n long, tok array<long>").dropDuplicates(["cls"])
+    return found.join(wanted.hint("shuffle_merge"), "cls", "left_semi")
 
 
 class _Node:
@@ -206,7 +229,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = V.WOR
     Rows, one for each row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself
     included). A null, empty or wordless text has no shingles, links with nothing and is its own component; a text of fewer
     words than ``width`` has one shingle, the whole sequence. Rows with the same doc_id are one node. A row with a
-    null doc_id links nothing and has a null component_id. With ``links`` also n_links: how many other rows with a doc_id have
+    null doc_id links nothing and has a null component_id. Other columns are ignored; an empty table gives an empty one. With ``links`` also n_links: how many other rows with a doc_id have
     an equal or similar set; every similar pair of different sets is then tested.
     """
     spark = docs.sparkSession
@@ -214,18 +237,13 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = V.WOR
     rows = checkpointed(summaries(docs, width))
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     classes = checkpointed(classes)
-    firsts = classes.select(F.col("first").alias("doc_id")).distinct()
-    others = rows.where("doc_id is not null").select("doc_id").distinct().join(firsts, "doc_id", "left_anti")
-    reps = join_counted(docs.where("doc_id is not null"), others, "doc_id", "left_anti")
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = int(max(parts, -(-total // TASK_TOKENS)))
-    repeated = _repeated(reps, buckets, width)
-    near = classes.join(repeated, "cls").where(F.col("repeated") * 100 >= F.col("n") * percent)
-    candidates = near.select(F.col("first").alias("doc_id")).distinct()
-    sets = join_counted(docs.where("doc_id is not null"), candidates, "doc_id", "left_semi")
-    sets = _sets(sets, width).dropDuplicates(["cls"])
-    sets = checkpointed(sets)
+    known = docs.where("doc_id is not null")
+    repeated = _repeated(known, buckets, width)
+    near = checkpointed(classes.join(repeated, "cls").where(F.col("repeated") * 100 >= F.col("n") * percent).select("cls"))
+    sets = checkpointed(_sets(known, width, near))
     tokens = sets.select("cls", "n", F.explode("tok").alias("tok"))
     often = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     by_class = tokens.join(often, "tok").groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("tok"))
