@@ -1,18 +1,20 @@
 """Op 1: exact repeated substrings across documents, by multi-string Burrows-Wheeler transforms built column by column.
 
-Copies of whole texts are set aside first. Every window of ``width`` bytes has an anchor, the smallest hash of the
-``KGRAM``-byte strings in it, so that equal windows have equal anchors. Anchors that occur in several documents are
-found by packed blocks (``_repeats``); the runs of windows with such an anchor are short segments of text, dealt by anchor.
+Of equal whole texts the smallest document's is looked at, the others are copies. Every window of ``width`` bytes has an anchor,
+the smallest hash of the ``KGRAM``-byte strings in it, so that equal windows have equal anchors. Anchors that occur in several
+texts are found by packed blocks (``_repeats``); the runs of windows with such an anchor are short segments of text, dealt by
+anchor. Where an anchor is frequent, so that its contexts would crowd one task, the smallest hash of longer strings splits it.
 
 In each bucket the distinct segments are the collections of a column-wise (BCR) construction: each round inserts one symbol
 of every string, from its last to its first, at the place that the transform so far gives by counting symbols, and
 updates the array of longest common prefixes by range minima. A symbol is a block of bytes (ten for a width of 50), and
 each of the ten ways to cut a segment into blocks is a string of its own, so all byte positions are covered in a
-tenth of the rounds. Arrays are read and written in order once a round, and a collection has a bounded size, so they
-stay in memory instead of in files. Suffixes whose common prefixes are ``width`` or longer are equal windows; the
+tenth of the rounds. A collection has a bounded size, so its transform and its common prefixes stay in memory instead of
+in files, and range minima are looked up in a table rather than kept in one pass. Suffixes whose common prefixes are ``width`` or longer are equal windows; the
 smallest document of each decides. Segments carry one smallest and one largest
 document for each block of rows, so a passage that very many documents share is a few entries; the answer returns to all
-its places by a join on the segment, where adaptive execution splits hot keys.
+its places by a join on the segment, where adaptive execution splits hot keys. Texts are shuffled once, by their hash, and every
+step that needs them reads that exchange.
 """
 
 from __future__ import annotations
@@ -28,13 +30,16 @@ from pyspark.sql import functions as F
 
 from glyphspark.llm import _vec as V
 from glyphspark.llm._repeats import narrowed, repeats
-from glyphspark.llm._spark import checkpointed, join_counted, text_hash
+from glyphspark.llm._spark import checkpointed, text_hash
 
 WIDTH, KGRAM = 50, 20
 #: Text bytes for each bucket (about); segments that a task packs before it passes them on.
 BUCKET_BYTES, BLOCK_SEGMENTS = 6 << 20, 400_000
 #: Symbols of one collection at most (but for one anchor's segments), and of a block's bytes.
 COLLECTION, MAX_BLOCK = 60_000, 10
+#: An anchor that this many different texts have (about) is frequent; told by a sample of texts, in which it is at least so often;
+#: bits of the frequent anchors' bitmap as a power of two.
+HOT_SEGMENTS, SAMPLE_TEXTS, MIN_SAMPLED, HOT_BITS = 20_000, 20_000, 8, 22
 _END = 0xFFFF
 
 
@@ -214,8 +219,49 @@ def collections(anchor: np.ndarray, length: np.ndarray) -> Iterator[slice]:
         at = to
 
 
-def _segments(batch: pa.RecordBatch, buckets: int, width: int) -> Iterator[tuple]:
-    """Segments of slices of (doc, tag, text, values): bytes of the slice, first byte, length, key, anchor, row and place in its text."""
+def _hot(hashes: np.ndarray, hot: bytes) -> np.ndarray:
+    """Whether anchors are in the bitmap of frequent ones."""
+    bits = (len(hot) * 8).bit_length() - 1
+    at = (spread(hashes) >> np.uint64(64 - bits)).astype(np.int64)
+    return (np.frombuffer(hot, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def frequent_anchors(able: DataFrame, classes: DataFrame, width: int) -> bytes:
+    """A bitmap of anchors that about ``HOT_SEGMENTS`` different texts or more have, told by a sample of texts.
+
+    It decides only how finely windows are dealt, not what is found: a frequent phrase has as many contexts as texts, which would
+    all meet in one task.
+    """
+    n = classes.count()
+    share = min(1.0, SAMPLE_TEXTS / max(n, 1))
+    drawn = F.pmod("h1", F.lit(1 << 20)) < int(share * (1 << 20))
+    firsts = classes.where(drawn).select("h1", "h2", F.col("first").alias("doc_id"))
+    texts = able.where(drawn).join(firsts, ["h1", "h2", "doc_id"], "left_semi").select("text")
+    span = width - min(KGRAM, width) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in V.slices(batch):
+                hashes, _, text = anchors(*V.text_bytes(part.column(0)), width)
+                new = np.ones(hashes.size, bool)
+                new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+                value, _ = V.per_text_unique(hashes[new], np.searchsorted(text[new], np.arange(part.num_rows + 1)))
+                yield pa.RecordBatch.from_arrays([pa.array((spread(value) >> np.uint64(64 - HOT_BITS)).astype(np.int32), pa.int32())], ["bit"])
+
+    least = max(MIN_SAMPLED, int(HOT_SEGMENTS * share))
+    page = 1 << 15
+    found = texts.mapInArrow(V.releasing(run), "bit int").groupBy("bit").count().where(F.col("count") >= least) if span > 1 else None
+    out = bytearray(1 << (HOT_BITS - 3))
+    for r in found.groupBy(F.floor(F.col("bit") / page).alias("page")).agg(F.bitmap_construct_agg(F.col("bit") % page).alias("map")).collect() if found is not None else ():
+        out[r["page"] * page // 8 : (r["page"] + 1) * page // 8] = r["map"]
+    return bytes(out)
+
+
+def _segments(batch: pa.RecordBatch, buckets: int, width: int, hot: bytes) -> Iterator[tuple]:
+    """Segments of slices of (doc, cls, text, values): bytes of the slice, first byte, length, key, anchor, row and place in its text.
+
+    A segment is a run of windows with the same anchor. Windows with a frequent anchor are told apart by a longer one as well.
+    """
     span = width - min(KGRAM, width) + 1
     for part in V.slices(batch):
         data, offsets = V.text_bytes(part.column(2))
@@ -223,15 +269,23 @@ def _segments(batch: pa.RecordBatch, buckets: int, width: int) -> Iterator[tuple
         if not hashes.size:
             continue
         new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])])
-        lists = part.column(3)
-        packed = [x or b"" for x in lists.to_pylist()]
+        packed = [x or b"" for x in part.column(3).to_pylist()]
         wanted = np.frombuffer(b"".join(packed), np.uint64)
         owner = np.repeat(np.arange(len(packed)), [len(x) // 8 for x in packed]).astype(np.uint64)
         runs = np.flatnonzero(new)
         tied = V.mix(narrowed(spread(hashes[runs]), buckets) ^ V.mix(text[runs].astype(np.uint64)))
         hit = np.isin(tied, V.mix(wanted ^ V.mix(owner)))
-        ends = np.append(runs[1:], hashes.size)[hit]
-        runs = runs[hit]
+        live = np.flatnonzero(np.repeat(hit, np.diff(np.append(runs, hashes.size))))
+        if not live.size:
+            continue
+        hashes, at, text = hashes[live], at[live], text[live]
+        often = _hot(hashes, hot)
+        if often.any():
+            longer = _sliding_min(V.starts(data, width - width // 3), width // 3 + 1)
+            hashes = np.where(often, V.mix(hashes ^ V.mix(longer[at])), hashes)
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1]) | (live[1:] != live[:-1] + 1)])
+        runs = np.flatnonzero(new)
+        ends = np.append(runs[1:], hashes.size)
         pieces = -(-(ends - runs) // span)  # long runs of one anchor (periodic text) in parts
         run = np.repeat(np.arange(runs.size), pieces)
         first = runs[run] + (np.arange(run.size) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * span
@@ -243,7 +297,7 @@ def _segments(batch: pa.RecordBatch, buckets: int, width: int) -> Iterator[tuple
         yield part, data, start, length, key, spread(hashes[first]), text[first], start - offsets[text[first]]
 
 
-def _verdicts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
+def _verdicts(texts: DataFrame, buckets: int, width: int, hot: bytes) -> DataFrame:
     """(key, anchor, w0, w1, low): windows w0..w1 of a segment occur in document ``low`` first, and in another."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +327,7 @@ def _verdicts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for part, data, start, length, key, anchor, row, _ in _segments(batch, buckets, width):
+            for part, data, start, length, key, anchor, row, _ in _segments(batch, buckets, width, hot):
                 if key.size:
                     doc = part.column(0).to_numpy(zero_copy_only=False)[row]
                     held.append((key, anchor, length, doc, data, start))
@@ -324,20 +378,20 @@ def _verdicts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, "key long, anchor long, w0 int, w1 int, low long")
 
 
-def _places(texts: DataFrame, buckets: int, width: int) -> DataFrame:
-    """(key, anchor, doc, tag, pos): where segments stand."""
+def _places(texts: DataFrame, buckets: int, width: int, hot: bytes) -> DataFrame:
+    """(key, anchor, doc, cls, pos): where segments stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _, _, _, key, anchor, row, pos in _segments(batch, buckets, width):
+            for part, _, _, _, key, anchor, row, pos in _segments(batch, buckets, width, hot):
                 take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(anchor.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(pos, pa.int64())], ["key", "anchor", "doc", "tag", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(anchor.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(pos, pa.int64())], ["key", "anchor", "doc", "cls", "pos"])
 
-    return texts.mapInArrow(V.releasing(run), "key long, anchor long, doc long, tag int, pos long")
+    return texts.mapInArrow(V.releasing(run), "key long, anchor long, doc long, cls long, pos long")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
-    """(doc, tag, spans): starts and ends of maximal runs, one after the other."""
+    """(doc, cls, spans): starts and ends of maximal runs, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,28 +400,24 @@ def _merged(spans: DataFrame) -> DataFrame:
                 s = np.sort(np.array([(r["a"], r["b"]) for r in x.as_py()], np.int64), axis=0)  # ends sorted by themselves give the same union
                 cut = np.concatenate([[True], s[1:, 0] > s[:-1, 1]])
                 out.append(np.column_stack([s[cut, 0], s[np.append(cut[1:], True), 1]]).reshape(-1).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc", "tag", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc", "cls", "spans"])
 
-    gathered = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "b")).alias("s"))
-    return gathered.mapInArrow(run, "doc long, tag int, spans array<long>")
+    gathered = spans.groupBy("doc", "cls").agg(F.collect_list(F.struct("a", "b")).alias("s"))  # of one text
+    return gathered.mapInArrow(run, "doc long, cls long, spans array<long>")
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Byte spans of ``docs`` (doc_id, text) that a ``width``-byte string covers which starts in a smaller document too.
+def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Byte spans of ``base`` (doc_id, text, h1, h2) that a ``width``-byte string covers which starts in a smaller document too.
 
-    Rows: doc, tag (tells apart different texts of one doc_id), spans (start, end, start, end, ... of maximal runs),
-    copy (true: the whole text is that of a smaller document, and spans is null). Only texts with something to cut.
+    Rows: h1, h2 (of the text), first (the smallest document with this text, in which the spans count; all others are copies),
+    spans (start, end, start, end, ... of maximal runs, or null). Only texts that are repeated or have something to cut.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc"), _tag(text).alias("tag"), text.alias("text")).where("doc is not null").where(F.octet_length("text") >= width)
-    keyed = checkpointed(base.select("doc", "tag", F.octet_length("text").cast("long").alias("size"), *text_hash(F.col("text"))))
-    first = keyed.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    copies = checkpointed(keyed.join(first, ["h1", "h2"]).where("doc > first").select("doc", "tag").distinct())
-    bytes_ = keyed.agg(F.sum("size")).first()[0] or 0
+    spark = base.sparkSession
+    able = base.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
+    classes = able.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k"), F.max(F.octet_length("text").cast("long")).alias("size"))
+    classes = checkpointed(classes)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = int(max(parts, -(-bytes_ // BUCKET_BYTES)))
-    own = join_counted(base, copies, ["doc", "tag"], "left_anti")
+    buckets = int(max(parts, -(-(classes.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES)))
 
     def pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for part in V.slices(batch):
@@ -378,15 +428,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             value, at = V.per_text_unique(hashes, np.searchsorted(text, np.arange(part.num_rows + 1)))
             yield np.repeat(part.column(0).to_numpy(zero_copy_only=False), np.diff(at)), value
 
-    wanted = repeats(own.select("doc", "text"), pairs, buckets, with_values=True).select(F.col("owner").alias("doc"), "values")
-    texts = own.join(wanted.hint("shuffle_merge"), "doc").select("doc", "tag", "text", "values")
-    verdicts, places = _verdicts(texts, buckets, width), _places(texts, buckets, width)
-    cuts = places.join(verdicts, ["key", "anchor"]).where("doc > low").select("doc", "tag", (F.col("pos") + F.col("w0")).alias("a"), (F.col("pos") + F.col("w1") + width).alias("b"))
-    return _merged(cuts).withColumn("copy", F.lit(False)).union(copies.select("doc", "tag", F.lit(None).cast("array<long>"), F.lit(True)))
-
-
-def _tag(text) -> F.Column:
-    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF)).cast("int")
+    wanted = repeats(able.select("h1", "text"), pairs, buckets, with_values=True).select(F.col("owner").alias("h1"), "values")
+    wanted = classes.select("h1", "h2", "first").join(wanted.hint("shuffle_merge"), "h1")
+    texts = base.join(wanted.hint("shuffle_merge"), ["h1", "h2"])
+    texts = texts.select(F.col("doc_id").alias("doc"), F.col("h1").alias("cls"), F.when(F.col("doc_id") == F.col("first"), F.col("text")).alias("text"), "values")
+    hot = frequent_anchors(able, classes, width)
+    verdicts, places = _verdicts(texts, buckets, width, hot), _places(texts, buckets, width, hot)
+    cuts = places.join(verdicts.hint("shuffle_merge"), ["key", "anchor"]).where("doc > low").select("doc", "cls", (F.col("pos") + F.col("w0")).alias("a"), (F.col("pos") + F.col("w1") + width).alias("b"))
+    spans = _merged(cuts).withColumnsRenamed({"doc": "first", "cls": "h1"})
+    return classes.join(spans.hint("shuffle_merge"), ["h1", "first"], "left").where("k > 1 or spans is not null").select("h1", "h2", "first", "spans")
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
@@ -394,12 +444,15 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, with_text: bool = Fals
 
     Rows: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the remaining bytes, and if asked for
     ``kept`` (binary). Strings are judged on the input, not on what is left. A null or empty text has nothing to remove. Rows
-    with a null doc_id are neither compared nor cut. Rows with the same doc_id are never compared with each other.
+    with a null doc_id are neither compared nor cut. Rows with the same doc_id are never compared with each other. Rows
+    repeat as the input's do, other columns are ignored, and an empty table gives an empty one.
     """
-    spans = repeated_spans(docs, width).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), "spans", "copy")
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _tag(text).alias("tag"))
-    joined = join_counted(base, spans, (F.col("doc_id") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left").select("doc_id", "text", "spans", "copy")
+    h1, h2 = text_hash(text)
+    doc = F.col("doc_id").cast("long")
+    base = docs.select(doc.alias("doc_id"), text.alias("text"), h1.alias("h1"), F.when(doc.isNull(), F.lit(0).cast("long")).otherwise(h2).alias("h2"))
+    # the same exchange of texts by their hash serves this join and those inside
+    joined = base.join(repeated_spans(base, width).hint("shuffle_merge"), ["h1", "h2"], "left").select("doc_id", "text", "spans", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
