@@ -85,44 +85,52 @@ def with_edited_neighbour(docs: DataFrame, k: int = K) -> DataFrame:
 
     The edited text has the last floor(n/2) code points replaced by the first as many (or all) of the next document by
     descending doc_id; after the last comes the first. Rows: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. Texts are moved once: ids are cut into ranges, every row goes to its
+    edited_fingerprint, near_edited, near_next, n_distinct (estimated distinct shingles) and kept_share (estimated share of them that the
+    edited text has). Texts are moved once: ids are cut into ranges, every row goes to its
     range, and the first row of each range also to the one before it; a task streams its range in order. Null
-    texts count as empty; rows with a null doc_id come last; rows with the same doc_id follow by text.
+    texts count as empty; rows with a null doc_id come last; rows with the same doc_id follow by text, repeated rows each other. Other
+    columns are ignored; an empty table gives an empty one, and a single row is its own next.
     """
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, kept_share double"
+    names = [x.split()[0] for x in schema.split(", ")]
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    doc = F.col("doc_id").cast("long")
+    base = docs.select(F.coalesce(doc, F.lit(-(1 << 63))).alias("id"), doc.isNull().alias("none"), F.coalesce("text", F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted(set(base.select("id").stat.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     # -1 keeps a bound's own rows together with what is above it; equal ids are never parted
     cuts = F.array(*[F.lit(int(b)).cast("long") for b in bounds]) if bounds else None
     part = F.size(F.filter(cuts, lambda b: b <= F.col("id"))) if cuts is not None else F.lit(0)
     base = base.withColumn("part", part.cast("int"))
-    heads = checkpointed(base.groupBy("part").agg(F.max(F.struct("id", F.xxhash64("text").alias("h"), F.length("text").alias("n"))).alias("top")).select("part", "top.*")).orderBy(F.desc("part")).collect()
+    heads = checkpointed(base.groupBy("part").agg(F.max(F.struct("id", (~F.col("none")).alias("real"), F.xxhash64("text").alias("h"), F.length("text").alias("n"))).alias("top")).select("part", "top.*")).orderBy(F.desc("part")).collect()
     if not heads:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        return spark.createDataFrame([], schema)
     # one row a range: the range whose last row is followed by this range's first
     to = {h["part"]: heads[(i - 1) % len(heads)]["part"] for i, h in enumerate(heads)}
-    border = spark.createDataFrame([(h["id"], h["h"], h["n"], to[h["part"]]) for h in heads], "id long, _h long, _n int, part int")
-    borders = base.drop("part").join(F.broadcast(border), "id").where((F.xxhash64("text") == F.col("_h")) & (F.length("text") == F.col("_n"))).select("id", "text", "part", F.lit(1).alias("border"))
-    rows = base.select("id", "text", "part", F.lit(0).alias("border")).union(borders)
-    rows = rows.repartition(max(parts, len(heads)), "part").sortWithinPartitions("part", "border", F.desc("id"), F.desc(F.xxhash64("text")), F.desc(F.length("text")))
+    border = spark.createDataFrame([(h["id"], not h["real"], h["h"], h["n"], to[h["part"]]) for h in heads], "id long, none boolean, _h long, _n int, part int")
+    borders = base.drop("part").join(F.broadcast(border), ["id", "none"]).where((F.xxhash64("text") == F.col("_h")) & (F.length("text") == F.col("_n"))).select("id", "text", "part", F.lit(1).alias("border"), "none")
+    rows = base.select("id", "text", "part", F.lit(0).alias("border"), "none").union(borders)
+    rows = rows.repartition(max(parts, len(heads)), "part").sortWithinPartitions("part", "border", F.desc("id"), "none", F.desc(F.xxhash64("text")), F.desc(F.length("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row whose next isn't known yet
 
         def flush(pairs: list[tuple]) -> pa.RecordBatch:
             edited = [a[1][: len(a[1]) - len(a[1]) // 2] + b[1][: len(a[1]) // 2] for a, b in pairs]
-            sk, ek = [a[4] for a, _ in pairs], sketches(pa.array(edited, pa.large_string()), k)
+            sk, nk, ek = [a[5] for a, _ in pairs], [b[5] for _, b in pairs], sketches(pa.array(edited, pa.large_string()), k)
+            double = lambda f, x, y: pa.array([f(p, q, k) for p, q in zip(x, y, strict=True)], pa.float64())
             cols = [
-                pa.array([None if a[0] == -(1 << 63) else a[0] for a, _ in pairs], pa.int64()),
+                pa.array([None if a[4] else a[0] for a, _ in pairs], pa.int64()),
                 pa.array([len(a[1]) for a, _ in pairs], pa.int64()),
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
                 pa.array([text_of(x) for x in sk], pa.string()),
                 pa.array([text_of(x) for x in ek], pa.string()),
-                pa.array([resemblance(x, y, k) for x, y in zip(sk, ek, strict=True)], pa.float64()),
-                pa.array([resemblance(a[4], b[4], k) for a, b in pairs], pa.float64()),
+                double(resemblance, sk, ek),
+                double(resemblance, sk, nk),
+                pa.array([distinct(x, k) for x in sk], pa.float64()),
+                double(containment, sk, ek),
             ]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            return pa.RecordBatch.from_arrays(cols, names)
 
         for whole in batches:
             for batch in V.slices(whole):
@@ -138,4 +146,4 @@ def with_edited_neighbour(docs: DataFrame, k: int = K) -> DataFrame:
                     held, ended = row, False
                 yield flush(pairs)
 
-    return rows.mapInArrow(V.releasing(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(V.releasing(run), schema)
