@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,12 @@ CONTEXT = {
 }
 CONTEXT_CHARS, ACCEPT, EM_ROUNDS, TRUST = 48, 0.9, 60, 4.0
 _SPAN = "array<struct<a:int,b:int,m:string,before:string>>"
+_FOUND = "array<struct<a:int,kind:int,b:int,base:boolean,key:string>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside lambdas, what isn't a variable is computed again for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def _placed(both: Column) -> Column:
@@ -77,8 +84,9 @@ def _between(text: Column, pattern: str) -> tuple[Column, Column]:
 def spans_of(text: Column, pattern: str, when: Column) -> Column:
     """Matches of a pattern, leftmost and apart, as (start, end, match, characters before), in code points."""
     pieces, matches = _between(text, pattern)
-    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(CONTEXT_CHARS)).alias("before"), m.alias("m")))
-    return F.when(when, _placed(both)).otherwise(F.array().cast(_SPAN))
+    none = F.array().cast(_SPAN)
+    both = lambda m: F.zip_with(F.slice(pieces, F.lit(1), F.size(m)), m, lambda p, x: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(CONTEXT_CHARS)).alias("before"), x.alias("m")))
+    return F.when(when, _let(matches, lambda m: F.when(F.size(m) == 0, none).otherwise(_let(both(m), _placed)))).otherwise(none)
 
 
 def blanked(text: Column, kind: str, pattern: str, when: Column) -> Column:
@@ -141,10 +149,15 @@ def candidates(text: Column) -> Column:
     parts = []
     for kind in KINDS:
         parts.append(_rows(text, kind, True, *base[kind]))
-        parts.append(_rows(F.when(loose[kind], blanked(text, kind, *base[kind])).otherwise(F.lit("")), kind, False, LOOSE[kind], loose[kind]))
+        none = F.array().cast(_FOUND)
+        parts.append(F.when(loose[kind], _let(blanked(text, kind, *base[kind]), _looser(kind))).otherwise(none))
     return F.concat(*parts)
 
 
+def _looser(kind: str) -> Callable[[Column], Column]:
+    return lambda t: _rows(t, kind, False, LOOSE[kind], F.lit(True))
+
+
 def _rows(text: Column, kind: str, sure: bool, pattern: str, when: Column) -> Column:
     found = spans_of(text, pattern, when)
     if sure:
