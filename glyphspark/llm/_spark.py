@@ -28,6 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut: written to the shared folder."""
     shared_folder(df.sparkSession)

@@ -104,6 +104,25 @@ def test_op1_lone_shared_passage(spark):
     assert got == {1: (0, 0), 2: (300, 1)}
 
 
+def test_op1_frequent_anchors(odd, docs, monkeypatch):
+    """However finely windows are dealt, the same bytes go."""
+    for df in (odd, docs):
+        want = sorted(map(tuple, suffix_dedup.dedup_substrings(df).collect()), key=repr)
+        for least, most in ((1, 1), (3, 2)):
+            monkeypatch.setattr(suffix_dedup, "MIN_SAMPLED", least)
+            monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", most)
+            assert sorted(map(tuple, suffix_dedup.dedup_substrings(df).collect()), key=repr) == want
+        monkeypatch.undo()
+
+
+def test_op1_shuffles_texts_once(docs):
+    plan = suffix_dedup.dedup_substrings(docs)
+    plan.collect()
+    steps = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [x for x in steps.split("\n") if " Exchange hashpartitioning(h1" in x and "h2" in x]
+    assert "ReusedExchange" in steps and moved, steps
+
+
 def test_bwt():
     for _ in range(30):
         strings = [bytes(_rng.choice(b"ab") for _ in range(_rng.randint(1, 12))) for _ in range(_rng.randint(1, 20))]
@@ -386,7 +405,12 @@ def test_op6(odd, docs, empty):
             for estimate, one, two in ((got[a]["near_edited"], sets[a], e), (got[a]["near_next"], sets[a], sets[b])):
                 exact = len(one & two) / len(one | two) if one | two else 1.0
                 assert abs(estimate - exact) < (1e-9 if len(one | two) <= fingerprints.K else 0.25)
+            share = len(sets[a] & e) / len(sets[a]) if sets[a] else 1.0
+            assert abs(got[a]["kept_share"] - share) < (1e-9 if len(sets[a] | e) <= fingerprints.K else 0.3)
+            assert abs(got[a]["n_distinct"] - len(sets[a])) <= (1e-9 if len(sets[a]) < fingerprints.K else 0.4 * len(sets[a]))
     assert fingerprints.with_edited_neighbour(odd).count() == odd.count()
+    edge = odd.sparkSession.createDataFrame([(-(1 << 63), "a b c d e f"), (None, "a b c d e g"), (3, "x")], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["n_chars"]) for r in fingerprints.with_edited_neighbour(edge).collect()) == sorted([(str(-(1 << 63)), 11), ("None", 11), ("3", 1)])
     assert fingerprints.with_edited_neighbour(empty).count() == 0
 
 
@@ -539,8 +563,13 @@ def test_pipeline(spark, docs):
     kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, DATA).collect()}
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     assert set(rows) <= kept <= set(texts) and len(rows) > 0.7 * len(texts)
-    seen = Counter(k for i in kept for k in {x.strip(line_dedup.SPACE).translate(LOWER) for x in texts[i].split("\n")} if k)
-    clean = {i: "\n".join(x for x in texts[i].split("\n") if seen[x.strip(line_dedup.SPACE).translate(LOWER)] < 10) for i in kept}
+    key = lambda x: x.strip(line_dedup.SPACE).translate(LOWER)
+    seen = Counter(k for i in kept for k in {key(x) for x in texts[i].split("\n")} if k)
+    first = {}
+    for i in sorted(kept):
+        for pos, x in enumerate(texts[i].split("\n")):
+            first.setdefault(key(x), (i, pos))
+    clean = {i: "\n".join(x for pos, x in enumerate(texts[i].split("\n")) if seen[key(x)] < 10 or first[key(x)] == (i, pos)) for i in kept}
     frame = spark.createDataFrame(list(clean.items()), "doc_id long, text string")
     one = {r["doc_id"] for r in ngram_join.ngram_components(frame).collect() if r["doc_id"] == r["component_id"]}
     leaks = {r["doc_id"] for r in decontaminate.contaminated(frame, bench).collect()}
@@ -549,6 +578,25 @@ def test_pipeline(spark, docs):
     assert all(rows[i]["ids"] == library.encode(clean[i], add_special_tokens=False).ids for i in rows)
 
 
+def test_pipeline_of_large_groups(spark, tmp_path):
+    """Of many copies one keeps its text and is encoded; nulls, empty texts, repeated rows and other columns pass or go as stated."""
+    english, french = _text(80), _text(80)
+    rows = [(k, english + "\n" + french, "en", "s", 1) for k in range(30)] + [(100 + k, f"{_text(60)}", "en", "s", 1) for k in range(20)] + [(500, None, None, None, None), (501, "", "en", "s", 0), (None, _text(50), "en", "s", 1), (119, _text(30), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("hash", F.lit(1)).withColumn("kept_text", F.lit("x"))
+    spark.createDataFrame([(1, "nothing that is there at all in any of these texts of ours today so none goes")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for part in (docs, docs.where("false")):
+        out = part
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, out, str(tmp_path))
+            if k + 1 < len(corpus_pipeline.STAGES):
+                assert out.columns == corpus_pipeline.COLUMNS
+        if part is docs:
+            lines = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
+            assert lines[0] == english + "\n" + french and all(lines[k] == "" for k in range(1, 30)) and lines[500] == lines[501] == ""
+        else:
+            assert out.count() == 0
+
+
 def test_queries_keep_all_rows(spark, docs):
     for name in ("op1_suffix_dedup", "op3_ngram_join", "op4_bpe", "op5_pii", "op6_fingerprints", "op7_token_counts", "op8_line_dedup"):
         assert queries.QUERIES[name](spark, DATA).count() == docs.count(), name
