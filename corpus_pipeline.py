@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphspark.llm import bpe, decontaminate, language_id, line_dedup, ngram_join
-from glyphspark.llm._spark import bounded_batches, documents, join_counted
+from glyphspark.llm._spark import bounded_batches, documents, join_counted, remove_folder, shared_folder
 from glyphspark.llm.queries import held_out, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Lines whose key this many documents hold lose all their copies.
+#: Lines whose key this many documents hold stay in the first of them only.
 COMMON_LINE_DOCS = 10
 
 
@@ -29,8 +29,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that many documents share; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS), min_docs=COMMON_LINE_DOCS, keep_first=False)
+    """Drop lines that many documents share, but for the first of each; ``n_chars`` follows the text.
+
+    Of a large group of copies the one with the smallest id keeps its text; the others lose theirs and stay as empty documents.
+    """
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS), min_docs=COMMON_LINE_DOCS, keep_first=True)
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
@@ -59,14 +62,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again by the next."""
-    from glyphspark.llm._spark import shared_folder
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again by the next.
 
+    What a stage wrote goes when the next one has written; what the last stage reads stays, as the result is read from it.
+    """
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
+    written = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if written:
+                remove_folder(spark, written)
+            written = f"{folder}/{k}-{name}"
     return docs
