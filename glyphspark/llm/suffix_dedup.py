@@ -39,7 +39,7 @@ BUCKET_BYTES, BLOCK_SEGMENTS = 6 << 20, 400_000
 COLLECTION, MAX_BLOCK = 60_000, 10
 #: An anchor that this many different texts have (about) is frequent; told by a sample of texts, in which it is at least so often;
 #: bits of the frequent anchors' bitmap as a power of two.
-HOT_SEGMENTS, SAMPLE_TEXTS, MIN_SAMPLED, HOT_BITS = 20_000, 20_000, 8, 22
+HOT_SEGMENTS, SAMPLE_TEXTS, MIN_SAMPLED, HOT_BITS = 20_000, 5_000, 8, 22
 _END = 0xFFFF
 
 
@@ -235,8 +235,8 @@ def frequent_anchors(able: DataFrame, classes: DataFrame, width: int) -> bytes:
     n = classes.count()
     share = min(1.0, SAMPLE_TEXTS / max(n, 1))
     drawn = F.pmod("h1", F.lit(1 << 20)) < int(share * (1 << 20))
-    firsts = classes.where(drawn).select("h1", "h2", F.col("first").alias("doc_id"))
-    texts = able.where(drawn).join(firsts, ["h1", "h2", "doc_id"], "left_semi").select("text")
+    firsts = classes.where(drawn).select("h1", "h2", F.col("first").alias("doc_id"))  # about SAMPLE_TEXTS rows
+    texts = able.where(drawn).join(F.broadcast(firsts), ["h1", "h2", "doc_id"], "left_semi").select("text")
     span = width - min(KGRAM, width) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,13 +257,41 @@ def frequent_anchors(able: DataFrame, classes: DataFrame, width: int) -> bytes:
     return bytes(out)
 
 
+def _packed(base: DataFrame) -> DataFrame:
+    """``base`` (doc_id, text, h1, h2) with compressed texts: less to shuffle and to sort."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False, write_dict_id=False).compress
+        for batch in batches:
+            data, offsets = V.text_bytes(batch.column(1))
+            body, at = memoryview(data), offsets.tolist()
+            packed = [press(body[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(np.diff(offsets)), batch.column(2), batch.column(3)], ["doc_id", "packed", "size", "h1", "h2"])
+
+    return base.mapInArrow(V.releasing(run), "doc_id long, packed binary, size long, h1 long, h2 long")
+
+
+def _opened(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch (doc, tag, packed, size, values) in slices of bounded text bytes, opened: (doc, tag, text as bytes, values). No text counts as empty."""
+    size = batch.column(3).to_numpy(zero_copy_only=False)
+    total = np.concatenate([[0], np.cumsum(np.where(batch.column(2).is_null().to_numpy(zero_copy_only=False), 0, size))])
+    press = zstandard.ZstdDecompressor()
+    row = 0
+    while row < batch.num_rows:
+        to = max(row + 1, int(np.searchsorted(total, total[row] + V.SLICE_BYTES, "right")) - 1)
+        part = batch.slice(row, to - row)
+        texts = [b"" if x is None else press.decompress(x) for x in part.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.large_binary()), part.column(4)], ["doc", "tag", "text", "values"])
+        row = to
+
+
 def _segments(batch: pa.RecordBatch, buckets: int, width: int, hot: bytes) -> Iterator[tuple]:
-    """Segments of slices of (doc, cls, text, values): bytes of the slice, first byte, length, key, anchor, row and place in its text.
+    """Segments of slices of (doc, tag, packed text, its bytes, values): bytes of the slice, first byte, length, key, anchor, row and place in its text.
 
     A segment is a run of windows with the same anchor. Windows with a frequent anchor are told apart by a longer one as well.
     """
     span = width - min(KGRAM, width) + 1
-    for part in V.slices(batch):
+    for part in _opened(batch):
         data, offsets = V.text_bytes(part.column(2))
         hashes, at, text = anchors(data, offsets, width)
         if not hashes.size:
@@ -322,7 +350,8 @@ def _verdicts(texts: DataFrame, buckets: int, width: int, hot: bytes) -> DataFra
                 if cuts[b] < cuts[b + 1]:
                     n = length[x]
                     take = np.repeat(start[x] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    rows.append((b, key[x].tobytes(), anchor[x].tobytes(), n.astype(np.int32).tobytes(), low[x].tobytes(), high[x].tobytes(), zstandard.compress(body[take].tobytes(), 1)))
+                    packed = [zstandard.compress(y.tobytes(), 1) for y in (anchor[x], n.astype(np.int32), low[x], high[x] - low[x], body[take])]
+                    rows.append((b, key[x].tobytes(), *packed))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], ["bucket", "key", "anchor", "n", "low", "high", "body"])
 
         size = 0
@@ -340,10 +369,10 @@ def _verdicts(texts: DataFrame, buckets: int, width: int, hot: bytes) -> DataFra
 
     def meet(table: pa.Table) -> pa.Table:
         cols = {c: table[c].to_pylist() for c in ("key", "anchor", "n", "low", "high", "body")}
-        key, anchor = (np.frombuffer(b"".join(cols[c]), np.uint64) for c in ("key", "anchor"))
-        length = np.frombuffer(b"".join(cols["n"]), np.int32).astype(np.int64)
-        low, high = (np.frombuffer(b"".join(cols[c]), np.int64) for c in ("low", "high"))
-        body = np.frombuffer(b"".join(zstandard.decompress(x) for x in cols["body"]), np.uint8)
+        opened = lambda c, kind: np.frombuffer(b"".join(zstandard.decompress(x) for x in cols[c]), kind)
+        key, anchor = np.frombuffer(b"".join(cols["key"]), np.uint64), opened("anchor", np.uint64)
+        length, low, body = opened("n", np.int32).astype(np.int64), opened("low", np.int64), opened("body", np.uint8)
+        high = low + opened("high", np.int64)
         start = np.cumsum(length) - length
         order = np.lexsort((key, anchor))
         head = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])]))
@@ -355,7 +384,7 @@ def _verdicts(texts: DataFrame, buckets: int, width: int, hot: bytes) -> DataFra
         several = np.repeat(np.minimum.reduceat(low, edge) != np.maximum.reduceat(high, edge), np.diff(np.append(edge, anchor.size)))
         key, anchor, length, start, low, high = (x[several] for x in (key, anchor, length, start, low, high))
         if not key.size:
-            return pa.table({"key": pa.array([], pa.int64()), "anchor": pa.array([], pa.int64()), "w0": pa.array([], pa.int32()), "w1": pa.array([], pa.int32()), "low": pa.array([], pa.int64())})
+            return pa.table({"key": pa.array([], pa.int64()), "anchor": pa.array([], pa.int32()), "w0": pa.array([], pa.int32()), "w1": pa.array([], pa.int32()), "low": pa.array([], pa.int64())})
         take = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
         body, start = body[take], np.cumsum(length) - length
         found = []
@@ -372,26 +401,30 @@ def _verdicts(texts: DataFrame, buckets: int, width: int, hot: bytes) -> DataFra
         new[1:] = (string[1:] != string[:-1]) | (first[1:] != first[:-1] + 1) | (least[1:] != least[:-1])
         a = np.flatnonzero(new)
         b = np.append(a[1:], string.size)[: a.size] - 1
-        return pa.table({"key": pa.array(key[string[a]].view(np.int64)), "anchor": pa.array(anchor[string[a]].view(np.int64)), "w0": pa.array(first[a], pa.int32()), "w1": pa.array(first[b], pa.int32()), "low": pa.array(least[a], pa.int64())})
+        return pa.table({"key": pa.array(key[string[a]].view(np.int64)), "anchor": pa.array(_half(anchor[string[a]])), "w0": pa.array(first[a], pa.int32()), "w1": pa.array(first[b], pa.int32()), "low": pa.array(least[a], pa.int64())})
 
     packed = texts.mapInArrow(V.releasing(pack), "bucket int, key binary, anchor binary, n binary, low binary, high binary, body binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "key long, anchor long, w0 int, w1 int, low long")
+    return packed.groupBy("bucket").applyInArrow(meet, "key long, anchor int, w0 int, w1 int, low long")
 
 
 def _places(texts: DataFrame, buckets: int, width: int, hot: bytes) -> DataFrame:
-    """(key, anchor, doc, cls, pos): where segments stand."""
+    """(key, anchor, doc, tag, pos): where segments stand; an anchor is its lower half, a tag some bits of the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, _, _, key, anchor, row, pos in _segments(batch, buckets, width, hot):
                 take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(anchor.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(pos, pa.int64())], ["key", "anchor", "doc", "cls", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(_half(anchor)), part.column(0).take(take), part.column(1).take(take), pa.array(pos, pa.int32())], ["key", "anchor", "doc", "tag", "pos"])
+
+    return texts.mapInArrow(V.releasing(run), "key long, anchor int, doc long, tag int, pos int")
 
-    return texts.mapInArrow(V.releasing(run), "key long, anchor long, doc long, cls long, pos long")
+
+def _half(anchor: np.ndarray) -> np.ndarray:
+    return anchor.astype(np.uint32).view(np.int32)
 
 
 def _merged(spans: DataFrame) -> DataFrame:
-    """(doc, cls, spans): starts and ends of maximal runs, one after the other."""
+    """(doc, tag, spans): starts and ends of maximal runs, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,17 +433,18 @@ def _merged(spans: DataFrame) -> DataFrame:
                 s = np.sort(np.array([(r["a"], r["b"]) for r in x.as_py()], np.int64), axis=0)  # ends sorted by themselves give the same union
                 cut = np.concatenate([[True], s[1:, 0] > s[:-1, 1]])
                 out.append(np.column_stack([s[cut, 0], s[np.append(cut[1:], True), 1]]).reshape(-1).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc", "cls", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc", "tag", "spans"])
 
-    gathered = spans.groupBy("doc", "cls").agg(F.collect_list(F.struct("a", "b")).alias("s"))  # of one text
-    return gathered.mapInArrow(run, "doc long, cls long, spans array<long>")
+    gathered = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "b")).alias("s"))  # of one text
+    return gathered.mapInArrow(run, "doc long, tag int, spans array<long>")
 
 
-def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Byte spans of ``base`` (doc_id, text, h1, h2) that a ``width``-byte string covers which starts in a smaller document too.
+def repeated_spans(base: DataFrame, packed: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Byte spans of ``base`` (doc_id, text, h1, h2), which ``packed`` has compressed, that a ``width``-byte string covers which starts in a smaller document too.
 
-    Rows: h1, h2 (of the text), first (the smallest document with this text, in which the spans count; all others are copies),
-    spans (start, end, start, end, ... of maximal runs, or null). Only texts that are repeated or have something to cut.
+    Rows: h1, found: for each text of the hash h1 (one, but for collisions) its h2, the smallest document with it (``first``, in
+    which the spans count; all others are copies), and spans (start, end, start, end, ... of maximal runs, or null). Only texts
+    that are repeated or have something to cut.
     """
     spark = base.sparkSession
     able = base.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
@@ -428,15 +462,23 @@ def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
             value, at = V.per_text_unique(hashes, np.searchsorted(text, np.arange(part.num_rows + 1)))
             yield np.repeat(part.column(0).to_numpy(zero_copy_only=False), np.diff(at)), value
 
-    wanted = repeats(able.select("h1", "text"), pairs, buckets, with_values=True).select(F.col("owner").alias("h1"), "values")
-    wanted = classes.select("h1", "h2", "first").join(wanted.hint("shuffle_merge"), "h1")
-    texts = base.join(wanted.hint("shuffle_merge"), ["h1", "h2"])
-    texts = texts.select(F.col("doc_id").alias("doc"), F.col("h1").alias("cls"), F.when(F.col("doc_id") == F.col("first"), F.col("text")).alias("text"), "values")
     hot = frequent_anchors(able, classes, width)
+    wanted = repeats(able.select("h1", "text"), pairs, buckets, with_values=True).select(F.col("owner").alias("h1"), "values")
+    firsts = classes.select("h1", F.col("h2").alias("_h2"), "first")
+    # all three by h1, so that texts are laid out once; what the second hash or the document tells apart is left empty
+    texts = packed.join(wanted.hint("shuffle_merge"), "h1").join(firsts.hint("shuffle_merge"), "h1")
+    own = (F.col("doc_id") == F.col("first")) & (F.col("h2") == F.col("_h2"))
+    texts = texts.select(F.col("doc_id").alias("doc"), _tag(F.col("h2")).alias("tag"), F.when(own, F.col("packed")).alias("packed"), "size", "values")
     verdicts, places = _verdicts(texts, buckets, width, hot), _places(texts, buckets, width, hot)
-    cuts = places.join(verdicts.hint("shuffle_merge"), ["key", "anchor"]).where("doc > low").select("doc", "cls", (F.col("pos") + F.col("w0")).alias("a"), (F.col("pos") + F.col("w1") + width).alias("b"))
-    spans = _merged(cuts).withColumnsRenamed({"doc": "first", "cls": "h1"})
-    return classes.join(spans.hint("shuffle_merge"), ["h1", "first"], "left").where("k > 1 or spans is not null").select("h1", "h2", "first", "spans")
+    cuts = places.join(verdicts.hint("shuffle_merge"), ["key", "anchor"]).where("doc > low").select("doc", "tag", (F.col("pos") + F.col("w0")).cast("long").alias("a"), (F.col("pos") + F.col("w1") + width).cast("long").alias("b"))
+    spans = _merged(cuts).withColumnRenamed("doc", "first")
+    told = classes.withColumn("tag", _tag(F.col("h2"))).join(spans.hint("shuffle_merge"), ["first", "tag"], "left").where("k > 1 or spans is not null")
+    return told.groupBy("h1").agg(F.collect_list(F.struct("h2", "first", "spans")).alias("found"))  # texts of one hash
+
+
+def _tag(h2: F.Column) -> F.Column:
+    """Some bits of a text's hash, which tell apart texts of the same document."""
+    return h2.bitwiseAND(F.lit(0xFFFFFF)).cast("int")
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
@@ -451,14 +493,18 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, with_text: bool = Fals
     h1, h2 = text_hash(text)
     doc = F.col("doc_id").cast("long")
     base = docs.select(doc.alias("doc_id"), text.alias("text"), h1.alias("h1"), F.when(doc.isNull(), F.lit(0).cast("long")).otherwise(h2).alias("h2"))
-    # the same exchange of texts by their hash serves this join and those inside
-    joined = base.join(repeated_spans(base, width).hint("shuffle_merge"), ["h1", "h2"], "left").select("doc_id", "text", "spans", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy"))
+    packed = _packed(base).where("h1 is not null")  # always true; an inner join asks for it, and only equal exchanges are shared
+    # the exchange of texts by their hash serves this join and those inside
+    joined = packed.join(repeated_spans(base, packed, width).hint("shuffle_merge"), "h1", "left")
+    own = F.get(F.filter("found", lambda x: x["h2"] == F.col("h2")), 0)
+    joined = joined.select("doc_id", "packed", "size", own["spans"].alias("spans"), F.coalesce(F.col("doc_id") > own["first"], F.lit(False)).alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for text, spans, copy in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
-                body = text.encode()
+            for packed, spans, copy in zip(*[batch.column(k).to_pylist() for k in (1, 3, 4)], strict=True):
+                body = press.decompress(packed)
                 spans = [0, len(body)] if copy else spans or []
                 kept = b"".join(body[a:b] for a, b in zip([0, *spans[1::2]], [*spans[::2], len(body)], strict=True))
                 for to, x in zip(rows, (len(body), len(body) - len(kept), len(spans) // 2, hashlib.sha256(kept).hexdigest(), kept), strict=True):
