@@ -127,6 +127,6 @@ e AS (SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, 1 AS n FROM l WHERE sr
 t AS (SELECT 'trust' AS kind, src, dst, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY src) AS f FROM e UNION ALL SELECT 'distrust', dst, src, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY dst) FROM e),
 y AS (SELECT 0 AS k, kind, host, w FROM s1 UNION ALL SELECT y.k + 1, y.kind, t.dst, sum(y.w * t.f) FROM y JOIN t ON t.kind = y.kind AND t.src = y.host WHERE y.k < {url_filter.ROUNDS} GROUP BY ALL),
 r AS (SELECT host, round(sum(CASE WHEN kind = 'distrust' THEN 1 ELSE -1 END * CASE WHEN k < {url_filter.ROUNDS} THEN 0.15 ELSE 1 END * w) * (SELECT count(*) FROM b), 9) AS score FROM y GROUP BY host)
-SELECT page_id, a.host, path, rule, coalesce(action, CASE WHEN coalesce(score, 0) > 1 THEN 'block' ELSE 'allow' END) AS verdict, coalesce(score, 0)::DOUBLE AS score
+SELECT page_id, a.host, path, rule, coalesce(action, CASE WHEN coalesce(score, 0) > {url_filter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(score, 0)::DOUBLE AS score
 FROM a LEFT JOIN r ON a.host = r.host""",
 }

@@ -12,16 +12,19 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphspark.llm._spark import checkpointed
+from glyphspark.llm._spark import BROADCAST_BYTES, checkpointed
 
 #: (action, rule): a rule is a host and the start of a path.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-MAX_RULES, DAMPING, THRESHOLD = 1000, 0.85, 1.0
+MAX_RULES, DAMPING, THRESHOLD = 1000, 0.85, 0.5
 #: What of the rank's sum may be misplaced when the rounds end: 2 * DAMPING ** rounds at most, on any graph.
 RESIDUAL = 0.005
+#: Bytes of hosts for each part of a small graph.
+PART_BYTES = 8 << 20
 ROUNDS = math.ceil(math.log(RESIDUAL / 2) / math.log(DAMPING))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)href\s*+=\s*+["']?(?:[a-z][a-z0-9+.-]*+:)?//([^/?#"'\s>]++)"""
@@ -70,18 +73,30 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     """Personalised PageRank of several kinds at once: ``edges`` (kind, src, dst, n), ``seeds`` (kind, host, w) to (kind, host, rank).
 
     Seeds are scaled to a sum of 1 by kind. What a host without edges holds doesn't travel on. Without seeds or edges
-    nothing is reached but the seeds themselves.
+    nothing is reached but the seeds themselves. Edges are laid out once and stay where they are: the ranks of a round come to
+    them, broadcast where the hosts' bytes were counted and are few, else by a shuffle of the ranks alone. Their lineage
+    begins at a checkpoint, so lost ones are laid out again.
     """
+    spark = edges.sparkSession
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
-    steps = checkpointed(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.lit(damping) * F.col("n") / F.col("all")).alias("p")))
+    steps = checkpointed(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.lit(damping) * F.col("n") / F.col("all")).alias("p")))
+    size = lambda *hosts: F.sum(sum((F.octet_length(h) + 64 for h in hosts), F.lit(0)).cast("long"))
+    most = (steps.agg(size("host", "dst")).first()[0] or 0) + (seeds.agg(size("host")).first()[0] or 0)  # every host of a rank is in one of them
+    few = most <= BROADCAST_BYTES
+    parts = -(-most // PART_BYTES) or 1 if few else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    steps = steps.coalesce(parts) if few else steps.repartition(parts, "kind", "host").persist(StorageLevel.DISK_ONLY)
     total = seeds.groupBy("kind").agg(F.sum("w").alias("all"))
-    start = checkpointed(seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.col("w") / F.col("all")).alias("rank")))  # one row a kind
+    start = seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.col("w") / F.col("all")).alias("rank"))  # one row a kind
+    laid = lambda df: checkpointed(df.coalesce(parts) if few else df)
+    start = laid(start)
     rank = start
     for k in range(rounds):
-        moved = rank.join(steps.withColumnRenamed("src", "host"), ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("p")).alias("rank"))
+        moved = steps.join(F.broadcast(rank) if few else rank, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("p")).alias("rank"))
         rank = moved.union(start.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 3:
-            rank = checkpointed(rank)
+        if k % 4 == 3 or k == rounds - 1:
+            rank = laid(rank)
+    if not few:
+        steps.unpersist()
     return rank
 
 

@@ -539,7 +539,7 @@ def test_op10(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_pagerank_against_loops(spark):
+def test_pagerank_against_loops(spark, monkeypatch):
     edges = [(_rng.randrange(12), _rng.randrange(12), _rng.randint(1, 4)) for _ in range(40)]
     w = Counter()
     for a, b, n in edges:
@@ -553,8 +553,17 @@ def test_pagerank_against_loops(spark):
         rank = new
     frame = spark.createDataFrame([("k", a, b, n) for (a, b), n in w.items()], "kind string, src string, dst string, n long")
     seeds = spark.createDataFrame([("k", "0", 2.0), ("k", "1", 2.0)], "kind string, host string, w double")
-    got = {r["host"]: r["rank"] for r in url_filter.propagate(frame, seeds, rounds=6).collect()}
-    assert all(abs(got.get(h, 0) - x) < 1e-12 for h, x in rank.items())
+    for few in (url_filter.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", few)
+        got = {r["host"]: r["rank"] for r in url_filter.propagate(frame, seeds, rounds=6).collect()}
+        assert all(abs(got.get(h, 0) - x) < 1e-12 for h, x in rank.items())
+
+
+def test_op10_graph_decides(spark):
+    """Pages that no rule fits go by what their host, and the hosts around it, have otherwise: at sf0.01 both verdicts occur."""
+    rows = url_filter.filter_urls(spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/pages.parquet")).where("rule is null").collect()
+    assert {r["verdict"] for r in rows} == {"allow", "block"} and sum(r["score"] != 0 for r in rows) > 0.5 * len(rows)
+    assert all((r["verdict"] == "block") == (r["score"] > url_filter.THRESHOLD) for r in rows)
 
 
 def test_pipeline(spark, docs):
