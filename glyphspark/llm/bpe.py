@@ -25,9 +25,9 @@ from glyphspark.llm import _vec as V
 from glyphspark.llm._pretokens import LONG_PIECE, cuts_words, distinct, pretokens
 
 #: Pieces that one worker remembers at most; beyond, it starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 #: Text bytes that are encoded at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Bits of a queue entry that hold a place.
 _PLACE = 40
 _PLACES = (1 << _PLACE) - 1
