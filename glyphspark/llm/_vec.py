@@ -152,12 +152,17 @@ def per_text_unique(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return value[keep], np.concatenate([[0], np.cumsum(np.bincount(text[keep], minlength=offsets.size - 1))])
 
 
-def starts(data: np.ndarray, width: int) -> np.ndarray:
-    """Rolling hashes of every ``width`` bytes of the buffer (texts not told apart)."""
+def prefix(data: np.ndarray) -> np.ndarray:
+    """Sums of the buffer's beginnings, from which hashes of any stretch are made."""
+    total = np.zeros(data.size + 1, _U)
+    np.cumsum(_BYTES[data] * _powers(data.size)[0][: data.size], out=total[1:])
+    return total
+
+
+def starts(data: np.ndarray, width: int, total: np.ndarray | None = None) -> np.ndarray:
+    """Rolling hashes of every ``width`` bytes of the buffer (texts not told apart); ``total`` is its ``prefix``, if known."""
     n = data.size
     if n < width:
         return np.zeros(0, _U)
-    up, down = _powers(n)
-    total = np.zeros(n + 1, _U)
-    np.cumsum(_BYTES[data] * up[:n], out=total[1:])
-    return mix((total[width:] - total[:-width]) * down[: n - width + 1])
+    total = prefix(data) if total is None else total
+    return mix((total[width:] - total[:-width]) * _powers(n)[1][: n - width + 1])

@@ -52,10 +52,10 @@ def _sliding_min(x: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(x[: x.size - (span - have)], x[span - have :]) if have < span else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, width: int, total: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash of every window inside a text: hash, first byte of the window, text."""
     kgram = min(KGRAM, width)
-    grams = V.starts(data, kgram)
+    grams = V.starts(data, kgram, total)
     span = width - kgram + 1
     if grams.size < span:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -293,7 +293,8 @@ def _segments(batch: pa.RecordBatch, buckets: int, width: int, hot: bytes) -> It
     span = width - min(KGRAM, width) + 1
     for part in _opened(batch):
         data, offsets = V.text_bytes(part.column(2))
-        hashes, at, text = anchors(data, offsets, width)
+        total = V.prefix(data)
+        hashes, at, text = anchors(data, offsets, width, total)
         if not hashes.size:
             continue
         new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])])
@@ -307,10 +308,14 @@ def _segments(batch: pa.RecordBatch, buckets: int, width: int, hot: bytes) -> It
         if not live.size:
             continue
         hashes, at, text = hashes[live], at[live], text[live]
-        often = _hot(hashes, hot)
-        if often.any():
-            longer = _sliding_min(V.starts(data, width - width // 3), width // 3 + 1)
-            hashes = np.where(often, V.mix(hashes ^ V.mix(longer[at])), hashes)
+        down = V._powers(data.size)[1]
+        often = np.flatnonzero(_hot(hashes, hot))
+        if often.size:
+            size, begin = width - width // 3, at[often]
+            longer = np.full(often.size, np.iinfo(np.uint64).max, np.uint64)
+            for k in range(width // 3 + 1):  # the strings of this size that begin in the window
+                longer = np.minimum(longer, V.mix((total[begin + k + size] - total[begin + k]) * down[begin + k]))
+            hashes[often] = V.mix(hashes[often] ^ V.mix(longer))
         new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1]) | (live[1:] != live[:-1] + 1)])
         runs = np.flatnonzero(new)
         ends = np.append(runs[1:], hashes.size)
@@ -319,8 +324,6 @@ def _segments(batch: pa.RecordBatch, buckets: int, width: int, hot: bytes) -> It
         first = runs[run] + (np.arange(run.size) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * span
         length = np.minimum(first + span, ends[run]) - first + width - 1
         start = at[first]
-        up, down = V._powers(data.size)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(V._BYTES[data] * up[: data.size], dtype=np.uint64)])
         key = V.mix((total[start + length] - total[start]) * down[start] + length.astype(np.uint64) * np.uint64(V._P))
         yield part, data, start, length, key, spread(hashes[first]), text[first], start - offsets[text[first]]
 
