@@ -206,7 +206,25 @@ def xml_escape(text: Column) -> Column:
     return text
 
 
+# What stands for a part of a page's file name that isn't there.
+NO_PAGE, NO_NUMBER, NO_FILE = "Error: page ID unknown", "Error: ID Number unknown", "Error: filename unknown"
+
+
+def _part(path: Column, pattern: str, missing: str) -> Column:
+    found = F.regexp_extract(path, pattern, 1)
+    return F.when(found != "", found).otherwise(F.lit(missing))
+
+
 def page_id(path: Column) -> Column:
-    """Archive id of a page by its file name, e.g. pl_blac_047_00039; null where the name has none."""
-    found = F.regexp_extract(path, r"(pl_[a-z]+_[0-9]+_[0-9]+)", 1)
-    return F.when(found != "", found)
+    """Archive id of a page by its file name, e.g. pl_blac_047_00039."""
+    return _part(path, r"(pl_[a-z]+_[0-9]+_[0-9]+)", NO_PAGE)
+
+
+def page_number(path: Column) -> Column:
+    """The last number of an archive id."""
+    return _part(path, r"pl_[a-z]+_[0-9]+_([0-9]+)", NO_NUMBER)
+
+
+def page_file(path: Column) -> Column:
+    """The file name from the archive id on."""
+    return _part(path, r".*(pl_[a-z]+_[0-9]+_[0-9]+.*)", NO_FILE)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,44 +23,64 @@ def allowed(guess: str, gold: str, f_for_s: bool) -> bool:
     return guess.replace("f", "*").replace("s", "*") == gold.replace("s", "*")
 
 
-def _table(guess: list[str], gold: list[str], f_for_s: bool) -> np.ndarray:
-    """Edit distances of all prefixes, a row at a time: running minima give the insertions of a whole row at once."""
-    index = {g: k for k, g in enumerate(dict.fromkeys(gold))}
-    codes = np.array([index[g] for g in gold], np.int64)
-    steps = np.arange(len(gold) + 1)
-    out = np.empty((len(guess) + 1, len(gold) + 1), np.int32)
-    out[0] = steps
-    costs: dict[str, np.ndarray] = {}
-    for i, g in enumerate(guess, 1):
-        if g not in costs:
-            costs[g] = np.array([not allowed(g, x, f_for_s) for x in index], np.int32)[codes] if len(gold) else np.zeros(0, np.int32)
-        row = np.empty(len(gold) + 1, np.int32)
-        row[0] = i
-        row[1:] = np.minimum(out[i - 1, :-1] + costs[g], out[i - 1, 1:] + 1)
-        out[i] = np.minimum.accumulate(row - steps) + steps
-    return out
+def _columns(guess: list[str], gold: list[str], f_for_s: bool):
+    """After each guessed glyph: where the distance to the gold text's beginnings rises and where it falls by one, as bits.
+
+    Myers' bit vectors, as long as the gold text: a step is a few operations on whole numbers, and nothing of quadratic size is
+    held. The distance to the first k gold glyphs is the number of guessed ones, plus rises, less falls below k.
+    """
+    places: dict[str, int] = {}
+    for k, x in enumerate(gold):
+        places[x] = places.get(x, 0) | 1 << k
+    every, rise, fall = (1 << len(gold)) - 1, (1 << len(gold)) - 1, 0
+    match: dict[str, int] = {}
+    for g in guess:
+        if (same := match.get(g)) is None:
+            same = places.get(g, 0)
+            if f_for_s:
+                for x, at in places.items():
+                    if allowed(g, x, True):
+                        same |= at
+            match[g] = same
+        down = same | fall
+        across = (((same & rise) + rise) ^ rise) | same
+        up, back = fall | ~(across | rise), rise & across
+        up, back = up << 1 | 1, back << 1
+        rise, fall = (back | ~(down | up)) & every, up & down & every
+        yield rise, fall
 
 
 def edit_distance(guess: list[str], gold: list[str], f_for_s: bool = False) -> int:
-    return int(_table(guess, gold, f_for_s)[-1, -1])
+    rise, fall = (1 << len(gold)) - 1, 0
+    for rise, fall in _columns(guess, gold, f_for_s):  # noqa: B007
+        pass
+    return len(guess) + rise.bit_count() - fall.bit_count()
 
 
 def align(guess: list[str], gold: list[str], f_for_s: bool = False) -> list[tuple[str, str | None, str | None]]:
     """(op, guess, gold) of a cheapest alignment: = equal, S substituted, I and D: glyphs of one side only. Ties: equal, S, I, D."""
-    table, i, j, out = _table(guess, gold, f_for_s), len(guess), len(gold), []
+    columns = [((1 << len(gold)) - 1, 0), *_columns(guess, gold, f_for_s)]
+
+    def cost(i: int, j: int) -> int:
+        low = (1 << j) - 1
+        return i + (columns[i][0] & low).bit_count() - (columns[i][1] & low).bit_count()
+
+    i, j, out = len(guess), len(gold), []
+    own = cost(i, j)
     while i or j:
-        same = i and j and allowed(guess[i - 1], gold[j - 1], f_for_s)
-        if same and table[i, j] == table[i - 1, j - 1]:
-            i, j = i - 1, j - 1
-            out.append(("=", guess[i], gold[j]))
-        elif i and j and table[i, j] == table[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-            out.append(("S", guess[i], gold[j]))
-        elif j and table[i, j] == table[i, j - 1] + 1:
-            j -= 1
+        if i and j:
+            before = cost(i - 1, j - 1)
+            same = allowed(guess[i - 1], gold[j - 1], f_for_s)
+            if own == before + (not same):
+                i, j, own = i - 1, j - 1, before
+                out.append(("=" if same else "S", guess[i], gold[j]))
+                continue
+        if j and own == (left := cost(i, j - 1)) + 1:
+            j, own = j - 1, left
             out.append(("I", None, gold[j]))
         else:
             i -= 1
+            own -= 1
             out.append(("D", guess[i], None))
     return out[::-1]
 

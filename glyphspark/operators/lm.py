@@ -106,10 +106,11 @@ def transitions(prior: DataFrame, keep: float) -> DataFrame:
     return weighed.select("from_lang", "to_lang", (F.col("x") / F.sum("x").over(Window.partitionBy("from_lang"))).alias("p"))
 
 
-def marginal(prob: DataFrame, prior: DataFrame) -> DataFrame:
-    """(g, p): probability over all languages; a language that never saw the n-gram gives ``UNSEEN``."""
-    grid = prob.select("g").distinct().crossJoin(F.broadcast(prior))
-    return grid.join(prob, ["lang", "g"], "left").groupBy("g").agg(F.sum(F.coalesce("p", F.lit(UNSEEN)) * F.col("prior")).alias("p"))
+def marginal(wanted: DataFrame, tok: DataFrame, prior: DataFrame, order: int, kind: str = "kneser_ney") -> DataFrame:
+    """(g, p): probability of any n-grams ``wanted`` (g) over all languages, each language by its own back-off."""
+    grid = wanted.select("g").distinct().crossJoin(F.broadcast(prior.select("lang")))  # a row a language
+    prob = backed_off(grid, tok, order, kind)
+    return prob.join(F.broadcast(prior), "lang").groupBy("g").agg(F.sum(F.col("p") * F.col("prior")).alias("p"))
 
 
 def shrink(contexts: DataFrame, hist: DataFrame, order: int) -> DataFrame:
@@ -123,8 +124,234 @@ def shrink(contexts: DataFrame, hist: DataFrame, order: int) -> DataFrame:
     return out.select("lang", "context", F.coalesce(*found, F.lit("")).alias("shrunk"))
 
 
-def perplexity(lines: DataFrame, prob: DataFrame, order: int, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(doc_id, n_chars, perplexity): the characters of lines, each after the ``order`` - 1 before it in its line."""
-    seen = N.contexts(lines, order, (*by, "lang")).withColumnRenamed("t", "k")
-    logs = seen.join(prob.select("lang", "g", "p"), ["lang", "g"], "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
-    return logs.groupBy(*by).agg(F.sum("k").alias("n_chars"), F.exp(-F.sum(F.col("k") * F.log("p")) / F.sum("k")).alias("perplexity"))
+_STATS = ("t", "low", "hist", "norm")
+
+
+def lookup(tok: DataFrame) -> DataFrame:
+    """(lang, s, t, low, hist, norm): occurrences of a string, distinct characters before and after it, and pairs around it.
+
+    The empty string has all tokens and all bigram types.
+    """
+    none = F.lit(0).cast("long")
+    part = lambda df, s, **have: df.select("lang", s.alias("s"), *[have.get(c, none).cast("long").alias(c) for c in _STATS])
+    rows = part(tok, F.col("g"), t=F.col("t")).union(part(tok.where("n = 1"), F.lit(""), t=F.col("t")))
+    rows = rows.union(part(N.lower_types(tok), F.col("g"), low=F.col("low"))).union(part(N.history_types(tok), F.col("h"), hist=F.col("hist")))
+    rows = rows.union(part(N.lower_normalizers(tok), F.col("m"), norm=F.col("norm")))
+    return rows.groupBy("lang", "s").agg(*[F.sum(c).alias(c) for c in _STATS])
+
+
+def backed_off(wanted: DataFrame, tok: DataFrame, order: int, kind: str = "kneser_ney") -> DataFrame:
+    """(lang, g, p) of any n-grams ``wanted`` (lang, g; up to ``order`` characters), seen or not, from counts ``tok``.
+
+    The longest history that was ever seen decides: ``mle`` takes its share, ``absolute`` and ``kneser_ney`` discount and go on with
+    shorter ones; what no history knows has the probability ``UNSEEN``. Kneser-Ney takes token counts where the whole n-gram
+    is usable, and types below; a history that is only ever at a start has no types and passes to the next shorter one. A
+    language without counts gives ``UNSEEN``. All strings that an n-gram asks for are looked up by one join.
+    """
+    if kind not in ("mle", "absolute", "kneser_ney"):
+        raise ValueError(f"unknown model: {kind!r}")
+    wanted = wanted.select("lang", "g").distinct()
+    stats = lookup(tok)
+    length = F.length("g")
+    ends = F.transform(F.sequence(F.lit(1), length), lambda i: F.array(F.struct((2 * i).alias("slot"), F.right("g", i).alias("s")), F.struct((2 * i + 1).alias("slot"), F.left(F.right("g", i), i - 1).alias("s"))))
+    asked = wanted.select("lang", "g", F.explode(F.flatten(ends)).alias("e")).select("lang", "g", "e.*").where("s <> ''")
+    found = asked.join(stats.where("s <> ''"), ["lang", "s"]).groupBy("lang", "g").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct(*_STATS).alias("v")))).alias("m"))  # 2 * order entries at most
+    totals = stats.where("s = ''").select("lang", F.col("t").alias("total"), F.col("norm").alias("pairs"))
+    rows = wanted.join(found, ["lang", "g"], "left").join(F.broadcast(totals), "lang", "left")  # a row a language
+
+    def of(slot: int, name: str) -> Column:
+        return F.coalesce(F.element_at("m", slot)[name], F.lit(0).cast("long")).cast("double")
+
+    level: dict[int, Column] = {}
+    for i in range(1, order + 1):
+        whole, norm, low, pairs, hist = of(2 * i, "t"), of(2 * i + 1, "t") if i > 1 else F.col("total"), of(2 * i, "low"), of(2 * i + 1, "norm") if i > 1 else F.col("pairs"), of(2 * i + 1, "hist")
+        rows = rows.withColumns({f"_t{i}": whole, f"_tn{i}": F.coalesce(norm, F.lit(0.0)), f"_l{i}": low, f"_ln{i}": F.coalesce(pairs, F.lit(0)).cast("double"), f"_h{i}": hist})
+        t, tn, l, ln, h = (F.col(f"_{c}{i}") for c in ("t", "tn", "l", "ln", "h"))
+        share = F.when(t == 0, F.lit(UNSEEN)).otherwise(F.try_divide(t, tn))
+        discounted = lambda x, n, below: F.try_divide(F.greatest(F.lit(0.0), x - DISCOUNT), n) + F.try_divide(h * DISCOUNT, n) * below  # noqa: B023, E731
+        if kind == "mle":
+            rows = rows.withColumn(f"_p{i}", F.try_divide(t, tn))
+        elif kind == "absolute":
+            rows = rows.withColumn(f"_p{i}", share if i == 1 else discounted(t, tn, F.col(f"_p{i - 1}")))
+        elif i == 1:
+            rows = rows.withColumns({"_k1": F.when((l == 0) | (ln == 0), F.lit(UNSEEN)).otherwise(l / ln), "_p1": share})
+        else:
+            below = F.col(f"_k{i - 1}")
+            kn = F.when(ln == 0, below).otherwise(discounted(l, ln, below))
+            rows = rows.withColumns({f"_k{i}": kn, f"_p{i}": F.when(length == i, discounted(t, tn, below)).otherwise(kn)})
+        level[i] = F.when(tn > 0, F.col(f"_p{i}"))
+    return rows.select("lang", "g", F.coalesce(*[level[i] for i in range(order, 0, -1)], F.lit(UNSEEN)).alias("p"))
+
+
+#: Rows of a probability table that is broadcast (some 60 bytes each) after a count.
+BROADCAST_TYPES = 400_000
+
+
+def log_of(p: Column) -> Column:
+    """Natural logarithm of a probability; that of 0 is minus infinity (Spark's own is null, which sums leave out)."""
+    return F.when(p > 0, F.log(p)).otherwise(F.lit(float("-inf")))
+
+
+def perplexity(lines: DataFrame, prob: DataFrame, order: int, by: tuple[str, ...] = ("doc_id",), types: int | None = None) -> DataFrame:
+    """(doc_id, n_chars, perplexity): the characters of lines, each after the ``order`` - 1 before it in its line.
+
+    ``prob`` must have every n-gram of the lines (``backed_off``); one that is missing has the probability ``UNSEEN``, and one of
+    probability 0 (its history was only ever at an end) makes the perplexity infinite. With ``types``,
+    the counted rows of a small ``prob``, it goes to the characters; else a document's n-grams are counted and joined by a shuffle.
+    """
+    prob = prob.select("lang", "g", "p")
+    if types is not None and types <= BROADCAST_TYPES:
+        seen, prob = N.grams(lines, order, (*by, "lang")).withColumn("k", F.lit(1).cast("long")), F.broadcast(prob)
+    else:
+        seen = N.contexts(lines, order, (*by, "lang")).withColumnRenamed("t", "k")
+    logs = seen.join(prob, ["lang", "g"], "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
+    return logs.groupBy(*by).agg(F.sum("k").alias("n_chars"), F.exp(-F.sum(F.col("k") * log_of(F.col("p"))) / F.sum("k")).alias("perplexity"))
+
+
+def runs_of(parts: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, run, lang, text): parts of a text (key, order, lang, text) put together as long as the language stays."""
+    w = Window.partitionBy(key).orderBy(order)
+    new = F.when(F.lag("lang").over(w).eqNullSafe(F.col("lang")), 0).otherwise(1)
+    numbered = parts.withColumn("_new", new).withColumn("run", F.sum("_new").over(w))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "")
+    return numbered.groupBy(key, "run").agg(F.first("lang").alias("lang"), joined.alias("text"))
+
+
+def run_contexts(runs: DataFrame, orders: int | dict[str, int], key: str) -> DataFrame:
+    """(key, lang, g, k): n-grams that end at the characters of runs; a context never reaches back over a change of language."""
+    most = orders if isinstance(orders, int) else max(orders.values())
+    seen = N.contexts(runs.select(key, "lang", F.col("text").alias("line")), most, (key, "lang"))
+    if not isinstance(orders, int):
+        own = F.create_map(*[F.lit(x) for pair in orders.items() for x in pair])
+        seen = seen.withColumn("g", F.right("g", F.coalesce(own[F.col("lang")], F.lit(most)))).groupBy(key, "lang", "g").agg(F.sum("t").alias("t"))
+    return seen.withColumnRenamed("t", "k")
+
+
+def run_perplexity(runs: DataFrame, prob: DataFrame, prior: DataFrame, move: DataFrame, orders: int | dict[str, int], key: str = "doc_id") -> DataFrame:
+    """(key, n_chars, perplexity) of texts that change language: ``runs`` (key, run, lang, text; neighbours differ in language).
+
+    Every character has the probability of its language's model after its context; the first one also that of its
+    language, and one after a space that of staying or of the change (``move``). Languages can't change inside a word;
+    texts where they do have a null perplexity.
+    """
+    logs = run_contexts(runs, orders, key).join(prob.select("lang", "g", "p"), ["lang", "g"], "left")
+    logs = logs.groupBy(key).agg(F.sum("k").alias("n_chars"), F.sum(F.col("k") * log_of(F.coalesce("p", F.lit(UNSEEN)))).alias("_c"))
+    w = Window.partitionBy(key).orderBy("run")
+    inner = F.expr("substring(text, 1, length(text) - 1)")
+    turns = runs.select(key, "run", "lang", F.lag("lang").over(w).alias("_from"), F.lag(F.right("text", F.lit(1))).over(w).alias("_end"), (F.length(inner) - F.length(F.replace(inner, F.lit(" "), F.lit("")))).alias("_stays"))
+    moves = move.select(F.col("from_lang").alias("_from"), F.col("to_lang").alias("lang"), F.col("p").alias("_change"))
+    stays = move.where("from_lang = to_lang").select(F.col("from_lang").alias("lang"), F.col("p").alias("_stay"))
+    turns = turns.join(F.broadcast(prior), "lang").join(F.broadcast(moves), ["_from", "lang"], "left").join(F.broadcast(stays), "lang")  # languages, and their pairs
+    enter = F.when(F.col("_from").isNull(), F.log("prior")).when(F.col("_end") == " ", F.log("_change"))
+    turns = turns.groupBy(key).agg(F.sum(enter + F.col("_stays") * F.log("_stay")).alias("_s"), F.count_if(enter.isNull()).alias("_bad"))
+    out = logs.join(turns, key)
+    return out.select(key, "n_chars", F.when(F.col("_bad") == 0, F.exp(-(F.col("_c") + F.col("_s")) / F.col("n_chars"))).alias("perplexity"))
+
+
+def cross_perplexity(lines: DataFrame, tok: DataFrame, order: int, by: str = "doc_id") -> DataFrame:
+    """(doc_id, model, n_chars, perplexity): lines under the model of every language of ``tok``, mostly not their own."""
+    seen = N.contexts(lines.select(by, "line"), order, (by,)).withColumnRenamed("t", "k")
+    models = tok.select("lang").distinct()
+    prob = backed_off(seen.select("g").distinct().crossJoin(F.broadcast(models)), tok, order)  # a row a language
+    logs = prob.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("lang", log_of(F.col("p")).alias("p")))).alias("m"))
+    sums = seen.join(logs, "g").select(by, "k", F.explode("m").alias("model", "p")).groupBy(by, "model")
+    return sums.agg(F.sum("k").alias("n_chars"), F.exp(-F.sum(F.col("k") * F.col("p")) / F.sum("k")).alias("perplexity"))
+
+
+def mixed(probs: list[tuple[DataFrame, float]]) -> DataFrame:
+    """(lang, g, p): models over the same n-grams, mixed by weights that are scaled to 1. Each model has shrunk contexts by itself (``backed_off``)."""
+    if not probs or any(w <= 0 for _, w in probs):
+        raise ValueError("weights must be there and positive")
+    total = sum(w for _, w in probs)
+    rows = [df.select("lang", "g", (F.col("p") * (w / total)).alias("p")) for df, w in probs]
+    out = rows[0]
+    for df in rows[1:]:
+        out = out.union(df)
+    return out.groupBy("lang", "g").agg(F.sum("p").alias("p"))
+
+
+class Backoff:
+    """A language's model for kernels: the probability of any character after any context, by the rules of ``backed_off``.
+
+    ``stats`` is the language's part of ``lookup``; its size is bounded by alphabet and order, not by the corpus.
+    """
+
+    def __init__(self, stats: dict[str, tuple[int, int, int, int]], order: int, power: float = LM_POWER):
+        self.stats, self.order, self.power = stats, order, power
+
+    def _kn(self, s: str) -> float:
+        low = self.stats.get(s, (0, 0, 0, 0))[1]
+        _, _, hist, norm = self.stats.get(s[:-1], (0, 0, 0, 0))
+        if len(s) == 1:
+            return low / norm if low and norm else UNSEEN
+        below = self._kn(s[1:])
+        return max(0.0, low - DISCOUNT) / norm + hist * DISCOUNT / norm * below if norm else below
+
+    def raw(self, context: str, char: str) -> float:
+        context = context[len(context) - self.order + 1 :] if len(context) >= self.order else context
+        whole = context + char
+        while context and not self.stats.get(context, (0,))[0]:
+            context = context[1:]
+        s = context + char
+        t = self.stats.get(s, (0,))[0]
+        total, _, hist, _ = self.stats.get(context, (0, 0, 0, 0))
+        if not context:
+            return t / total if t else UNSEEN
+        if s == whole:
+            return max(0.0, t - DISCOUNT) / total + hist * DISCOUNT / total * self._kn(s[1:])
+        return self._kn(s)
+
+    def __call__(self, context: str, char: str) -> float:
+        return self.raw(context, char) ** self.power
+
+    def shrink(self, context: str) -> str:
+        """The longest end of a context that has continuations."""
+        context = context[-(self.order - 1) :] if self.order > 1 else ""
+        while context and not self.stats.get(context, (0, 0, 0, 0))[2]:
+            context = context[1:]
+        return context
+
+
+class Mixture:
+    """A weighted sum of models; each shrinks the context by itself."""
+
+    def __init__(self, parts: list[tuple[Backoff, float]]):
+        total = sum(w for _, w in parts)
+        self.parts, self.order = [(m, w / total) for m, w in parts], max(m.order for m, _ in parts)
+
+    def __call__(self, context: str, char: str) -> float:
+        return sum(w * m(m.shrink(context), char) for m, w in self.parts)
+
+
+def models_of(tok: DataFrame, order: int, power: float = LM_POWER) -> dict[str, Backoff]:
+    """A model for each language of the counts ``tok``; the tables come to the driver (n-gram types, not tokens)."""
+    stats: dict[str, dict] = {}
+    for r in lookup(tok).toLocalIterator():
+        stats.setdefault(r["lang"], {})[r["s"]] = (r["t"], r["low"], r["hist"], r["norm"])
+    return {lang: Backoff(own, order, power) for lang, own in sorted(stats.items())}
+
+
+def switch_table(priors: dict[str, float], keep: float) -> dict[tuple[str, str], float]:
+    """``transitions`` on a dictionary, for kernels."""
+    check_priors(priors, keep)
+    if len(priors) == 1:
+        return {(a, a): 1.0 for a in priors}
+    raw = {(a, b): (keep if a == b else (1 - keep) / (len(priors) - 1)) * priors[b] for a in priors for b in priors}
+    return {(a, b): x / sum(raw[a, c] for c in priors) for (a, b), x in raw.items()}
+
+
+def reestimated(base: dict[str, Backoff | Mixture], texts: DataFrame, order: int, power: float = LM_POWER, weight: float = 0.5) -> tuple[dict[str, Backoff | Mixture], dict[str, float]]:
+    """Models and priors after reading ``texts`` (lang, line): each language's first model mixed with one of its new text.
+
+    A language without new text keeps its model. Priors are the characters read, and one more.
+    """
+    tok = N.token_counts(texts.select("lang", "line"), order)
+    fresh = models_of(tok, order, power)
+    models, priors = {}, {}
+    for lang, model in base.items():
+        first = model.parts[0][0] if isinstance(model, Mixture) else model
+        new = fresh.get(lang)
+        models[lang] = Mixture([(first, 1 - weight), (new, weight)]) if new else model
+        priors[lang] = (new.stats[""][0] if new else 0) + 1.0
+    total = sum(priors.values())
+    return models, {lang: p / total for lang, p in priors.items()}

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, line_no, line) of all lines that aren't empty."""
-    return docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("line <> ''")
+def lines_of(docs: DataFrame, most: int = 0) -> DataFrame:
+    """(doc_id, lang, line_no, line) of all lines that aren't empty; of the first ``most`` lines of a text, if that is positive."""
+    lines = F.split("text", "\n", -1)
+    lines = F.slice(lines, F.lit(1), F.lit(most)) if most > 0 else lines
+    return docs.select("doc_id", "lang", F.posexplode(lines).alias("line_no", "line")).where("line <> ''")
 
 
-def contexts(lines: DataFrame, order: int, keys: tuple[str, ...]) -> DataFrame:
-    """(*keys, g, t): how often each n-gram of full length (shorter at a line's start) ends at a character.
+def grams(lines: DataFrame, order: int, keys: tuple[str, ...]) -> DataFrame:
+    """(*keys, g): for every character the n-gram of full length (shorter at a line's start) that ends there.
 
     Each length is zipped from the one below, in a column of its own, so that nothing is evaluated twice.
     """
@@ -21,7 +23,12 @@ def contexts(lines: DataFrame, order: int, keys: tuple[str, ...]) -> DataFrame:
         tail = F.slice("_1", F.lit(n), F.greatest(F.size("_1") - n + 1, F.lit(0)))
         df = df.withColumn("_tail", tail).withColumn(f"_{n}", F.zip_with(F.slice(f"_{n - 1}", F.lit(1), F.size("_tail")), F.col("_tail"), lambda a, b: F.concat(a, b)))
     ends = F.concat(*[F.slice(f"_{n}", F.lit(1), F.lit(1)) for n in range(1, order)], F.col(f"_{order}"))
-    return df.select(*keys, F.explode(ends).alias("g")).groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("t"))
+    return df.select(*keys, F.explode(ends).alias("g"))
+
+
+def contexts(lines: DataFrame, order: int, keys: tuple[str, ...]) -> DataFrame:
+    """(*keys, g, t): how often each of the ``grams`` is there."""
+    return grams(lines, order, keys).groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("t"))
 
 
 def token_counts(lines: DataFrame, order: int = 3, keys: tuple[str, ...] = ("lang",)) -> DataFrame:
@@ -59,3 +66,21 @@ def active_chars(counts: DataFrame, min_count: int = 10) -> DataFrame:
 
     always = counts.select("lang").distinct().select("lang", F.explode(F.array(*[F.lit(c) for c in [" ", *UNIVERSAL_PUNCTUATION]])).alias("char"))
     return counts.where(F.col("n") >= min_count).select("lang", "char").union(always).distinct()
+
+
+def indexed_chars(active: DataFrame) -> DataFrame:
+    """(char): everything a font needs a template for: active characters, long s, ligatures and their parts, base letters, forms with a tilde.
+
+    ``active`` is as small as alphabets; what is added belongs to no language.
+    """
+    from glyphspark.functions import charset
+
+    chars = {r["char"] for r in active.select("char").distinct().collect()} | {"ſ", *charset.LIGATURES}
+    chars |= {c for pair in charset.LIGATURES.values() for c in pair}
+    for c in list(chars):
+        try:
+            base = charset.base_of(c)
+        except charset.CharError:  # stands for itself
+            continue
+        chars |= {base} | {form for form in (charset.tilde_form(c), charset.tilde_form(base)) if form}
+    return active.sparkSession.createDataFrame([(c,) for c in sorted(chars)], "char string")

@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ids of one block; blocks are summed first, and only block totals are ordered together.
-BLOCK = 1024
+#: Rows of a block (about), and blocks at most; blocks are summed first, and only block totals are ordered together.
+BLOCK_ROWS, MAX_BLOCKS = 20_000, 2048
 
 
-def running_total(df: DataFrame, key: str, order: tuple[str, str], value: str, name: str, block: int = BLOCK) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over all rows of the same ``key`` that come before in ``order`` (an integer id, then a second column).
+def block_of(df: DataFrame, first: str, rows: int = BLOCK_ROWS) -> Column:
+    """The block of a row: ranges of the column ``first`` with about equally many rows, whatever its values are. Nulls come first."""
+    n = df.count()
+    blocks = min(MAX_BLOCKS, -(-n // rows))
+    if blocks < 2:
+        return F.lit(0)
+    bounds = sorted(set(df.stat.approxQuantile(first, [k / blocks for k in range(1, blocks)], 0.25 / blocks)))
+    edges = F.array(*[F.lit(float(b)) for b in bounds])
+    return F.when(F.col(first).isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda b: b <= F.col(first).cast("double"))))
 
-    Rows are ordered inside blocks of ids; the totals of the blocks (rows / BLOCK or fewer) are ordered by key.
+
+def running_total(df: DataFrame, key: str, order: tuple[str, str], value: str, name: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows of the same ``key`` that come before in ``order`` (a number, then a second column).
+
+    Rows are ordered inside blocks of about equally many rows; only the totals of the blocks are ordered by key.
     """
     first, second = order
-    df = df.withColumn("_block", F.floor(F.col(first) / block))
-    totals = df.groupBy(key, "_block").agg(F.sum(value).alias("_total"))
-    before = totals.withColumn("_base", F.coalesce(F.sum("_total").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_total")
+    df = df.withColumn("_block", block_of(df, first, rows))
+    totals = df.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_b")).agg(F.sum(value).alias("_total"))
+    before = totals.withColumn("_base", F.coalesce(F.sum("_total").over(Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_total")
     inside = Window.partitionBy(key, "_block").orderBy(first, second).rowsBetween(Window.unboundedPreceding, -1)
     out = df.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return out.join(before, [key, "_block"]).withColumn(name, F.col(name) + F.col("_base")).drop("_block", "_base")
+    out = out.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_b")))
+    return out.withColumn(name, F.col(name) + F.col("_base")).drop("_block", "_base", "_key", "_b")

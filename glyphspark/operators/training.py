@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphspark.operators.decoder import COLUMNS, GAINS, Template, Transitions, decode, fit_widths, kernel
+from glyphspark.operators import gsm, lm, transcript
+from glyphspark.operators.decoder import COLUMNS, GAINS, GlyphModel, Template, Transitions, decode, fit_widths, kernel
 from glyphspark.operators.pages import BLACK, HEIGHT, WHITE
+from glyphspark.sources import corpus
 
 REGULARIZER = 0.01
 
@@ -135,8 +138,82 @@ def font_of(frame: DataFrame) -> list[Template]:
     return [Template(r["char"], dict(r["widths"]), None if r["weights"] is None else np.frombuffer(bytes(r["weights"])).reshape(COLUMNS, HEIGHT)) for r in frame.orderBy("char").collect()]
 
 
+@dataclass
+class Models:
+    """All that decoding needs: templates, language models with priors, characters, and glyph substitution if there is any."""
+
+    font: list[Template]
+    languages: dict[str, Any]
+    priors: dict[str, float]
+    chars: dict[str, list[str]]
+    keep: float = 0.999999
+    order: int = 6
+    glyphs: GlyphModel | None = None
+    switch_on_punctuation: bool = True
+    offsets: range | None = None
+
+    def transitions(self) -> Transitions:
+        return Transitions(self.languages, self.chars, self.priors, lm.switch_table(self.priors, self.keep), self.order, self.glyphs, self.switch_on_punctuation, self.offsets)
+
+
+@dataclass(frozen=True)
+class Updates:
+    """What an M-step updates, after how many documents (0: all), and how."""
+
+    font: bool = True
+    language: bool = False
+    glyphs: bool = False
+    batch_docs: int = 0
+    new_text: float = 0.5
+    smoothing: float = 1.0
+    elision: float = 100.0
+
+
+def m_step(models: Models, decoded: DataFrame, lines: DataFrame, updates: Updates) -> Models:
+    """Models re-estimated from one batch's decode table; counts of earlier batches don't linger."""
+    if updates.font:
+        models = replace(models, font=fit_templates(emission_counts(decoded, lines), models.font))
+    if updates.language:
+        texts = transcript.language_runs(decoded).select("lang", F.col("text").alias("line"))
+        power = next(iter(models.languages.values()))
+        power = (power.parts[0][0] if isinstance(power, lm.Mixture) else power).power
+        languages, priors = lm.reestimated(models.languages, texts, models.order, power, updates.new_text)
+        models = replace(models, languages=languages, priors=priors)
+    if updates.glyphs and models.glyphs is not None:
+        active = decoded.sparkSession.createDataFrame([(lang, c) for lang, own in models.chars.items() for c in own], "lang string, char string")
+        counts = gsm.smoothed(gsm.glyph_counts(decoded), gsm.smoothing_grid(active, updates.smoothing, updates.elision))
+        old = models.glyphs
+        models = replace(models, glyphs=GlyphModel.of(gsm.probabilities(counts), active, elide_anything=old.elide_anything, no_sub=old.no_sub, power=old.power))
+    return models
+
+
+def train_models(lines: DataFrame, models: Models, path: str, rounds: int = 3, updates: Updates = Updates(), **options: Any) -> Models:  # noqa: B008
+    """Hard EM in mini-batches of documents: decode a batch, re-estimate what ``updates`` says, go on with the new models.
+
+    Documents are numbered by id; a short remainder joins the last batch. Decode tables are written below ``path`` by round and
+    batch, so that an update reads what was written.
+    """
+    if rounds <= 0:
+        raise ValueError("rounds must be positive")
+    spark = lines.sparkSession
+    docs = lines.select("doc_id").distinct()
+    total = docs.count()
+    size = updates.batch_docs if updates.batch_docs > 0 else max(total, 1)
+    # documents are numbered in one task; there are far fewer of them than lines
+    numbered = docs.withColumn("_n", F.row_number().over(Window.orderBy("doc_id"))).select("doc_id", corpus.batch_of(F.col("_n"), F.lit(total), size).cast("int").alias("batch_no"))
+    batches = max(1, total // size)
+    for k in range(1, rounds + 1):
+        for b in range(1, batches + 1):
+            own = lines.join(numbered.where(F.col("batch_no") == b), "doc_id", "left_semi")
+            place = f"{path}/decode/iter={k}/batch={b}"
+            decode(own, models.font, models.transitions(), **options).write.mode("overwrite").parquet(place)
+            models = m_step(models, spark.read.parquet(place), own, updates)
+            font_frame(spark, models.font).write.mode("overwrite").parquet(f"{path}/font/iter={k}/batch={b}")
+    return models
+
+
 def train(lines: DataFrame, font: list[Template], model: Transitions, path: str, rounds: int = 3, **options: Any) -> list[Template]:
-    """Hard EM: decode, count, refit; each round's decode table and font are written below ``path`` and read again."""
+    """Hard EM of the templates alone: decode, count, refit; each round's decode table and font are written below ``path`` and read again."""
     if rounds <= 0:
         raise ValueError("rounds must be positive")
     spark = lines.sparkSession
@@ -150,11 +227,20 @@ def train(lines: DataFrame, font: list[Template], model: Transitions, path: str,
     return font
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder, fs = _folder(spark, path)
+    return fs.exists(folder)
+
+
 def last_round(spark: SparkSession, path: str) -> int:
     """The last round whose font was written whole, 0 if none: where training goes on."""
     jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/font")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder, fs = _folder(spark, f"{path}/font")
     if not fs.exists(folder):
         return 0
     whole = [s.getPath() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
@@ -163,5 +249,5 @@ def last_round(spark: SparkSession, path: str) -> int:
 
 def joint_log_prob(decoded: DataFrame) -> DataFrame:
     """(log_prob): mean over documents of the mean over their batches."""
-    batches = decoded.groupBy("doc_id", "log_prob").agg(F.count(F.lit(1)).alias("n"))
+    batches = decoded.groupBy("doc_id", "batch").agg(F.max("log_prob").alias("log_prob"))  # one value a batch
     return batches.groupBy("doc_id").agg(F.avg("log_prob").alias("p")).agg(F.avg("p").alias("log_prob"))

@@ -42,7 +42,8 @@ def normalized_running(decode: DataFrame) -> DataFrame:
     """(doc_id, text): one running text a document: margins are spaces, hyphenated line ends join, spaces collapse."""
     kept = decode.where(~F.col("type").isin(HYPHEN_MARGINS) & (F.col("glyph_type") != "DOUBLED"))
     char = F.when(F.col("type").isin("LMRGN", "RMRGN"), F.lit(" ")).otherwise(F.col("lm_char"))
-    return kept.groupBy("doc_id").agg(F.trim(F.regexp_replace(in_order(char, "line_no", "pos"), " +", " ")).alias("text"))
+    lines = kept.groupBy("doc_id", "line_no").agg(in_order(char, "pos").alias("_line"))  # lines first: documents gather lines, not characters
+    return lines.groupBy("doc_id").agg(F.trim(F.regexp_replace(in_order(F.col("_line"), "line_no"), " +", " ")).alias("text"))
 
 
 def language_runs(decode: DataFrame) -> DataFrame:
@@ -70,10 +71,10 @@ def word_spans(decode: DataFrame) -> DataFrame:
         F.first("is_space").alias("is_space"),
         F.min(F.struct("pos", "lang")).alias("_first"),
         F.sum(F.col("char_w") + F.col("pad_w")).cast("long").alias("width"),
-        F.trim(in_order(dipl, "pos")).alias("diplomatic"),
-        F.trim(in_order(norm, "pos")).alias("normalized"),
+        F.array_sort(F.collect_list(F.struct("pos", dipl.alias("d"), norm.alias("n")))).alias("_s"),
     )
-    return agg.select("doc_id", "line_no", "span", "is_space", F.coalesce("_first.lang", F.lit("None")).alias("lang"), "width", "diplomatic", "normalized")
+    joined = lambda name: F.trim(F.array_join(F.transform("_s", lambda x: x[name]), ""))
+    return agg.select("doc_id", "line_no", "span", "is_space", F.coalesce("_first.lang", F.lit("None")).alias("lang"), "width", joined("d").alias("diplomatic"), joined("n").alias("normalized"))
 
 
 def alto_items(decode: DataFrame, normalized: bool = False) -> DataFrame:
@@ -143,10 +144,43 @@ def pair_lines(model: DataFrame, gold: DataFrame) -> DataFrame:
     return m.join(g, ["doc_id", "line_no"], "full_outer").select("doc_id", "line_no", F.coalesce("model", F.lit("")).alias("model"), F.coalesce("gold", F.lit("")).alias("gold"))
 
 
-def comparison(pairs: DataFrame) -> DataFrame:
-    """(doc_id, report): model and gold lines under each other."""
-    block = F.concat(F.lit("MD: "), F.col("model"), F.lit("\nGD: "), F.col("gold"), F.lit("\n\n"))
-    return pairs.withColumn("_b", block).groupBy("doc_id").agg(in_order(F.col("_b"), "line_no").alias("report"))
+# The sides of a comparison, in order.
+SIDES = {"MN": "Model normalized transcription", "GN": "Gold normalized transcription", "MD": "Model diplomatic transcription", "GD": "Gold diplomatic transcription", "MS": "Model transcription with substitutions"}
+
+
+def comparison(model: DataFrame, gold: DataFrame | None = None, normalized: DataFrame | None = None, gold_normalized: DataFrame | None = None, substituted: DataFrame | None = None, running: DataFrame | None = None, gold_running: DataFrame | None = None, evaluations: DataFrame | None = None) -> DataFrame:
+    """(doc_id, report): all sides of a transcription under each other, line by line, then as running texts, then the scores.
+
+    Sides are lines (doc_id, line_no, text), running texts (doc_id, text), scores (doc_id, side, metric, score) of the sides
+    ``diplomatic`` and ``normalized``. A side that isn't given, or that a document lacks, isn't shown; a side's missing lines
+    are empty.
+    """
+    frames = {"MN": normalized, "GN": gold_normalized, "MD": model, "GD": gold, "MS": substituted}
+    rows = None
+    for side, df in frames.items():
+        if df is not None:
+            own = df.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.lit(side).alias("side"), F.trim("text").alias("text"))
+            rows = own if rows is None else rows.unionByName(own)
+    sides = [s for s, df in frames.items() if df is not None]
+    by_line = rows.groupBy("doc_id", "line_no").agg(*[F.max(F.when(F.col("side") == s, F.col("text"))).alias(s) for s in sides])
+    w = Window.partitionBy("doc_id")
+    by_line = by_line.withColumns({f"_{s}": F.max(F.col(s).isNotNull()).over(w) for s in sides})
+    shown = lambda s, x: F.when(F.col(f"_{s}"), x).otherwise(F.lit(""))
+    block = F.concat(*[shown(s, F.concat(F.lit(f"{s}: "), F.coalesce(s, F.lit("")), F.lit("\n"))) for s in sides], F.lit("\n"))
+    head = F.concat(*[shown(s, F.lit(f"{s}: {SIDES[s]}\n")) for s in sides], F.lit("\n\n"))
+    out = by_line.withColumns({"_block": block, "_head": head}).groupBy("doc_id").agg(F.first("_head").alias("_head"), in_order(F.col("_block"), "line_no").alias("_body"))
+    none = F.lit(None).cast("string")
+    for name, df in (("_running", running), ("_gold", gold_running)):
+        out = out.join(df.select("doc_id", F.col("text").alias(name)), "doc_id", "left") if df is not None else out.withColumn(name, none)
+    both = F.col("_running").isNotNull() & F.col("_gold").isNotNull()
+    title = F.when(both, "Model (top) vs. Gold (bottom) normalized transcriptions\n").when(F.col("_running").isNotNull(), "Model normalized transcription\n").when(F.col("_gold").isNotNull(), "Gold normalized transcription\n").otherwise("")
+    line = lambda c: F.coalesce(F.concat(c, F.lit("\n")), F.lit(""))
+    report = [F.col("_head"), F.col("_body"), F.lit("\n"), title, line(F.col("_running")), line(F.col("_gold")), F.lit("\n")]
+    for side in ("diplomatic", "normalized") if evaluations is not None else ():
+        own = evaluations.where(F.col("side") == side).groupBy("doc_id").agg(in_order(F.concat("metric", F.lit(": "), F.col("score").cast("string"), F.lit("\n")), "metric").alias(f"_{side}"))
+        out = out.join(own, "doc_id", "left")
+        report.append(F.coalesce(F.concat(F.lit(f"\n{side.capitalize()} evaluation\n"), f"_{side}"), F.lit("")))
+    return out.select("doc_id", F.concat(*report).alias("report"))
 
 
 def decode_fixture(lines: DataFrame) -> DataFrame:

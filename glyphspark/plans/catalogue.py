@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphspark.functions import charset, readers
+from glyphspark.functions import charset, readers, text
 from glyphspark.operators import evaluate, gsm, lm, ngrams, transcript
 from glyphspark.sources import corpus
 
@@ -41,8 +41,8 @@ def _lines(spark, d):
 
 
 def _tok(spark, d, order=ORDER):
-    """N-gram counts; kept, as the smoothing stages read them several times (lost blocks are counted anew)."""
-    return ngrams.token_counts(_lines(spark, d), order).persist()
+    """N-gram counts. Smoothing stages read them several times, from one exchange that the plan reuses."""
+    return ngrams.token_counts(_lines(spark, d), order)
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -144,18 +144,26 @@ def replace_every_n(spark, d):
     return readers.replace_some(_lines(spark, d), [readers.Rule("th", "þ", 3)]).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
-@query()
+def _every(source: str, old: str, new: str, n: int, name: str) -> str:
+    return f"""{name}p AS (SELECT *, string_split(line, '{old}') AS x FROM {source}), {name}q AS (SELECT *, coalesce(sum(len(x) - 1) OVER (PARTITION BY lang ORDER BY doc_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM {name}p),
+{name}u AS (SELECT doc_id, lang, line_no, b, generate_subscripts(x, 1) AS i, unnest(x) AS part FROM {name}q),
+{name} AS (SELECT doc_id, lang, line_no, string_agg(CASE WHEN i = 1 THEN part WHEN (b + i - 2) % {n} = {n - 1} THEN '{new}' || part ELSE '{old}' || part END, '' ORDER BY i) AS line FROM {name}u GROUP BY ALL)"""
+
+
+@query(f"""WITH {_L}, r1 AS (SELECT doc_id, lang, line_no, translate(translate(replace(replace(replace(replace(line, '\\', '\\\\'), '``', '"'), '''''', '"'), chr(9), '    '), '@$%', ''), '{_FROM}', '{_TO}') AS line FROM lines),
+r2 AS (SELECT doc_id, lang, line_no, regexp_replace(regexp_replace(regexp_replace(line, 's(\\p{{L}})', 'ſ\\1', 'g'), 's(\\p{{L}})', 'ſ\\1', 'g'), 'ſſ([iìíîïĩīĭ])', 'ſs\\1', 'g') AS line FROM r1),
+{_every("r2", "an", "ã", 4, "r3")}, {_every("r3", "u", "v", 4, "r4")} SELECT doc_id, lang, line_no, line FROM r4""")
 def reader_pipeline(spark, d):
     """All stages: banned characters, diacritics, long s, then two rules."""
     reader = readers.Reader(remove_diacritics=True, long_s=True)
     lines = _lines(spark, d).withColumn("line", readers.read(F.col("line"), reader))
-    return readers.replace_some(lines, [readers.Rule("an", "ã", 4), readers.Rule("u", "v", 4)])
+    return _long(readers.replace_some(lines, [readers.Rule("an", "ã", 4), readers.Rule("u", "v", 4)]).select("doc_id", "lang", "line_no", "line"), "line_no")
 
 
-@query()
+@query(f"WITH {_L} SELECT doc_id, line_no, length(regexp_replace(line, '\\p{{M}}', '', 'g'))::BIGINT AS n_chars FROM lines")
 def char_split(spark, d):
     """Characters of every line by the full parser, with a count."""
-    return _lines(spark, d).select("doc_id", "line_no", F.size(charset.read_chars("line")).alias("n_chars"))
+    return _long(_lines(spark, d).select("doc_id", "line_no", F.size(charset.read_chars("line")).alias("n_chars")), "line_no", "n_chars")
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '>', '&gt;'), '<', '&lt;'), '''', '&apos;'), '\"', '&quot;') AS xml FROM pages")
@@ -163,10 +171,34 @@ def xml_escape(spark, d):
     return _table(spark, d, "pages").select("page_id", charset.xml_escape(F.col("html")).alias("xml"))
 
 
-@query("SELECT doc_id, nullif(regexp_extract(p, '(pl_[a-z]+_[0-9]+_[0-9]+)', 1), '') AS page, regexp_extract(p, '[.]([^./]+)$', 1) AS ext FROM (SELECT doc_id, 'x/pl_' || lang || '_' || doc_id || '_' || n_chars || '-800.jpg' AS p FROM documents)")
+@query("""SELECT doc_id, coalesce(nullif(regexp_extract(p, '(pl_[a-z]+_[0-9]+_[0-9]+)', 1), ''), 'Error: page ID unknown') AS page, coalesce(nullif(regexp_extract(p, 'pl_[a-z]+_[0-9]+_([0-9]+)', 1), ''), 'Error: ID Number unknown') AS number,
+coalesce(nullif(regexp_extract(p, '.*(pl_[a-z]+_[0-9]+_[0-9]+.*)', 1), ''), 'Error: filename unknown') AS file, regexp_extract(p, '[.]([^./]+)$', 1) AS ext, regexp_replace(p, '[.][^.]*$', '') AS stem
+FROM (SELECT doc_id, CASE WHEN source = 'forum' THEN 'x/y/' ELSE 'x/pl_' END || lang || '_' || doc_id || '_' || n_chars || '-800.jpg' AS p FROM documents)""")
 def page_ids(spark, d):
-    path = F.concat(F.lit("x/pl_"), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit("_"), F.col("n_chars").cast("string"), F.lit("-800.jpg"))
-    return _table(spark, d, "documents").select("doc_id", charset.page_id(path).alias("page"), F.regexp_extract(path, r"\.([^./]+)$", 1).alias("ext"))
+    path = F.concat(F.when(F.col("source") == "forum", F.lit("x/y/")).otherwise(F.lit("x/pl_")), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit("_"), F.col("n_chars").cast("string"), F.lit("-800.jpg"))
+    return _table(spark, d, "documents").select("doc_id", charset.page_id(path).alias("page"), charset.page_number(path).alias("number"), charset.page_file(path).alias("file"), text.extension(path).alias("ext"), text.without_extension(path).alias("stem"))
+
+
+@query("""SELECT item_id, left(text, 7) AS head, substr(text, 8) AS rest, right(text, 1) AS tail, coalesce((SELECT min(i) - 1 FROM (SELECT unnest(range(1, least(length(text), length(other)) + 1)) AS i) WHERE substr(text, i, 1) <> substr(other, i, 1)), least(length(text), length(other)))::BIGINT AS same
+FROM (SELECT item_id, text, replace(text, 'e', 'E') AS other FROM benchmark)""")
+def string_helpers(spark, d):
+    x = F.col("text")
+    same = text.common_prefix(x, F.replace(x, F.lit("e"), F.lit("E"))).cast("long")
+    return _table(spark, d, "benchmark").select("item_id", text.take(x, 7).alias("head"), text.drop(x, 7).alias("rest"), text.last(x).alias("tail"), same.alias("same"))
+
+
+@query("""SELECT item_id, array_to_string(x[1:3], ' ') AS head, array_to_string(x[4:], ' ') AS rest, array_to_string(x[-2:], ' ') AS tail, x[-1] AS last, array_to_string(list_prepend('a', list_append(x[1:1], 'z')), ' ') AS both, array_to_string([x[1], x[1], x[1]], ' ') AS filled, array_to_string(x[1:2] || x[-2:], ' ') AS cat
+FROM (SELECT item_id, string_split(text, ' ') AS x FROM benchmark)""")
+def list_helpers(spark, d):
+    x = F.split("text", " ")
+    out = {"head": text.list_take(x, 3), "rest": text.list_drop(x, 3), "tail": text.list_take_right(x, 2), "both": F.array_prepend(F.array_append(text.list_take(x, 1), "z"), "a"), "filled": F.array_repeat(F.get(x, 0), 3), "cat": F.concat(text.list_take(x, 2), text.list_take_right(x, 2))}
+    return _table(spark, d, "benchmark").select("item_id", *[F.array_join(c, " ").alias(n) for n, c in out.items()], text.list_last(x).alias("last"))
+
+
+@query("SELECT doc_id, replace(replace(' ' || string_agg(trim(line, ' '), chr(10) ORDER BY pos), '-' || chr(10), ''), chr(10), ' ') AS text FROM (SELECT doc_id, unnest(string_split(replace(text, 'the', 'th-'), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) GROUP BY doc_id")
+def joined_lines(spark, d):
+    """Lines put together where a hyphen ends one."""
+    return _docs(spark, d).where("text is not null").select("doc_id", text.joined_lines(F.split(F.replace("text", F.lit("the"), F.lit("th-")), "\n", -1)).alias("text"))
 
 
 # N-grams and language models
@@ -242,7 +274,7 @@ def lang_transitions(spark, d):
 @query(f"""WITH {_P}, m AS (SELECT lang, c AS g, count(*)::DOUBLE AS t FROM ch GROUP BY ALL), q AS (SELECT lang, g, t / sum(t) OVER (PARTITION BY lang) AS p FROM m)
 SELECT g, round(sum(coalesce(q.p, exp(-10)) * prior), {DIGITS}) AS p FROM (SELECT DISTINCT g FROM m) x CROSS JOIN pri LEFT JOIN q USING (lang, g) GROUP BY g""")
 def marginal_prob(spark, d):
-    return _rounded(lm.marginal(lm.mle(_tok(spark, d, 1)), _priors(spark, d)), "p")
+    return _rounded(lm.marginal(ngrams.char_counts(_lines(spark, d)).select(F.col("char").alias("g")), _tok(spark, d, 1), _priors(spark, d), 1), "p")
 
 
 @query(f"""WITH {_T}, x AS (SELECT DISTINCT 'fr' AS lang, c1 || c2 AS context FROM (SELECT unnest(c) AS c1, unnest(list_slice(c, 2, len(c))) AS c2 FROM (SELECT string_split(text, '') AS c FROM benchmark)) WHERE c2 IS NOT NULL)
@@ -257,29 +289,59 @@ def context_shrink(spark, d):
 @query(f"""WITH {_KN}, s AS (SELECT doc_id, lang, CASE WHEN c2 IS NOT NULL THEN c2 || c1 || c WHEN c1 IS NOT NULL THEN c1 || c ELSE c END AS g FROM w)
 SELECT doc_id, count(*) AS n_chars, round(exp(-sum(ln(coalesce(p, exp(-10)))) / count(*)), 6) AS perplexity FROM s LEFT JOIN kn USING (lang, g) GROUP BY doc_id""")
 def doc_perplexity(spark, d):
-    out = lm.perplexity(_lines(spark, d), lm.kneser_ney(_tok(spark, d), ORDER), ORDER)
+    tok = _tok(spark, d)
+    out = lm.perplexity(_lines(spark, d), lm.kneser_ney(tok, ORDER), ORDER, types=tok.count())
     return out.select("doc_id", "n_chars", F.round("perplexity", 6).alias("perplexity"))
 
 
-@query(f"""WITH {_P}, x AS (SELECT a.lang AS from_lang, b.lang AS to_lang, CASE WHEN a.lang = b.lang THEN 0.8e0 * b.prior ELSE 0.2e0 / (count(*) OVER (PARTITION BY a.lang) - 1) * b.prior END AS x FROM pri a CROSS JOIN pri b),
-tr AS (SELECT from_lang, to_lang, x / sum(x) OVER (PARTITION BY from_lang) AS p FROM x), m AS (SELECT lang, c AS g, count(*)::DOUBLE AS t FROM ch GROUP BY ALL), q AS (SELECT lang, g, t / sum(t) OVER (PARTITION BY lang) AS p FROM m),
-cv AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'en' ELSE 'fr' END AS lang, text FROM conversations WHERE text <> ''), tn AS (SELECT *, lag(lang) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM cv),
-sw AS (SELECT conv_id, sum(ln(coalesce(tr.p, pri.prior))) AS s FROM tn JOIN pri USING (lang) LEFT JOIN tr ON tr.from_lang = prev AND tr.to_lang = tn.lang GROUP BY conv_id),
-cs AS (SELECT conv_id, lang, unnest(string_split(text, '')) AS g FROM cv), sc AS (SELECT conv_id, count(*) AS n, sum(ln(coalesce(q.p, exp(-10)))) AS s FROM cs LEFT JOIN q USING (lang, g) GROUP BY conv_id)
+_BO = """, pairs AS (SELECT lang, norm AS pn FROM nrm WHERE m = ''), asked AS (SELECT DISTINCT lang, g, length(g) AS n, right(g, 1) AS o1, CASE WHEN length(g) > 1 THEN right(g, 2) END AS o2, CASE WHEN length(g) > 2 THEN g END AS o3 FROM want),
+got AS (SELECT a.*, tot.t_h AS n1, pn, t1.t AS t1, l1.low AS l1, t2.t AS t2, b2.t AS n2, l2.low AS l2, m2.norm AS m2, h2.hist AS h2, t3.t AS t3, b3.t AS n3, h3.hist AS h3 FROM asked a LEFT JOIN tot ON tot.lang = a.lang LEFT JOIN pairs ON pairs.lang = a.lang
+LEFT JOIN tok t1 ON t1.lang = a.lang AND t1.g = o1 LEFT JOIN low l1 ON l1.lang = a.lang AND l1.g = o1 LEFT JOIN tok t2 ON t2.lang = a.lang AND t2.g = o2 LEFT JOIN tok b2 ON b2.lang = a.lang AND b2.g = left(o2, 1)
+LEFT JOIN low l2 ON l2.lang = a.lang AND l2.g = o2 LEFT JOIN nrm m2 ON m2.lang = a.lang AND m2.m = left(o2, 1) LEFT JOIN hist h2 ON h2.lang = a.lang AND h2.h = left(o2, 1)
+LEFT JOIN tok t3 ON t3.lang = a.lang AND t3.g = o3 LEFT JOIN tok b3 ON b3.lang = a.lang AND b3.g = left(o3, 2) LEFT JOIN hist h3 ON h3.lang = a.lang AND h3.h = left(o3, 2)),
+k1 AS (SELECT *, CASE WHEN coalesce(l1, 0) = 0 THEN exp(-10) ELSE l1::DOUBLE / pn END AS kn1 FROM got),
+k2 AS (SELECT *, CASE WHEN coalesce(m2, 0) = 0 THEN kn1 ELSE greatest(0, coalesce(l2, 0) - 0.75e0) / m2 + coalesce(h2, 0) * 0.75e0 / m2 * kn1 END AS kn2 FROM k1),
+bo AS MATERIALIZED (SELECT lang, g, CASE WHEN n3 > 0 THEN greatest(0, coalesce(t3, 0) - 0.75e0) / n3 + coalesce(h3, 0) * 0.75e0 / n3 * kn2 WHEN n2 > 0 AND n = 2 THEN greatest(0, coalesce(t2, 0) - 0.75e0) / n2 + coalesce(h2, 0) * 0.75e0 / n2 * kn1 WHEN n2 > 0 THEN kn2
+WHEN coalesce(t1, 0) = 0 THEN exp(-10) ELSE t1::DOUBLE / n1 END AS p FROM k2)"""
+
+
+@query(f"""WITH {_T}, seen AS (SELECT doc_id, CASE WHEN c2 IS NOT NULL THEN c2 || c1 || c WHEN c1 IS NOT NULL THEN c1 || c ELSE c END AS g, count(*) AS k FROM w GROUP BY ALL), want AS (SELECT lang, g FROM (SELECT DISTINCT g FROM seen) CROSS JOIN (SELECT DISTINCT lang FROM tot)){_BO}
+SELECT doc_id, lang AS model, sum(k)::BIGINT AS n_chars, round(exp(-sum(k * ln(p)) / sum(k)), 6) AS perplexity FROM seen JOIN bo USING (g) GROUP BY ALL""")
+def cross_perplexity(spark, d):
+    """Every document under the model of every language: most n-grams of the other languages are backed off."""
+    out = lm.cross_perplexity(_lines(spark, d), _tok(spark, d), ORDER)
+    return out.select("doc_id", "model", "n_chars", F.round("perplexity", 6).alias("perplexity"))
+
+
+@query(f"""WITH {_T}, x AS (SELECT unnest(string_split(text, '')) AS c, item_id, generate_subscripts(string_split(text, ''), 1) AS pos FROM benchmark), y AS (SELECT *, lag(c, 1) OVER v AS d1, lag(c, 2) OVER v AS d2 FROM x WINDOW v AS (PARTITION BY item_id ORDER BY pos)),
+want AS (SELECT lang, g FROM (SELECT DISTINCT coalesce(d2, '') || coalesce(d1, '') || c AS g FROM y) CROSS JOIN (SELECT DISTINCT lang FROM tot)){_BO} SELECT lang, g, round(p, {DIGITS}) AS p FROM bo""")
+def backoff_prob(spark, d):
+    """Probabilities of all n-grams of the benchmark's texts in all languages, seen or not."""
+    items = _table(spark, d, "benchmark").where("text <> ''").select(F.col("text").alias("line"))
+    tok = _tok(spark, d)
+    wanted = ngrams.contexts(items, ORDER, ()).select("g").crossJoin(F.broadcast(tok.select("lang").distinct()))  # a row a language
+    return _rounded(lm.backed_off(wanted, tok, ORDER).select("lang", "g", "p"), "p")
+
+
+@query(f"""WITH {_T}, pri AS (SELECT lang, v / sum(v) OVER () AS prior FROM (SELECT lang, count(*) + 1e0 AS v FROM ch GROUP BY lang)), mx AS (SELECT a.lang AS from_lang, b.lang AS to_lang, CASE WHEN a.lang = b.lang THEN 0.8e0 * b.prior ELSE 0.2e0 / (count(*) OVER (PARTITION BY a.lang) - 1) * b.prior END AS x FROM pri a CROSS JOIN pri b),
+tr AS (SELECT from_lang, to_lang, x / sum(x) OVER (PARTITION BY from_lang) AS p FROM mx),
+cv AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'en' ELSE 'fr' END AS lang, text || ' ' AS text FROM conversations WHERE text <> ''), cn AS (SELECT *, CASE WHEN lag(lang) OVER (PARTITION BY conv_id ORDER BY turn) = lang THEN 0 ELSE 1 END AS new FROM cv),
+cr AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM cn), rn AS (SELECT conv_id, run, any_value(lang) AS lang, string_agg(text, '' ORDER BY turn) AS text FROM cr GROUP BY conv_id, run),
+rc AS (SELECT conv_id, run, lang, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS pos FROM rn), rw AS (SELECT *, lag(c, 1) OVER v AS d1, lag(c, 2) OVER v AS d2 FROM rc WINDOW v AS (PARTITION BY conv_id, run ORDER BY pos)),
+rg AS (SELECT conv_id, lang, coalesce(d2, '') || coalesce(d1, '') || c AS g, count(*) AS k FROM rw GROUP BY ALL), want AS (SELECT lang, g FROM rg){_BO},
+sw AS (SELECT conv_id, sum(CASE WHEN run = 1 THEN ln(prior) ELSE ln(cp) END + stays * ln(sp)) AS s FROM (SELECT rn.conv_id, run, prior, tr.p AS cp, st.p AS sp, length(text) - 1 - length(replace(left(text, length(text) - 1), ' ', '')) AS stays
+FROM (SELECT *, lag(lang) OVER (PARTITION BY conv_id ORDER BY run) AS prev FROM rn) rn JOIN pri USING (lang) LEFT JOIN tr ON tr.from_lang = prev AND tr.to_lang = rn.lang JOIN tr st ON st.from_lang = rn.lang AND st.to_lang = rn.lang) GROUP BY conv_id),
+sc AS (SELECT conv_id, sum(k)::BIGINT AS n, sum(k * ln(p)) AS s FROM rg JOIN bo USING (lang, g) GROUP BY conv_id)
 SELECT conv_id, n AS n_chars, round(exp(-(sc.s + sw.s) / n), 6) AS perplexity FROM sc JOIN sw USING (conv_id)""")
 def conversation_perplexity(spark, d):
-    """Turns of a conversation in the language of their role, switched by the transition matrix, characters by their shares."""
-    prior = _priors(spark, d)
-    move, prob = lm.transitions(prior, KEEP), lm.mle(_tok(spark, d, 1))
+    """Turns of a conversation in the language of their role, one text that changes language; n-grams that the languages never had are backed off."""
+    tok, prior = _tok(spark, d), _priors(spark, d)
     lang = F.when(F.col("role") == "user", "en").otherwise("fr")
-    turns = _table(spark, d, "conversations").where("text <> ''").select("conv_id", "turn", lang.alias("lang"), "text")
-    turns = turns.withColumn("prev", F.lag("lang").over(Window.partitionBy("conv_id").orderBy("turn")))
-    switch = turns.join(F.broadcast(prior), "lang").join(F.broadcast(move.select(F.col("from_lang").alias("prev"), F.col("to_lang").alias("lang"), "p")), ["prev", "lang"], "left")  # languages, and their pairs
-    switch = switch.groupBy("conv_id").agg(F.sum(F.log(F.coalesce("p", "prior"))).alias("s"))
-    chars = turns.select("conv_id", "lang", F.explode(F.split("text", "")).alias("g")).groupBy("conv_id", "lang", "g").agg(F.count(F.lit(1)).alias("k"))
-    logs = chars.join(prob.select("lang", "g", "p"), ["lang", "g"], "left")
-    logs = logs.groupBy("conv_id").agg(F.sum("k").alias("n_chars"), F.sum(F.col("k") * F.log(F.coalesce("p", F.lit(lm.UNSEEN)))).alias("c"))
-    return logs.join(switch, "conv_id").select("conv_id", "n_chars", F.round(F.exp(-(F.col("c") + F.col("s")) / F.col("n_chars")), 6).alias("perplexity"))
+    turns = _table(spark, d, "conversations").where("text <> ''").select("conv_id", "turn", lang.alias("lang"), F.concat("text", F.lit(" ")).alias("text"))
+    runs = lm.runs_of(turns, "conv_id", "turn")
+    prob = lm.backed_off(lm.run_contexts(runs, ORDER, "conv_id"), tok, ORDER)
+    out = lm.run_perplexity(runs, prob, prior, lm.transitions(prior, KEEP), ORDER, "conv_id")
+    return out.select("conv_id", "n_chars", F.round("perplexity", 6).alias("perplexity"))
 
 
 # Glyph substitution
@@ -365,14 +427,19 @@ def word_spans(spark, d):
 _X = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '>', '&gt;'), '<', '&lt;'), '''', '&apos;'), '\"', '&quot;')"
 
 
-@query(f"""WITH {_SPANS}, a AS (SELECT *, NOT is_space AND diplomatic <> '' AS word FROM ws), b AS (SELECT *, coalesce(max(word::INT) OVER (PARTITION BY doc_id, line_no ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a),
-c AS (SELECT * FROM b WHERE word OR (is_space AND before = 1 AND width > 0)), e AS (SELECT *, CASE WHEN word THEN coalesce(sum(word::INT) OVER (PARTITION BY doc_id ORDER BY line_no, span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END::BIGINT AS word_index FROM c)
-SELECT doc_id, line_no, span, word_index, CASE WHEN word THEN '<String ID="word_' || word_index || '" WIDTH="' || width || '" CONTENT="' || {_X("diplomatic")} || '" LANG="' || lang || '"' || CASE WHEN diplomatic <> normalized THEN '><ALTERNATIVE PURPOSE="Normalization">' || {_X("normalized")} || '</ALTERNATIVE></String>' ELSE '/>' END ELSE '<SP WIDTH="' || width || '"/>' END AS xml FROM e""")
+def _alto(own: str, other: str, purpose: str) -> str:
+    return f"""WITH {_SPANS}, a AS (SELECT *, NOT is_space AND diplomatic <> '' AS word FROM ws), b AS (SELECT *, coalesce(max(word::INT) OVER (PARTITION BY doc_id, line_no ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a),
+c AS (SELECT * FROM b WHERE word OR (is_space AND before = 1 AND width > 0)), e AS (SELECT *, CASE WHEN word THEN coalesce(sum(word::INT) OVER (PARTITION BY doc_id ORDER BY line_no, span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END::BIGINT AS word_index FROM c),
+items AS (SELECT doc_id, line_no, span, word_index, CASE WHEN word THEN '<String ID="word_' || word_index || '" WIDTH="' || width || '" CONTENT="' || {_X(own)} || '" LANG="' || lang || '"' || CASE WHEN diplomatic <> normalized THEN '><ALTERNATIVE PURPOSE="{purpose}">' || {_X(other)} || '</ALTERNATIVE></String>' ELSE '/>' END ELSE '<SP WIDTH="' || width || '"/>' END AS xml FROM e)"""
+
+
+@query(f"{_alto('diplomatic', 'normalized', 'Normalization')} SELECT * FROM items")
 def alto_words(spark, d):
     return _long(transcript.alto_items(_decode(spark, d)), "line_no", "span", "word_index")
 
 
-@query()
+@query(f"""{_alto('normalized', 'diplomatic', 'Diplomatic')}, tl AS (SELECT doc_id, line_no, '<TextLine ID="line_' || (line_no + 1) || '">' || string_agg(xml, '' ORDER BY span) || '</TextLine>' || chr(10) AS xml FROM items GROUP BY doc_id, line_no)
+SELECT doc_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<alto xmlns="http://www.loc.gov/standards/alto/ns-v3#"><Description><MeasurementUnit>pixel</MeasurementUnit></Description><Layout><Page ID="' || doc_id || '"><PrintSpace><TextBlock ID="par_1">' || chr(10) || string_agg(xml, '' ORDER BY line_no) || '</TextBlock></PrintSpace></Page></Layout></alto>' || chr(10) AS xml FROM tl GROUP BY doc_id""")
 def alto_pages(spark, d):
     return transcript.alto_pages(_decode(spark, d), normalized=True)
 
@@ -396,18 +463,24 @@ def whitespace_layout(spark, d):
     return _long(transcript.whitespace_layout(_decode(spark, d)), "line_no")
 
 
-@query()
+@query(f"""WITH {_D}, mn AS (SELECT doc_id, line_no, string_agg(lm_char, '' ORDER BY pos) AS text FROM decode WHERE glyph_type <> 'DOUBLED' GROUP BY ALL),
+dg AS (SELECT *, lag(glyph) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS b FROM decode WHERE glyph_type NOT IN {_EL}), md AS (SELECT doc_id, line_no, string_agg(glyph, '' ORDER BY pos) AS text FROM dg WHERE NOT (glyph = '-' AND coalesce(b, '') = '-') GROUP BY ALL),
+ms AS (SELECT doc_id, line_no, string_agg({_SUB}, '' ORDER BY pos) AS text FROM decode GROUP BY ALL),
+ru AS (SELECT doc_id, trim(regexp_replace(string_agg(CASE WHEN type IN ('LMRGN', 'RMRGN') THEN ' ' ELSE lm_char END, '' ORDER BY line_no, pos), ' +', ' ', 'g')) AS text FROM decode WHERE type <> 'RMRGN_HPHN_INIT' AND glyph_type <> 'DOUBLED' GROUP BY doc_id),
+al AS (SELECT doc_id, line_no, trim(coalesce(mn.text, ''), ' ') AS mn, trim(coalesce(md.text, ''), ' ') AS md, trim(coalesce(ms.text, ''), ' ') AS ms, trim(coalesce(line, ''), ' ') AS gd FROM (SELECT DISTINCT doc_id, line_no FROM decode UNION SELECT doc_id, line_no FROM lines) LEFT JOIN mn USING (doc_id, line_no) LEFT JOIN md USING (doc_id, line_no) LEFT JOIN ms USING (doc_id, line_no) LEFT JOIN lines USING (doc_id, line_no)),
+bl AS (SELECT doc_id, string_agg('MN: ' || mn || chr(10) || 'MD: ' || md || chr(10) || 'GD: ' || gd || chr(10) || 'MS: ' || ms || chr(10) || chr(10), '' ORDER BY line_no) AS body FROM al GROUP BY doc_id)
+SELECT doc_id, 'MN: Model normalized transcription' || chr(10) || 'MD: Model diplomatic transcription' || chr(10) || 'GD: Gold diplomatic transcription' || chr(10) || 'MS: Model transcription with substitutions' || chr(10) || chr(10) || chr(10) || body || chr(10) || 'Model normalized transcription' || chr(10) || ru.text || chr(10) || chr(10) AS report FROM bl JOIN ru USING (doc_id)""")
 def comparison_report(spark, d):
-    gold = _lines(spark, d).select("doc_id", "line_no", F.col("line").alias("text"))
-    return transcript.comparison(transcript.pair_lines(transcript.diplomatic_lines(_decode(spark, d)), gold))
+    decode, gold = _decode(spark, d), _lines(spark, d).select("doc_id", "line_no", F.col("line").alias("text"))
+    return transcript.comparison(transcript.diplomatic_lines(decode), gold, transcript.normalized_lines(decode), None, transcript.substitution_lines(decode), transcript.normalized_running(decode))
 
 
 # Evaluation
 
 
 def _pairs(spark, d):
-    text = F.regexp_replace(charset.strip_diacritics(F.col("line")), "[^ -~]", "")
-    return _lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), text.alias("gold"), F.translate(text, "uvs", "vuf").alias("guess"))
+    plain = F.regexp_replace(charset.strip_diacritics(F.col("line")), "[^ -~]", "")
+    return _lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), plain.alias("gold"), F.translate(plain, "uvs", "vuf").alias("guess"))
 
 
 _KEYS = ["doc_id", "line_no"]
@@ -437,18 +510,19 @@ def wer_line(spark, d):
 
 
 def _aligned(spark, d, words):
-    pairs = _table(spark, d, "benchmark").select("item_id", F.col("text").alias("gold"), F.regexp_replace(F.translate("text", "uvs", "vuf"), "the ", "").alias("guess"))
-    return evaluate.alignment(pairs, ["item_id"], words)
+    """All document lines against themselves with letters exchanged and a word left out."""
+    pairs = _pairs(spark, d).withColumn("guess", F.regexp_replace("guess", "(?:the|la|de|der) ", ""))
+    return evaluate.alignment(pairs, _KEYS, words)
 
 
 @query()
 def error_confusions(spark, d):
-    return evaluate.confusions(_aligned(spark, d, False), ["item_id"])
+    return evaluate.confusions(_aligned(spark, d, False), _KEYS)
 
 
 @query()
 def alignment_ops(spark, d):
-    return evaluate.ops_text(_aligned(spark, d, False), ["item_id"])
+    return evaluate.ops_text(_aligned(spark, d, False), _KEYS)
 
 
 @query()
@@ -468,7 +542,7 @@ def top_missed_words(spark, d):
 
 @query()
 def error_sample(spark, d):
-    return evaluate.error_sample(_aligned(spark, d, True), ["item_id"])
+    return evaluate.error_sample(_aligned(spark, d, True), _KEYS)
 
 
 # Documents, sets and lists
@@ -506,13 +580,15 @@ def corpus_streams(spark, d):
     return _docs(spark, d).where(F.replace("text", F.lit("\n"), F.lit("")) != "").select("doc_id", corpus.as_stream(F.col("text")).alias("text"))
 
 
-@query("WITH a AS (SELECT lang, list_sort(list_distinct(flatten(list(string_split(text, ''))))) AS x FROM documents WHERE lang IN ('de', 'fr') GROUP BY lang), d AS (SELECT x FROM a WHERE lang = 'de'), f AS (SELECT x FROM a WHERE lang = 'fr') SELECT 'union' AS op, unnest(list_distinct(d.x || f.x)) AS char FROM d, f UNION ALL SELECT 'intersection', unnest(list_intersect(d.x, f.x)) FROM d, f UNION ALL SELECT 'difference', unnest(list_filter(d.x, lambda c: NOT list_contains(f.x, c))) FROM d, f")
+@query("""WITH c AS (SELECT DISTINCT lang, unnest(string_split(text, '')) AS char FROM documents), p AS (SELECT a.lang AS a, b.lang AS b FROM (SELECT DISTINCT lang FROM c) a, (SELECT DISTINCT lang FROM c) b WHERE a.lang < b.lang)
+SELECT DISTINCT 'union' AS op, a, b, char FROM p JOIN c ON c.lang = p.a OR c.lang = p.b UNION ALL SELECT 'intersection', a, b, c.char FROM p JOIN c ON c.lang = p.a JOIN c e ON e.lang = p.b AND e.char = c.char
+UNION ALL SELECT 'difference', a, b, c.char FROM p JOIN c ON c.lang = p.a LEFT JOIN c e ON e.lang = p.b AND e.char = c.char WHERE e.char IS NULL""")
 def char_set_operations(spark, d):
-    chars = _docs(spark, d).select("lang", F.explode(F.split("text", "")).alias("char")).distinct()
-    de, fr = chars.where("lang = 'de'").select("char"), chars.where("lang = 'fr'").select("char")
-    ops = {"union": de.union(fr).distinct(), "intersection": de.intersect(fr), "difference": de.exceptAll(fr)}
-    out = [df.select(F.lit(name).alias("op"), "char") for name, df in ops.items()]
-    return out[0].union(out[1]).union(out[2])
+    """Union, intersection and difference of the characters of every two languages."""
+    sets = _docs(spark, d).where("lang is not null").select("lang", F.explode(F.array_distinct(F.split("text", ""))).alias("char")).distinct().groupBy("lang").agg(F.collect_list("char").alias("x"))  # an alphabet
+    pairs = sets.select(F.col("lang").alias("a"), F.col("x").alias("xa")).join(F.broadcast(sets.select(F.col("lang").alias("b"), F.col("x").alias("xb"))), F.col("a") < F.col("b"))
+    ops = F.create_map(F.lit("union"), F.array_union("xa", "xb"), F.lit("intersection"), F.array_intersect("xa", "xb"), F.lit("difference"), F.array_except("xa", "xb"))
+    return pairs.select("a", "b", F.explode(ops).alias("op", "chars")).select("op", "a", "b", F.explode("chars").alias("char"))
 
 
 @query("WITH w AS (SELECT item_id, string_split(text, ' ') AS x FROM benchmark) SELECT item_id, i AS at, array_to_string(x[i:i + 2], ' ') AS words FROM (SELECT item_id, x, unnest(range(1, len(x) - 1)) AS i FROM w)")

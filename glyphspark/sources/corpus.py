@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphspark.functions.readers import Rule
+from glyphspark.functions.text import remove_common_prefix
 
 FORMATS = ["DIPL", "NORM", "NORMLINES", "COMP", "HTML", "ALTO", "WHITESPACE"]  # fixed values
 
@@ -25,10 +29,104 @@ def as_stream(text: F.Column) -> F.Column:
     return F.array_join(F.transform(F.filter(F.split(text, "\n"), lambda x: x != ""), lambda x: F.concat(x, F.lit(" "))), "")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(base_name, path, content) of page images, everything but texts, by name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~F.col("path").rlike(r"\.txt$"))
-    return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("base_name"), "path", "content")
+def take_chars(files: DataFrame, limit: int) -> DataFrame:
+    """Files (lang, path, text) whose streams make up the first ``limit`` characters of their language (0 or less: all), by path.
+
+    Reading stops after the line in which the limit is reached, so the last file may be cut there.
+    """
+    if limit <= 0:
+        return files
+    w = Window.partitionBy("lang").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # files, not characters
+    sized = files.withColumn("_size", F.length(as_stream(F.col("text")))).withColumn("_before", F.coalesce(F.sum("_size").over(w), F.lit(0)))
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    ends = F.transform(lines, lambda x: F.length(x) + 1)
+    room = F.lit(limit) - F.col("_before")
+    count = F.aggregate(ends, F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum")), lambda a, x: F.when(a["sum"] >= room, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["sum"] + x).alias("sum"))), lambda a: a["n"])
+    cut = F.when(F.col("_size") <= room, F.col("text")).otherwise(F.array_join(F.slice(lines, F.lit(1), count), "\n"))
+    return sized.where(F.col("_before") < limit).withColumn("text", cut).drop("_size", "_before")
+
+
+def _base_name(path: F.Column) -> F.Column:
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def read_images(spark: SparkSession, paths: str | list[str], skip: int = 0, take: int = 0) -> DataFrame:
+    """(base_name, path, content) of page images, everything but texts, by name; after ``skip`` of them, ``take`` (0 or less: all)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).where(~F.col("path").rlike(r"\.txt$"))
+    found = files.select(_base_name(F.col("path")).alias("base_name"), "path", "content")
+    return skip_take(found, "base_name", skip, take) if skip > 0 or take > 0 else found
+
+
+def read_levels(spark: SparkSession, paths: str | list[str], grey: tuple[float, float, float] = (0.299, 0.587, 0.114)) -> DataFrame:
+    """(base_name, path, width, height, levels): page images as grey levels, column by column, a byte each.
+
+    Images are decoded by Spark's image source, those that it can't decode are left out. Colours count by ``grey`` (red, green, blue).
+    """
+    raw = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(paths).select("image.*")
+    schema = "base_name string, path string, width int, height int, levels binary"
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                px = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels).astype(float)
+                flat = px[:, :, 0] if r.nChannels == 1 else px[:, :, 2] * grey[0] + px[:, :, 1] * grey[1] + px[:, :, 0] * grey[2]
+                out.append((r.base_name, r.origin, r.width, r.height, np.rint(flat).astype(np.uint8).T.tobytes()))
+            yield pd.DataFrame(out, columns=["base_name", "path", "width", "height", "levels"])
+
+    return raw.withColumn("base_name", _base_name(F.col("origin"))).mapInPandas(run, schema)
+
+
+def read_line_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(base_name, line_no, width, height, levels) of lines cut out before, in ``<base>-line_extract_<ext>/line<NN>.<ext>``.
+
+    Lines of a document must be numbered from 0 without gaps.
+    """
+    files = read_levels(spark, folder).where(F.col("path").rlike(r"-line_extract_[^/]*/line[0-9]+\.[^./]*$"))
+    rows = files.select(F.regexp_extract("path", r"([^/]+)-line_extract_[^/]*/[^/]*$", 1).alias("base_name"), F.regexp_extract("path", r"line([0-9]+)\.[^./]*$", 1).cast("int").alias("line_no"), "width", "height", "levels")
+    return checked_lines(rows, "base_name")
+
+
+def checked_lines(lines: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Lines (by, line_no, ...); an error if a document's lines aren't numbered from 0 without gaps."""
+    bad = lines.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("line_no").alias("k"), F.min("line_no").alias("a"), F.max("line_no").alias("b")).where("a <> 0 or b <> n - 1 or k <> n").limit(1).collect()
+    if bad:
+        raise ValueError(f"lines of {bad[0][by]!r} are missing or there twice")
+    return lines
+
+
+def write_lines_cache(lines: DataFrame, path: str) -> None:
+    """Cut lines (doc_id, line_no, width, height, pixels) as a table that later runs read instead of the pages."""
+    lines.write.mode("append").parquet(path)
+
+
+def not_extracted(pages: DataFrame, cache: DataFrame | None, on: str = "doc_id") -> DataFrame:
+    """Pages without lines in the table yet."""
+    return pages if cache is None else not_done(pages, cache, on)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(base_name, line_no, image_path, text_path, long_s) of a list of documents cut into line images.
+
+    Every line of the list has five fields between white space: the images' path up to the line's number, what follows the
+    number, the path of the text, whether it has long s, and the number of lines. Paths are relative to the list's folder.
+    """
+    folder = path.rsplit("/", 1)[0] if "/" in path else "."
+    parts = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("p"))
+    if parts.where(F.size("p") != 5).limit(1).count():
+        raise ValueError("a document of the list has five fields")
+    get = lambda k: F.get("p", k)
+    rows = parts.where(get(4).cast("int") > 0).select("p", F.explode(F.sequence(F.lit(0), get(4).cast("int") - 1)).alias("line_no"))
+    prefix = F.concat(F.lit(f"{folder}/"), get(0))
+    name = F.regexp_extract(get(0), "([^/]*).$", 1)
+    return rows.select(name.alias("base_name"), "line_no", F.concat(prefix, F.col("line_no").cast("string"), get(1)).alias("image_path"), F.concat(F.lit(f"{folder}/"), get(2)).alias("text_path"), (F.lower(get(3)) == "true").alias("long_s"))
+
+
+def allowed_fonts(fonts: DataFrame, names: DataFrame, on: str = "font") -> DataFrame:
+    """Fonts whose name is in a list (``path_list``), all if the list is empty."""
+    if not names.limit(1).count():
+        return fonts
+    return fonts.join(names.select(F.col("path").alias(on)).distinct(), on, "left_semi")
 
 
 def skip_take(docs: DataFrame, by: str, skip: int, take: int) -> DataFrame:
@@ -78,6 +176,7 @@ class LanguageModelOptions:
     insert_long_s: bool = False
     remove_diacritics: bool = False
     explicit_chars: str | None = None
+    escapes: bool = False
     order: int = 6
     lm_power: float = 4.0
     lm_char_count: int = 0
@@ -127,11 +226,19 @@ def gold_running(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.trim(F.regexp_replace(in_order(F.concat(F.col("text"), F.lit(" ")), "line_no"), " +", " ")).alias("text"))
 
 
-def output_name(doc: F.Column, iteration: int | None = None, batch: int | None = None) -> F.Column:
-    tail = (f"_iter-{iteration}" if iteration is not None else "") + (f"_batch-{batch}" if batch is not None else "")
+def output_name(doc: F.Column, iteration: int = 0, batch: int = 0) -> F.Column:
+    tail = (f"_iter-{iteration}" if iteration > 0 else "") + (f"_batch-{batch}" if batch > 0 else "")
     return F.concat(F.lit("all_transcriptions/"), doc.cast("string"), F.lit(tail))
 
 
+def output_path(path: str, inputs: str, output: str, iteration: int = 0, batch: int = 0) -> str:
+    """Where the transcription of the page at ``path`` goes: folders as below ``inputs``, the name without extension, then round and batch."""
+    parent = remove_common_prefix(os.path.dirname(os.path.abspath(inputs)), os.path.dirname(os.path.abspath(path)))[1]
+    name = os.path.basename(path)
+    name = name[: name.rindex(".")] if "." in name else name
+    return f"{output}/all_transcriptions/{parent}/{name}" + (f"_iter-{iteration}" if iteration > 0 else "") + (f"_batch-{batch}" if batch > 0 else "")
+
+
 def write_model(tables: dict[str, DataFrame], path: str) -> None:
     """A model as Parquet tables, one folder each, by language where a table has one."""
     for name, df in tables.items():
@@ -148,5 +255,16 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.repartition("doc_id").sortWithinPartitions("doc_id", "line_no").select("doc_id", "text").write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
-def write_gsm(probs: DataFrame, path: str) -> None:
-    probs.write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)
+def gsm_report(counts: DataFrame, probs: DataFrame, smoothing: float = 1.0) -> DataFrame:
+    """(language, lmChar, glyph, count, minProb, prob): glyphs counted more often than smoothing does, and those of a few usual characters."""
+    usual = [" ", "-", "a", "b", "c", "d", "ſ"]
+    least = probs.groupBy("lang", "lm_char").agg(F.min("p").alias("least"))
+    rows = probs.join(counts.select("lang", "lm_char", "glyph", "c"), ["lang", "lm_char", "glyph"], "left").join(least, ["lang", "lm_char"])
+    count = F.coalesce("c", F.lit(0.0))
+    shown = (count > smoothing) | (F.col("lm_char").isin(usual) & (F.col("glyph").isin(usual) | (F.length("glyph") > 1)))
+    return rows.where(shown).select(F.col("lang").alias("language"), F.col("lm_char").alias("lmChar"), "glyph", count.alias("count"), F.col("least").alias("minProb"), F.col("p").alias("prob"))
+
+
+def write_gsm(counts: DataFrame, probs: DataFrame, path: str, smoothing: float = 1.0) -> None:
+    """``gsm_report`` as text with tabs."""
+    gsm_report(counts, probs, smoothing).write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from glyphspark.operators.decoder import decode
+from glyphspark.operators.training import Models, Updates, font_frame, font_of, m_step, path_exists
+
 
 def transcribe_stream(source: DataFrame, path: str, checkpoint: str, transcribe: Callable[[DataFrame], DataFrame], update: Callable[[SparkSession, int], None] | None = None) -> StreamingQuery:
     """Decode every micro-batch of ``source`` into ``path/batch=<n>``; then ``update`` may refit models for the batches that follow.
@@ -33,3 +38,28 @@ def counts_so_far(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     return spark.read.parquet(path).groupBy("lang", "g", "n").agg(F.sum("t").alias("t"))
+
+
+def reading_stream(source: DataFrame, models: Models, path: str, checkpoint: str, updates: Updates, **options: Any) -> StreamingQuery:
+    """Read lines (doc_id, line_no, width, height, pixels) as they arrive; after each micro-batch the models are re-estimated from it.
+
+    Decode tables and fonts are written below ``path`` by batch. What a batch begins with is made from what the batch before
+    wrote, so a stream that is started again, or a batch that is run again, goes on with the same models.
+    """
+    spark = source.sparkSession
+
+    def after(number: int) -> Models:
+        font, decoded = f"{path}/font/batch={number}", f"{path}/decode/batch={number}"
+        if number < 0 or not path_exists(spark, font):
+            return models
+        kept = replace(models, font=font_of(spark.read.parquet(font)))
+        return m_step(kept, spark.read.parquet(decoded), spark.read.parquet(decoded), replace(updates, font=False))
+
+    def step(batch: DataFrame, number: int) -> None:
+        now = after(number - 1)
+        place = f"{path}/decode/batch={number}"
+        decode(batch, now.font, now.transitions(), **options).write.mode("overwrite").parquet(place)
+        new = m_step(now, spark.read.parquet(place), batch, updates)
+        font_frame(spark, new.font).write.mode("overwrite").parquet(f"{path}/font/batch={number}")
+
+    return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,6 +9,8 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Queries over alignments, whose ties SQL doesn't break alike; their rows are checked against loops.
+WITHOUT_SQL = {"wer_line", "error_confusions", "alignment_ops", "errors_by_length", "confusion_distances", "top_missed_words", "error_sample"}
 QUERIES, SQL = entry.catalogue.QUERIES, entry.catalogue.ORACLE_SQL
 
 
@@ -39,7 +41,7 @@ def test_query(spark, db, name):
         want = sorted(([norm(r[names.index(c)]) for c in cols] for r in out.fetchall()), key=repr)
         assert got == want
     else:
-        assert len(got) >= 0
+        assert name in WITHOUT_SQL  # checked by loops in test_brute
 
 
 def test_entry(spark):
