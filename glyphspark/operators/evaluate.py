@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,19 +99,26 @@ def prepared(text: Column, punctuation: bool = True) -> Column:
     return normalize_space(text) if punctuation else remove_punctuation(text)
 
 
+def _spread(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """Rows dealt over all cores: aligning a line costs far more than moving it, and a small file is one partition."""
+    spark = pairs.sparkSession
+    return pairs.repartition(max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
+
+
 def scores(pairs: DataFrame, key: list[str]) -> DataFrame:
     """(*key, metric, cost, gold_len, score) of all eight metrics for pairs (*key, guess, gold).
 
     Score is cost by gold length, null for an empty gold text (CER); an empty text is one empty word (WER).
     """
-    texts = pairs.select(*key, *[prepared(F.col(c), keep).alias(f"{c}_{keep}") for c in ("guess", "gold") for keep in (True, False)])
+    texts = _spread(pairs, key).select(*key, *[prepared(F.col(c), keep).alias(f"{c}_{keep}") for c in ("guess", "gold") for keep in (True, False)])
     texts = texts.select(*key, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"guess_{'keep' in m}").alias("guess"), F.col(f"gold_{'keep' in m}").alias("gold")) for m in METRICS])).alias("x")).select(*key, "x.*")
 
     @F.pandas_udf("struct<cost:long,gold_len:long>")
     def cost(metric: pd.Series, guess: pd.Series, gold: pd.Series) -> pd.DataFrame:
         rows = []
+        cut = lru_cache(16)(glyphs)  # a text comes with several metrics
         for m, a, b in zip(metric, guess, gold, strict=True):
-            a, b = (glyphs(a or ""), glyphs(b or "")) if m.startswith("CER") else ((a or "").split(" "), (b or "").split(" "))
+            a, b = (cut(a or ""), cut(b or "")) if m.startswith("CER") else ((a or "").split(" "), (b or "").split(" "))
             rows.append((edit_distance(a, b, "allow" in m), len(b)))
         return pd.DataFrame(rows, columns=["cost", "gold_len"])
 
@@ -140,7 +149,7 @@ def alignment(pairs: DataFrame, key: list[str], words: bool = False, f_for_s: bo
         cut = (lambda x: (x or "").split(" ")) if words else (lambda x: glyphs(x or ""))
         return pd.Series([[dict(zip(("op", "guess", "gold"), s, strict=True)) for s in align(cut(a), cut(b), f_for_s)] for a, b in zip(guess, gold, strict=True)])
 
-    return pairs.select(*key, F.posexplode(steps(prepared(F.col("guess")), prepared(F.col("gold")))).alias("idx", "_s")).select(*key, "idx", "_s.*")
+    return _spread(pairs, key).select(*key, F.posexplode(steps(prepared(F.col("guess")), prepared(F.col("gold")))).alias("idx", "_s")).select(*key, "idx", "_s.*")
 
 
 def confusions(steps: DataFrame, key: list[str]) -> DataFrame:
