@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +86,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside lambdas, what isn't a variable is computed again for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def text_hash(text: Column) -> list[Column]:
     """A 128-bit hash of a text as two columns, of equal values for equal texts (null counts as empty)."""
     text = F.coalesce(text, F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphspark.llm import bpe, decontaminate, fingerprints, language_id, line_dedup, ngram_join, pii, suffix_dedup, token_counts, url_filter
+from glyphspark.llm import bpe, decontaminate, fingerprints, language_id, line_dedup, ngram_join, pii, source_divergence, suffix_dedup, token_counts, url_filter
 from glyphspark.llm._spark import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,7 +66,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_ngram_join, op4_bpe, op5_pii, op6_fingerprints, op7_token_counts, op8_line_dedup, op9_decontamination, op10_url_filter)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(documents(spark, sf_dir).select("text", "lang", "source"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_ngram_join, op4_bpe, op5_pii, op6_fingerprints, op7_token_counts, op8_line_dedup, op9_decontamination, op10_url_filter, op13_source_divergence)}
 
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -129,4 +133,19 @@ y AS (SELECT 0 AS k, kind, host, w FROM s1 UNION ALL SELECT y.k + 1, y.kind, t.d
 r AS (SELECT host, round(sum(CASE WHEN kind = 'distrust' THEN 1 ELSE -1 END * CASE WHEN k < {url_filter.ROUNDS} THEN 0.15 ELSE 1 END * w) * (SELECT count(*) FROM b), 9) AS score FROM y GROUP BY host)
 SELECT page_id, a.host, path, rule, coalesce(action, CASE WHEN coalesce(score, 0) > {url_filter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(score, 0)::DOUBLE AS score
 FROM a LEFT JOIN r ON a.host = r.host""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+o AS MATERIALIZED (SELECT lang, source, doc, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS MATERIALIZED (SELECT o.lang, o.source, o.term, count(*) AS c FROM o JOIN k ON o.lang = k.lang AND o.term = k.term GROUP BY ALL),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0)::HUGEINT AS n FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 2) // (n.n + 2 * v.v) AS p
+  FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang JOIN n ON g.lang = n.lang AND g.source = n.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT c.lang, c.term, 1 + 1000000000::HUGEINT * (sum(c.c) + 2)::HUGEINT // ((SELECT sum(n.n) FROM n WHERE n.lang = c.lang)::HUGEINT + 2 * any_value(v.v)) AS q FROM c JOIN v ON c.lang = v.lang GROUP BY c.lang, c.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, (p.p - q.q) * (p.p - q.q) // (p.p + q.q) FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p.p > q.q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM u QUALIFY part = 'pair' OR rank <= 10""",
 }
