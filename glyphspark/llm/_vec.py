@@ -13,10 +13,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that one pass of a kernel takes (a longer single text is one slice).
 SLICE_BYTES = 1 << 19
 WORDS_PER_SHINGLE = 5
+#: Words from this many bytes on have another hash: different words of some 1,000 letters can share any polynomial one modulo 2^64.
+LONG_WORD = 200
 
 _U = np.uint64
 _WHITE = np.zeros(256, bool)
@@ -119,6 +122,9 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, apart: np.n
     total = np.zeros(n + 1, _U)
     np.cumsum((_BYTES_LOWER if lower else _BYTES)[data] * up[:n], out=total[1:])
     value = mix((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(_P))
+    for k in np.flatnonzero(end - start >= LONG_WORD):
+        word = data[start[k] : end[k]].tobytes()
+        value[k] = xxhash.xxh64_intdigest(word.lower() if lower else word)
     return value, start, end, np.searchsorted(start, offsets)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphspark.llm import bpe, decontaminate, fingerprints, language_id, line_dedup, ngram_join, pii, source_divergence, suffix_dedup, token_counts, url_filter
+from glyphspark.llm import bpe, collocations, decontaminate, fingerprints, language_id, line_dedup, ngram_join, pii, simhash, source_divergence, suffix_dedup, token_counts, url_filter
 from glyphspark.llm._spark import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,11 +66,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir).select("lang", "text"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(documents(spark, sf_dir).select("text", "lang", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_ngram_join, op4_bpe, op5_pii, op6_fingerprints, op7_token_counts, op8_line_dedup, op9_decontamination, op10_url_filter, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_ngram_join, op4_bpe, op5_pii, op6_fingerprints, op7_token_counts, op8_line_dedup, op9_decontamination, op10_url_filter, op11_collocations, op12_simhash, op13_source_divergence)}
 
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -133,6 +141,22 @@ y AS (SELECT 0 AS k, kind, host, w FROM s1 UNION ALL SELECT y.k + 1, y.kind, t.d
 r AS (SELECT host, round(sum(CASE WHEN kind = 'distrust' THEN 1 ELSE -1 END * CASE WHEN k < {url_filter.ROUNDS} THEN 0.15 ELSE 1 END * w) * (SELECT count(*) FROM b), 9) AS score FROM y GROUP BY host)
 SELECT page_id, a.host, path, rule, coalesce(action, CASE WHEN coalesce(score, 0) > {url_filter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(score, 0)::DOUBLE AS score
 FROM a LEFT JOIN r ON a.host = r.host""",
+    "op11_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\n\x0b\f\r]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+s AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS m FROM w),
+t AS MATERIALIZED (SELECT lang, m, g, count(*) AS f FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS g FROM s WHERE len(w) >= m) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM t WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT * FROM t WHERE m > 1 AND f >= 30),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+b AS (SELECT k.lang, k.g, any_value(k.f) AS a, min({'score': 2000000::HUGEINT * k.f // (x.f + y.f), 'k': k.k, 'l': x.f, 'r': y.f}) AS b
+  FROM k JOIN t x ON x.lang = k.lang AND x.g = k.g[1:k.k] JOIN t y ON y.lang = k.lang AND y.g = k.g[k.k + 1:] GROUP BY k.lang, k.g),
+i AS (SELECT lang, f, m, unnest([2, 3]) AS q, g FROM c),
+e AS (SELECT lang, g, max(f) AS f FROM (SELECT lang, f, unnest(list_transform(range(1, m - q + 2), lambda j: g[j:j + q - 1])) AS g FROM i WHERE q < m) GROUP BY ALL),
+u AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, b.b FROM b LEFT JOIN e ON e.lang = b.lang AND e.g = b.g WHERE e.f IS NULL OR 100::HUGEINT * e.f < 80::HUGEINT * b.a)
+SELECT u.lang, row_number() OVER (PARTITION BY u.lang ORDER BY b.score DESC, a DESC, phrase) AS rank, phrase, a, b.l AS l, b.r AS r, n.n, b.score::BIGINT AS score
+FROM u JOIN n ON n.lang = u.lang QUALIFY rank <= 2000""",
     "op13_source_divergence": r"""
 WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 o AS MATERIALIZED (SELECT lang, source, doc, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
