@@ -25,7 +25,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def term_counts(text: Column) -> Column:
     """array<struct<term, n>> of a text's distinct terms."""
-    terms = F.array_sort(F.filter(F.split(F.translate(text, UPPER, LOWER), BETWEEN, -1), lambda x: x != ""))
+    terms = F.sort_array(F.filter(F.split(F.translate(text, UPPER, LOWER), BETWEEN, -1), lambda x: x != ""))
 
     def runs(of: Column) -> Column:
         ends = F.filter(F.transform(of, lambda x, i: F.when(~x.eqNullSafe(F.get(of, i + 1)), i + 1)), lambda e: e.isNotNull())
