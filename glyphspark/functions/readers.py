@@ -8,21 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphspark.functions import charset
-from glyphspark.operators.running import block_of, running_total
-
-
-@dataclass(frozen=True)
-class Rule:
-    """Every ``every``-th occurrence of ``old`` becomes ``new``."""
-
-    old: str
-    new: str
-    every: int = 1
+from glyphspark.operators.cascade import Rule, replace_in_order, walk
 
 
 @dataclass(frozen=True)
@@ -84,100 +74,26 @@ def replace_some(lines: DataFrame, rules: list[Rule], key: str = "lang", order:
     """Replace every n-th match of each rule, counting matches from the first line of each ``key`` on; later rules see earlier output.
 
     A match that is replaced is consumed, one that isn't moves on by a character, so that matches of a pattern that overlaps
-    itself depend on the count so far. Patterns that can't overlap are counted by line, numbered by a distributed running
-    total, and set in place; the others are walked (``_walked``). No group is gathered in one task.
+    itself depend on the count so far. Rules match glyphs: a letter with a combining mark isn't the letter. All rules go in one pass over
+    laid out blocks (``cascade``); no group is gathered in one task.
     """
     for rule in rules:
         if not rule.old or rule.every < 1:
             raise ValueError(f"a rule needs a pattern and a positive number: {rule}")
-        if overlaps_itself(rule.old):
-            lines = _walked(lines, rule, key, order, text)
-            continue
-        pieces = F.split(F.col(text), _literal(rule.old), -1)
-        lines = lines.withColumn("_pieces", pieces).withColumn("_n", F.size("_pieces") - 1)
-        lines = running_total(lines, key, order, "_n", "_before")
-        glue = lambda i, rule=rule: F.when(F.pmod(F.col("_before") + i, F.lit(rule.every)) == rule.every - 1, F.lit(rule.new)).otherwise(F.lit(rule.old))
-        lines = lines.withColumn(text, _glued(glue)).drop("_pieces", "_n", "_before")
-    return lines
-
-
-def overlaps_itself(pattern: str) -> bool:
-    """True if a match can begin inside another one."""
-    return any(pattern.startswith(pattern[k:]) for k in range(1, len(pattern)))
-
-
-def walk(line: str, rule: Rule, count: int) -> tuple[str, int]:
-    """A line with every n-th match replaced, given the matches before it, and the matches up to its end."""
-    out, at = [], 0
-    while (found := line.find(rule.old, at)) >= 0:
-        out.append(line[at:found])
-        if count % rule.every == rule.every - 1:
-            out.append(rule.new)
-            at = found + len(rule.old)
-        else:
-            out.append(line[found])
-            at = found + 1
-        count += 1
-    return "".join(out) + line[at:], count
-
-
-def _walked(lines: DataFrame, rule: Rule, key: str, order: tuple[str, str], text: str) -> DataFrame:
-    """``replace_some`` for a pattern that overlaps itself.
-
-    How many matches a block of lines adds depends only on the count so far modulo ``every``. Blocks report that for each remainder,
-    the reports are put together in order, and a second pass over the blocks begins each with its count. Both passes stream.
-    """
-    first, second = order
-    lines = lines.withColumn("_block", block_of(lines, first))
-    placed = lines.repartition(key, "_block").sortWithinPartitions(key, "_block", first, second)
-
-    def rows(batch):
-        names = zip(batch.column(key).to_pylist(), batch.column("_block").to_pylist(), strict=True)
-        return zip(names, batch.column(text).to_pylist(), strict=True)
-
-    def report(batches):
-        now, adds = None, []
-        table = lambda: pa.RecordBatch.from_pylist([{"key": now[0], "block": now[1], "adds": adds}], pa.schema([("key", pa.string()), ("block", pa.int32()), ("adds", pa.list_(pa.int64()))]))
-        for batch in batches:
-            for name, line in rows(batch):
-                if name != now:
-                    if now is not None:
-                        yield table()
-                    now, adds = name, [0] * rule.every
-                if line is not None:
-                    adds = [n + walk(line, rule, k + n)[1] - (k + n) for k, n in enumerate(adds)]
-        if now is not None:
-            yield table()
-
-    starts: dict[tuple, int] = {}
-    total: dict[str | None, int] = {}
-    seen = placed.select(F.col(key).cast("string").alias(key), "_block", first, second, text).mapInArrow(report, "key string, block int, adds array<long>")
-    for r in sorted(seen.collect(), key=lambda r: r["block"]):  # a row a block and key
-        count = total.get(r["key"], 0)
-        starts[r["key"], r["block"]] = count
-        total[r["key"]] = count + r["adds"][count % rule.every]
-
-    def rewrite(batches):
-        now, count = None, 0
-        for batch in batches:
-            out = []
-            for name, line in rows(batch):
-                if name != now:
-                    now, count = name, starts[None if name[0] is None else str(name[0]), name[1]]
-                if line is not None:
-                    line, count = walk(line, rule, count)
-                out.append(line)
-            yield batch.set_column(batch.schema.get_field_index(text), text, pa.array(out, pa.string()))
-
-    return placed.mapInArrow(rewrite, placed.schema).drop("_block")
-
-
-def _literal(text: str) -> str:
-    return "".join(f"\\x{{{ord(c):x}}}" for c in text)
-
-
-def _glued(glue) -> Column:
-    return F.array_join(F.transform(F.col("_pieces"), lambda p, i: F.when(i == 0, p).otherwise(F.concat(glue(i - 1), p))), "")
+    return replace_in_order(lines, rules, key, order, text) if rules else lines
+
+
+def parsed_rules(text: str) -> list[Rule]:
+    """Rules of a file's text: old, new and number by tabs; fields may hold escapes; empty lines are skipped, any other count of fields is an error."""
+    composed = lambda field: "".join(charset.unescape_char(c) for c in charset.split_chars(field))
+    out = []
+    for line in text.split("\n"):
+        if line.strip():
+            parts = line.split("\t")
+            if len(parts) != 3:
+                raise ValueError(f"a rule has three fields: {line!r}")
+            out.append(Rule(composed(parts[0]), composed(parts[1]), int(parts[2])))
+    return out
 
 
 def replace_some_in_order(lines: list[str], rules: list[Rule]) -> list[str]:

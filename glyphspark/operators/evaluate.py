@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphspark.functions.charset import normalize_space, parse, remove_punctuation
+from glyphspark.functions.charset import DECOMPOSED, is_combining, normalize_space, parse, remove_punctuation
 
 # Names of the eight metrics (two end in two spaces).
 METRICS = ["CER, keep punc, allow f->s", "CER, keep punc  ", "CER, remove punc, allow f->s", "CER, remove punc", "WER, keep punc, allow f->s", "WER, keep punc  ", "WER, remove punc, allow f->s", "WER, remove punc"]
@@ -25,16 +26,17 @@ def allowed(guess: str, gold: str, f_for_s: bool) -> bool:
     return guess.replace("f", "*").replace("s", "*") == gold.replace("s", "*")
 
 
-def _columns(guess: list[str], gold: list[str], f_for_s: bool):
+def _columns(guess: list[str], gold: list[str], f_for_s: bool, start: tuple[int, int] | None = None):
     """After each guessed glyph: where the distance to the gold text's beginnings rises and where it falls by one, as bits.
 
     Myers' bit vectors, as long as the gold text: a step is a few operations on whole numbers, and nothing of quadratic size is
-    held. The distance to the first k gold glyphs is the number of guessed ones, plus rises, less falls below k.
+    held. The distance to the first k gold glyphs is the number of guessed ones, plus rises, less falls below k. ``start`` is the column before.
     """
     places: dict[str, int] = {}
     for k, x in enumerate(gold):
         places[x] = places.get(x, 0) | 1 << k
-    every, rise, fall = (1 << len(gold)) - 1, (1 << len(gold)) - 1, 0
+    every = (1 << len(gold)) - 1
+    rise, fall = start or (every, 0)
     match: dict[str, int] = {}
     for g in guess:
         if (same := match.get(g)) is None:
@@ -53,6 +55,15 @@ def _columns(guess: list[str], gold: list[str], f_for_s: bool):
 
 
 def edit_distance(guess: list[str], gold: list[str], f_for_s: bool = False) -> int:
+    """Cost of a cheapest alignment. What both begin and end with is left out first; the rest is walked over its shorter side's bits."""
+    at, end, other = 0, len(guess), len(gold)
+    while at < end and at < other and guess[at] == gold[at]:
+        at += 1
+    while end > at and other > at and guess[end - 1] == gold[other - 1]:
+        end, other = end - 1, other - 1
+    guess, gold = guess[at:end], gold[at:other]
+    if not guess or not gold:
+        return len(guess) + len(gold)
     rise, fall = (1 << len(gold)) - 1, 0
     for rise, fall in _columns(guess, gold, f_for_s):  # noqa: B007
         pass
@@ -60,12 +71,26 @@ def edit_distance(guess: list[str], gold: list[str], f_for_s: bool = False) -> i
 
 
 def align(guess: list[str], gold: list[str], f_for_s: bool = False) -> list[tuple[str, str | None, str | None]]:
-    """(op, guess, gold) of a cheapest alignment: = equal, S substituted, I and D: glyphs of one side only. Ties: equal, S, I, D."""
-    columns = [((1 << len(gold)) - 1, 0), *_columns(guess, gold, f_for_s)]
+    """(op, guess, gold) of a cheapest alignment: = equal, S substituted, I and D: glyphs of one side only. Ties: equal, S, I, D.
+
+    It is traced from the end. Of all columns only each root-th is kept; those between two of them are made again when the
+    trace comes to them, so what is held grows with the line times the root of its length, in bits.
+    """
+    every = (1 << len(gold)) - 1
+    step = max(1, isqrt(len(guess)))
+    kept = [(every, 0)]
+    for k, column in enumerate(_columns(guess, gold, f_for_s), 1):
+        if k % step == 0:
+            kept.append(column)
+
+    @lru_cache(2)
+    def columns(block: int) -> list[tuple[int, int]]:
+        return [kept[block], *_columns(guess[block * step : (block + 1) * step - 1], gold, f_for_s, kept[block])]
 
     def cost(i: int, j: int) -> int:
+        rise, fall = columns(i // step)[i % step]
         low = (1 << j) - 1
-        return i + (columns[i][0] & low).bit_count() - (columns[i][1] & low).bit_count()
+        return i + (rise & low).bit_count() - (fall & low).bit_count()
 
     i, j, out = len(guess), len(gold), []
     own = cost(i, j)
@@ -89,6 +114,8 @@ def align(guess: list[str], gold: list[str], f_for_s: bool = False) -> list[tupl
 
 def glyphs(text: str, diacritics_apart: bool = False) -> list[str]:
     """Characters of a text; with ``diacritics_apart`` marks are glyphs before their letter, sorted."""
+    if not diacritics_apart and "\\" not in text and (text.isascii() or not any(map(is_combining, set(text)))):
+        return [DECOMPOSED.get(c, c) for c in text]  # nothing to parse: a code point is a glyph
     out = []
     for base, marks in parse(text, strict=False):
         out += [*sorted(marks), base] if diacritics_apart else [base + "".join(marks)]
@@ -105,35 +132,59 @@ def _spread(pairs: DataFrame, key: list[str]) -> DataFrame:
     return pairs.repartition(max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
 
 
+def costs(guess: list[str], gold: list[str]) -> tuple[int, int]:
+    """Edit distances with and without f for s; they are walked once where no f can stand for an s."""
+    plain = edit_distance(guess, gold)
+    may = plain and any("f" in g for g in guess) and any("s" in g for g in gold)
+    return edit_distance(guess, gold, True) if may else plain, plain
+
+
 def scores(pairs: DataFrame, key: list[str]) -> DataFrame:
     """(*key, metric, cost, gold_len, score) of all eight metrics for pairs (*key, guess, gold).
 
-    Score is cost by gold length, null for an empty gold text (CER); an empty text is one empty word (WER).
+    Score is cost by gold length, null for an empty gold text (CER); an empty text is one empty word (WER). All metrics of a pair are
+    taken at once: glyphs are cut once, and what leaves a text as it was isn't compared again.
     """
-    texts = _spread(pairs, key).select(*key, *[prepared(F.col(c), keep).alias(f"{c}_{keep}") for c in ("guess", "gold") for keep in (True, False)])
-    texts = texts.select(*key, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"guess_{'keep' in m}").alias("guess"), F.col(f"gold_{'keep' in m}").alias("gold")) for m in METRICS])).alias("x")).select(*key, "x.*")
+    texts = _spread(pairs, key).select(*key, *[prepared(F.coalesce(c, F.lit("")), keep).alias(f"{c}_{keep}") for c in ("guess", "gold") for keep in (True, False)])
 
-    @F.pandas_udf("struct<cost:long,gold_len:long>")
-    def cost(metric: pd.Series, guess: pd.Series, gold: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<struct<cost:long,gold_len:long>>")
+    def measured(guess: pd.Series, gold: pd.Series, bare_guess: pd.Series, bare_gold: pd.Series) -> pd.Series:
         rows = []
-        cut = lru_cache(16)(glyphs)  # a text comes with several metrics
-        for m, a, b in zip(metric, guess, gold, strict=True):
-            a, b = (cut(a or ""), cut(b or "")) if m.startswith("CER") else ((a or "").split(" "), (b or "").split(" "))
-            rows.append((edit_distance(a, b, "allow" in m), len(b)))
-        return pd.DataFrame(rows, columns=["cost", "gold_len"])
+        for a, b, x, y in zip(guess, gold, bare_guess, bare_gold, strict=True):
+            found = []
+            for cut in (glyphs, lambda t: t.split(" ")):  # in the order of METRICS: characters, then words
+                g, h = cut(a), cut(b)
+                kept = [{"cost": c, "gold_len": len(h)} for c in costs(g, h)]
+                if (x, y) != (a, b):
+                    g, h = cut(x), cut(y)
+                found += kept + (kept if (x, y) == (a, b) else [{"cost": c, "gold_len": len(h)} for c in costs(g, h)])
+            rows.append(found)
+        return pd.Series(rows)
+
+    names = F.array(*[F.lit(m) for m in METRICS])
+    out = texts.select(*key, F.posexplode(measured("guess_True", "gold_True", "guess_False", "gold_False")).alias("_i", "_c"))
+    return out.select(*key, F.get(names, "_i").alias("metric"), "_c.cost", "_c.gold_len", (F.col("_c.cost") / F.nullif(F.col("_c.gold_len"), F.lit(0))).alias("score"))
+
 
-    out = texts.withColumn("_c", cost("metric", "guess", "gold"))
-    return out.select(*key, "metric", "_c.cost", "_c.gold_len", (F.col("_c.cost") / F.nullif(F.col("_c.gold_len"), F.lit(0))).alias("score"))
+#: Pairs of more cells than this are compared by bit vectors, the others by Spark's own function.
+LONG_CELLS = 1 << 16
 
 
 def char_costs(pairs: DataFrame, key: list[str], f_for_s: bool = False) -> DataFrame:
-    """(*key, cost, gold_len, score) of characters by the engine's own edit distance.
+    """(*key, cost, gold_len, score) of characters: Spark's own edit distance, and bit vectors for long lines, where that is quadratic.
 
     With ``f_for_s`` texts are folded, which is exact where no guess has an s.
     """
-    guess, gold = prepared(F.col("guess")), prepared(F.col("gold"))
     fold = (lambda c: F.translate(c, "f", "s")) if f_for_s else (lambda c: c)
-    out = pairs.select(*key, F.levenshtein(fold(guess), fold(gold)).cast("long").alias("cost"), F.length(gold).cast("long").alias("gold_len"))
+    texts = _spread(pairs, key).select(*key, fold(prepared(F.col("guess"))).alias("_g"), fold(prepared(F.col("gold"))).alias("_h"))
+    long = F.length("_g").cast("long") * F.length("_h") > LONG_CELLS
+
+    @F.pandas_udf("long")
+    def walked(guess: pd.Series, gold: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else edit_distance(list(a), list(b)) for a, b in zip(guess, gold, strict=True)], dtype="Int64")
+
+    far = walked(F.when(long, F.col("_g")), F.when(long, F.col("_h")))
+    out = texts.withColumn("_far", far).select(*key, F.when(long, F.col("_far")).otherwise(F.levenshtein("_g", "_h")).cast("long").alias("cost"), F.length("_h").cast("long").alias("gold_len"))
     return out.withColumn("score", F.col("cost") / F.nullif(F.col("gold_len"), F.lit(0)))
 
 
@@ -146,7 +197,7 @@ def alignment(pairs: DataFrame, key: list[str], words: bool = False, f_for_s: bo
 
     @F.pandas_udf("array<struct<op:string,guess:string,gold:string>>")
     def steps(guess: pd.Series, gold: pd.Series) -> pd.Series:
-        cut = (lambda x: (x or "").split(" ")) if words else (lambda x: glyphs(x or ""))
+        cut = _cut(words)
         return pd.Series([[dict(zip(("op", "guess", "gold"), s, strict=True)) for s in align(cut(a), cut(b), f_for_s)] for a, b in zip(guess, gold, strict=True)])
 
     return _spread(pairs, key).select(*key, F.posexplode(steps(prepared(F.col("guess")), prepared(F.col("gold")))).alias("idx", "_s")).select(*key, "idx", "_s.*")
@@ -182,8 +233,16 @@ def error_sample(words: DataFrame, key: list[str], size: int = 50) -> DataFrame:
     return drawn.select(*key, "idx", "op", F.replace("guess", F.lit("|"), F.lit("s")).alias("guess"), F.replace("gold", F.lit("|"), F.lit("s")).alias("gold")).orderBy(*key, "idx")
 
 
-def ops_text(steps: DataFrame, key: list[str]) -> DataFrame:
-    """(*key, ops): the alignment as a string of its steps."""
-    from glyphspark.operators.transcript import in_order
+def ops_text(pairs: DataFrame, key: list[str], words: bool = False, f_for_s: bool = False) -> DataFrame:
+    """(*key, ops): the alignment of each pair as a string of its steps."""
+
+    @F.pandas_udf("string")
+    def steps(guess: pd.Series, gold: pd.Series) -> pd.Series:
+        cut = _cut(words)
+        return pd.Series(["".join(s[0] for s in align(cut(a), cut(b), f_for_s)) for a, b in zip(guess, gold, strict=True)])
+
+    return _spread(pairs, key).select(*key, steps(prepared(F.col("guess")), prepared(F.col("gold"))).alias("ops")).where("ops <> ''")
+
 
-    return steps.groupBy(*key).agg(in_order(F.col("op"), "idx").alias("ops"))
+def _cut(words: bool):
+    return (lambda x: (x or "").split(" ")) if words else (lambda x: glyphs(x or ""))

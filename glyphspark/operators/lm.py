@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphspark.operators import ngrams as N
+from glyphspark.operators.lm_store import StoredStats, stored
 
 #: Discount of Kneser-Ney and absolute discounting, probability of what was never seen, usual power.
 DISCOUNT, UNSEEN, LM_POWER = 0.75, 4.5399929762484854e-05, 4.0
@@ -127,17 +128,45 @@ def shrink(contexts: DataFrame, hist: DataFrame, order: int) -> DataFrame:
 _STATS = ("t", "low", "hist", "norm")
 
 
+def _statistics(tok: DataFrame) -> DataFrame:
+    """The rows of ``lookup`` before they are added up."""
+    none = F.lit(0).cast("long")
+    part = lambda df, s, **have: df.select("lang", s.alias("s"), *[have.get(c, none).cast("long").alias(c) for c in _STATS])
+    rows = part(tok, F.col("g"), t=F.col("t")).union(part(tok.where("n = 1"), F.lit(""), t=F.col("t")))
+    rows = rows.union(part(N.lower_types(tok), F.col("g"), low=F.col("low"))).union(part(N.history_types(tok), F.col("h"), hist=F.col("hist")))
+    return rows.union(part(N.lower_normalizers(tok), F.col("m"), norm=F.col("norm")))
+
+
 def lookup(tok: DataFrame) -> DataFrame:
     """(lang, s, t, low, hist, norm): occurrences of a string, distinct characters before and after it, and pairs around it.
 
     The empty string has all tokens and all bigram types.
     """
+    return _statistics(tok).groupBy("lang", "s").agg(*[F.sum(c).alias(c) for c in _STATS])
+
+
+def of_endings(strings: DataFrame, rows: DataFrame, order: int) -> DataFrame:
+    """(lang, s, v): for each of the distinct ``strings`` (lang, s) the statistics of its endings, the shortest first.
+
+    Statistics ``rows`` and strings are dealt together by their last two characters and sorted from the end, where every ending
+    stands right before what ends with it: all lengths are found in the one pass over the sorted rows. Single characters
+    come by a join of their own.
+    """
     none = F.lit(0).cast("long")
-    part = lambda df, s, **have: df.select("lang", s.alias("s"), *[have.get(c, none).cast("long").alias(c) for c in _STATS])
-    rows = part(tok, F.col("g"), t=F.col("t")).union(part(tok.where("n = 1"), F.lit(""), t=F.col("t")))
-    rows = rows.union(part(N.lower_types(tok), F.col("g"), low=F.col("low"))).union(part(N.history_types(tok), F.col("h"), hist=F.col("hist")))
-    rows = rows.union(part(N.lower_normalizers(tok), F.col("m"), norm=F.col("norm")))
-    return rows.groupBy("lang", "s").agg(*[F.sum(c).alias(c) for c in _STATS])
+    table = rows.where("s <> '' and lang is not null").select("lang", "s", *_STATS, F.lit(False).alias("asked"))
+    both = table.union(strings.where("s <> ''").select("lang", "s", *[none for _ in _STATS], F.lit(True)))
+    both = both.withColumn("_2", F.reverse(F.right("s", F.lit(2)))).repartition("lang", "_2")
+    both = both.groupBy("lang", "_2", "s").agg(*[F.sum(c).alias(c) for c in _STATS], F.max("asked").alias("asked"))
+    back = F.reverse("s")
+    both = both.withColumns({f"_{i}": F.substring(back, 1, i) for i in range(3, order + 1)}).withColumn("_all", back)
+    own = F.struct(*_STATS)
+    for i in range(2, order + 1):
+        after = [f"_{k}" for k in range(i + 1, order + 1)] + ["_all"]
+        w = Window.partitionBy("lang", *[f"_{k}" for k in range(2, i + 1)]).orderBy(*after).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.withColumn(f"_v{i}", F.first(F.when(F.length("s") == i, own)).over(w))
+    single = table.where(F.length("s") == 1).groupBy("lang", F.col("s").alias("_c")).agg(*[F.sum(c).alias(c) for c in _STATS]).select(F.col("lang").alias("_l"), "_c", own.alias("_v1"))
+    both = both.where("asked").join(single, (F.col("lang") == F.col("_l")) & (F.right("s", F.lit(1)) == F.col("_c")), "left")
+    return both.select("lang", "s", F.array(*[F.col(f"_v{i}") for i in range(1, order + 1)]).alias("v"))
 
 
 def backed_off(wanted: DataFrame, tok: DataFrame, order: int, kind: str = "kneser_ney") -> DataFrame:
@@ -146,21 +175,26 @@ def backed_off(wanted: DataFrame, tok: DataFrame, order: int, kind: str = "knese
     The longest history that was ever seen decides: ``mle`` takes its share, ``absolute`` and ``kneser_ney`` discount and go on with
     shorter ones; what no history knows has the probability ``UNSEEN``. Kneser-Ney takes token counts where the whole n-gram
     is usable, and types below; a history that is only ever at a start has no types and passes to the next shorter one. A
-    language without counts gives ``UNSEEN``. All strings that an n-gram asks for are looked up by one join.
+    language without counts gives ``UNSEEN``. All that an n-gram asks for are endings of it and of its history (``of_endings``).
     """
     if kind not in ("mle", "absolute", "kneser_ney"):
         raise ValueError(f"unknown model: {kind!r}")
     wanted = wanted.select("lang", "g").distinct()
-    stats = lookup(tok)
+    rows = _statistics(tok)
     length = F.length("g")
-    ends = F.transform(F.sequence(F.lit(1), length), lambda i: F.array(F.struct((2 * i).alias("slot"), F.right("g", i).alias("s")), F.struct((2 * i + 1).alias("slot"), F.left(F.right("g", i), i - 1).alias("s"))))
-    asked = wanted.select("lang", "g", F.explode(F.flatten(ends)).alias("e")).select("lang", "g", "e.*").where("s <> ''")
-    found = asked.join(stats.where("s <> ''"), ["lang", "s"]).groupBy("lang", "g").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct(*_STATS).alias("v")))).alias("m"))  # 2 * order entries at most
-    totals = stats.where("s = ''").select("lang", F.col("t").alias("total"), F.col("norm").alias("pairs"))
-    rows = wanted.join(found, ["lang", "g"], "left").join(F.broadcast(totals), "lang", "left")  # a row a language
+    before = F.expr("substring(g, 1, length(g) - 1)")
+    asked = wanted.select("lang", F.col("g").alias("s")).union(wanted.select("lang", before.alias("s"))).distinct()
+    found = of_endings(asked, rows, order)
+    totals = rows.where("s = ''").groupBy("lang").agg(F.sum("t").alias("total"), F.sum("norm").alias("pairs"))
+    own, context = (found.select(F.col("lang").alias(f"_l{x}"), F.col("s").alias(f"_s{x}"), F.col("v").alias(x)) for x in ("own", "ctx"))
+    rows = wanted.withColumn("_before", before)
+    rows = rows.join(own, (F.col("lang") == F.col("_lown")) & (F.col("g") == F.col("_sown")), "left").join(context, (F.col("lang") == F.col("_lctx")) & (F.col("_before") == F.col("_sctx")), "left")
+    rows = rows.select("lang", "g", "own", "ctx").join(F.broadcast(totals), "lang", "left")  # a row a language
 
     def of(slot: int, name: str) -> Column:
-        return F.coalesce(F.element_at("m", slot)[name], F.lit(0).cast("long")).cast("double")
+        """Slot 2 i: the ending of length i; 2 i + 1: what stands before its last character."""
+        which = F.get("own", slot // 2 - 1) if slot % 2 == 0 else F.get("ctx", slot // 2 - 2)
+        return F.coalesce(which[name], F.lit(0).cast("long")).cast("double")
 
     level: dict[int, Column] = {}
     for i in range(1, order + 1):
@@ -273,10 +307,10 @@ def mixed(probs: list[tuple[DataFrame, float]]) -> DataFrame:
 class Backoff:
     """A language's model for kernels: the probability of any character after any context, by the rules of ``backed_off``.
 
-    ``stats`` is the language's part of ``lookup``; its size is bounded by alphabet and order, not by the corpus.
+    ``stats`` gives the counts of a string as ``lookup`` has them: a dictionary, or a store's.
     """
 
-    def __init__(self, stats: dict[str, tuple[int, int, int, int]], order: int, power: float = LM_POWER):
+    def __init__(self, stats: dict[str, tuple[int, int, int, int]] | StoredStats, order: int, power: float = LM_POWER):
         self.stats, self.order, self.power = stats, order, power
 
     def _kn(self, s: str) -> float:
@@ -323,12 +357,9 @@ class Mixture:
         return sum(w * m(m.shrink(context), char) for m, w in self.parts)
 
 
-def models_of(tok: DataFrame, order: int, power: float = LM_POWER) -> dict[str, Backoff]:
-    """A model for each language of the counts ``tok``; the tables come to the driver (n-gram types, not tokens)."""
-    stats: dict[str, dict] = {}
-    for r in lookup(tok).toLocalIterator():
-        stats.setdefault(r["lang"], {})[r["s"]] = (r["t"], r["low"], r["hist"], r["norm"])
-    return {lang: Backoff(own, order, power) for lang, own in sorted(stats.items())}
+def models_of(tok: DataFrame, order: int, power: float = LM_POWER, path: str | None = None) -> dict[str, Backoff]:
+    """A model for each language of the counts ``tok``, over a store at ``path`` (or in the shared folder) that tasks map into memory."""
+    return {lang: Backoff(own, order, power) for lang, own in stored(lookup(tok), path).items()}
 
 
 def switch_table(priors: dict[str, float], keep: float) -> dict[tuple[str, str], float]:
@@ -340,13 +371,13 @@ def switch_table(priors: dict[str, float], keep: float) -> dict[tuple[str, str],
     return {(a, b): x / sum(raw[a, c] for c in priors) for (a, b), x in raw.items()}
 
 
-def reestimated(base: dict[str, Backoff | Mixture], texts: DataFrame, order: int, power: float = LM_POWER, weight: float = 0.5) -> tuple[dict[str, Backoff | Mixture], dict[str, float]]:
+def reestimated(base: dict[str, Backoff | Mixture], texts: DataFrame, order: int, power: float = LM_POWER, weight: float = 0.5, path: str | None = None) -> tuple[dict[str, Backoff | Mixture], dict[str, float]]:
     """Models and priors after reading ``texts`` (lang, line): each language's first model mixed with one of its new text.
 
-    A language without new text keeps its model. Priors are the characters read, and one more.
+    A language without new text keeps its model. Priors are the characters read, and one more. The new models' store is written at ``path``.
     """
     tok = N.token_counts(texts.select("lang", "line"), order)
-    fresh = models_of(tok, order, power)
+    fresh = models_of(tok, order, power, path)
     models, priors = {}, {}
     for lang, model in base.items():
         first = model.parts[0][0] if isinstance(model, Mixture) else model

@@ -8,13 +8,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphspark.operators import gsm, lm, transcript
+from glyphspark.operators import gsm, lm, transcript, versions
 from glyphspark.operators.decoder import COLUMNS, GAINS, GlyphModel, Template, Transitions, decode, fit_widths, kernel
 from glyphspark.operators.pages import BLACK, HEIGHT, WHITE
-from glyphspark.sources import corpus
 
 REGULARIZER = 0.01
 
@@ -169,15 +168,15 @@ class Updates:
     elision: float = 100.0
 
 
-def m_step(models: Models, decoded: DataFrame, lines: DataFrame, updates: Updates) -> Models:
-    """Models re-estimated from one batch's decode table; counts of earlier batches don't linger."""
+def m_step(models: Models, decoded: DataFrame, lines: DataFrame, updates: Updates, store: str | None = None) -> Models:
+    """Models re-estimated from one batch's decode table; counts of earlier batches don't linger. New language models are stored at ``store``."""
     if updates.font:
         models = replace(models, font=fit_templates(emission_counts(decoded, lines), models.font))
     if updates.language:
         texts = transcript.language_runs(decoded).select("lang", F.col("text").alias("line"))
         power = next(iter(models.languages.values()))
         power = (power.parts[0][0] if isinstance(power, lm.Mixture) else power).power
-        languages, priors = lm.reestimated(models.languages, texts, models.order, power, updates.new_text)
+        languages, priors = lm.reestimated(models.languages, texts, models.order, power, updates.new_text, store)
         models = replace(models, languages=languages, priors=priors)
     if updates.glyphs and models.glyphs is not None:
         active = decoded.sparkSession.createDataFrame([(lang, c) for lang, own in models.chars.items() for c in own], "lang string, char string")
@@ -190,25 +189,26 @@ def m_step(models: Models, decoded: DataFrame, lines: DataFrame, updates: Update
 def train_models(lines: DataFrame, models: Models, path: str, rounds: int = 3, updates: Updates = Updates(), **options: Any) -> Models:  # noqa: B008
     """Hard EM in mini-batches of documents: decode a batch, re-estimate what ``updates`` says, go on with the new models.
 
-    Documents are numbered by id; a short remainder joins the last batch. Decode tables are written below ``path`` by round and
-    batch, so that an update reads what was written.
+    Documents are numbered by id; a short remainder joins the last batch. Lines are laid out by batch once. Each batch ends with a
+    version of all models (``versions``) next to its decode table; a run that is started again goes on behind the last whole one.
     """
     if rounds <= 0:
         raise ValueError("rounds must be positive")
     spark = lines.sparkSession
-    docs = lines.select("doc_id").distinct()
-    total = docs.count()
-    size = updates.batch_docs if updates.batch_docs > 0 else max(total, 1)
-    # documents are numbered in one task; there are far fewer of them than lines
-    numbered = docs.withColumn("_n", F.row_number().over(Window.orderBy("doc_id"))).select("doc_id", corpus.batch_of(F.col("_n"), F.lit(total), size).cast("int").alias("batch_no"))
-    batches = max(1, total // size)
-    for k in range(1, rounds + 1):
-        for b in range(1, batches + 1):
-            own = lines.join(numbered.where(F.col("batch_no") == b), "doc_id", "left_semi")
-            place = f"{path}/decode/iter={k}/batch={b}"
-            decode(own, models.font, models.transitions(), **options).write.mode("overwrite").parquet(place)
-            models = m_step(models, spark.read.parquet(place), own, updates)
-            font_frame(spark, models.font).write.mode("overwrite").parquet(f"{path}/font/iter={k}/batch={b}")
+    lines, batches = versions.laid_out(lines, path, updates.batch_docs)
+    steps = [(k, b) for k in range(1, rounds + 1) for b in range(1, batches + 1)]
+    place = lambda what, k, b: f"{path}/{what}/iter={k}/batch={b}"
+    done = 0
+    while done < len(steps) and versions.exists(spark, place("models", *steps[done])):
+        done += 1
+    if done:
+        models = versions.load(spark, place("models", *steps[done - 1]))
+    for k, b in steps[done:]:
+        own = lines.where(F.col("batch_no") == b).drop("batch_no")  # read by folder
+        decode(own, models.font, models.transitions(), **options).write.mode("overwrite").parquet(place("decode", k, b))
+        version = place("models", k, b)
+        models = m_step(models, spark.read.parquet(place("decode", k, b)), own, updates, f"{version}/languages")
+        versions.save(spark, models, version)
     return models
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphspark.functions import charset, readers, text
-from glyphspark.operators import evaluate, gsm, lm, ngrams, transcript
+from glyphspark.operators import evaluate, gsm, lm, ngrams, shared, transcript
 from glyphspark.sources import corpus
 
 ORDER, KEEP, DIGITS = 3, 0.8, 8
@@ -160,6 +160,50 @@ def reader_pipeline(spark, d):
     return _long(readers.replace_some(lines, [readers.Rule("an", "ã", 4), readers.Rule("u", "v", 4)]).select("doc_id", "lang", "line_no", "line"), "line_no")
 
 
+# Replacement rules of Spanish spelling (old, new, every how many), in order.
+SPANISH_RULES = """
+\\`a\ta\t1
+\\`e\te\t1
+\\`i\ti\t1
+\\`o\to\t1
+\\`u\tu\t1
+que\t\\~q\t4
+per\t\\~p\t4
+ci\tzi\t4
+ce\tze\t4
+x\tj\t4
+j\tx\t5
+an\t\\~a\t4
+en\t\\~e\t4
+in\t\\~i\t4
+on\t\\~o\t4
+un\t\\~u\t4
+ h\t \t5
+be\tve\t5
+u\tv\t4
+v\tu\t5
+\\'a\ta\t4
+\\'e\te\t4
+\\'i\ti\t4
+\\'o\to\t4
+\\'u\tu\t4
+ae\tæ\t2
+oracion\to\\~ron\t5
+"""
+
+
+def _cascade_sql() -> str:
+    rules = readers.parsed_rules(SPANISH_RULES)
+    steps = [_every(f"s{k - 1}" if k else "lines", r.old, r.new, r.every, f"s{k}") for k, r in enumerate(rules)]
+    return f"WITH {_L}, {', '.join(steps)} SELECT doc_id, lang, line_no, line FROM s{len(rules) - 1}"
+
+
+@query(_cascade_sql())
+def replace_rules(spark, d):
+    """A whole rules file over all lines."""
+    return _long(readers.replace_some(_lines(spark, d), readers.parsed_rules(SPANISH_RULES)).select("doc_id", "lang", "line_no", "line"), "line_no")
+
+
 @query(f"WITH {_L} SELECT doc_id, line_no, length(regexp_replace(line, '\\p{{M}}', '', 'g'))::BIGINT AS n_chars FROM lines")
 def char_split(spark, d):
     """Characters of every line by the full parser, with a count."""
@@ -289,7 +333,7 @@ def context_shrink(spark, d):
 @query(f"""WITH {_KN}, s AS (SELECT doc_id, lang, CASE WHEN c2 IS NOT NULL THEN c2 || c1 || c WHEN c1 IS NOT NULL THEN c1 || c ELSE c END AS g FROM w)
 SELECT doc_id, count(*) AS n_chars, round(exp(-sum(ln(coalesce(p, exp(-10)))) / count(*)), 6) AS perplexity FROM s LEFT JOIN kn USING (lang, g) GROUP BY doc_id""")
 def doc_perplexity(spark, d):
-    tok = _tok(spark, d)
+    tok = shared.checkpointed(_tok(spark, d))  # types are far fewer than tokens, and read by every stage
     out = lm.perplexity(_lines(spark, d), lm.kneser_ney(tok, ORDER), ORDER, types=tok.count())
     return out.select("doc_id", "n_chars", F.round("perplexity", 6).alias("perplexity"))
 
@@ -309,7 +353,7 @@ WHEN coalesce(t1, 0) = 0 THEN exp(-10) ELSE t1::DOUBLE / n1 END AS p FROM k2)"""
 SELECT doc_id, lang AS model, sum(k)::BIGINT AS n_chars, round(exp(-sum(k * ln(p)) / sum(k)), 6) AS perplexity FROM seen JOIN bo USING (g) GROUP BY ALL""")
 def cross_perplexity(spark, d):
     """Every document under the model of every language: most n-grams of the other languages are backed off."""
-    out = lm.cross_perplexity(_lines(spark, d), _tok(spark, d), ORDER)
+    out = lm.cross_perplexity(_lines(spark, d), shared.checkpointed(_tok(spark, d)), ORDER)
     return out.select("doc_id", "model", "n_chars", F.round("perplexity", 6).alias("perplexity"))
 
 
@@ -318,7 +362,7 @@ want AS (SELECT lang, g FROM (SELECT DISTINCT coalesce(d2, '') || coalesce(d1, '
 def backoff_prob(spark, d):
     """Probabilities of all n-grams of the benchmark's texts in all languages, seen or not."""
     items = _table(spark, d, "benchmark").where("text <> ''").select(F.col("text").alias("line"))
-    tok = _tok(spark, d)
+    tok = shared.checkpointed(_tok(spark, d))
     wanted = ngrams.contexts(items, ORDER, ()).select("g").crossJoin(F.broadcast(tok.select("lang").distinct()))  # a row a language
     return _rounded(lm.backed_off(wanted, tok, ORDER).select("lang", "g", "p"), "p")
 
@@ -335,7 +379,7 @@ sc AS (SELECT conv_id, sum(k)::BIGINT AS n, sum(k * ln(p)) AS s FROM rg JOIN bo
 SELECT conv_id, n AS n_chars, round(exp(-(sc.s + sw.s) / n), 6) AS perplexity FROM sc JOIN sw USING (conv_id)""")
 def conversation_perplexity(spark, d):
     """Turns of a conversation in the language of their role, one text that changes language; n-grams that the languages never had are backed off."""
-    tok, prior = _tok(spark, d), _priors(spark, d)
+    tok, prior = shared.checkpointed(_tok(spark, d)), _priors(spark, d)
     lang = F.when(F.col("role") == "user", "en").otherwise("fr")
     turns = _table(spark, d, "conversations").where("text <> ''").select("conv_id", "turn", lang.alias("lang"), F.concat("text", F.lit(" ")).alias("text"))
     runs = lm.runs_of(turns, "conv_id", "turn")
@@ -509,10 +553,13 @@ def wer_line(spark, d):
     return evaluate.scores(_pairs(spark, d), _KEYS)
 
 
-def _aligned(spark, d, words):
+def _word_left_out(spark, d):
     """All document lines against themselves with letters exchanged and a word left out."""
-    pairs = _pairs(spark, d).withColumn("guess", F.regexp_replace("guess", "(?:the|la|de|der) ", ""))
-    return evaluate.alignment(pairs, _KEYS, words)
+    return _pairs(spark, d).withColumn("guess", F.regexp_replace("guess", "(?:the|la|de|der) ", ""))
+
+
+def _aligned(spark, d, words):
+    return evaluate.alignment(_word_left_out(spark, d), _KEYS, words)
 
 
 @query()
@@ -522,7 +569,7 @@ def error_confusions(spark, d):
 
 @query()
 def alignment_ops(spark, d):
-    return evaluate.ops_text(_aligned(spark, d, False), _KEYS)
+    return evaluate.ops_text(_word_left_out(spark, d), _KEYS)
 
 
 @query()

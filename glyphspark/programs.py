@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphspark.functions import readers
-from glyphspark.operators import decoder, evaluate, gsm, lm, ngrams, pages, training, transcript
+from glyphspark.operators import decoder, evaluate, gsm, lm, lm_store, ngrams, pages, training, transcript, versions
 from glyphspark.sources import corpus
 
 
@@ -64,15 +64,15 @@ def initialize_language_model(spark: SparkSession, options: corpus.LanguageModel
     rows = [(lang, weights[lang] / total, options.orders.get(lang, options.order), float(options.lm_power), float(options.keep_language)) for lang in options.texts]
     about = spark.createDataFrame(rows, "lang string, prior double, order int, power double, keep double")
     corpus.write_model({"tokens": tok, "active": active.distinct(), "about": about.coalesce(1)}, path)
+    lm_store.write_store(lm.lookup(spark.read.schema("g string, t long, n int, lang string").parquet(f"{path}/tokens")), f"{path}/stats")
 
 
 def load_languages(spark: SparkSession, path: str) -> tuple[dict[str, lm.Backoff], dict[str, float], dict[str, list[str]], float, int]:
     """Models, priors, active characters, probability to keep a language, and longest order, from ``initialize_language_model``."""
-    tables = corpus.read_model(spark, path, ["tokens", "active", "about"])
-    about = {r["lang"]: r for r in tables["about"].collect()}
-    models = {}
-    for lang, r in sorted(about.items()):
-        models |= lm.models_of(tables["tokens"].where(F.col("lang") == lang), r["order"], r["power"])
+    tables = corpus.read_model(spark, path, ["active", "about"])
+    about = {r["lang"]: r for r in tables["about"].collect()}  # a row a language
+    stores = lm_store.open_store(spark, f"{path}/stats")
+    models = {lang: lm.Backoff(stores[lang], r["order"], r["power"]) for lang, r in sorted(about.items())}
     chars: dict[str, list[str]] = {}
     for r in tables["active"].orderBy("lang", "char").collect():
         chars.setdefault(r["lang"], []).append(r["char"])
@@ -209,17 +209,29 @@ class Reading:
     switch_on_punctuation: bool = True
     updates: training.Updates = field(default_factory=lambda: training.Updates(font=False))
 
+    def check(self, gsm_path: str | None) -> None:
+        """Combinations that can't be meant are errors."""
+        if self.glyph_substitution and gsm_path is None:
+            raise ValueError("glyph substitution needs a model")
+        if gsm_path is not None and not self.glyph_substitution:
+            raise ValueError("a glyph substitution model without glyph substitution")
+        if self.updates.glyphs and not self.glyph_substitution:
+            raise ValueError("glyph substitution can't be updated when there is none")
+        if (self.updates.language or self.updates.glyphs) and not self.updates.font:
+            raise ValueError("language and glyph substitution models are updated together with the font only")
+
     def decoding(self) -> dict[str, Any]:
         return {"beam": self.beam, "batch": self.decode_batch, "pad": self.padding, "offsets": self.vertical}
 
 
 def load_models(spark: SparkSession, lm_path: str, font_path: str, gsm_path: str | None, options: Reading) -> training.Models:
-    if options.glyph_substitution and gsm_path is None:
-        raise ValueError("glyph substitution needs a model")
+    """What reading begins with. A character of a language without a template in the font is an error."""
+    options.check(gsm_path)
     languages, priors, chars, keep, order = load_languages(spark, lm_path)
     font = training.font_of(spark.read.parquet(font_path))
-    drawn = {t.char for t in font}
-    chars = {lang: [c for c in own if c in drawn] for lang, own in chars.items()}  # a character without a template is never read
+    missing = sorted({c for own in chars.values() for c in own} - {t.char for t in font})
+    if missing:
+        raise ValueError(f"no templates for {missing}")
     glyphs = None
     if options.glyph_substitution:
         active = spark.createDataFrame([(lang, c) for lang, own in chars.items() for c in own], "lang string, char string")
@@ -229,32 +241,77 @@ def load_models(spark: SparkSession, lm_path: str, font_path: str, gsm_path: str
 
 
 def train_font(spark: SparkSession, lines: DataFrame, lm_path: str, font_path: str, output: str, rounds: int = 3, gsm_path: str | None = None, options: Reading = Reading(updates=training.Updates())) -> training.Models:  # noqa: B008
-    """EM over lines (doc_id, line_no, width, height, pixels); the last font is written to ``output``/font-final."""
+    """EM over lines (doc_id, line_no, width, height, pixels). The last font is written to ``output``/font-final, all last models to ``output``/models-final.
+
+    A run that is started again goes on behind the last whole batch.
+    """
     models = load_models(spark, lm_path, font_path, gsm_path, options)
     models = training.train_models(lines, models, output, rounds, options.updates, **options.decoding())
-    training.font_frame(spark, models.font).write.mode("overwrite").parquet(f"{output}/font-final")
+    versions.save(spark, models, f"{output}/models-final", f"{output}/font-final")
     return models
 
 
-def transcribe(spark: SparkSession, lines: DataFrame, lm_path: str, font_path: str, output: str, gsm_path: str | None = None, options: Reading = Reading(), gold: DataFrame | None = None, skip_done: bool = False, fail_if_none: bool = False) -> dict[str, DataFrame]:  # noqa: B008
+def runs(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the runs below ``path`` that were written whole."""
+    if not training.path_exists(spark, path):
+        return []
+    folder, fs = training._folder(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("run=")]
+    return sorted(int(n[4:]) for n in names if training.path_exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def last_decode(spark: SparkSession, path: str) -> DataFrame | None:
+    """The decode table below ``path``: of each document the rows of the last whole run that read it."""
+    known = runs(spark, path)
+    if not known:
+        return None
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/run={k}" for k in known])
+    if len(known) == 1:
+        return rows.drop("run")
+    last = rows.groupBy("doc_id").agg(F.max("run").alias("run"))
+    return rows.join(last, ["doc_id", "run"], "left_semi").drop("run")
+
+
+def transcribe(
+    spark: SparkSession,
+    lines: DataFrame,
+    lm_path: str | None,
+    font_path: str | None,
+    output: str,
+    gsm_path: str | None = None,
+    options: Reading = Reading(),  # noqa: B008
+    gold: DataFrame | None = None,
+    skip_done: bool = False,
+    fail_if_none: bool = False,
+    gold_normalized: DataFrame | None = None,
+    models_path: str | None = None,
+    text_files: bool = False,
+) -> dict[str, DataFrame]:
     """Read lines and write the asked formats below ``output``, a table for each: diplomatic and normalized lines, running texts, comparison, HTML, ALTO, layout.
 
-    With ``gold`` lines (doc_id, line_no, text) also scores by document and their averages. ``skip_done`` leaves out documents that
-    ``output`` has already; models may be updated on the way (``options.updates``).
+    Models come from their paths, or all from the version at ``models_path`` (what training and updates write). With ``gold`` lines
+    (doc_id, line_no, text) also scores by document and their averages; with ``gold_normalized`` lines those of the normalized
+    running text. ``skip_done`` leaves out documents that ``output`` has already; a document that is read again replaces what was read
+    before. Models may be updated on the way (``options.updates``); they are written to ``output``/models. ``text_files`` also writes the
+    lines as text, a folder for each document.
     """
     formats = corpus.parse_formats(options.formats, options.glyph_substitution)
     done = f"{output}/decode"
-    if skip_done and training.path_exists(spark, done):
-        lines = corpus.not_done(lines, spark.read.parquet(done), fail_if_none=fail_if_none)
-    models = load_models(spark, lm_path, font_path, gsm_path, options)
+    before = last_decode(spark, done)
+    if skip_done and before is not None:
+        lines = corpus.not_done(lines, before, fail_if_none=fail_if_none)
+    models = versions.load(spark, models_path) if models_path else load_models(spark, lm_path, font_path, gsm_path, options)
     updates = options.updates
+    number = max(runs(spark, done), default=0) + 1
     if updates.font or updates.language or updates.glyphs:
-        training.train_models(lines, models, f"{output}/update", 1, updates, **options.decoding())
-        decoded = spark.read.option("recursiveFileLookup", "true").parquet(f"{output}/update/decode/iter=1")
+        place = f"{output}/update/run={number}"
+        models = training.train_models(lines, models, place, 1, updates, **options.decoding())
+        versions.save(spark, models, f"{output}/models")
+        decoded = spark.read.option("recursiveFileLookup", "true").parquet(f"{place}/decode/iter=1")
     else:
         decoded = decoder.decode(lines, models.font, models.transitions(), **options.decoding())
-    decoded.write.mode("append").parquet(done)
-    decode = spark.read.parquet(done)
+    decoded.write.mode("overwrite").parquet(f"{done}/run={number}")
+    decode = last_decode(spark, done)
     languages = sorted(models.languages)
     made: dict[str, DataFrame] = {}
     if "DIPL" in formats:
@@ -269,15 +326,31 @@ def transcribe(spark: SparkSession, lines: DataFrame, lm_path: str, font_path: s
         made["alto"] = transcript.alto_pages(decode, options.glyph_substitution)
     if "WHITESPACE" in formats:
         made["whitespace"] = transcript.whitespace_layout(decode)
+    gold_text = None if gold_normalized is None else corpus.gold_running(gold_normalized)
     if gold is not None:
         made["scores"] = scores(transcript.diplomatic_lines(decode), gold)
         made["report"] = evaluate.macro_average(made["scores"], ["metric"])
-    if "COMP" in formats:
-        norm, subs, running = (transcript.normalized_lines(decode), transcript.substitution_lines(decode), transcript.normalized_running(decode)) if options.glyph_substitution else (None, None, None)
-        evaluations = made["scores"].withColumn("side", F.lit("diplomatic")) if gold is not None else None
-        made["comparison"] = transcript.comparison(transcript.diplomatic_lines(decode), gold, norm, None, subs, running, None, evaluations)
+    if gold_text is not None:
+        made["scores_normalized"] = evaluate.scores(gold_text.withColumnRenamed("text", "gold").join(transcript.normalized_running(decode).withColumnRenamed("text", "guess"), "doc_id", "left"), ["doc_id"])
+        made["report_normalized"] = evaluate.macro_average(made["scores_normalized"], ["metric"])
     corpus.write_model(made, output)
-    return {name: spark.read.parquet(f"{output}/{name}") for name in made}
+    made = {name: spark.read.parquet(f"{output}/{name}") for name in made}
+    if "COMP" in formats:
+        norm, subs, running = (transcript.normalized_lines(decode), transcript.substitution_lines(decode), transcript.normalized_running(decode)) if options.glyph_substitution or gold_text is not None else (None, None, None)
+        subs = subs if options.glyph_substitution else None
+        evaluations = None
+        for side, name in (("diplomatic", "scores"), ("normalized", "scores_normalized")):
+            if name in made:
+                own = made[name].withColumn("side", F.lit(side))
+                evaluations = own if evaluations is None else evaluations.unionByName(own)
+        report = transcript.comparison(transcript.diplomatic_lines(decode), gold, norm, gold_normalized, subs, running, gold_text, evaluations)
+        corpus.write_model({"comparison": report}, output)
+        made["comparison"] = spark.read.parquet(f"{output}/comparison")
+    if text_files:
+        for name in ("diplomatic", "normalized_lines"):
+            if name in made:
+                corpus.write_lines(made[name], f"{output}/all_transcriptions/{name}")
+    return made
 
 
 def scores(model: DataFrame, gold: DataFrame) -> DataFrame:

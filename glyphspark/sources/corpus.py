@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphspark.functions.readers import Rule
+from glyphspark.functions.readers import Rule, parsed_rules
 from glyphspark.functions.text import remove_common_prefix
 
 FORMATS = ["DIPL", "NORM", "NORMLINES", "COMP", "HTML", "ALTO", "WHITESPACE"]  # fixed values
@@ -141,15 +141,8 @@ def path_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str) -> list[Rule]:
-    """Replacement rules: old, new, every, by tabs; empty lines are skipped, any other count of fields is an error."""
-    out = []
-    for row in spark.read.text(path).collect():  # a file of some dozens of lines
-        if row["value"].strip():
-            parts = row["value"].split("\t")
-            if len(parts) != 3:
-                raise ValueError(f"a rule has three fields: {row['value']!r}")
-            out.append(Rule(parts[0], parts[1], int(parts[2])))
-    return out
+    """Replacement rules of a file of some dozens of lines (``parsed_rules``)."""
+    return parsed_rules("\n".join(r["value"] for r in spark.read.text(path).collect()))
 
 
 def parse_languages(spec: str) -> dict[str, str]:
@@ -206,6 +199,21 @@ def pair_gold(docs: DataFrame, gold: DataFrame, on: str = "doc_id") -> DataFrame
     return docs.join(gold, on, "left")
 
 
+def read_gold(spark: SparkSession, path: str, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Gold lines (doc_id, line_no, text) of the documents ``docs`` (doc_id, base_name): diplomatic from ``<base>.txt``, normalized from ``<base>_normalized.txt``.
+
+    ``base`` is the file name without its ending; files are looked for in ``path`` and below. Documents without a file have no rows; it is
+    an error if none has any.
+    """
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
+    files = files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("_name"), F.regexp_replace("value", r"\n$", "").alias("_text"))
+    base = docs.select("doc_id", F.regexp_replace(F.regexp_extract("base_name", r"([^/]*)$", 1), r"\.[^.]*$", "").alias("_base")).distinct()
+    made = [base.join(files, F.concat("_base", F.lit(end)) == F.col("_name")).select("doc_id", F.posexplode(F.split("_text", "\n", -1)).alias("line_no", "text")) for end in ("", "_normalized")]
+    if not any(df.limit(1).count() for df in made):
+        raise ValueError("no document has a gold transcription")
+    return made[0], made[1]
+
+
 def not_done(docs: DataFrame, done: DataFrame, on: str = "doc_id", fail_if_none: bool = False) -> DataFrame:
     """Documents without a transcription yet; optionally an error if none are left."""
     left = docs.join(done.select(on).distinct(), on, "left_anti")

@@ -9,10 +9,12 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from glyphspark.functions import charset as C
 from glyphspark.functions import readers as R
 from glyphspark.functions import text as X
 from glyphspark.operators import evaluate as E
-from glyphspark.operators import lm, ngrams, running
+from glyphspark.operators import lm, ngrams
+from glyphspark.operators.cascade import replace_in_order
 from glyphspark.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -154,37 +156,65 @@ def test_overlapping_rules(spark, lines, rule, want):
     assert [r["line"] for r in R.replace_some(frame, [R.Rule(*rule)]).orderBy("doc_id").collect()] == want
 
 
-def test_overlapping_rules_over_blocks(spark, monkeypatch):
-    monkeypatch.setattr(running, "BLOCK_ROWS", 40)
-    monkeypatch.setattr(running.block_of, "__defaults__", (40,))
-    monkeypatch.setattr(running.running_total, "__defaults__", (40,))
-    rng = random.Random(2)
-    texts = ["".join(rng.choice("xxy") for _ in range(rng.randrange(12))) for _ in range(600)]
-    ids = sorted(rng.sample(range(10**12), 600))
-    frame = spark.createDataFrame([(i, 0, "a" if k % 3 else None, t) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, line_no int, lang string, line string")
-    rules = [R.Rule("xx", "z", 3), R.Rule("y", "xx", 2), R.Rule("xxx", "q", 2)]
+def in_order(texts, rules):
+    """Every rule over each line in turn, symbol by symbol."""
+    counts, out = [0] * len(rules), []
+    for line in texts:
+        glyphs = C.split_chars(line)
+        for k, r in enumerate(rules):
+            old, new, done, at = C.split_chars(r.old), C.split_chars(r.new), [], 0
+            while at < len(glyphs):
+                hit = glyphs[at : at + len(old)] == old
+                if hit and counts[k] % r.every == r.every - 1:
+                    done += new
+                    at += len(old)
+                else:
+                    done.append(glyphs[at])
+                    at += 1
+                counts[k] += hit
+            glyphs = done
+        out.append("".join(C.unescape_char(g) for g in glyphs))
+    return out
+
+
+@pytest.mark.parametrize(("rules", "letters"), [
+    ([R.Rule("xx", "z", 3), R.Rule("y", "xx", 2), R.Rule("xxx", "q", 2)], "xxy"),
+    ([R.Rule("ab", "ba", 2), R.Rule("ba", "ab", 3), R.Rule("aa", "b", 2), R.Rule("b", "aa", 5), R.Rule("a", "ab", 1), R.Rule("bab", "", 4)], "ab"),
+    (R.parsed_rules(catalogue.SPANISH_RULES), ["que", "per", "ci", "ce", "x", "j", "an", "en", "in", "on", "un", " h", "be", "u", "v", "á", "è", "ae", "oracion", "ñ", " ", "q̃"]),
+])
+@pytest.mark.parametrize("blocks", [1, 7, 60])
+def test_rules_over_blocks(spark, rules, letters, blocks):
+    rng = random.Random(len(rules))
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(14))) for _ in range(600)]
+    ids = sorted(rng.sample(range(-(10**12), 10**12), 600))
+    rows = [(i, 0, "a" if k % 3 else None, t, k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    frame = spark.createDataFrame([*rows, (5, 1, "a", None, -1)], "doc_id long, line_no int, lang string, line string, extra int")
     want = {}
     for group in ("a", None):
-        own = [(i, t) for k, (i, t) in enumerate(zip(ids, texts, strict=True)) if ("a" if k % 3 else None) == group]
-        want |= dict(zip([i for i, _ in own], R.replace_some_in_order([t for _, t in own], rules), strict=True))
-    assert {r["doc_id"]: r["line"] for r in R.replace_some(frame.repartition(5), rules).collect()} == want
+        own = [(r[0], r[3]) for r in rows if r[2] == group]
+        plain = in_order([t for _, t in own], rules)
+        assert plain == R.replace_some_in_order([t for _, t in own], rules)
+        want |= dict(zip([i for i, _ in own], plain, strict=True))
+    got = replace_in_order(frame.repartition(5), rules, "lang", ("doc_id", "line_no"), "line", blocks).collect()
+    assert {r["doc_id"]: r["line"] for r in got if r["line_no"] == 0} == want
+    assert sorted(r["extra"] for r in got) == list(range(-1, 600)) and [r["line"] for r in got if r["line_no"]] == [None]
+
+
+def test_rules_are_one_exchange(spark):
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    frame = spark.createDataFrame([(1, 0, "a", "que u v")], "doc_id long, line_no int, lang string, line string")
+    out = StringIO()
+    with redirect_stdout(out):
+        R.replace_some(frame, R.parsed_rules(catalogue.SPANISH_RULES)).explain("simple")
+    assert out.getvalue().count("MapInArrow") == 1 and "Exchange" not in out.getvalue()  # what was laid out is read
+    assert R.replace_some(frame.where("false"), R.parsed_rules(catalogue.SPANISH_RULES)).collect() == []
+    for bad in ([R.Rule("", "x", 1)], [R.Rule("x", "y", 0)]):
+        with pytest.raises(ValueError):
+            R.replace_some(frame, bad)
     with pytest.raises(ValueError):
-        R.replace_some(frame, [R.Rule("", "x", 1)])
-
-
-def test_running_total_of_sparse_ids(spark, monkeypatch):
-    rng = random.Random(1)
-    data = [(rng.randrange(-(10**15), 10**15), k, rng.choice("ab"), rng.randrange(5)) for k in range(500)]
-    frame = spark.createDataFrame(data, "i long, k int, key string, v long")
-    want, sums = {}, Counter()
-    for i, k, key, v in sorted(data):
-        want[i, k] = sums[key]
-        sums[key] += v
-    for size in (20_000, 30):
-        got = running.running_total(frame, "key", ("i", "k"), "v", "sum", size)
-        assert {(r["i"], r["k"]): r["sum"] for r in got.collect()} == want
-        blocks = frame.withColumn("b", running.block_of(frame, "i", size)).groupBy("b").count().collect()
-        assert max(r["count"] for r in blocks) <= 3 * size and len(blocks) > (size < 100)
+        R.parsed_rules("a\tb\t1\nc d 2")
 
 
 def brute_backoff(lines, order, kind):
