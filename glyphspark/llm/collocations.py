@@ -5,8 +5,8 @@
    all tasks the same order of words, so every n-gram has one rarest word, its pivot.
 3. Each occurrence of a word is a pivot: the fragment around it, three words either way, is rewritten, ending at pieces' ends, at
    infrequent words and at words rarer than the pivot. Equal fragments of a block of texts become one with a weight, and go to
-   the task of their pivot, with two bytes for each of the most frequent words and eight for the others. Pivots that hold
-   more than a share of all words are split over many tasks.
+   the task of their pivot, with two bytes for each of the most frequent words and eight for the others. Pivots with more
+   occurrences than a task should hold are split over several.
 4. A task mines its fragments for n-grams around their pivots, which no other fragment counts, and emits those with the wanted
    count (of split pivots all, which are summed once more).
 5. Candidates get the counts of their parts by joins, and scores in exact decimals; a part that a longer candidate explains is dropped.
@@ -29,7 +29,9 @@ from glyphspark.llm._spark import bounded_batches, checkpointed, join_counted
 
 MIN_COUNT, MOST, TOP, PERCENT = 30, 4, 2000, 80
 #: Words of a block of texts, of a mining task (about), slots of the level table as a power of two at most, words with short codes.
-BLOCK_WORDS, TASK_WORDS, MAX_BITS, SHORT = 1_000_000, 1_500_000, 24, 65_535
+BLOCK_WORDS, TASK_WORDS, MAX_BITS, SHORT = 1_000_000, 500_000, 24, 65_535
+#: Occurrences of a pivot that one task mines; pivots with more are split.
+HOT_WORDS = 1_000_000
 SIDE = MOST - 1
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
@@ -145,14 +147,14 @@ def rewritten(key: np.ndarray, level: np.ndarray, joined: np.ndarray) -> tuple[n
 def mined(left: np.ndarray, right: np.ndarray, ids: np.ndarray, weight: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """N-grams (rows of MOST ids, 0: none), their counts and whether their pivot is split, of fragments given by their words' ids (from 1) in order."""
     place = np.arange(2 * SIDE + 1)
-    rows = np.zeros((left.size, place.size), np.int64)
+    rows = np.zeros((left.size, place.size), np.int32)
     rows[(place >= SIDE - left[:, None]) & (place <= SIDE + right[:, None])] = ids
     grams, counts, parted = [], [], []
     for a in range(SIDE + 1):
         for b in range(SIDE + 1 - a):
             if a + b:
                 has = np.flatnonzero((left >= a) & (right >= b))
-                gram = np.zeros((has.size, MOST), np.int64)
+                gram = np.zeros((has.size, MOST), np.int32)
                 gram[:, : a + b + 1] = rows[has, SIDE - a : SIDE + b + 1]
                 grams.append(gram)
                 counts.append(weight[has])
@@ -161,8 +163,9 @@ def mined(left: np.ndarray, right: np.ndarray, ids: np.ndarray, weight: np.ndarr
     if not count.size:
         return gram, count, parted
     # a pair of ids becomes one, and a pair of those one number: exact for any number of words
-    half = [np.unique(gram[:, k] << 32 | gram[:, k + 1], return_inverse=True)[1] for k in (0, 2)]
-    packed = half[0].astype(np.int64) << 32 | half[1]
+    packed = np.zeros(count.size, np.int64)
+    for k in (0, 2):
+        packed = packed << 32 | np.unique(gram[:, k].astype(np.int64) << 32 | gram[:, k + 1], return_inverse=True)[1]
     order = np.argsort(packed, kind="stable")
     cuts = np.flatnonzero(np.append(True, packed[order][1:] != packed[order][:-1]))
     return gram[order[cuts]], np.add.reduceat(count[order], cuts), parted[order[cuts]]
@@ -176,7 +179,8 @@ def ngram_counts(docs: DataFrame, words: DataFrame, min_count: int) -> DataFrame
     levels, bits = level_table(frequent, min_count)
     short = np.array(sorted(r[0] % (1 << 64) for r in frequent.orderBy(F.desc("n"), "key").limit(SHORT).select("key").collect()), _U)  # 64 k keys at most
     bins = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WORDS)))
-    hot = min(255, int(np.log2(max(1.0, total / bins / 4 / min_count)) * 8) + 1)  # pivots with over a quarter of a task's words
+    # a pivot with more words than a task should hold is split; levels tell counts up to a twelfth
+    shares = np.ceil(min_count * 2 ** (np.arange(256) / 8) / HOT_WORDS).astype(np.uint64)
     blob = short.tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +194,10 @@ def ngram_counts(docs: DataFrame, words: DataFrame, min_count: int) -> DataFrame
             rows, weight, keys = rewritten(key, level, joined)
             if not weight.size:
                 return None
-            parted = table[(keys >> _U(64 - bits)).astype(np.int64)] >= hot
-            salt = V.mix(np.array([task << 24 | turn], _U))[0]
-            to = (V.mix(np.where(parted, keys ^ salt, keys)) % _U(bins)).astype(np.int64)[rows[:, SIDE] - 1]
+            share = shares[table[(keys >> _U(64 - bits)).astype(np.int64)]]
+            parted = share > 1
+            salt = V.mix(np.array([task << 24 | turn], _U)) % share
+            to = (V.mix(keys + salt * _U(0x9E3779B97F4A7C15)) % _U(bins)).astype(np.int64)[rows[:, SIDE] - 1]
             order = np.argsort(to, kind="stable")
             rows, weight, to = rows[order], weight[order], to[order]
             there = rows > 0
@@ -224,10 +229,16 @@ def ngram_counts(docs: DataFrame, words: DataFrame, min_count: int) -> DataFrame
             yield out
 
     def mine(rows: pa.Table) -> pa.Table:
+        try:
+            return counted(rows)
+        finally:
+            V.release()
+
+    def counted(rows: pa.Table) -> pa.Table:
         top = np.frombuffer(blob, _U)
         shape, weight, code, far = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("shape", np.uint8), ("weight", np.int32), ("code", np.uint16), ("key", _U)))
         others, place = np.unique(far, return_inverse=True)
-        ids = code.astype(np.int64)
+        ids = code.astype(np.int32)
         ids[code == SHORT] = SHORT + place
         keys = np.concatenate([top, np.zeros(SHORT - top.size, _U), others])
         gram, count, parted = mined((shape & 3).astype(np.int64), (shape >> 2 & 3).astype(np.int64), ids + 1, weight.astype(np.int64), (shape >> 4 & 1).astype(bool))

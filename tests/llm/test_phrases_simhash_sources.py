@@ -58,7 +58,7 @@ def phrases_by_hand(rows, least, top, percent=80):
 @pytest.mark.parametrize(("least", "top", "blocks"), [(2, 2000, None), (3, 7, 50), (1, 40, 17)])
 def test_op11(rows, odd, monkeypatch, least, top, blocks):
     if blocks:  # blocks of a few texts, many tasks, nearly every pivot split, eight bytes for most words
-        for name, value in (("BLOCK_WORDS", blocks), ("TASK_WORDS", blocks), ("SHORT", 3)):
+        for name, value in (("BLOCK_WORDS", blocks), ("TASK_WORDS", blocks), ("HOT_WORDS", blocks), ("SHORT", 3)):
             monkeypatch.setattr(collocations, name, value)
     got = sorted(tuple(r) for r in collocations.collocations(odd, least, top).collect())
     assert got == phrases_by_hand(rows, least, top) and got
