@@ -1,8 +1,8 @@
 """Op 3: Jaccard self-join of word n-gram sets by prefix trees.
 
 1. Every text's shingle set is hashed and summarised; equal sets become one class, so copies are joined only once.
-2. Tokens of the classes are dealt by hash in packed blocks; a class stays a candidate if at least the threshold's
-   share of its tokens occurs in another class. A token that repeats within a block is told there, so a frequent
+2. Tokens of the classes, a half of them by hash (all of a small class), are dealt by hash in packed blocks; a class stays a candidate if
+   so many of them occur in another class that no more are missing than a partner may lack. A token that repeats within a block is told there, so a frequent
    token reaches the task of its hash once for each block. Texts aren't moved: the sets of candidates are made from a second scan.
 3. Candidates' tokens get their frequency; rarest first, the prefix that any partner must share a token of links
    classes into candidate groups (connected components).
@@ -30,6 +30,9 @@ from glyphspark.llm._spark import checkpointed, connected_components
 
 #: Similar: PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 75
+#: At this similarity and above half of the tokens are enough to find candidates; sets of up to SEND_ALL tokens send all of them, and those of up
+#: to JUDGE_ALL, whose partners all do, are judged by all.
+HALF_FROM, SEND_ALL, JUDGE_ALL = 70, 72, 48
 #: Tokens of one task after dealing (about), classes joined in one tree, bits of the candidates' bitmap as a power of two at most.
 TASK_TOKENS, MAX_GROUP, MAX_BITS = 2_000_000, 4000, 28
 
@@ -44,24 +47,35 @@ def class_sets(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.nd
         yield np.where(n > 0, V.mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)), np.uint64(0)).view(np.int64), value, at
 
 
-def summaries(docs: DataFrame, width: int = V.WORDS_PER_SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, cls) of every text; equal sets have equal cls."""
+def _sampled(tok: np.ndarray) -> np.ndarray:
+    """A half of all tokens, the same for every set."""
+    return (tok & np.uint64(1)) == 0
+
+
+def summaries(docs: DataFrame, width: int = V.WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, cls, judged) of every text; equal sets have equal cls. ``judged``: tokens that candidates are found by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = list(class_sets(b.column(1), width))
-            cls, n = (np.concatenate(x) if got else np.zeros(0, np.int64) for x in ([c for c, _, _ in got], [np.diff(a) for _, _, a in got]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n_shingles", "cls"])
+            kinds: list[list[np.ndarray]] = [[], [], []]
+            for cls, tok, at in class_sets(b.column(1), width):
+                n = np.diff(at)
+                half = np.diff(np.concatenate([[0], np.cumsum(_sampled(tok))])[at])
+                for kind, x in zip(kinds, (n, cls, np.where((n <= JUDGE_ALL) | (percent < HALF_FROM), n, half)), strict=True):
+                    kind.append(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.concatenate(x) if x else [], pa.int64()) for x in kinds]], ["doc_id", "n_shingles", "cls", "judged"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(V.releasing(run), "doc_id long, n_shingles long, cls long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(V.releasing(run), "doc_id long, n_shingles long, cls long, judged long")
 
 
-def _repeated(reps: DataFrame, buckets: int, width: int) -> DataFrame:
-    """(cls, repeated): how many tokens of a class another class has too (or rarely a few more)."""
+def _repeated(reps: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:
+    """(cls, repeated): how many tokens of a class, of those sent, another class has too (or rarely a few more)."""
 
     def pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for cls, tok, at in class_sets(batch.column(0), width):
-            yield np.repeat(cls, np.diff(at)), tok
+            n = np.diff(at)
+            sent = _sampled(tok) | np.repeat((n <= SEND_ALL) | (percent < HALF_FROM), n)
+            yield np.repeat(cls, n)[sent], tok[sent]
 
     return repeats(reps.select("text"), pairs, buckets).select(F.col("owner").alias("cls"), F.col("n").alias("repeated"))
 
@@ -234,15 +248,17 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = V.WOR
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = checkpointed(summaries(docs, width))
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    rows = checkpointed(summaries(docs, width, percent))
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.max("judged").alias("judged"), F.count(F.lit(1)).alias("copies"))
     classes = checkpointed(classes)
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = int(max(parts, -(-total // TASK_TOKENS)))
     known = docs.where("doc_id is not null")
-    repeated = _repeated(known, buckets, width)
-    near = checkpointed(classes.join(repeated, "cls").where(F.col("repeated") * 100 >= F.col("n") * percent).select("cls"))
+    repeated = _repeated(known, buckets, width, percent)
+    # a partner lacks so many of a set's tokens at most, whichever of them are judged
+    lacking = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    near = checkpointed(classes.join(repeated, "cls", "left").where(F.coalesce("repeated", F.lit(0)) >= F.col("judged") - lacking).select("cls"))
     sets = checkpointed(_sets(known, width, near))
     tokens = sets.select("cls", "n", F.explode("tok").alias("tok"))
     often = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
