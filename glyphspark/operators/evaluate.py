@@ -70,14 +70,19 @@ def edit_distance(guess: list[str], gold: list[str], f_for_s: bool = False) -> i
     return len(guess) + rise.bit_count() - fall.bit_count()
 
 
+#: Alignments of up to this many cells keep all columns (two bits a cell).
+KEEP_CELLS = 1 << 23
+
+
 def align(guess: list[str], gold: list[str], f_for_s: bool = False) -> list[tuple[str, str | None, str | None]]:
     """(op, guess, gold) of a cheapest alignment: = equal, S substituted, I and D: glyphs of one side only. Ties: equal, S, I, D.
 
-    It is traced from the end. Of all columns only each root-th is kept; those between two of them are made again when the
-    trace comes to them, so what is held grows with the line times the root of its length, in bits.
+    It is traced from the end; where glyphs are equal, that step is always a cheapest one. Of a long line's columns only each root-th is kept;
+    those between two of them are made again when the trace comes to them, so what is held grows with the line times the root
+    of its length, in bits.
     """
     every = (1 << len(gold)) - 1
-    step = max(1, isqrt(len(guess)))
+    step = 1 if len(guess) * len(gold) <= KEEP_CELLS else isqrt(len(guess))
     kept = [(every, 0)]
     for k, column in enumerate(_columns(guess, gold, f_for_s), 1):
         if k % step == 0:
@@ -85,7 +90,8 @@ def align(guess: list[str], gold: list[str], f_for_s: bool = False) -> list[tupl
 
     @lru_cache(2)
     def columns(block: int) -> list[tuple[int, int]]:
-        return [kept[block], *_columns(guess[block * step : (block + 1) * step - 1], gold, f_for_s, kept[block])]
+        between = guess[block * step : (block + 1) * step - 1]
+        return [kept[block], *(_columns(between, gold, f_for_s, kept[block]) if between else ())]
 
     def cost(i: int, j: int) -> int:
         rise, fall = columns(i // step)[i % step]
@@ -95,19 +101,17 @@ def align(guess: list[str], gold: list[str], f_for_s: bool = False) -> list[tupl
     i, j, out = len(guess), len(gold), []
     own = cost(i, j)
     while i or j:
-        if i and j:
-            before = cost(i - 1, j - 1)
-            same = allowed(guess[i - 1], gold[j - 1], f_for_s)
-            if own == before + (not same):
-                i, j, own = i - 1, j - 1, before
-                out.append(("=" if same else "S", guess[i], gold[j]))
-                continue
-        if j and own == (left := cost(i, j - 1)) + 1:
-            j, own = j - 1, left
+        if i and j and (guess[i - 1] == gold[j - 1] or (f_for_s and allowed(guess[i - 1], gold[j - 1], True))):
+            i, j = i - 1, j - 1
+            out.append(("=", guess[i], gold[j]))
+        elif i and j and own == cost(i - 1, j - 1) + 1:
+            i, j, own = i - 1, j - 1, own - 1
+            out.append(("S", guess[i], gold[j]))
+        elif j and own == cost(i, j - 1) + 1:
+            j, own = j - 1, own - 1
             out.append(("I", None, gold[j]))
         else:
-            i -= 1
-            own -= 1
+            i, own = i - 1, own - 1
             out.append(("D", guess[i], None))
     return out[::-1]
 

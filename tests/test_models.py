@@ -83,6 +83,27 @@ def test_edit_distance():
     assert E.edit_distance(["f"], ["s"], True) == 0 and E.edit_distance(["s"], ["f"], True) == 1
 
 
+def test_alignment_in_small_memory(monkeypatch):
+    rng = random.Random(1)
+    pairs = [([rng.choice("fsab") for _ in range(rng.randrange(60))], [rng.choice("fsab") for _ in range(rng.randrange(60))]) for _ in range(150)]
+    kept = [E.align(a, b, allow) for a, b in pairs for allow in (False, True)]
+    monkeypatch.setattr(E, "KEEP_CELLS", 0)  # columns are made again, block by block
+    assert [E.align(a, b, allow) for a, b in pairs for allow in (False, True)] == kept
+
+
+def test_plain_glyphs_need_no_parsing():
+    for text in ("", "añb é", "a\\'e", "e\u0301a", "x\\\\y", "日本"):
+        parsed = [base + "".join(marks) for base, marks in E.parse(text, strict=False)]
+        assert E.glyphs(text) == parsed
+
+
+def test_long_lines_are_walked(spark):
+    rng = random.Random(2)
+    rows = [(k, "".join(rng.choice("abc") for _ in range(n)), "".join(rng.choice("abcf") for _ in range(m))) for k, (n, m) in enumerate([(0, 0), (3, 5), (300, 290), (700, 5), (200, 400)])]
+    got = {r["k"]: r["cost"] for r in E.char_costs(spark.createDataFrame(rows, "k long, guess string, gold string"), ["k"]).collect()}
+    assert got == {k: _distance(list(a), list(b), False) for k, a, b in rows}
+
+
 def test_scores(spark):
     pairs = spark.createDataFrame([(1, "fun, sun", "sun sun"), (2, "", ""), (3, None, "a")], "k long, guess string, gold string")
     got = {(r["k"], r["metric"]): (r["cost"], r["gold_len"], r["score"]) for r in E.scores(pairs, ["k"]).collect()}
