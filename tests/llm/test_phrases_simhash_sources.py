@@ -258,3 +258,23 @@ def test_word_hash_tells_long_words_apart():
     words = [w for t in texts for w in t.split()]
     assert len(words) == value.size and len(set(words)) == len(set(value.tolist()))
     assert len({(w, v) for w, v in zip(words, value.tolist(), strict=True)}) == len(set(words))
+
+
+@pytest.mark.parametrize("percent", [75, 80, 60])
+def test_half_of_the_tokens_finds_all_candidates(spark, percent):
+    """Sets around the sizes at which half of the tokens are sent or judged, at and just below the threshold."""
+    rng = random.Random(percent)
+    docs, k = [], 0
+    for n in (1, 2, 5, 30, 45, 48, 49, 60, 64, 65, 72, 73, 80, 110, 300):
+        for _ in range(4):
+            base = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+            docs.append((k, base))
+            cut = rng.randrange(0, max(1, n // 3))
+            docs.append((k + 1, base[: n + 4 - cut] + [f"x{rng.randrange(10**9)}" for _ in range(rng.randrange(0, max(1, n // 4)))]))
+            k += 2
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) or frozenset([tuple(w)]) for i, w in docs}
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    want = {i: i - 1 if i % 2 and linked(i - 1, i) else i for i in sets}
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(frame, percent).collect()}
+    assert got == want and 10 < sum(i != c for i, c in want.items()) < len(docs) // 2
