@@ -226,12 +226,13 @@ def log_of(p: Column) -> Column:
     return F.when(p > 0, F.log(p)).otherwise(F.lit(float("-inf")))
 
 
-def perplexity(lines: DataFrame, prob: DataFrame, order: int, by: tuple[str, ...] = ("doc_id",), types: int | None = None) -> DataFrame:
+def perplexity(lines: DataFrame, prob: DataFrame, order: int, by: tuple[str, ...] = ("doc_id",), types: int | None = None, power: float = 1.0) -> DataFrame:
     """(doc_id, n_chars, perplexity): the characters of lines, each after the ``order`` - 1 before it in its line.
 
     ``prob`` must have every n-gram of the lines (``backed_off``); one that is missing has the probability ``UNSEEN``, and one of
     probability 0 (its history was only ever at an end) makes the perplexity infinite. With ``types``,
-    the counted rows of a small ``prob``, it goes to the characters; else a document's n-grams are counted and joined by a shuffle.
+    the counted rows of a small ``prob``, it goes to the characters; else a document's n-grams are counted and joined by a shuffle. All
+    probabilities are raised to ``power``, as models raise theirs, and aren't scaled to 1 again.
     """
     prob = prob.select("lang", "g", "p")
     if types is not None and types <= BROADCAST_TYPES:
@@ -239,7 +240,7 @@ def perplexity(lines: DataFrame, prob: DataFrame, order: int, by: tuple[str, ...
     else:
         seen = N.contexts(lines, order, (*by, "lang")).withColumnRenamed("t", "k")
     logs = seen.join(prob, ["lang", "g"], "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
-    return logs.groupBy(*by).agg(F.sum("k").alias("n_chars"), F.exp(-F.sum(F.col("k") * log_of(F.col("p"))) / F.sum("k")).alias("perplexity"))
+    return logs.groupBy(*by).agg(F.sum("k").alias("n_chars"), F.exp(-F.sum(F.col("k") * log_of(F.col("p")) * power) / F.sum("k")).alias("perplexity"))
 
 
 def runs_of(parts: DataFrame, key: str, order: str) -> DataFrame:
@@ -261,15 +262,15 @@ def run_contexts(runs: DataFrame, orders: int | dict[str, int], key: str) -> Dat
     return seen.withColumnRenamed("t", "k")
 
 
-def run_perplexity(runs: DataFrame, prob: DataFrame, prior: DataFrame, move: DataFrame, orders: int | dict[str, int], key: str = "doc_id") -> DataFrame:
+def run_perplexity(runs: DataFrame, prob: DataFrame, prior: DataFrame, move: DataFrame, orders: int | dict[str, int], key: str = "doc_id", power: float = 1.0) -> DataFrame:
     """(key, n_chars, perplexity) of texts that change language: ``runs`` (key, run, lang, text; neighbours differ in language).
 
     Every character has the probability of its language's model after its context; the first one also that of its
     language, and one after a space that of staying or of the change (``move``). Languages can't change inside a word;
-    texts where they do have a null perplexity.
+    texts where they do have a null perplexity. Probabilities of characters are raised to ``power``, those of languages are not.
     """
     logs = run_contexts(runs, orders, key).join(prob.select("lang", "g", "p"), ["lang", "g"], "left")
-    logs = logs.groupBy(key).agg(F.sum("k").alias("n_chars"), F.sum(F.col("k") * log_of(F.coalesce("p", F.lit(UNSEEN)))).alias("_c"))
+    logs = logs.groupBy(key).agg(F.sum("k").alias("n_chars"), F.sum(F.col("k") * log_of(F.coalesce("p", F.lit(UNSEEN))) * power).alias("_c"))
     w = Window.partitionBy(key).orderBy("run")
     inner = F.expr("substring(text, 1, length(text) - 1)")
     turns = runs.select(key, "run", "lang", F.lag("lang").over(w).alias("_from"), F.lag(F.right("text", F.lit(1))).over(w).alias("_end"), (F.length(inner) - F.length(F.replace(inner, F.lit(" "), F.lit("")))).alias("_stays"))

@@ -1,5 +1,6 @@
 """Stores of language models, versions of all models, restarts, runs of one output, counts of streams."""
 
+import math
 import pickle
 import random
 from contextlib import redirect_stdout
@@ -212,3 +213,22 @@ def test_streamed_counts(spark, tmp_path):
         got = incremental.counts_so_far(spark, str(tmp_path / "out"))
         assert sorted(map(tuple, got.select("lang", "g", "n", "t").collect())) == sorted(map(tuple, whole.select("lang", "g", "n", "t").collect()))
     assert sorted(p.name for p in (tmp_path / "out" / "whole").iterdir()) == ["2", "5"] and not (tmp_path / "out" / "changed" / "0").exists()
+
+
+def test_perplexity_of_powered_models(spark):
+    """Powers belong to the characters' probabilities: logarithms of these are multiplied, those of languages stay."""
+    tok = versions.checkpointed(counts(spark, 2))
+    prior = spark.createDataFrame([("la", 0.6), ("es", 0.4)], "lang string, prior double")
+    runs = spark.createDataFrame([(1, 1, "la", "ab "), (1, 2, "es", "ca")], "doc_id long, run int, lang string, text string")
+    prob = versions.checkpointed(lm.backed_off(lm.run_contexts(runs, 2, "doc_id"), tok, 2))
+    move = lm.transitions(prior, 0.8)
+    one, four = (lm.run_perplexity(runs, prob, prior, move, 2, power=p).first()["perplexity"] for p in (1.0, 4.0))
+    logs = {(r["lang"], r["g"]): math.log(r["p"]) for r in prob.collect()}
+    chars = sum(logs[x] for x in (("la", "a"), ("la", "ab"), ("la", "b "), ("es", "c"), ("es", "ca")))
+    change = {(r[0], r[1]): r[2] for r in move.collect()}["la", "es"]
+    for p, got in ((1.0, one), (4.0, four)):
+        assert math.isclose(got, math.exp(-(p * chars + math.log(0.6) + math.log(change)) / 5))
+    lines = spark.createDataFrame([(1, "la", 0, "ab ca")], "doc_id long, lang string, line_no int, line string")
+    own = lm.backed_off(ngrams.contexts(lines, 2, ("lang",)), tok, 2)
+    plain, raised = (lm.perplexity(lines, own, 2, power=p).first()["perplexity"] for p in (1.0, 4.0))
+    assert math.isclose(raised, plain**4)
