@@ -80,6 +80,50 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.length(text).cast("long").alias("n_chars")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
+#: Groups whose sketches a task keeps before it passes them on.
+HELD_GROUPS = 20_000
+
+
+def merged(sketched: DataFrame, by: str, k: int = K) -> DataFrame:
+    """(by, parts, fingerprint, n_distinct): the sketch of the union of each group's ``fingerprint`` rows, and its distinct shingles.
+
+    Parts of a text, or the texts of a source, give the sketch that the whole would have. Each task merges what it has of a group
+    first, so a group reaches the task that ends it as a sketch or a few from each task, however many rows it has. Nulls of ``by``
+    are a group; null fingerprints count as parts without shingles; an empty table gives an empty one.
+    """
+    kinds = [(by, sketched.schema[by].dataType.simpleString()), ("parts", "long"), ("fingerprint", "string")]
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in kinds)
+
+    def together(keys: list, parts: list, prints: list, held: dict) -> None:
+        for key, n, text in zip(keys, parts, prints, strict=True):
+            own = of_text(text or "")
+            before = held.get(key)
+            held[key] = (before[0] + n, merge(before[1], own, k)) if before else (n, own[:k])
+
+    def table(held: dict, like: pa.DataType, of: type) -> pa.RecordBatch | pa.Table:
+        return of.from_arrays([pa.array(list(held), like), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([text_of(x) for _, x in held.values()], pa.string())], [name for name, _ in kinds])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        like = None
+        for b in batches:
+            like = b.column(0).type
+            together(b.column(0).to_pylist(), [1] * b.num_rows, b.column(1).to_pylist(), held)
+            if len(held) >= HELD_GROUPS:
+                yield table(held, like, pa.RecordBatch)
+                held.clear()
+        if held:
+            yield table(held, like, pa.RecordBatch)
+
+    def whole(rows: pa.Table) -> pa.Table:
+        held: dict = {}
+        together(rows[by].to_pylist(), rows["parts"].to_pylist(), rows["fingerprint"].to_pylist(), held)
+        out = table(held, rows[by].type, pa.Table)
+        return out.append_column("n_distinct", pa.array([distinct(x, k) for _, x in held.values()], pa.float64()))
+
+    return sketched.select(by, "fingerprint").mapInArrow(partial, schema).groupBy(by).applyInArrow(whole, f"{schema}, n_distinct double")
+
+
 def with_edited_neighbour(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 

@@ -278,3 +278,24 @@ def test_half_of_the_tokens_finds_all_candidates(spark, percent):
     frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(frame, percent).collect()}
     assert got == want and 10 < sum(i != c for i, c in want.items()) < len(docs) // 2
+
+
+def test_sketches_of_parts_merge(spark, monkeypatch):
+    """The union of parts' sketches is the sketch of all their shingles, in any grouping; estimates are exact below k."""
+    monkeypatch.setattr(fingerprints, "HELD_GROUPS", 2)
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 3, 30, 400]))), rng.choice(["s1", "s2", None])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    prints = fingerprints.fingerprints(docs).join(docs.select("doc_id", "source"), "doc_id")
+    got = {r["source"]: r for r in fingerprints.merged(prints, "source").collect()}
+    one = {r["doc_id"]: r["fingerprint"] for r in prints.collect()}
+    for source in ("s1", "s2", None):
+        own = [k for k, _, s in rows if s == source]
+        every = np.zeros(0, np.uint64)
+        for k in own:
+            every = np.union1d(every, fingerprints.of_text(one[k]))
+        assert got[source]["parts"] == len(own) and got[source]["fingerprint"] == fingerprints.text_of(every[: fingerprints.K])
+    shingles = {k: len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) if (w := t.split()) else 0 for k, t, _ in rows}
+    small = {r["doc_id"]: r["n_distinct"] for r in fingerprints.merged(prints, "doc_id").collect()}
+    assert all(small[k] == n for k, n in shingles.items() if n < fingerprints.K) and len(small) == len(rows)
+    assert fingerprints.merged(prints.where("false"), "source").collect() == []
