@@ -1,7 +1,7 @@
 """Text readers: stages that turn a line into the line that a model sees. Column to Column, in a fixed order.
 
 Basic, banned characters, optional character set, optional diacritic removal, optional long s, then replacement rules. All but
-the rules are expressions inside one projection; rules count their matches across lines, by a running total.
+the rules are expressions inside one projection; rules count their matches across lines (``operators.cascade``).
 """
 
 from __future__ import annotations

@@ -7,10 +7,9 @@ from contextlib import redirect_stdout
 from io import StringIO
 
 import pytest
-from pyspark.sql import functions as F
 
 from glyphspark import programs
-from glyphspark.operators import lm, lm_store, ngrams, training, transcript, versions
+from glyphspark.operators import lm, ngrams, training, versions
 from glyphspark.sources import corpus
 from glyphspark.streaming import incremental
 from test_programs import OPTIONS, line_rows, place  # noqa: F401
