@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphspark.functions.charset import DECOMPOSED, is_combining, normalize_space, parse, remove_punctuation
+from glyphspark.operators.shared import dealt
 
 # Names of the eight metrics (two end in two spaces).
 METRICS = ["CER, keep punc, allow f->s", "CER, keep punc  ", "CER, remove punc, allow f->s", "CER, remove punc", "WER, keep punc, allow f->s", "WER, keep punc  ", "WER, remove punc, allow f->s", "WER, remove punc"]
@@ -130,12 +131,6 @@ def prepared(text: Column, punctuation: bool = True) -> Column:
     return normalize_space(text) if punctuation else remove_punctuation(text)
 
 
-def _spread(pairs: DataFrame, key: list[str]) -> DataFrame:
-    """Rows dealt over all cores: aligning a line costs far more than moving it, and a small file is one partition."""
-    spark = pairs.sparkSession
-    return pairs.repartition(max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
-
-
 def costs(guess: list[str], gold: list[str]) -> tuple[int, int]:
     """Edit distances with and without f for s; they are walked once where no f can stand for an s."""
     plain = edit_distance(guess, gold)
@@ -149,7 +144,7 @@ def scores(pairs: DataFrame, key: list[str]) -> DataFrame:
     Score is cost by gold length, null for an empty gold text (CER); an empty text is one empty word (WER). All metrics of a pair are
     taken at once: glyphs are cut once, and what leaves a text as it was isn't compared again.
     """
-    texts = _spread(pairs, key).select(*key, *[prepared(F.coalesce(c, F.lit("")), keep).alias(f"{c}_{keep}") for c in ("guess", "gold") for keep in (True, False)])
+    texts = dealt(pairs, *key).select(*key, *[prepared(F.coalesce(c, F.lit("")), keep).alias(f"{c}_{keep}") for c in ("guess", "gold") for keep in (True, False)])
 
     @F.pandas_udf("array<struct<cost:long,gold_len:long>>")
     def measured(guess: pd.Series, gold: pd.Series, bare_guess: pd.Series, bare_gold: pd.Series) -> pd.Series:
@@ -180,7 +175,7 @@ def char_costs(pairs: DataFrame, key: list[str], f_for_s: bool = False) -> DataF
     With ``f_for_s`` texts are folded, which is exact where no guess has an s.
     """
     fold = (lambda c: F.translate(c, "f", "s")) if f_for_s else (lambda c: c)
-    texts = _spread(pairs, key).select(*key, fold(prepared(F.col("guess"))).alias("_g"), fold(prepared(F.col("gold"))).alias("_h"))
+    texts = dealt(pairs, *key).select(*key, fold(prepared(F.col("guess"))).alias("_g"), fold(prepared(F.col("gold"))).alias("_h"))
     long = F.length("_g").cast("long") * F.length("_h") > LONG_CELLS
 
     @F.pandas_udf("long")
@@ -204,7 +199,7 @@ def alignment(pairs: DataFrame, key: list[str], words: bool = False, f_for_s: bo
         cut = _cut(words)
         return pd.Series([[dict(zip(("op", "guess", "gold"), s, strict=True)) for s in align(cut(a), cut(b), f_for_s)] for a, b in zip(guess, gold, strict=True)])
 
-    return _spread(pairs, key).select(*key, F.posexplode(steps(prepared(F.col("guess")), prepared(F.col("gold")))).alias("idx", "_s")).select(*key, "idx", "_s.*")
+    return dealt(pairs, *key).select(*key, F.posexplode(steps(prepared(F.col("guess")), prepared(F.col("gold")))).alias("idx", "_s")).select(*key, "idx", "_s.*")
 
 
 def confusions(steps: DataFrame, key: list[str]) -> DataFrame:
@@ -245,7 +240,7 @@ def ops_text(pairs: DataFrame, key: list[str], words: bool = False, f_for_s: boo
         cut = _cut(words)
         return pd.Series(["".join(s[0] for s in align(cut(a), cut(b), f_for_s)) for a, b in zip(guess, gold, strict=True)])
 
-    return _spread(pairs, key).select(*key, steps(prepared(F.col("guess")), prepared(F.col("gold"))).alias("ops")).where("ops <> ''")
+    return dealt(pairs, *key).select(*key, steps(prepared(F.col("guess")), prepared(F.col("gold"))).alias("ops")).where("ops <> ''")
 
 
 def _cut(words: bool):

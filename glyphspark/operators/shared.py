@@ -28,3 +28,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut: written to the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt over all cores by key: the work on a row costs far more than moving it, and a small file is one partition."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)

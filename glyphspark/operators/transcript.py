@@ -1,6 +1,6 @@
-"""From decoded states to transcriptions: aggregates and windows over the ``decode`` table.
+"""From decoded states to transcriptions: array functions over lines, aggregates and windows over documents.
 
-decode(doc_id, line_no, pos, type, lang, lm_char, glyph, glyph_type, char_w, pad_w)
+decode(doc_id, line_no, pos, type, lang, lm_char, glyph, glyph_type, char_w, pad_w), or its lines as ``packed`` gives them.
 """
 
 from __future__ import annotations
@@ -10,132 +10,201 @@ from pyspark.sql import functions as F
 
 from glyphspark.functions import charset
 from glyphspark.functions.charset import xml_escape
+from glyphspark.operators.shared import dealt
 
 ELIDED = ["TILDE_ELIDED", "FIRST_ELIDED", "ELIDED"]
 HYPHEN_MARGINS = ["RMRGN_HPHN_INIT", "RMRGN_HPHN", "LMRGN_HPHN"]
 COLORS = ["Black", "Red", "Blue", "Olive", "Orange", "Magenta", "Lime", "Cyan", "Purple", "Green", "Brown"]  # fixed values
 
 
-def _line():
-    return Window.partitionBy("doc_id", "line_no").orderBy("pos")
-
-
-
 def in_order(out: Column, *order: str) -> Column:
     """Aggregate: strings joined in order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, out.alias("_out")))), lambda s: s["_out"]), "")
 
 
+def packed(decode: DataFrame) -> DataFrame:
+    """(doc_id, line_no, states): a row a line with its states in order, so that lines are never taken apart over the network.
+
+    Lines that are packed stay as they are; states are gathered in one exchange.
+    """
+    if "states" in decode.columns:
+        return decode
+    fields = [c for c in decode.columns if c not in ("doc_id", "line_no", "pos")]
+    return decode.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("states"))
+
+
+def once(column: Column, name: str) -> Column:
+    """``column`` as a row of its own: filters and projections after it don't compute it again."""
+    return F.inline(F.array(F.struct(column.alias(name))))
+
+
+def _joined(states: Column, out) -> Column:
+    return F.array_join(F.transform(states, out), "")
+
+
+def _shown(s: Column) -> Column:
+    return ~s["glyph_type"].isin(ELIDED)
+
+
+def _diplomatic(shown: Column) -> Column:
+    """Text of a line's states without elided ones."""
+    kept = F.filter(shown, lambda s, i: (s["glyph"] != "-") | ~F.coalesce(F.get(shown, i - 1)["glyph"] == "-", F.lit(False)))
+    return _joined(kept, lambda s: s["glyph"])
+
+
 def diplomatic_lines(decode: DataFrame) -> DataFrame:
     """(doc_id, line_no, text): glyphs as shown; elided ones show nothing, and a second hyphen in a row is dropped."""
-    shown = decode.where(~F.col("glyph_type").isin(ELIDED)).withColumn("_before", F.lag("glyph").over(_line()))
-    kept = shown.where(~((F.col("glyph") == "-") & F.col("_before").eqNullSafe("-")))
-    return kept.groupBy("doc_id", "line_no").agg(in_order(F.col("glyph"), "pos").alias("text"))
+    lines = packed(decode).select("doc_id", "line_no", once(F.filter("states", _shown), "_shown"))
+    return lines.where(F.size("_shown") > 0).select("doc_id", "line_no", _diplomatic(F.col("_shown")).alias("text"))
+
+
+def _single(s: Column) -> Column:
+    return s["glyph_type"] != "DOUBLED"
 
 
 def normalized_lines(decode: DataFrame) -> DataFrame:
     """(doc_id, line_no, text): characters of the language; the first of a doubled pair is left out."""
-    return decode.where("glyph_type <> 'DOUBLED'").groupBy("doc_id", "line_no").agg(in_order(F.col("lm_char"), "pos").alias("text"))
+    lines = packed(decode).where(F.exists("states", _single))
+    return lines.select("doc_id", "line_no", _joined(F.filter("states", _single), lambda s: s["lm_char"]).alias("text"))
+
+
+def _runs_on(s: Column) -> Column:
+    return ~s["type"].isin(HYPHEN_MARGINS) & _single(s)
+
+
+def _running_line(states: Column) -> Column:
+    return _joined(F.filter(states, _runs_on), lambda s: F.when(s["type"].isin("LMRGN", "RMRGN"), F.lit(" ")).otherwise(s["lm_char"]))
+
+
+def _running(line: str) -> Column:
+    """Aggregate: lines of a document as one text."""
+    return F.trim(F.regexp_replace(in_order(F.col(line), "line_no"), " +", " "))
 
 
 def normalized_running(decode: DataFrame) -> DataFrame:
     """(doc_id, text): one running text a document: margins are spaces, hyphenated line ends join, spaces collapse."""
-    kept = decode.where(~F.col("type").isin(HYPHEN_MARGINS) & (F.col("glyph_type") != "DOUBLED"))
-    char = F.when(F.col("type").isin("LMRGN", "RMRGN"), F.lit(" ")).otherwise(F.col("lm_char"))
-    lines = kept.groupBy("doc_id", "line_no").agg(in_order(char, "pos").alias("_line"))  # lines first: documents gather lines, not characters
-    return lines.groupBy("doc_id").agg(F.trim(F.regexp_replace(in_order(F.col("_line"), "line_no"), " +", " ")).alias("text"))
+    lines = packed(decode).where(F.exists("states", _runs_on))
+    return lines.select("doc_id", "line_no", _running_line(F.col("states")).alias("_line")).groupBy("doc_id").agg(_running("_line").alias("text"))
 
 
-def language_runs(decode: DataFrame) -> DataFrame:
-    """(doc_id, run, lang, text): stretches of a document in one language; states without one don't break a stretch."""
-    order = Window.partitionBy("doc_id").orderBy("line_no", "pos")
-    own = decode.where("type = 'TMPL' and lang is not null and glyph_type <> 'DOUBLED'").withColumn("_new", F.when(F.lag("lang").over(order).eqNullSafe(F.col("lang")), 0).otherwise(1))
-    runs = own.withColumn("run", F.sum("_new").over(order))
-    return runs.groupBy("doc_id", "run").agg(F.first("lang").alias("lang"), in_order(F.col("lm_char"), "line_no", "pos").alias("text"))
+def _cut(df: DataFrame, items: Column, new) -> DataFrame:
+    """``df`` with ``_parts``: the array ``items`` cut before every item for which ``new`` (item, the one before; null for the first) holds."""
+    xs, at = F.col("_xs"), F.col("_at")
+    starts = F.filter(F.sequence(F.lit(1), F.size(xs)), lambda i: (i == 1) | new(F.get(xs, i - 1), F.get(xs, i - 2)))
+    df = df.select(*df.columns, once(items, "_xs"))
+    df = df.select("*", once(F.when(F.size(xs) > 0, starts).otherwise(F.array().cast("array<int>")), "_at"))
+    return df.withColumn("_parts", F.transform(at, lambda i, k: F.slice(xs, i, F.coalesce(F.get(at, k + 1), F.size(xs) + 1) - i)))
 
 
-def spans(decode: DataFrame) -> DataFrame:
-    """States with is_space and ``span``: words and stretches of space of a line; a punctuation mark starts a span."""
-    space = (F.col("lm_char") == " ") & (F.col("glyph") == " ")
-    punct = (F.col("lm_char") != "-") & F.col("lm_char").rlike(r"^[^\s\p{IsAlphabetic}\p{Nd}]+$")
-    states = decode.withColumn("is_space", space).withColumn("_punct", punct)
-    new = F.lag("is_space").over(_line()).isNull() | (F.lag("is_space").over(_line()) != F.col("is_space")) | F.col("_punct")
-    return states.withColumn("_new", new.cast("int")).withColumn("span", F.sum("_new").over(_line())).drop("_new", "_punct")
+def language_runs(decode: DataFrame) -> DataFrame:
+    """(doc_id, run, lang, text): stretches of a document in one language; states without one don't break a stretch."""
+    other = lambda s, before: ~s["lang"].eqNullSafe(before["lang"])
+    run = lambda part: F.struct(F.get(part, 0)["lang"].alias("lang"), F.array_join(part["text"], "").alias("text"))
+    own = F.filter("states", lambda s: (s["type"] == "TMPL") & s["lang"].isNotNull() & _single(s))
+    own = F.transform(own, lambda s: F.struct(s["lang"].alias("lang"), s["lm_char"].alias("text")))
+    lines = _cut(packed(decode), own, other).select("doc_id", "line_no", once(F.transform("_parts", run), "_runs")).where(F.size("_runs") > 0)
+    docs = lines.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "_runs"))), lambda x: x["_runs"])).alias("_runs"))
+    docs = _cut(docs, F.col("_runs"), other).select("doc_id", F.posexplode(F.transform("_parts", run)).alias("run", "_r"))
+    return docs.select("doc_id", (F.col("run") + 1).cast("long").alias("run"), "_r.lang", "_r.text")
+
+
+def _line_spans(decode: DataFrame) -> DataFrame:
+    """(doc_id, line_no, _spans): words and stretches of space of a line, in order; a punctuation mark starts a span."""
+    space = lambda s: (s["lm_char"] == " ") & (s["glyph"] == " ")
+    punct = lambda s: ~s["lm_char"].isin("-", " ", *charset.LETTERS) & s["lm_char"].rlike(r"^[^\s\p{IsAlphabetic}\p{Nd}]+$")
+    dipl = lambda s: F.when(s["glyph_type"].isin(ELIDED), F.lit("")).otherwise(s["glyph"])
+    norm = lambda s: F.when(s["glyph_type"] == "DOUBLED", "").when(s["type"] == "RMRGN_HPHN_INIT", "-").when(s["type"].isin("RMRGN_HPHN", "LMRGN_HPHN"), "").when(s["type"].isin("LMRGN", "RMRGN"), " ").otherwise(s["lm_char"])
+    state = lambda s: F.struct(space(s).alias("space"), punct(s).alias("punct"), s["lang"].alias("lang"), (s["char_w"] + s["pad_w"]).cast("long").alias("w"), dipl(s).alias("d"), norm(s).alias("n"))
+    lines = _cut(packed(decode), F.transform("states", state), lambda s, before: (s["space"] != before["space"]) | s["punct"])
+    joined = lambda part, name: F.trim(F.array_join(part[name], ""))
+    width = lambda part: F.aggregate(part["w"], F.lit(0).cast("long"), lambda a, x: a + x)
+    span = lambda part: F.struct(F.get(part, 0)["space"].alias("is_space"), F.coalesce(F.get(part, 0)["lang"], F.lit("None")).alias("lang"), width(part).alias("width"), joined(part, "d").alias("diplomatic"), joined(part, "n").alias("normalized"))
+    return lines.select("doc_id", "line_no", once(F.transform("_parts", span), "_spans"))
 
 
 def word_spans(decode: DataFrame) -> DataFrame:
     """(doc_id, line_no, span, is_space, lang, width, diplomatic, normalized) of every word and stretch of space."""
-    dipl = F.when(F.col("glyph_type").isin(ELIDED), F.lit("")).otherwise(F.col("glyph"))
-    norm = F.when(F.col("glyph_type") == "DOUBLED", "").when(F.col("type") == "RMRGN_HPHN_INIT", "-").when(F.col("type").isin("RMRGN_HPHN", "LMRGN_HPHN"), "").when(F.col("type").isin("LMRGN", "RMRGN"), " ").otherwise(F.col("lm_char"))
-    agg = spans(decode).groupBy("doc_id", "line_no", "span").agg(
-        F.first("is_space").alias("is_space"),
-        F.min(F.struct("pos", "lang")).alias("_first"),
-        F.sum(F.col("char_w") + F.col("pad_w")).cast("long").alias("width"),
-        F.array_sort(F.collect_list(F.struct("pos", dipl.alias("d"), norm.alias("n")))).alias("_s"),
-    )
-    joined = lambda name: F.trim(F.array_join(F.transform("_s", lambda x: x[name]), ""))
-    return agg.select("doc_id", "line_no", "span", "is_space", F.coalesce("_first.lang", F.lit("None")).alias("lang"), "width", joined("d").alias("diplomatic"), joined("n").alias("normalized"))
+    rows = _line_spans(decode).select("doc_id", "line_no", F.posexplode("_spans").alias("span", "_x"))
+    return rows.select("doc_id", "line_no", (F.col("span") + 1).cast("long").alias("span"), "_x.*")
+
+
+def _line_items(decode: DataFrame, normalized: bool) -> DataFrame:
+    """(doc_id, line_no, _items): arrays (span, word_index, xml) of a line; words are numbered through a document."""
+    own, other, purpose = ("normalized", "diplomatic", "Diplomatic") if normalized else ("diplomatic", "normalized", "Normalization")
+    word = lambda x: ~x["is_space"] & (x["diplomatic"] != "")
+    item = lambda x, k: F.struct(x["span"].alias("span"), k.alias("k"), x["width"].alias("width"), x["lang"].alias("lang"), x[own].alias("own"), x[other].alias("other"))
+    numbered = F.transform("_spans", lambda x, i: F.struct((i + 1).cast("long").alias("span"), word(x).alias("word"), x["is_space"].alias("is_space"), x["width"].alias("width"), x["lang"].alias("lang"), x["diplomatic"].alias("diplomatic"), x["normalized"].alias("normalized")))
+    rows = _line_spans(decode).select("doc_id", "line_no", once(numbered, "_x"))
+    rows = rows.select("doc_id", "line_no", "_x", once(F.transform(F.filter("_x", lambda x: x["word"]), item), "_words")).where(F.size("_words") > 0)
+    space = F.filter("_x", lambda x: x["is_space"] & (x["span"] > F.get("_words", 0)["span"]) & (x["width"] > 0))
+    rows = rows.withColumn("_x", F.array_sort(F.concat("_words", F.transform(space, lambda x: item(x, F.lit(None).cast("int")))))).withColumn("_n", F.size("_words"))
+    before = F.sum("_n").over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", F.coalesce(before, F.lit(0).cast("long")))
+    number = lambda x: F.col("_before") + x["k"]
+    head = lambda x, n: F.concat(F.lit('<String ID="word_'), n.cast("string"), F.lit('" WIDTH="'), x["width"].cast("string"), F.lit('" CONTENT="'), xml_escape(x["own"]), F.lit('" LANG="'), x["lang"], F.lit('"'))
+    more = lambda x: F.concat(F.lit(f'><ALTERNATIVE PURPOSE="{purpose}">'), xml_escape(x["other"]), F.lit("</ALTERNATIVE></String>"))
+    text = lambda x, n: F.when(x["k"].isNotNull(), F.concat(head(x, n), F.when(x["own"] != x["other"], more(x)).otherwise(F.lit("/>")))).otherwise(F.concat(F.lit('<SP WIDTH="'), x["width"].cast("string"), F.lit('"/>')))
+    return rows.select("doc_id", "line_no", F.transform("_x", lambda x: F.struct(x["span"].alias("span"), number(x).alias("word_index"), text(x, number(x)).alias("xml"))).alias("_items"))
 
 
 def alto_items(decode: DataFrame, normalized: bool = False) -> DataFrame:
     """(doc_id, line_no, span, word_index, xml): ALTO elements of words and of the spaces between them."""
-    rows = word_spans(decode)
-    own, other, purpose = ("normalized", "diplomatic", "Diplomatic") if normalized else ("diplomatic", "normalized", "Normalization")
-    word = ~F.col("is_space") & (F.col("diplomatic") != "")
-    before = F.max(word.cast("int")).over(Window.partitionBy("doc_id", "line_no").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_word", word).withColumn("_before", F.coalesce(before, F.lit(0)))
-    rows = rows.where(F.col("_word") | (F.col("is_space") & (F.col("_before") == 1) & (F.col("width") > 0)))
-    number = F.sum(F.col("_word").cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no", "span").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("word_index", F.when(F.col("_word"), F.coalesce(number, F.lit(0))))
-    head = F.concat(F.lit('<String ID="word_'), F.col("word_index").cast("string"), F.lit('" WIDTH="'), F.col("width").cast("string"), F.lit('" CONTENT="'), xml_escape(F.col(own)), F.lit('" LANG="'), F.col("lang"), F.lit('"'))
-    more = F.concat(F.lit(f'><ALTERNATIVE PURPOSE="{purpose}">'), xml_escape(F.col(other)), F.lit("</ALTERNATIVE></String>"))
-    text = F.when(F.col("_word"), F.concat(head, F.when(F.col(own) != F.col(other), more).otherwise(F.lit("/>")))).otherwise(F.concat(F.lit('<SP WIDTH="'), F.col("width").cast("string"), F.lit('"/>')))
-    return rows.select("doc_id", "line_no", "span", "word_index", text.alias("xml"))
+    return _line_items(decode, normalized).select("doc_id", "line_no", F.explode("_items").alias("_i")).select("doc_id", "line_no", "_i.*")
 
 
 def alto_pages(decode: DataFrame, normalized: bool = False) -> DataFrame:
     """(doc_id, xml): the ALTO document of every page."""
-    lines = alto_items(decode, normalized).groupBy("doc_id", "line_no").agg(in_order(F.col("xml"), "span").alias("xml"))
+    lines = _line_items(decode, normalized).select("doc_id", "line_no", F.array_join("_items.xml", "").alias("xml"))
     line = F.concat(F.lit('<TextLine ID="line_'), (F.col("line_no") + 1).cast("string"), F.lit('">'), F.col("xml"), F.lit("</TextLine>\n"))
     pages = lines.withColumn("xml", line).groupBy("doc_id").agg(in_order(F.col("xml"), "line_no").alias("_body"))
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<alto xmlns="http://www.loc.gov/standards/alto/ns-v3#"><Description><MeasurementUnit>pixel</MeasurementUnit></Description><Layout><Page ID="'
     return pages.select("doc_id", F.concat(F.lit(head), F.col("doc_id").cast("string"), F.lit('"><PrintSpace><TextBlock ID="par_1">\n'), F.col("_body"), F.lit("</TextBlock></PrintSpace></Page></Layout></alto>\n")).alias("xml"))
 
 
-def substitution() -> Column:
+def substitution(s: Column) -> Column:
     """A state as it is read: the glyph, or ``[character/glyph]`` where they differ; doubled ones as 2x, elided ones as nothing."""
-    dipl = F.when(F.col("glyph_type") == "DOUBLED", F.concat(F.lit("2x"), F.col("glyph"))).when(F.col("glyph_type").isin(ELIDED), F.lit("")).otherwise(F.col("glyph"))
-    plain = (F.col("lm_char") == F.col("glyph")) & (F.col("glyph_type") == "NORMAL_CHAR")
-    return F.when(plain, F.col("glyph")).otherwise(F.concat(F.lit("["), F.col("lm_char"), F.lit("/"), dipl, F.lit("]")))
+    dipl = F.when(s["glyph_type"] == "DOUBLED", F.concat(F.lit("2x"), s["glyph"])).when(s["glyph_type"].isin(ELIDED), F.lit("")).otherwise(s["glyph"])
+    plain = (s["lm_char"] == s["glyph"]) & (s["glyph_type"] == "NORMAL_CHAR")
+    return F.when(plain, s["glyph"]).otherwise(F.concat(F.lit("["), s["lm_char"], F.lit("/"), dipl, F.lit("]")))
 
 
 def substitution_lines(decode: DataFrame) -> DataFrame:
-    return decode.groupBy("doc_id", "line_no").agg(in_order(substitution(), "pos").alias("text"))
+    return packed(decode).select("doc_id", "line_no", _joined(F.col("states"), substitution).alias("text"))
 
 
 def html_lines(decode: DataFrame, languages: list[str]) -> DataFrame:
     """(doc_id, line_no, html): lines with a colour change wherever the language changes, across lines too."""
-    color = F.lit(COLORS[0])
-    for k, lang in enumerate(languages):
-        color = F.when(F.col("lang") == lang, F.lit(COLORS[(k + 1) % len(COLORS)])).otherwise(color)
-    before = F.lag(F.coalesce("lang", F.lit(""))).over(Window.partitionBy("doc_id").orderBy("line_no", "pos"))
-    turn = F.when(F.coalesce(before, F.lit("")) != F.coalesce("lang", F.lit("")), F.concat(F.lit('<font color="'), color, F.lit('">'))).otherwise(F.lit(""))
-    return decode.withColumn("_html", F.concat(turn, substitution())).groupBy("doc_id", "line_no").agg(F.concat(in_order(F.col("_html"), "pos"), F.lit("</br>")).alias("html"))
+
+    def turn(before: Column, lang: Column) -> Column:
+        color = F.lit(COLORS[0])
+        for k, name in enumerate(languages):
+            color = F.when(lang == name, F.lit(COLORS[(k + 1) % len(COLORS)])).otherwise(color)
+        return F.when(~before.eqNullSafe(lang), F.concat(F.lit('<font color="'), color, F.lit('">'))).otherwise(F.lit(""))
+
+    # what stands before a line is the last language of the line before; the line itself goes as one text
+    lang = lambda s: F.coalesce(s["lang"], F.lit(""))
+    inner = F.transform("states", lambda s, i: F.concat(F.when(i == 0, F.lit("")).otherwise(turn(lang(F.get("states", i - 1)), lang(s))), substitution(s)))
+    lines = packed(decode).select("doc_id", "line_no", F.array_join(inner, "").alias("_text"), lang(F.get("states", 0)).alias("_first"), lang(F.element_at("states", -1)).alias("_last"))
+    before = F.coalesce(F.lag("_last").over(Window.partitionBy("doc_id").orderBy("line_no")), F.lit(""))
+    lines = lines.withColumn("_before", before)
+    return lines.select("doc_id", "line_no", F.concat(turn(F.col("_before"), F.col("_first")), F.col("_text"), F.lit("</br>")).alias("html"))
 
 
 def whitespace_layout(decode: DataFrame) -> DataFrame:
     """(doc_id, line_no, text): glyphs with the widths of space and padding between them in braces."""
-    solid = F.col("glyph") != " "
-    before = F.coalesce(F.sum(solid.cast("int")).over(_line().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    run = decode.withColumn("_run", before).withColumn("_solid", solid)
-    # space before a glyph: padding of the glyph before it, and all space states in between
-    gap = run.groupBy("doc_id", "line_no", "_run").agg(F.sum(F.when(~F.col("_solid"), F.col("char_w") + F.col("pad_w")).otherwise(0)).alias("_space"), F.max(F.when(F.col("_solid"), F.col("glyph"))).alias("_glyph"), F.max(F.when(F.col("_solid"), F.col("pad_w"))).alias("_pad"))
-    w = Window.partitionBy("doc_id", "line_no").orderBy("_run")
-    width = F.col("_space") + F.coalesce(F.lag("_pad").over(w), F.lit(0))
-    last = F.lead("_run").over(w).isNull() & F.col("_glyph").isNotNull() & (F.col("_pad") > 0)
+    lines = packed(decode)
+    solid = F.filter(F.sequence(F.lit(1), F.size("states")), lambda i: F.get("states", i - 1)["glyph"] != " ")
+    lines = lines.select("doc_id", "line_no", "states", once(F.when(F.size("states") > 0, solid).otherwise(F.array().cast("array<int>")), "_at"))
+    # space before a glyph (or the end): padding of the glyph before it, and all space states in between
+    spaces = lambda i, j: F.aggregate(F.slice("states", i + 1, j - i - 1), F.lit(0), lambda a, s: a + s["char_w"] + s["pad_w"])
+    pad = lambda i: F.when(i > 0, F.get("states", i - 1)["pad_w"]).otherwise(F.lit(0))
+    before = lambda k: F.coalesce(F.get("_at", k - 1), F.lit(0))
+    width = lambda i, j: F.when(j - i > 1, spaces(i, j) + pad(i)).otherwise(pad(i))
+    ends = F.concat("_at", F.array(F.size("states") + 1))
+    lines = lines.select("doc_id", "line_no", "states", "_at", once(F.transform(ends, lambda j, k: width(before(k), j)), "_w"))
     piece = lambda x: F.when(x > 0, F.concat(F.lit("{"), x.cast("string"), F.lit("}"))).otherwise(F.lit(""))
-    out = gap.withColumn("_piece", F.concat(piece(width), F.coalesce("_glyph", F.lit("")), F.when(last, piece(F.col("_pad"))).otherwise(F.lit(""))))
-    return out.groupBy("doc_id", "line_no").agg(in_order(F.col("_piece"), "_run").alias("text"))
+    out = F.transform("_w", lambda x, k: F.concat(piece(x), F.coalesce(F.get("states", F.get("_at", k) - 1)["glyph"], F.lit(""))))
+    return lines.select("doc_id", "line_no", F.array_join(out, "").alias("text"))
 
 
 def pair_lines(model: DataFrame, gold: DataFrame) -> DataFrame:
@@ -162,16 +231,35 @@ def comparison(model: DataFrame, gold: DataFrame | None = None, normalized: Data
             own = df.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.lit(side).alias("side"), F.trim("text").alias("text"))
             rows = own if rows is None else rows.unionByName(own)
     sides = [s for s, df in frames.items() if df is not None]
-    by_line = rows.groupBy("doc_id", "line_no").agg(*[F.max(F.when(F.col("side") == s, F.col("text"))).alias(s) for s in sides])
+    by_line = dealt(rows, "doc_id").groupBy("doc_id", "line_no").agg(*[F.max(F.when(F.col("side") == s, F.col("text"))).alias(s) for s in sides])
+    return _reported(by_line.withColumn("_line", F.lit(None).cast("string")), sides, running, gold_running, evaluations)
+
+
+def decoded_comparison(decode: DataFrame, gold: DataFrame) -> DataFrame:
+    """``comparison`` of a decode table's own sides and running text with gold lines; its lines are read once for all sides."""
+    lines = packed(decode).select("doc_id", "line_no", "states", once(F.filter("states", _shown), "_shown"))
+    own = {"MN": F.when(F.exists("states", _single), _joined(F.filter("states", _single), lambda s: s["lm_char"])), "MD": F.when(F.size("_shown") > 0, _diplomatic(F.col("_shown"))), "GD": F.lit(None).cast("string"), "MS": _joined(F.col("states"), substitution)}
+    line_no, none = F.col("line_no").cast("long").alias("line_no"), F.lit(None).cast("string")
+    rows = lines.select("doc_id", line_no, *[F.trim(c).alias(s) for s, c in own.items()], F.when(F.exists("states", _runs_on), _running_line(F.col("states"))).alias("_line"))
+    rows = rows.union(gold.select("doc_id", line_no, *[F.trim("text") if s == "GD" else none for s in own], none))
+    by_line = dealt(rows, "doc_id").groupBy("doc_id", "line_no").agg(*[F.max(c).alias(c) for c in (*own, "_line")])
+    return _reported(by_line, list(own))
+
+
+def _reported(by_line: DataFrame, sides: list[str], running: DataFrame | None = None, gold_running: DataFrame | None = None, evaluations: DataFrame | None = None) -> DataFrame:
+    """Reports from lines (doc_id, line_no, a column a side, _line: what the line adds to the running text, if that isn't given)."""
     w = Window.partitionBy("doc_id")
     by_line = by_line.withColumns({f"_{s}": F.max(F.col(s).isNotNull()).over(w) for s in sides})
     shown = lambda s, x: F.when(F.col(f"_{s}"), x).otherwise(F.lit(""))
     block = F.concat(*[shown(s, F.concat(F.lit(f"{s}: "), F.coalesce(s, F.lit("")), F.lit("\n"))) for s in sides], F.lit("\n"))
     head = F.concat(*[shown(s, F.lit(f"{s}: {SIDES[s]}\n")) for s in sides], F.lit("\n\n"))
-    out = by_line.withColumns({"_block": block, "_head": head}).groupBy("doc_id").agg(F.first("_head").alias("_head"), in_order(F.col("_block"), "line_no").alias("_body"))
+    out = by_line.withColumns({"_block": block, "_head": head}).groupBy("doc_id").agg(F.first("_head").alias("_head"), in_order(F.col("_block"), "line_no").alias("_body"), F.when(F.max(F.col("_line").isNotNull()), _running("_line")).alias("_running"))
     none = F.lit(None).cast("string")
     for name, df in (("_running", running), ("_gold", gold_running)):
-        out = out.join(df.select("doc_id", F.col("text").alias(name)), "doc_id", "left") if df is not None else out.withColumn(name, none)
+        if df is not None:
+            out = out.drop(name).join(df.select("doc_id", F.col("text").alias(name)), "doc_id", "left")
+        elif name not in out.columns:
+            out = out.withColumn(name, none)
     both = F.col("_running").isNotNull() & F.col("_gold").isNotNull()
     title = F.when(both, "Model (top) vs. Gold (bottom) normalized transcriptions\n").when(F.col("_running").isNotNull(), "Model normalized transcription\n").when(F.col("_gold").isNotNull(), "Gold normalized transcription\n").otherwise("")
     line = lambda c: F.coalesce(F.concat(c, F.lit("\n")), F.lit(""))
@@ -183,22 +271,30 @@ def comparison(model: DataFrame, gold: DataFrame | None = None, normalized: Data
     return out.select("doc_id", F.concat(*report).alias("report"))
 
 
-def decode_fixture(lines: DataFrame) -> DataFrame:
-    """A decode table from lines of text, by fixed rules, for tests and queries where no pages were decoded."""
-    c, p = F.col("c"), F.col("pos")
-    letters, vowels = F.col("c").isin(list(charset.LETTERS)), F.col("c").isin(list(charset.VOWELS))
-    kind = F.when(vowels & (p % 11 == 0), "ELISION_TILDE").when(letters & (p % 13 == 0), "FIRST_ELIDED").when(letters & (p % 17 == 0), "DOUBLED").otherwise("NORMAL_CHAR")
-    glyph = F.when((c == "s") & (p % 7 == 0), "ſ").otherwise(c)
-    lang = F.when(F.floor(p / 50) % 3 == 1, F.lit("la")).otherwise(F.col("lang"))
-    body = lines.select("doc_id", "line_no", "lang", F.posexplode(F.split("line", "")).alias("k", "c")).withColumn("pos", F.col("k") + 1)
-    body = body.select("doc_id", "line_no", "pos", F.lit("TMPL").alias("type"), lang.alias("lang"), c.alias("lm_char"), glyph.alias("glyph"), kind.alias("glyph_type"), (F.ascii(c) % 7 + 3).cast("int").alias("char_w"), (p % 3).cast("int").alias("pad_w"))
-
-    def margin(where: str, pos: Column, kind: str, char: str, glyph: Column, lang: Column) -> DataFrame:
-        return lines.where(where).select("doc_id", "line_no", pos.alias("pos"), F.lit(kind).alias("type"), lang.alias("lang"), F.lit(char).alias("lm_char"), glyph.alias("glyph"), F.lit("NORMAL_CHAR").alias("glyph_type"), F.lit(5).alias("char_w"), F.lit(1).alias("pad_w"))
+def _fixture_state(pos: Column, c: Column, own: Column) -> Column:
+    letters, vowels = c.isin(list(charset.LETTERS)), c.isin(list(charset.VOWELS))
+    kind = F.when((pos % 11 == 0) & vowels, "ELISION_TILDE").when((pos % 13 == 0) & letters, "FIRST_ELIDED").when((pos % 17 == 0) & letters, "DOUBLED").otherwise("NORMAL_CHAR")
+    glyph = F.when((pos % 7 == 0) & (c == "s"), "ſ").otherwise(c)
+    lang = F.when((pos % 150 >= 50) & (pos % 150 < 100), F.lit("la")).otherwise(own)
+    return F.struct(pos.alias("pos"), F.lit("TMPL").alias("type"), lang.alias("lang"), c.alias("lm_char"), glyph.alias("glyph"), kind.alias("glyph_type"), (F.ascii(c) % 7 + 3).cast("int").alias("char_w"), (pos % 3).cast("int").alias("pad_w"))
+
+
+def packed_fixture(lines: DataFrame) -> DataFrame:
+    """A packed decode table from lines of text, by fixed rules, for tests and queries where no pages were decoded."""
+
+    def margin(where: str, pos: Column, kind: str, char: str, glyph: Column, lang: Column) -> Column:
+        state = F.struct(pos.alias("pos"), F.lit(kind).alias("type"), lang.alias("lang"), F.lit(char).alias("lm_char"), glyph.alias("glyph"), F.lit("NORMAL_CHAR").alias("glyph_type"), F.lit(5).alias("char_w"), F.lit(1).alias("pad_w"))
+        return F.filter(F.array(state), lambda _: F.expr(where))
 
     none, space = F.lit(None).cast("string"), F.lit(" ")
     end = F.length("line") + 1
     left = margin("line_no % 2 = 0", F.lit(0), "LMRGN", " ", space, none)
     right = margin("line_no % 3 = 0", end, "RMRGN", " ", space, none)
     hyphen = margin("line_no % 3 = 1", end, "RMRGN_HPHN_INIT", "-", F.when(F.col("line_no") % 2 == 0, "-").otherwise(" "), F.col("lang"))
-    return body.union(left).union(right).union(hyphen)
+    body = F.transform(F.split("line", ""), lambda c, k: _fixture_state(k + 1, c, F.col("lang")))
+    return lines.select("doc_id", "line_no", once(F.concat(left, body, right, hyphen), "states"))
+
+
+def decode_fixture(lines: DataFrame) -> DataFrame:
+    """The same, a row a state."""
+    return packed_fixture(lines).select("doc_id", "line_no", F.inline("states"))
