@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphspark.operators import ngrams as N
 from glyphspark.operators.lm_store import StoredStats, stored
+from glyphspark.operators.shared import checkpointed
 
 #: Discount of Kneser-Ney and absolute discounting, probability of what was never seen, usual power.
 DISCOUNT, UNSEEN, LM_POWER = 0.75, 4.5399929762484854e-05, 4.0
@@ -179,7 +180,7 @@ def backed_off(wanted: DataFrame, tok: DataFrame, order: int, kind: str = "knese
     """
     if kind not in ("mle", "absolute", "kneser_ney"):
         raise ValueError(f"unknown model: {kind!r}")
-    wanted = wanted.select("lang", "g").distinct()
+    wanted = checkpointed(wanted.select("lang", "g").distinct())  # read three times below
     rows = _statistics(tok)
     length = F.length("g")
     before = F.expr("substring(g, 1, length(g) - 1)")
@@ -231,12 +232,12 @@ def perplexity(lines: DataFrame, prob: DataFrame, order: int, by: tuple[str, ...
 
     ``prob`` must have every n-gram of the lines (``backed_off``); one that is missing has the probability ``UNSEEN``, and one of
     probability 0 (its history was only ever at an end) makes the perplexity infinite. With ``types``,
-    the counted rows of a small ``prob``, it goes to the characters; else a document's n-grams are counted and joined by a shuffle. All
+    the counted rows of a small ``prob``, it goes to the n-grams where they are counted; else a document's n-grams are counted and joined by a shuffle. All
     probabilities are raised to ``power``, as models raise theirs, and aren't scaled to 1 again.
     """
     prob = prob.select("lang", "g", "p")
     if types is not None and types <= BROADCAST_TYPES:
-        seen, prob = N.grams(lines, order, (*by, "lang")).withColumn("k", F.lit(1).cast("long")), F.broadcast(prob)
+        seen, prob = N.counted_in_parts(lines, order, (*by, "lang")).withColumnRenamed("t", "k"), F.broadcast(prob)
     else:
         seen = N.contexts(lines, order, (*by, "lang")).withColumnRenamed("t", "k")
     logs = seen.join(prob, ["lang", "g"], "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
@@ -262,14 +263,18 @@ def run_contexts(runs: DataFrame, orders: int | dict[str, int], key: str) -> Dat
     return seen.withColumnRenamed("t", "k")
 
 
-def run_perplexity(runs: DataFrame, prob: DataFrame, prior: DataFrame, move: DataFrame, orders: int | dict[str, int], key: str = "doc_id", power: float = 1.0) -> DataFrame:
+def run_perplexity(runs: DataFrame, prob: DataFrame, prior: DataFrame, move: DataFrame, orders: int | dict[str, int], key: str = "doc_id", power: float = 1.0, types: int | None = None) -> DataFrame:
     """(key, n_chars, perplexity) of texts that change language: ``runs`` (key, run, lang, text; neighbours differ in language).
 
     Every character has the probability of its language's model after its context; the first one also that of its
     language, and one after a space that of staying or of the change (``move``). Languages can't change inside a word;
     texts where they do have a null perplexity. Probabilities of characters are raised to ``power``, those of languages are not.
+    With ``types``, the counted rows of a small ``prob``, it goes to the n-grams where they are counted.
     """
-    logs = run_contexts(runs, orders, key).join(prob.select("lang", "g", "p"), ["lang", "g"], "left")
+    small = types is not None and types <= BROADCAST_TYPES and isinstance(orders, int)
+    seen = N.counted_in_parts(runs.select(key, "lang", F.col("text").alias("line")), orders, (key, "lang")).withColumnRenamed("t", "k") if small else run_contexts(runs, orders, key)
+    prob = F.broadcast(prob.select("lang", "g", "p")) if small else prob
+    logs = seen.join(prob.select("lang", "g", "p"), ["lang", "g"], "left")
     logs = logs.groupBy(key).agg(F.sum("k").alias("n_chars"), F.sum(F.col("k") * log_of(F.coalesce("p", F.lit(UNSEEN))) * power).alias("_c"))
     w = Window.partitionBy(key).orderBy("run")
     inner = F.expr("substring(text, 1, length(text) - 1)")
@@ -285,11 +290,13 @@ def run_perplexity(runs: DataFrame, prob: DataFrame, prior: DataFrame, move: Dat
 
 def cross_perplexity(lines: DataFrame, tok: DataFrame, order: int, by: str = "doc_id") -> DataFrame:
     """(doc_id, model, n_chars, perplexity): lines under the model of every language of ``tok``, mostly not their own."""
-    seen = N.contexts(lines.select(by, "line"), order, (by,)).withColumnRenamed("t", "k")
     models = tok.select("lang").distinct()
-    prob = backed_off(seen.select("g").distinct().crossJoin(F.broadcast(models)), tok, order)  # a row a language
+    wanted = N.contexts(lines, order, ()).select("g").crossJoin(F.broadcast(models))  # a row a language
+    prob = checkpointed(backed_off(wanted, tok, order))
+    small = prob.count() <= BROADCAST_TYPES
+    seen = (N.counted_in_parts if small else N.contexts)(lines, order, (by,)).withColumnRenamed("t", "k")
     logs = prob.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("lang", log_of(F.col("p")).alias("p")))).alias("m"))
-    sums = seen.join(logs, "g").select(by, "k", F.explode("m").alias("model", "p")).groupBy(by, "model")
+    sums = seen.join(F.broadcast(logs) if small else logs, "g").select(by, "k", F.explode("m").alias("model", "p")).groupBy(by, "model")
     return sums.agg(F.sum("k").alias("n_chars"), F.exp(-F.sum(F.col("k") * F.col("p")) / F.sum("k")).alias("perplexity"))
 
 

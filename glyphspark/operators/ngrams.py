@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Characters that are counted at once, some 100 bytes of memory each.
+CHUNK = 1 << 20
 
 
 def lines_of(docs: DataFrame, most: int = 0) -> DataFrame:
@@ -26,9 +35,52 @@ def grams(lines: DataFrame, order: int, keys: tuple[str, ...]) -> DataFrame:
     return df.select(*keys, F.explode(ends).alias("g"))
 
 
+def _counted(lines: list[str], order: int) -> tuple[list[str], np.ndarray]:
+    """Distinct ``grams`` of lines, and how often each is there."""
+    text = "".join(lines)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+    starts = np.cumsum([0, *map(len, lines[:-1])])
+    place = np.arange(codes.size) - np.repeat(starts, [len(x) for x in lines])
+    keys = codes
+    for n in range(1, order):  # three characters fit a key; before each one more, keys are numbered anew
+        if n > 2:
+            keys = np.unique(keys, return_inverse=True)[1].reshape(-1) + 1
+        before = np.zeros_like(codes)
+        before[n:] = np.where(place[n:] >= n, codes[:-n], 0)
+        keys = keys | before << (21 * n if n < 3 else 42)
+    _, first, counts = np.unique(keys, return_index=True, return_counts=True)
+    size = np.minimum(place[first] + 1, order)
+    return [text[i + 1 - k : i + 1] for i, k in zip(first.tolist(), size.tolist(), strict=True)], counts
+
+
+def counted_in_parts(lines: DataFrame, order: int, keys: tuple[str, ...]) -> DataFrame:
+    """(*keys, g, t): how often each of the ``grams`` is there, in parts that stand for themselves: an n-gram may have several rows."""
+    rows = lines.select(*keys, "line")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("g", T.StringType()), T.StructField("t", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = list(zip(*[batch.column(k).to_pylist() for k in range(len(keys))], strict=True)) if keys else [()] * batch.num_rows
+            groups: dict[tuple, list[str]] = {}
+            at = 0
+            for k, (key, line) in enumerate(zip(own, batch.column(len(keys)).to_pylist(), strict=True), 1):
+                if line:
+                    groups.setdefault(key, []).append(line)
+                    at += len(line)
+                if groups and (at >= CHUNK or k == batch.num_rows):
+                    found = [(key, *_counted(x, order)) for key, x in groups.items()]
+                    sizes = [len(g) for _, g, _ in found]
+                    columns = [pa.array([key[i] for key, _, _ in found], arrow.field(i).type).take(np.repeat(np.arange(len(found)), sizes)) for i in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([x for _, g, _ in found for x in g], arrow.field("g").type), pa.array(np.concatenate([t for _, _, t in found]), pa.int64())], schema=arrow)
+                    groups, at = {}, 0
+
+    return rows.mapInArrow(run, schema)
+
+
 def contexts(lines: DataFrame, order: int, keys: tuple[str, ...]) -> DataFrame:
     """(*keys, g, t): how often each of the ``grams`` is there."""
-    return grams(lines, order, keys).groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("t"))
+    return counted_in_parts(lines, order, keys).groupBy(*keys, "g").agg(F.sum("t").alias("t"))
 
 
 def token_counts(lines: DataFrame, order: int = 3, keys: tuple[str, ...] = ("lang",)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from glyphspark.operators import transcript
+from glyphspark.operators import ngrams, transcript
 from glyphspark.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -23,3 +23,15 @@ def test_packed_lines_and_rows_are_alike(spark):
     assert whole.count() == lines.count() and rows.count() > 80
     for f in (transcript.diplomatic_lines, transcript.normalized_lines, transcript.normalized_running, transcript.language_runs, transcript.word_spans, transcript.alto_items, transcript.alto_pages, transcript.substitution_lines, transcript.whitespace_layout, lambda d: transcript.html_lines(d, ["de", "fr"])):
         assert sorted(f(rows).collect()) == sorted(f(whole).collect())
+
+
+def test_ngrams_are_counted_before_they_move(spark, monkeypatch):
+    """Equal to a row a character; a task hands over its distinct n-grams, by chunks."""
+    monkeypatch.setattr(ngrams, "CHUNK", 300)
+    rows = [(k % 2, "fr" if k % 3 else None, x) for k, x in enumerate(["abab" * 50, "é\U0001f600a\x00b", "", None, "\x00\x00a", "abc", "a b c d e f g"])]
+    lines = spark.createDataFrame(rows, "doc_id long, lang string, line string").coalesce(1)
+    for order in (1, 2, 3, 4, 6):
+        for keys in ((), ("lang",), ("doc_id", "lang")):
+            want = ngrams.grams(lines.where("line <> ''"), order, keys).groupBy(*keys, "g").count().collect()
+            assert sorted(map(tuple, ngrams.contexts(lines, order, keys).collect()), key=repr) == sorted(map(tuple, want), key=repr)
+    assert ngrams.counted_in_parts(lines, 3, ("lang",)).count() < 60
