@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from glyphspark.operators.shared import checkpointed
 
 #: Combining marks: one that follows a match makes its last letter another glyph.
 _MARK = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
+_MARKS = np.array([c for c in range(0x10000) if _MARK.match(chr(c))], np.uint32)
 
 
 @dataclass(frozen=True)
@@ -60,40 +62,73 @@ def walk(text: str, rule: Rule, count: int) -> tuple[str, int]:
     return "".join(out) + text[at:], count
 
 
-def applied(text: str, rule: Rule, count: int) -> tuple[str, int]:
-    """``walk`` by the string methods, where these do the same."""
-    if rule.old not in text:
-        return text, count
-    if _MARK.search(text) or (rule.every > 1 and overlaps_itself(rule.old)):
-        return walk(text, rule, count)
-    if rule.every == 1:
-        return text.replace(rule.old, rule.new), count + text.count(rule.old)
-    pieces = text.split(rule.old)
-    first = rule.every - 1 - count % rule.every
-    out = [rule.old.join(pieces[: first + 1])]
-    for k in range(first + 1, len(pieces), rule.every):
-        out += [rule.new, rule.old.join(pieces[k : k + rule.every])]
-    return "".join(out), count + len(pieces) - 1
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _text(codes: np.ndarray) -> str:
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def applied(codes: np.ndarray, rule: Rule, count: int) -> tuple[np.ndarray, int]:
+    """``walk`` over code points, all matches at once; of a pattern that overlaps itself one by one."""
+    if overlaps_itself(rule.old):
+        text, count = walk(_text(codes), rule, count)
+        return _codes(text), count
+    old, new = _codes(rule.old), _codes(rule.new)
+    at = np.flatnonzero(codes[: max(codes.size - old.size + 1, 0)] == old[0])
+    for k in range(1, old.size):
+        at = at[codes[at + k] == old[k]]
+    if at.size:
+        after = codes[np.minimum(at + old.size, codes.size - 1)]
+        if (after >= 0x300).any():  # a mark may follow
+            at = at[~((at + old.size < codes.size) & np.isin(after, _MARKS))]
+    hits = at[rule.every - 1 - count % rule.every :: rule.every]
+    if hits.size:
+        codes = codes.copy()
+        for k in range(min(old.size, new.size)):
+            codes[hits + k] = new[k]
+        if new.size < old.size:
+            keep = np.ones(codes.size, bool)
+            for k in range(new.size, old.size):
+                keep[hits + k] = False
+            codes = codes[keep]
+        elif new.size > old.size:
+            codes = np.insert(codes, np.repeat(hits + old.size, new.size - old.size), np.tile(new[old.size :], hits.size))
+    return codes, count + at.size
+
+
+#: Characters that all rules are applied to before the next ones.
+CHUNK = 1 << 16
 
 
 def _joined(lines: list[str], rules: list[Rule]) -> Iterator[tuple[str | None, str]]:
-    """All lines as one text with a separator that neither lines nor rules have; each alone where none is found."""
-    used = "".join(lines) + "".join(r.old + r.new for r in rules)
-    sep = next((s for s in "\n\x1e\x00" if s not in used), None)
-    if sep:
-        yield sep, sep.join(lines)
-    else:
-        yield from ((None, x) for x in lines)
+    """Lines, some at a time, as one text with a separator that neither lines nor rules have; each alone where none is found."""
+    names = "".join(r.old + r.new for r in rules)
+    at = size = 0
+    for k, line in enumerate(lines, 1):
+        size += len(line)
+        if size < CHUNK and k < len(lines):
+            continue
+        own, at, size = lines[at:k], k, 0
+        used = "".join(own) + names
+        sep = next((s for s in "\n\x1e\x00" if s not in used), None)
+        if sep:
+            yield sep, sep.join(own)
+        else:
+            yield from ((None, x) for x in own)
 
 
 def cascade(lines: list[str], rules: list[Rule], counts: list[int], on_rule=None) -> list[str]:
-    """All rules over lines, in order; ``counts`` goes on. ``on_rule`` (index, text) sees each rule's text before it is applied."""
+    """All rules over lines, in order; ``counts`` goes on. ``on_rule`` (index, text) sees the text before a rule that overlaps itself is applied."""
     out = []
     for sep, text in _joined(lines, rules) if lines else ():
+        codes = _codes(text)
         for k, rule in enumerate(rules):
-            if on_rule:
-                on_rule(k, text)
-            text, counts[k] = applied(text, rule, counts[k])
+            if on_rule and overlaps_itself(rule.old):
+                on_rule(k, _text(codes))
+            codes, counts[k] = applied(codes, rule, counts[k])
+        text = _text(codes)
         out += text.split(sep) if sep else [text]
     return out
 
