@@ -38,13 +38,13 @@ class Side:
         return Side(codes, self.sizes)
 
 
-def _laid(side: Side, pairs: np.ndarray, size: int, rows: int, down: np.ndarray | None = None) -> np.ndarray:
-    """(rows, pairs): places of the glyphs in tables of ``size`` entries a pair, texts pushed ``down``; place 0 where there is none."""
-    out = np.zeros((pairs.size, rows), np.intp)
-    for p, (k, at) in enumerate(zip(pairs.tolist(), [0] * pairs.size if down is None else down.tolist(), strict=True)):
-        own = side.of(k)
-        out[p, at : at + own.size] = own
-    out += np.arange(pairs.size)[:, None] * size
+def _laid(side: Side, pairs: np.ndarray, rows: int, down: np.ndarray | None = None) -> np.ndarray:
+    """(rows, pairs): codes of the glyphs, texts pushed ``down``; 0 where there is none."""
+    codes = side.codes
+    out = np.zeros((pairs.size, rows), codes.dtype)
+    starts, ends = side.starts[pairs].tolist(), (side.starts + side.sizes)[pairs].tolist()
+    for own, first, end, at in zip(out, starts, ends, [0] * pairs.size if down is None else down.tolist(), strict=True):
+        own[at : at + end - first] = codes[first:end]
     return np.ascontiguousarray(out.T)
 
 
@@ -60,15 +60,16 @@ def _walk(views: list[tuple[Side, Side, int]], pairs: np.ndarray, words: int, ke
     steps, count = int(n[0]) if n.size else 0, pairs.size
     active = count - np.searchsorted(n[::-1], np.arange(steps), side="right")
     rows = max(steps + bits + 64, int((m - low).max()))
-    guesses = [_laid(g, pairs, size, steps) for g, _, size in views]
-    golds = [_laid(h, pairs, size, rows, -low) for _, h, size in views]
+    guesses = [_laid(g, pairs, steps) for g, _, _ in views]
+    golds = [_laid(h, pairs, rows, -low) for _, h, _ in views]
     tables = [np.zeros((words + 1, count * size), np.uint64) for _, _, size in views]
+    places = [np.arange(count) * size for _, _, size in views]
 
     def fill(q: int, base: int, a: int) -> None:
-        for gold, table in zip(golds, tables, strict=True):
+        for gold, table, begin in zip(golds, tables, places, strict=True):
             own = table[q]
             for b in range(min(64, rows - base)):
-                at = gold[base + b, :a]
+                at = gold[base + b, :a] + begin[:a]
                 own[at] |= np.uint64(1 << b)
 
     for q in range(words + 1):
@@ -89,8 +90,8 @@ def _walk(views: list[tuple[Side, Side, int]], pairs: np.ndarray, words: int, ke
             fill(words, s + 64 * words, a)
         right, left = np.uint64(r), np.uint64(64 - r if r else 0)
         match = None
-        for guess, table in zip(guesses, tables, strict=True):
-            at = guess[s, :a]
+        for guess, table, begin in zip(guesses, tables, places, strict=True):
+            at = guess[s, :a] + begin[:a]
             got = [table[q].take(at) for q in range(words + 1 if r else words)]
             own = [got[q] >> right | got[q + 1] << left for q in range(words)] if r else got
             match = own if match is None else [x | y for x, y in zip(match, own, strict=True)]
@@ -185,6 +186,7 @@ def walked(
     n, m = guess.sizes, gold.sizes
     far = np.abs(m - n)
     views = [(guess.recoded(guess.codes + 1), gold.recoded(gold.codes + 1), size + 1)] + ([fold] if fold else [])
+    views = [(g.recoded(g.codes.astype(kind)), h.recoded(h.codes.astype(kind)), k) for g, h, k in views for kind in [np.uint8 if k <= 256 else np.int32]]
     biggest = sum(v[2] for v in views)
     costs = n + m  # right where a text is empty
     steps = [np.full(c, INSERTED if h else DELETED, np.uint8) for c, h in zip(costs.tolist(), m.tolist(), strict=True)] if keep else None
@@ -194,19 +196,19 @@ def walked(
     todo, left = todo[(n * m)[todo] > 0], []
     while todo.size:
         left += todo[words[todo] > WIDEST].tolist()
-        again = [todo[:0]]
+        again, asked = [todo[:0]], words[todo]
         for width in range(1, WIDEST + 1):
-            own = todo[words[todo] == width]
+            own = todo[asked == width]
             own = own[np.argsort(-n[own], kind="stable")]
             single: list[int] = []
             for k, end in _groups(n[own], width, biggest, single):
                 pairs = own[k:end]
                 cost, made = _walk(views, pairs, width, keep)
                 need = cost + 1
-                open_ = np.flatnonzero(~proved[pairs] & (need > 64 * width))
-                if open_.size:
-                    lacks = _lacking(guess, gold, pairs[open_], size, loose)
-                    need[open_] = np.minimum(need[open_], far[pairs[open_]] + 1 + 2 * (cost[open_] - lacks))
+                unsure = np.flatnonzero(~proved[pairs] & (need > 64 * width))
+                if unsure.size:
+                    lacks = _lacking(guess, gold, pairs[unsure], size, loose)
+                    need[unsure] = np.minimum(need[unsure], far[pairs[unsure]] + 1 + 2 * (cost[unsure] - lacks))
                 sure = proved[pairs] | (need <= 64 * width)
                 more = pairs[~sure]
                 words[more] = (need[~sure] + 63) // 64

@@ -10,6 +10,7 @@ from math import isqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,12 +174,17 @@ def cut_characters(guess: list[str], gold: list[str], f_for_s: bool = False, poi
     others: dict[str, int] = {}
 
     def codes(text: str) -> np.ndarray:
-        if points or (text.isascii() and "\\" not in text):
+        if text.isascii() and "\\" not in text:
             return np.frombuffer(text.encode("utf-32-le"), np.uint32)
         return np.array([ord(g) if len(g) == 1 else 0x110000 + others.setdefault(g, len(others)) for g in glyphs(text)], np.uint32)
 
-    (a, sizes_a), (b, sizes_b) = (_sized([codes(x) for x in texts]) for texts in (guess, gold))
-    a, b = a.astype(np.int64), b.astype(np.int64)
+    def side(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        whole = "".join(texts)
+        if points or (whole.isascii() and "\\" not in whole):
+            return np.frombuffer(whole.encode("utf-32-le"), np.uint32), np.array([len(x) for x in texts], np.int64)
+        return _sized([codes(x) for x in texts])
+
+    (a, sizes_a), (b, sizes_b) = side(guess), side(gold)
     there = np.zeros(max(a.max(initial=0), b.max(initial=0)) + 1, bool)
     there[a] = there[b] = True
     longer = list(others)
@@ -195,10 +201,15 @@ def cut_characters(guess: list[str], gold: list[str], f_for_s: bool = False, poi
 def _shared(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each name what it is as a guessed glyph and as a gold one, from 2 on where f for s makes it equal to others; and classes that equal glyphs share."""
     ids, alike = {}, {}
-    guess = [1 if (key := _folded(x)) is None else ids.setdefault(key, len(ids) + 2) for x in names]
-    gold = [0 if (key := _folded_gold(x)) is None else ids.setdefault(key, len(ids) + 2) for x in names]
-    loose = [alike.setdefault(x.replace("f", "*").replace("s", "*"), len(alike)) for x in names]
-    return tuple(np.array(x or [0], np.int64) for x in (guess, gold, loose))
+    guess, gold, loose = np.ones(max(len(names), 1), np.int64), np.zeros(max(len(names), 1), np.int64), np.arange(max(len(names), 1))
+    for k, x in enumerate(names):
+        if "f" in x or "s" in x or "*" in x:  # others are equal to themselves alone
+            if (key := _folded(x)) is not None:
+                guess[k] = ids.setdefault(key, len(ids) + 2)
+            if (key := _folded_gold(x)) is not None:
+                gold[k] = ids.setdefault(key, len(ids) + 2)
+            loose[k] = alike.setdefault(x.replace("f", "*").replace("s", "*"), k)
+    return guess, gold, loose
 
 
 def _by_pair(codes: np.ndarray, pair: np.ndarray, pairs: int) -> tuple[np.ndarray, int]:
@@ -210,12 +221,12 @@ def _by_pair(codes: np.ndarray, pair: np.ndarray, pairs: int) -> tuple[np.ndarra
 
 
 def cut_words(guess: list[str], gold: list[str], f_for_s: bool = False) -> Cut:
-    words = [[x.split(" ") for x in side] for side in (guess, gold)]
-    sizes = [np.array([len(x) for x in side], np.int64) for side in words]
+    words = pc.split_pattern(pa.array(guess + gold, pa.large_string()), " ")
+    sizes = np.split(np.diff(words.offsets.to_numpy()).astype(np.int64), [len(guess)])
     pair = np.concatenate([np.repeat(np.arange(len(gold)), n) for n in sizes])
-    ids: dict[str, int] = {}
-    entries = np.array([ids.setdefault(w, len(ids)) for side in words for own in side for w in own], np.int64)
-    names, half = list(ids), int(sizes[0].sum())
+    numbered = words.flatten().dictionary_encode()
+    entries, names = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
+    half = int(sizes[0].sum())
     both = lambda x: (x[:half], x[half:])
     codes, size = _by_pair(entries, pair, len(gold))
     a, b = (bands.Side(x, n) for x, n in zip(both(codes), sizes, strict=True))
@@ -247,7 +258,7 @@ def compared(cut: Cut, f_for_s: bool = False, keep: bool = False, only: np.ndarr
 
 
 #: Characters that are compared at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 22
 
 
 def _chunks(texts: list[str]) -> Iterator[slice]:
