@@ -1,18 +1,21 @@
-"""From decoded states to transcriptions: array functions over lines, aggregates and windows over documents.
+"""From decoded states to transcriptions: array functions and NumPy kernels (``states``) over lines, aggregates and windows over documents.
 
-decode(doc_id, line_no, pos, type, lang, lm_char, glyph, glyph_type, char_w, pad_w), or its lines as ``packed`` gives them.
+decode(doc_id, line_no, pos, type, lang, lm_char, glyph, glyph_type, char_w, pad_w), or its lines as ``packed`` gives them. What goes
+by ``states`` also takes plain lines (doc_id, line_no, lang, line), whose states it makes in the task as ``packed_fixture`` does.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphspark.functions import charset
 from glyphspark.functions.charset import xml_escape
+from glyphspark.operators import states as kernels
 from glyphspark.operators.shared import dealt
+from glyphspark.operators.states import ELIDED
 
-ELIDED = ["TILDE_ELIDED", "FIRST_ELIDED", "ELIDED"]
 HYPHEN_MARGINS = ["RMRGN_HPHN_INIT", "RMRGN_HPHN", "LMRGN_HPHN"]
 COLORS = ["Black", "Red", "Blue", "Olive", "Orange", "Magenta", "Lime", "Cyan", "Purple", "Green", "Brown"]  # fixed values
 
@@ -33,6 +36,16 @@ def packed(decode: DataFrame) -> DataFrame:
     return decode.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("states"))
 
 
+def _plain(decode: DataFrame) -> DataFrame:
+    """Lines for ``states``."""
+    return decode.select("doc_id", "line_no", "lang", "line") if "line" in decode.columns else packed(decode)
+
+
+def _in_documents(decode: DataFrame) -> DataFrame:
+    """The same, lines of a document together and in order."""
+    return _plain(dealt(decode, "doc_id")).sortWithinPartitions("doc_id", "line_no")
+
+
 def once(column: Column, name: str) -> Column:
     """``column`` as a row of its own: filters and projections after it don't compute it again."""
     return F.inline(F.array(F.struct(column.alias(name))))
@@ -154,9 +167,7 @@ def alto_items(decode: DataFrame, normalized: bool = False) -> DataFrame:
 
 def alto_pages(decode: DataFrame, normalized: bool = False) -> DataFrame:
     """(doc_id, xml): the ALTO document of every page."""
-    lines = _line_items(decode, normalized).select("doc_id", "line_no", F.array_join("_items.xml", "").alias("xml"))
-    line = F.concat(F.lit('<TextLine ID="line_'), (F.col("line_no") + 1).cast("string"), F.lit('">'), F.col("xml"), F.lit("</TextLine>\n"))
-    pages = lines.withColumn("xml", line).groupBy("doc_id").agg(in_order(F.col("xml"), "line_no").alias("_body"))
+    pages = kernels.written(_in_documents(decode), kernels.alto_bodies(normalized), ["doc_id"], {"_body": T.StringType()}, documents=True)
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<alto xmlns="http://www.loc.gov/standards/alto/ns-v3#"><Description><MeasurementUnit>pixel</MeasurementUnit></Description><Layout><Page ID="'
     return pages.select("doc_id", F.concat(F.lit(head), F.col("doc_id").cast("string"), F.lit('"><PrintSpace><TextBlock ID="par_1">\n'), F.col("_body"), F.lit("</TextBlock></PrintSpace></Page></Layout></alto>\n")).alias("xml"))
 
