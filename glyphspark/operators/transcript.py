@@ -161,8 +161,9 @@ def _line_items(decode: DataFrame, normalized: bool) -> DataFrame:
 
 
 def alto_items(decode: DataFrame, normalized: bool = False) -> DataFrame:
-    """(doc_id, line_no, span, word_index, xml): ALTO elements of words and of the spaces between them."""
-    return _line_items(decode, normalized).select("doc_id", "line_no", F.explode("_items").alias("_i")).select("doc_id", "line_no", "_i.*")
+    """(doc_id, line_no, span, word_index, xml): ALTO elements of words, numbered through a document, and of the spaces between them."""
+    schema = {"span": T.LongType(), "word_index": T.LongType(), "xml": T.StringType()}
+    return kernels.written(_in_documents(decode), kernels.alto_rows(normalized), ["doc_id", "line_no"], schema, documents=True)
 
 
 def alto_pages(decode: DataFrame, normalized: bool = False) -> DataFrame:

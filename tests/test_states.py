@@ -14,6 +14,7 @@ DATA = "/root/testdata/sf0.001"
 ODD = ["a-- so, é  x", "   ", "s" * 60 + " ab" * 40, "-", "x² Ⅷ½ a_b\tc", "p̃q̃ <&>\"'", "\U0001f600 o\U0001f600", "sé u", "aaaaaaaaaaaaaaaa,,;; bbbb", " q", "q "]
 KERNELS, OPERATORS = {}, {}
 KERNELS["alto_pages"], OPERATORS["alto_pages"] = states.alto_bodies(True), lambda d: transcript.alto_pages(d, True)
+KERNELS["alto_words"], OPERATORS["alto_words"] = states.alto_rows(False), transcript.alto_items
 
 
 def odd_documents():
