@@ -248,14 +248,12 @@ def comparison(model: DataFrame, gold: DataFrame | None = None, normalized: Data
 
 
 def decoded_comparison(decode: DataFrame, gold: DataFrame) -> DataFrame:
-    """``comparison`` of a decode table's own sides and running text with gold lines; its lines are read once for all sides."""
-    lines = packed(decode).select("doc_id", "line_no", "states", once(F.filter("states", _shown), "_shown"))
-    own = {"MN": F.when(F.exists("states", _single), _joined(F.filter("states", _single), lambda s: s["lm_char"])), "MD": F.when(F.size("_shown") > 0, _diplomatic(F.col("_shown"))), "GD": F.lit(None).cast("string"), "MS": _joined(F.col("states"), substitution)}
-    line_no, none = F.col("line_no").cast("long").alias("line_no"), F.lit(None).cast("string")
-    rows = lines.select("doc_id", line_no, *[F.trim(c).alias(s) for s, c in own.items()], F.when(F.exists("states", _runs_on), _running_line(F.col("states"))).alias("_line"))
-    rows = rows.union(gold.select("doc_id", line_no, *[F.trim("text") if s == "GD" else none for s in own], none))
-    by_line = dealt(rows, "doc_id").groupBy("doc_id", "line_no").agg(*[F.max(c).alias(c) for c in (*own, "_line")])
-    return _reported(by_line, list(own))
+    """``comparison`` of a decode table's own sides and running text with gold lines; both are dealt once, as they come."""
+    lines = _plain(decode)
+    gold = gold.select("doc_id", F.col("line_no").cast(lines.schema["line_no"].dataType).alias("line_no"), F.col("text").alias("gold"))
+    rows = dealt(lines.unionByName(gold, allowMissingColumns=True), "doc_id").sortWithinPartitions("doc_id", "line_no")
+    titles = {s: SIDES[s] for s in ("MN", "MD", "GD", "MS")}
+    return kernels.written(rows, kernels.report_rows(titles), ["doc_id"], {"report": T.StringType()}, documents=True)
 
 
 def _reported(by_line: DataFrame, sides: list[str], running: DataFrame | None = None, gold_running: DataFrame | None = None, evaluations: DataFrame | None = None) -> DataFrame:
