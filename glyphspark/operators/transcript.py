@@ -204,19 +204,7 @@ def html_lines(decode: DataFrame, languages: list[str]) -> DataFrame:
 
 def whitespace_layout(decode: DataFrame) -> DataFrame:
     """(doc_id, line_no, text): glyphs with the widths of space and padding between them in braces."""
-    lines = packed(decode)
-    solid = F.filter(F.sequence(F.lit(1), F.size("states")), lambda i: F.get("states", i - 1)["glyph"] != " ")
-    lines = lines.select("doc_id", "line_no", "states", once(F.when(F.size("states") > 0, solid).otherwise(F.array().cast("array<int>")), "_at"))
-    # space before a glyph (or the end): padding of the glyph before it, and all space states in between
-    spaces = lambda i, j: F.aggregate(F.slice("states", i + 1, j - i - 1), F.lit(0), lambda a, s: a + s["char_w"] + s["pad_w"])
-    pad = lambda i: F.when(i > 0, F.get("states", i - 1)["pad_w"]).otherwise(F.lit(0))
-    before = lambda k: F.coalesce(F.get("_at", k - 1), F.lit(0))
-    width = lambda i, j: F.when(j - i > 1, spaces(i, j) + pad(i)).otherwise(pad(i))
-    ends = F.concat("_at", F.array(F.size("states") + 1))
-    lines = lines.select("doc_id", "line_no", "states", "_at", once(F.transform(ends, lambda j, k: width(before(k), j)), "_w"))
-    piece = lambda x: F.when(x > 0, F.concat(F.lit("{"), x.cast("string"), F.lit("}"))).otherwise(F.lit(""))
-    out = F.transform("_w", lambda x, k: F.concat(piece(x), F.coalesce(F.get("states", F.get("_at", k) - 1)["glyph"], F.lit(""))))
-    return lines.select("doc_id", "line_no", F.array_join(out, "").alias("text"))
+    return kernels.written(_plain(decode), kernels.layout_rows, ["doc_id", "line_no"], {"text": T.StringType()})
 
 
 def pair_lines(model: DataFrame, gold: DataFrame) -> DataFrame:

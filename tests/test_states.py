@@ -16,6 +16,7 @@ KERNELS, OPERATORS = {}, {}
 KERNELS["alto_pages"], OPERATORS["alto_pages"] = states.alto_bodies(True), lambda d: transcript.alto_pages(d, True)
 KERNELS["alto_words"], OPERATORS["alto_words"] = states.alto_rows(False), transcript.alto_items
 KERNELS["comparison_report"] = states.report_rows({s: transcript.SIDES[s] for s in ("MN", "MD", "GD", "MS")})
+KERNELS["whitespace_layout"], OPERATORS["whitespace_layout"] = states.layout_rows, transcript.whitespace_layout
 
 
 def odd_documents():
