@@ -111,14 +111,7 @@ def _cut(df: DataFrame, items: Column, new) -> DataFrame:
 
 def language_runs(decode: DataFrame) -> DataFrame:
     """(doc_id, run, lang, text): stretches of a document in one language; states without one don't break a stretch."""
-    other = lambda s, before: ~s["lang"].eqNullSafe(before["lang"])
-    run = lambda part: F.struct(F.get(part, 0)["lang"].alias("lang"), F.array_join(part["text"], "").alias("text"))
-    own = F.filter("states", lambda s: (s["type"] == "TMPL") & s["lang"].isNotNull() & _single(s))
-    own = F.transform(own, lambda s: F.struct(s["lang"].alias("lang"), s["lm_char"].alias("text")))
-    lines = _cut(packed(decode), own, other).select("doc_id", "line_no", once(F.transform("_parts", run), "_runs")).where(F.size("_runs") > 0)
-    docs = lines.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "_runs"))), lambda x: x["_runs"])).alias("_runs"))
-    docs = _cut(docs, F.col("_runs"), other).select("doc_id", F.posexplode(F.transform("_parts", run)).alias("run", "_r"))
-    return docs.select("doc_id", (F.col("run") + 1).cast("long").alias("run"), "_r.lang", "_r.text")
+    return kernels.written(_in_documents(decode), kernels.run_rows, ["doc_id"], {"run": T.LongType(), "lang": T.StringType(), "text": T.StringType()}, documents=True)
 
 
 def _line_spans(decode: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ KERNELS["alto_pages"], OPERATORS["alto_pages"] = states.alto_bodies(True), lambd
 KERNELS["alto_words"], OPERATORS["alto_words"] = states.alto_rows(False), transcript.alto_items
 KERNELS["comparison_report"] = states.report_rows({s: transcript.SIDES[s] for s in ("MN", "MD", "GD", "MS")})
 KERNELS["whitespace_layout"], OPERATORS["whitespace_layout"] = states.layout_rows, transcript.whitespace_layout
+KERNELS["language_runs"], OPERATORS["language_runs"] = states.run_rows, transcript.language_runs
 
 
 def odd_documents():
