@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphspark.functions import charset
-from glyphspark.functions.charset import xml_escape
 from glyphspark.operators import states as kernels
 from glyphspark.operators.shared import dealt
 from glyphspark.operators.states import ELIDED
@@ -100,57 +99,16 @@ def normalized_running(decode: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", _running_line(F.col("states")).alias("_line")).groupBy("doc_id").agg(_running("_line").alias("text"))
 
 
-def _cut(df: DataFrame, items: Column, new) -> DataFrame:
-    """``df`` with ``_parts``: the array ``items`` cut before every item for which ``new`` (item, the one before; null for the first) holds."""
-    xs, at = F.col("_xs"), F.col("_at")
-    starts = F.filter(F.sequence(F.lit(1), F.size(xs)), lambda i: (i == 1) | new(F.get(xs, i - 1), F.get(xs, i - 2)))
-    df = df.select(*df.columns, once(items, "_xs"))
-    df = df.select("*", once(F.when(F.size(xs) > 0, starts).otherwise(F.array().cast("array<int>")), "_at"))
-    return df.withColumn("_parts", F.transform(at, lambda i, k: F.slice(xs, i, F.coalesce(F.get(at, k + 1), F.size(xs) + 1) - i)))
-
-
 def language_runs(decode: DataFrame) -> DataFrame:
     """(doc_id, run, lang, text): stretches of a document in one language; states without one don't break a stretch."""
     return kernels.written(_in_documents(decode), kernels.run_rows, ["doc_id"], {"run": T.LongType(), "lang": T.StringType(), "text": T.StringType()}, documents=True)
 
 
-def _line_spans(decode: DataFrame) -> DataFrame:
-    """(doc_id, line_no, _spans): words and stretches of space of a line, in order; a punctuation mark starts a span."""
-    space = lambda s: (s["lm_char"] == " ") & (s["glyph"] == " ")
-    punct = lambda s: ~s["lm_char"].isin("-", " ", *charset.LETTERS) & s["lm_char"].rlike(r"^[^\s\p{IsAlphabetic}\p{Nd}]+$")
-    dipl = lambda s: F.when(s["glyph_type"].isin(ELIDED), F.lit("")).otherwise(s["glyph"])
-    norm = lambda s: F.when(s["glyph_type"] == "DOUBLED", "").when(s["type"] == "RMRGN_HPHN_INIT", "-").when(s["type"].isin("RMRGN_HPHN", "LMRGN_HPHN"), "").when(s["type"].isin("LMRGN", "RMRGN"), " ").otherwise(s["lm_char"])
-    state = lambda s: F.struct(space(s).alias("space"), punct(s).alias("punct"), s["lang"].alias("lang"), (s["char_w"] + s["pad_w"]).cast("long").alias("w"), dipl(s).alias("d"), norm(s).alias("n"))
-    lines = _cut(packed(decode), F.transform("states", state), lambda s, before: (s["space"] != before["space"]) | s["punct"])
-    joined = lambda part, name: F.trim(F.array_join(part[name], ""))
-    width = lambda part: F.aggregate(part["w"], F.lit(0).cast("long"), lambda a, x: a + x)
-    span = lambda part: F.struct(F.get(part, 0)["space"].alias("is_space"), F.coalesce(F.get(part, 0)["lang"], F.lit("None")).alias("lang"), width(part).alias("width"), joined(part, "d").alias("diplomatic"), joined(part, "n").alias("normalized"))
-    return lines.select("doc_id", "line_no", once(F.transform("_parts", span), "_spans"))
-
-
 def word_spans(decode: DataFrame) -> DataFrame:
-    """(doc_id, line_no, span, is_space, lang, width, diplomatic, normalized) of every word and stretch of space."""
-    rows = _line_spans(decode).select("doc_id", "line_no", F.posexplode("_spans").alias("span", "_x"))
-    return rows.select("doc_id", "line_no", (F.col("span") + 1).cast("long").alias("span"), "_x.*")
-
-
-def _line_items(decode: DataFrame, normalized: bool) -> DataFrame:
-    """(doc_id, line_no, _items): arrays (span, word_index, xml) of a line; words are numbered through a document."""
-    own, other, purpose = ("normalized", "diplomatic", "Diplomatic") if normalized else ("diplomatic", "normalized", "Normalization")
-    word = lambda x: ~x["is_space"] & (x["diplomatic"] != "")
-    item = lambda x, k: F.struct(x["span"].alias("span"), k.alias("k"), x["width"].alias("width"), x["lang"].alias("lang"), x[own].alias("own"), x[other].alias("other"))
-    numbered = F.transform("_spans", lambda x, i: F.struct((i + 1).cast("long").alias("span"), word(x).alias("word"), x["is_space"].alias("is_space"), x["width"].alias("width"), x["lang"].alias("lang"), x["diplomatic"].alias("diplomatic"), x["normalized"].alias("normalized")))
-    rows = _line_spans(decode).select("doc_id", "line_no", once(numbered, "_x"))
-    rows = rows.select("doc_id", "line_no", "_x", once(F.transform(F.filter("_x", lambda x: x["word"]), item), "_words")).where(F.size("_words") > 0)
-    space = F.filter("_x", lambda x: x["is_space"] & (x["span"] > F.get("_words", 0)["span"]) & (x["width"] > 0))
-    rows = rows.withColumn("_x", F.array_sort(F.concat("_words", F.transform(space, lambda x: item(x, F.lit(None).cast("int")))))).withColumn("_n", F.size("_words"))
-    before = F.sum("_n").over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_before", F.coalesce(before, F.lit(0).cast("long")))
-    number = lambda x: F.col("_before") + x["k"]
-    head = lambda x, n: F.concat(F.lit('<String ID="word_'), n.cast("string"), F.lit('" WIDTH="'), x["width"].cast("string"), F.lit('" CONTENT="'), xml_escape(x["own"]), F.lit('" LANG="'), x["lang"], F.lit('"'))
-    more = lambda x: F.concat(F.lit(f'><ALTERNATIVE PURPOSE="{purpose}">'), xml_escape(x["other"]), F.lit("</ALTERNATIVE></String>"))
-    text = lambda x, n: F.when(x["k"].isNotNull(), F.concat(head(x, n), F.when(x["own"] != x["other"], more(x)).otherwise(F.lit("/>")))).otherwise(F.concat(F.lit('<SP WIDTH="'), x["width"].cast("string"), F.lit('"/>')))
-    return rows.select("doc_id", "line_no", F.transform("_x", lambda x: F.struct(x["span"].alias("span"), number(x).alias("word_index"), text(x, number(x)).alias("xml"))).alias("_items"))
+    """(doc_id, line_no, span, is_space, lang, width, diplomatic, normalized) of every word and stretch of space; a punctuation mark starts a span."""
+    text = T.StringType()
+    schema = {"span": T.LongType(), "is_space": T.BooleanType(), "lang": text, "width": T.LongType(), "diplomatic": text, "normalized": text}
+    return kernels.written(_plain(decode), kernels.span_rows, ["doc_id", "line_no"], schema)
 
 
 def alto_items(decode: DataFrame, normalized: bool = False) -> DataFrame:

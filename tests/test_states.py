@@ -18,6 +18,7 @@ KERNELS["alto_words"], OPERATORS["alto_words"] = states.alto_rows(False), transc
 KERNELS["comparison_report"] = states.report_rows({s: transcript.SIDES[s] for s in ("MN", "MD", "GD", "MS")})
 KERNELS["whitespace_layout"], OPERATORS["whitespace_layout"] = states.layout_rows, transcript.whitespace_layout
 KERNELS["language_runs"], OPERATORS["language_runs"] = states.run_rows, transcript.language_runs
+KERNELS["word_spans"], OPERATORS["word_spans"] = states.span_rows, transcript.word_spans
 
 
 def odd_documents():
